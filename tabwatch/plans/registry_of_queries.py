@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tabwatch.plans import drift_oracle, drift_queries
+from tabwatch.plans import contract_learn_queries, drift_oracle, drift_queries
 
-GROUPS = [(drift_queries.QUERIES, drift_oracle.ORACLE)]
+GROUPS = [
+    (drift_queries.QUERIES, drift_oracle.ORACLE),
+    (contract_learn_queries.QUERIES, contract_learn_queries.ORACLE),
+]
 
 
 def all_queries() -> dict:
