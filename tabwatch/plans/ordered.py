@@ -39,6 +39,10 @@ def _order_value(df: DataFrame, c: str) -> Column:
         return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(c)).cast("double")
+    if isinstance(dt, T.StringType):
+        # first 6 UTF-8 bytes as a big-endian number: monotone in Spark's binary
+        # string order (exact ties are ordered inside the bucket)
+        return F.conv(F.rpad(F.substring(F.hex(F.col(c)), 1, 12), 12, "0"), 16, 10).cast("double")
     return F.col(c).cast("double")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tabwatch.plans import contract_learn_queries, drift_oracle, drift_queries
+from tabwatch.plans import (
+    contract_learn_queries, drift_oracle, drift_queries, log_monitor_queries, registry_queries,
+)
 
 GROUPS = [
     (drift_queries.QUERIES, drift_oracle.ORACLE),
     (contract_learn_queries.QUERIES, contract_learn_queries.ORACLE),
+    (log_monitor_queries.QUERIES, log_monitor_queries.ORACLE),
+    (registry_queries.QUERIES, registry_queries.ORACLE),
 ]
 
 
