@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabwatch.functions.core import is_numeric_type, join_small, nan_div, to_long
 from tabwatch.functions.pvalues import chi2_sf, ks_pvalue
-from tabwatch.plans.ordered import running_sum
+from tabwatch.plans.ordered import count_below, running_sum
 
 # PSI floor, alert thresholds, reference sample size and seed, the
 # default means used when a profile lacks one, chi-square sum tolerance.
@@ -30,10 +30,15 @@ CHI2_SUM_RTOL = 1e-8
 
 
 # --------------------------------------------------------------------- E1 / E2
-def bin_index(v: Column, edges: Column) -> Column:
-    """Bin of ``v`` on ``edges`` (NumPy rules), NULL when outside [first, last]."""
+def bin_index(v: Column, edges: Column, n_edges: int | None = None) -> Column:
+    """Bin of ``v`` on ``edges`` (NumPy rules), NULL when outside [first, last].
+
+    With ``n_edges`` known at plan time the search is a codegen'd CASE tree."""
     m = F.size(edges) - 1
-    idx = F.size(F.filter(edges, lambda e: e <= v)) - 1
+    if n_edges is not None:
+        idx = count_below(edges, v, n_edges, inclusive=True) - 1
+    else:
+        idx = F.size(F.filter(edges, lambda e: e <= v)) - 1
     inside = (v >= F.element_at(edges, 1)) & (v <= F.element_at(edges, -1))
     return F.when(inside, F.least(idx, m - 1))
 
@@ -43,7 +48,8 @@ def edges_valid(edges: Column) -> Column:
     return (F.size(edges) > 1) & (edges == F.array_sort(edges))
 
 
-def edge_histogram(long: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def edge_histogram(long: DataFrame, edges: DataFrame, keys: Sequence[str] = (),
+                   n_edges: int | None = None) -> DataFrame:
     """``keys..., feature, bin, count`` for every bin of ``edges.edges``.
 
     ``edges`` has one row per ``(keys, feature)``; rows whose edges decrease are
@@ -53,7 +59,7 @@ def edge_histogram(long: DataFrame, edges: DataFrame, keys: Sequence[str] = ())
     k = [*keys, "feature"]
     # one row per feature: broadcast bounded by the schema width
     j = join_small(long, edges.select(*k, "edges"), k)
-    binned = j.select(*k, bin_index(F.col("v"), F.col("edges")).alias("bin")).where(F.col("bin").isNotNull())
+    binned = j.select(*k, bin_index(F.col("v"), F.col("edges"), n_edges).alias("bin")).where(F.col("bin").isNotNull())
     counts = binned.groupBy(*k, "bin").agg(F.count(F.lit(1)).alias("count"))
     all_bins = edges.select(
         *k, edges_valid(F.col("edges")).alias("_ok"),
@@ -120,11 +126,11 @@ def numeric_psi(cur_long: DataFrame, profile: DataFrame, keys: Sequence[str] = (
     k = [*keys, "feature"]
     has_pct = F.coalesce(F.col("p25"), F.col("p50"), F.col("p75"), F.col("p95")).isNotNull()
     edges = profile.where(has_pct).select(*k, quartile_edges(profile).alias("edges"))
-    cur = edge_histogram(cur_long, edges, keys)
+    cur = edge_histogram(cur_long, edges, keys, n_edges=5)
     if expected == "observed":
         if base_long is None:
             raise ValueError("expected='observed' needs base_long")
-        base = edge_histogram(base_long, edges, keys).withColumnRenamed("count", "expected")
+        base = edge_histogram(base_long, edges, keys, n_edges=5).withColumnRenamed("count", "expected")
         bins = cur.join(base, [*k, "bin"])
     else:
         bins = cur.withColumn("expected", F.lit(0.25))
@@ -296,7 +302,8 @@ def _long_metrics(df: DataFrame, k: list[str], metrics: Sequence[str]) -> DataFr
 
 def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: DataFrame | None,
                   keys: Sequence[str] = (), n_buckets: int | None = None,
-                  with_chi2_pvalue: bool = True) -> DataFrame:
+                  with_chi2_pvalue: bool = True, num_features: Sequence[str] | None = None,
+                  cat_features: Sequence[str] | None = None) -> DataFrame:
     """Every baseline feature at once, long ``keys..., feature, metric, value``.
 
     Features missing from ``cur``, all-null features and features of unknown type
@@ -306,7 +313,8 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
     k = [*keys, "feature"]
     parts = []
     if num_profile is not None:
-        feats = [r[0] for r in num_profile.select("feature").distinct().collect()]  # schema metadata
+        feats = list(num_features) if num_features is not None else [
+            r[0] for r in num_profile.select("feature").distinct().collect()]  # profile metadata
         feats = [f for f in feats if f in cur.columns]
         if feats:
             # numeric columns cast directly; other types are try-cast and any value
@@ -340,7 +348,8 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
             ).drop("_pct")
             parts.append(lm)
     if cat_profile is not None:
-        feats = [r[0] for r in cat_profile.select("feature").distinct().collect()]  # schema metadata
+        feats = list(cat_features) if cat_features is not None else [
+            r[0] for r in cat_profile.select("feature").distinct().collect()]  # profile metadata
         feats = [f for f in feats if f in cur.columns]
         if feats:
             long = to_long(cur, feats, ids=keys, value_type="string")

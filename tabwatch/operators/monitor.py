@@ -47,7 +47,9 @@ def latency_histogram(log: DataFrame, keys: Sequence[str] = ("endpoint",),
     sum, count``; ``bucket = len(bounds)`` is ``+Inf`` (``le`` NULL)."""
     keys = list(keys)
     b = F.array(*[F.lit(float(x)) for x in bounds])
-    idx = F.size(F.filter(b, lambda x: x < F.col("latency_s")))
+    idx = F.lit(len(bounds))
+    for i in range(len(bounds) - 1, -1, -1):  # first bound >= latency
+        idx = F.when(F.col("latency_s") <= F.lit(float(bounds[i])), F.lit(i)).otherwise(idx)
     per = log.where(F.col("latency_s").isNotNull()).groupBy(*keys, idx.alias("bucket")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("latency_s").alias("_s"))
     all_b = per.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))).alias("bucket"))

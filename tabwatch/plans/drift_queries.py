@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabwatch.functions.core import round_floats, to_long
 from tabwatch.operators import drift as E
 from tabwatch.operators import profile as D
+from tabwatch.session import materialize
 from tabwatch.sources.tables import read_table, ts_lit
 
 # Fixed values of the registered plans (mirrored in plans.oracle).
@@ -46,8 +47,10 @@ def score_column(df: DataFrame) -> DataFrame:
 
 
 def _base_profile(spark, sf):
+    """Baseline profile of the earlier rows, materialised once (the stored
+    baseline of the reference) and read by every drift operator."""
     base, cur = lineitem_halves(spark, sf)
-    return round_floats(D.numeric_profile(base, LINEITEM_NUMERIC)), base, cur
+    return materialize(round_floats(D.numeric_profile(base, LINEITEM_NUMERIC))), base, cur
 
 
 # ----------------------------------------------------------------- profiles
@@ -151,7 +154,7 @@ def e5_ks_profile(spark, sf):
 
 def _orders_cat_profile(spark, sf):
     base, cur = orders_halves(spark, sf)
-    return round_floats(D.categorical_profile(base, ORDERS_CATEGORICAL)), cur
+    return materialize(round_floats(D.categorical_profile(base, ORDERS_CATEGORICAL))), cur
 
 
 def e7_chi_square(spark, sf):
@@ -192,7 +195,7 @@ def _score_base(base: DataFrame) -> DataFrame:
 
 def e8_score_drift(spark, sf):
     base, cur = lineitem_halves(spark, sf)
-    return round_floats(E.score_drift(score_column(cur), "score", round_floats(_score_base(base))))
+    return round_floats(E.score_drift(score_column(cur), "score", materialize(round_floats(_score_base(base)))))
 
 
 def _softmax(col: str):
@@ -211,17 +214,16 @@ def e9_class_drift(spark, sf):
 
 def e10_feature_drift(spark, sf):
     prof, _, cur = _base_profile(spark, sf)
-    ob, oc = orders_halves(spark, sf)
-    cat = round_floats(D.categorical_profile(ob, ORDERS_CATEGORICAL))
-    num = E.feature_drift(cur, prof, None)
-    cats = E.feature_drift(oc, None, cat, with_chi2_pvalue=False)
+    cat, oc = _orders_cat_profile(spark, sf)
+    num = E.feature_drift(cur, prof, None, num_features=LINEITEM_NUMERIC)
+    cats = E.feature_drift(oc, None, cat, with_chi2_pvalue=False, cat_features=ORDERS_CATEGORICAL)
     return round_floats(num.unionByName(cats))
 
 
 def e11_prediction_drift(spark, sf):
     base, cur = lineitem_halves(spark, sf)
     out = E.prediction_drift(score_column(cur), "binary_classification", score_col="score",
-                             score_base=round_floats(_score_base(base)))
+                             score_base=materialize(round_floats(_score_base(base))))
     return round_floats(out)
 
 

@@ -14,6 +14,7 @@ from tabwatch.operators.contract import validate_for_scoring
 from tabwatch.sources.derived import (
     BATCH_ENDPOINT, SINGLE_ENDPOINT, VERSION_NEW, VERSION_OLD, VERSION_SWITCH, prediction_log, request_log,
 )
+from tabwatch.session import materialize
 from tabwatch.sources.tables import read_table
 from tabwatch.streaming.windows import windowed_numeric_drift
 
@@ -103,7 +104,7 @@ def g8_dedup(spark, sf):
 def g9_windowed_drift(spark, sf):
     ev = read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     base = ev.where(F.col("ts") < F.to_timestamp(F.lit(EVENTS_BASELINE_END)))
-    prof = round_floats(D.numeric_profile(base, ["value"]))
+    prof = materialize(round_floats(D.numeric_profile(base, ["value"])))
     out = windowed_numeric_drift(ev, prof, ["value"], "1 day")
     return round_floats(out.select(ts_string("window_start").alias("window_start"), "feature", "metric", "value"))
 

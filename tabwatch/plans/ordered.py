@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 _B = "_bucket"
 _K = "_const_key"
-SPLIT_ACCURACY = 10000
+# splitters only balance the buckets; results never depend on them
+SPLIT_ACCURACY = 1000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -46,14 +47,42 @@ def _order_value(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
+def _small(df: DataFrame, small_keys: bool) -> DataFrame:
+    """Per-(key, bucket) side tables hold #keys x #buckets rows.  With
+    low-cardinality keys (features, environments, one global key) that is a few
+    KB, so they are broadcast; a shuffle join would hash-partition the big side
+    by the key alone and put a whole key into one task.  Callers with
+    high-cardinality keys pass ``small_keys=False`` (the key itself then spreads
+    the rows)."""
+    return F.broadcast(df) if small_keys else df
+
+
 def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
     if keys:
         return df, list(keys), False
     return df.withColumn(_K, F.lit(0)), [_K], True
 
 
+def count_below(sorted_arr: Column, v: Column, m: int, inclusive: bool = False) -> Column:
+    """Number of elements of a sorted array of length ``m`` that are ``< v``
+    (``<= v`` when ``inclusive``), as a balanced CASE tree of depth log2(m):
+    whole-stage codegen friendly, unlike a ``filter`` lambda over the array."""
+
+    def below(i: int) -> Column:  # 1-based element i satisfies the predicate
+        e = F.element_at(sorted_arr, i)
+        return e <= v if inclusive else e < v
+
+    def search(lo: int, hi: int) -> Column:  # answer in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(below(mid), search(mid, hi)).otherwise(search(lo, mid - 1))
+
+    return search(0, m)
+
+
 def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str,
-                 n_buckets: int | None = None) -> DataFrame:
+                 n_buckets: int | None = None, small_keys: bool = True) -> DataFrame:
     """Add ``_bucket``: equi-depth range bucket of ``order_col`` within ``keys``.
 
     Equal order values always land in the same bucket.
@@ -64,21 +93,19 @@ def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str,
     splits = df.groupBy(*keys).agg(
         F.percentile_approx(ov, probs, SPLIT_ACCURACY).alias("_splits")
     )
-    joined = df.join(splits, list(keys), "inner")
-    return joined.withColumn(
-        _B, F.size(F.filter(F.col("_splits"), lambda s: s < ov))
-    ).drop("_splits")
+    joined = df.join(_small(splits, small_keys), list(keys), "inner")
+    return joined.withColumn(_B, count_below(F.col("_splits"), ov, n - 1)).drop("_splits")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                 sum_cols: Sequence[str], n_buckets: int | None = None,
-                suffix: str = "_cum") -> DataFrame:
+                suffix: str = "_cum", small_keys: bool = True) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` per key in ``order_cols`` order.
 
     ``order_cols`` must order rows totally within a key (add a tie-breaker).
     """
     df, keys, synthetic = _with_keys(df, keys)
-    b = range_bucket(df, keys, order_cols[0], n_buckets)
+    b = range_bucket(df, keys, order_cols[0], n_buckets, small_keys)
     tot = b.groupBy(*keys, _B).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     prev = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(
@@ -87,7 +114,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     inner = Window.partitionBy(*keys, _B).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    out = b.join(off, [*keys, _B], "inner")
+    out = b.join(_small(off, small_keys), [*keys, _B], "inner")
     for c in sum_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_o_{c}") + F.sum(c).over(inner))
     out = out.drop(_B, *[f"_o_{c}" for c in sum_cols])
@@ -96,11 +123,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
 
 def ordered_lag(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                 value_cols: Sequence[str], n_buckets: int | None = None,
-                prefix: str = "prev_") -> DataFrame:
+                prefix: str = "prev_", small_keys: bool = True) -> DataFrame:
     """``lag(value, 1) OVER (PARTITION BY keys ORDER BY order_cols)`` without
     sending a whole key to one task."""
     df, keys, synthetic = _with_keys(df, keys)
-    b = range_bucket(df, keys, order_cols[0], n_buckets)
+    b = range_bucket(df, keys, order_cols[0], n_buckets, small_keys)
     inner = Window.partitionBy(*keys, _B).orderBy(*order_cols)
     order_struct = F.struct(*[F.col(c) for c in order_cols])
     last_in_bucket = b.groupBy(*keys, _B).agg(
@@ -108,7 +135,7 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     )
     bw = Window.partitionBy(*keys).orderBy(_B)
     carry = last_in_bucket.select(*keys, _B, F.lag("_last", 1).over(bw).alias("_carry"))
-    out = b.join(carry, [*keys, _B], "inner").withColumn("_rn", F.row_number().over(inner))
+    out = b.join(_small(carry, small_keys), [*keys, _B], "inner").withColumn("_rn", F.row_number().over(inner))
     for c in value_cols:
         out = out.withColumn(
             f"{prefix}{c}",
@@ -119,11 +146,12 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
-                 value_col: str, out_col: str, n_buckets: int | None = None) -> DataFrame:
+                 value_col: str, out_col: str, n_buckets: int | None = None,
+                 small_keys: bool = True) -> DataFrame:
     """``last(value, ignoreNulls) OVER (PARTITION BY keys ORDER BY order_cols
     ROWS UNBOUNDED PRECEDING)`` as a distributed plan (as-of lookups)."""
     df, keys, synthetic = _with_keys(df, keys)
-    b = range_bucket(df, keys, order_cols[0], n_buckets)
+    b = range_bucket(df, keys, order_cols[0], n_buckets, small_keys)
     order_struct = F.struct(*[F.col(c) for c in order_cols])
     last_nn = b.where(F.col(value_col).isNotNull()).groupBy(*keys, _B).agg(
         F.max_by(F.col(value_col), order_struct).alias("_last")
@@ -136,7 +164,7 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     inner = Window.partitionBy(*keys, _B).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    out = b.join(allb, [*keys, _B], "inner").withColumn(
+    out = b.join(_small(allb, small_keys), [*keys, _B], "inner").withColumn(
         out_col, F.coalesce(F.last(value_col, ignorenulls=True).over(inner), F.col("_carry"))
     )
     out = out.drop(_B, "_carry")
@@ -144,7 +172,8 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
 
 
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value_col: str,
-                    probs: Sequence[float], n_buckets: int | None = None) -> DataFrame:
+                    probs: Sequence[float], n_buckets: int | None = None,
+                    small_keys: bool = True) -> DataFrame:
     """Exact linear-interpolation quantiles (NumPy / pandas default) per key.
 
     Returns ``keys..., q, value`` with one row per (key, prob).  Works on the
@@ -153,7 +182,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value_col: str,
     """
     long_df, keys, synthetic = _with_keys(long_df, keys)
     cnt = long_df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_sum(cnt, keys, [value_col], ["_c"], n_buckets)
+    cum = running_sum(cnt, keys, [value_col], ["_c"], n_buckets, small_keys=small_keys)
     tot = cnt.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     qs = F.array(*[F.lit(float(p)) for p in probs])
     targets = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,3 +54,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df):
+    """Compute a small intermediate (a baseline profile) once: write it as a
+    parquet table under ``spark.checkpoint.dir`` (shared storage on a cluster)
+    and read it back, so later plans scan a few rows instead of recomputing it,
+    and a lost executor does not force the recomputation either."""
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tabwatch-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
