@@ -53,10 +53,16 @@ def windowed_bin_counts(df: DataFrame, profile: DataFrame, features: Sequence[st
         F.col("w.start").alias("window_start"), "feature", "bin", "count")
 
 
-def psi_from_bin_counts(counts: DataFrame) -> DataFrame:
-    """PSI per (window, feature) from finalized bin counts (uniform expectation)."""
-    allb = counts.select("window_start", "feature").distinct().select(
-        "window_start", "feature", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("bin"))
-    full = allb.join(counts, ["window_start", "feature", "bin"], "left").withColumn(
-        "count", F.coalesce(F.col("count"), F.lit(0))).withColumn("expected", F.lit(0.25))
+def psi_from_bin_counts(counts: DataFrame, n_bins: int = 4) -> DataFrame:
+    """PSI per (window, feature) from finalized bin counts (uniform expectation).
+
+    Each (window, feature) holds at most ``n_bins`` rows, gathered into a map;
+    missing bins count 0 (no self-join, so it also works on a sink table)."""
+    g = counts.groupBy("window_start", "feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_m"))
+    full = g.select("window_start", "feature", "_m",
+                    F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    full = full.select("window_start", "feature", "bin",
+                       F.coalesce(F.try_element_at("_m", F.col("bin")), F.lit(0)).alias("count"),
+                       F.lit(1.0 / n_bins).alias("expected"))
     return E.psi_table(full, ["window_start", "feature"], "count", "expected")
