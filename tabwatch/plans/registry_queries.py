@@ -35,6 +35,11 @@ def i2_current_pointer(spark, sf):
     return c.select("environment", "model_version", ts_string("promoted_at").alias("promoted_at"), "promoted_by")
 
 
+def h11_current_model(spark, sf):
+    """Dashboard "current model" panel: the serving version per environment."""
+    return I.current_pointer(promotions(_orders(spark, sf))).select("environment", "model_version")
+
+
 def i3_promotion_history(spark, sf):
     h = I.promotion_history(promotions(_orders(spark, sf)))
     return h.select("environment", "rank", "model_version", ts_string("promoted_at").alias("promoted_at"))
@@ -76,6 +81,7 @@ QUERIES = {
     "b9_valid_version": b9_valid_version,
     "i1_list_versions": i1_list_versions,
     "i2_current_pointer": i2_current_pointer,
+    "h11_current_model": h11_current_model,
     "i3_promotion_history": i3_promotion_history,
     "i4_pointer_check": i4_pointer_check,
     "i5_eligibility": i5_eligibility,
@@ -120,6 +126,11 @@ def o_i2():
         FROM p GROUP BY environment"""
 
 
+def o_h11():
+    return f"""WITH p AS ({PROMO})
+        SELECT environment, arg_max(model_version, (promoted_at, promotion_seq)) AS model_version FROM p GROUP BY environment"""
+
+
 def o_i3():
     return f"""WITH p AS ({PROMO}),
         r AS (SELECT *, row_number() OVER (PARTITION BY environment ORDER BY promoted_at DESC, promotion_seq DESC) AS rn FROM p)
@@ -186,6 +197,7 @@ ORACLE = {
     "b9_valid_version": o_b9,
     "i1_list_versions": o_i1,
     "i2_current_pointer": o_i2,
+    "h11_current_model": o_h11,
     "i3_promotion_history": o_i3,
     "i4_pointer_check": o_i4,
     "i5_eligibility": o_i5,
