@@ -114,6 +114,29 @@ def quartile_edges(profile: DataFrame) -> Column:
     ).cast("array<double>")
 
 
+def bin_vectors(long: DataFrame, edges: DataFrame, keys: Sequence[str] = (),
+                n_edges: int | None = None) -> DataFrame:
+    """Histogram of ``long.v`` on each key's ``edges`` as one array per key:
+    ``keys..., feature, counts (NULL if edges decrease), n_all``.
+
+    One shuffle of (feature, bin) partial counts; the per-key gather holds at
+    most ``#bins + 1`` entries, so it is bounded whatever the data size.  Keys
+    without current values are absent (the reference skips them)."""
+    k = [*keys, "feature"]
+    j = join_small(long, edges.select(*k, "edges"), k)  # one row per feature
+    b = j.select(*k, bin_index(F.col("v"), F.col("edges"), n_edges).alias("bin"))
+    c = b.groupBy(*k, "bin").agg(F.count(F.lit(1)).alias("_c"))
+    g = c.groupBy(*k).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "_c")))).alias("_m"),
+        F.sum("_c").alias("n_all"),
+    )
+    g = join_small(g, edges.select(*k, "edges"), k)
+    nb = F.greatest(F.size("edges") - 1, F.lit(1))
+    counts = F.transform(F.sequence(F.lit(0), nb - 1),
+                         lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)).cast("long"))
+    return g.select(*k, F.when(edges_valid(F.col("edges")), counts).alias("counts"), "n_all")
+
+
 def numeric_psi(cur_long: DataFrame, profile: DataFrame, keys: Sequence[str] = (),
                 expected: str = "uniform", base_long: DataFrame | None = None) -> DataFrame:
     """``keys..., feature, psi, out_of_range_rate``.
@@ -126,19 +149,21 @@ def numeric_psi(cur_long: DataFrame, profile: DataFrame, keys: Sequence[str] = (
     k = [*keys, "feature"]
     has_pct = F.coalesce(F.col("p25"), F.col("p50"), F.col("p75"), F.col("p95")).isNotNull()
     edges = profile.where(has_pct).select(*k, quartile_edges(profile).alias("edges"))
-    cur = edge_histogram(cur_long, edges, keys, n_edges=5)
+    cur = bin_vectors(cur_long, edges, keys, n_edges=5)
     if expected == "observed":
         if base_long is None:
             raise ValueError("expected='observed' needs base_long")
-        base = edge_histogram(base_long, edges, keys, n_edges=5).withColumnRenamed("count", "expected")
-        bins = cur.join(base, [*k, "bin"])
+        base = bin_vectors(base_long, edges, keys, n_edges=5).select(*k, F.col("counts").alias("_exp"))
+        cur = cur.join(base, k)  # one row per feature on both sides
+        exp = F.col("_exp")
     else:
-        bins = cur.withColumn("expected", F.lit(0.25))
-    psi = psi_table(bins, k, "count", "expected")
-    n_in = cur.groupBy(*k).agg(F.sum("count").alias("_in"))
-    n_all = cur_long.groupBy(*k).agg(F.count(F.lit(1)).alias("_all"))
-    rate = n_in.join(n_all, k).select(*k, (1.0 - F.col("_in") / F.col("_all")).alias("out_of_range_rate"))
-    return psi.join(rate, k, "left")
+        exp = F.array(*[F.lit(0.25)] * 4)
+    n_in = F.aggregate(F.col("counts"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return cur.select(
+        *k,
+        F.when(F.col("counts").isNotNull() & exp.isNotNull(), psi_arrays(F.col("counts"), exp)).alias("psi"),
+        (1.0 - n_in / F.col("n_all")).alias("out_of_range_rate"),
+    )
 
 
 # ------------------------------------------------------------------------- E6
@@ -272,9 +297,10 @@ def score_drift(cur: DataFrame, score_col: str, base: DataFrame, keys: Sequence[
     b = base.select(*keys, F.lit("prediction").alias("feature"), "mean", "edges", "counts")
     ms = mean_shift(long, b, keys, DEFAULT_SCORE_MEAN)
     ok = b.where((F.size("edges") > 1) & (F.size("counts") > 0) & (F.size("counts") == F.size("edges") - 1))
-    hist = edge_histogram(long, ok.select(*keys, "feature", "edges"), keys)
-    exp = ok.select(*keys, "feature", F.posexplode("counts").alias("bin", "expected"))
-    psi = psi_table(hist.join(exp, [*keys, "feature", "bin"]), [*keys, "feature"], "count", "expected")
+    cur = bin_vectors(long, ok.select(*keys, "feature", "edges"), keys)
+    cur = join_small(cur, ok.select(*keys, "feature", F.col("counts").alias("_exp")), [*keys, "feature"])
+    psi = cur.select(*keys, "feature", F.when(F.col("counts").isNotNull(),
+                                              psi_arrays(F.col("counts"), F.col("_exp"))).alias("psi"))
     return (
         ms.select(*keys, "feature", F.lit("mean_shift").alias("metric"), F.col("mean_shift").alias("value"))
         .unionByName(psi.select(*keys, "feature", F.lit("psi").alias("metric"), F.col("psi").alias("value")))

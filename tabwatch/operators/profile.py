@@ -65,21 +65,24 @@ def categorical_profile(df: DataFrame, features: Sequence[str] | None = None,
     keys = list(keys)
     features = list(features) if features is not None else categorical_columns(df, exclude=keys)
     long = to_long(df, features, ids=keys, value_type="string", keep_missing=True)
-    totals = long.groupBy(*keys, "feature").agg(
-        F.count("v").alias("n"),
-        F.avg(F.col("v").isNull().cast("double")).alias("missing_rate"),
+    # one scan: counts per (feature, value) including the NULL group; totals,
+    # missing rate and distinct count are derived from that aggregated table
+    all_counts = long.groupBy(*keys, "feature", F.col("v").alias("category")).agg(
+        F.count(F.lit(1)).alias("count"))
+    totals = all_counts.groupBy(*keys, "feature").agg(
+        F.sum(F.when(F.col("category").isNotNull(), F.col("count")).otherwise(0)).alias("n"),
+        F.count("category").alias("n_unique"),
+        (F.sum(F.when(F.col("category").isNull(), F.col("count")).otherwise(0))
+         / F.sum("count")).alias("missing_rate"),
     )
-    counts = long.where(F.col("v").isNotNull()).groupBy(*keys, "feature", F.col("v").alias("category")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    n_unique = counts.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n_unique"))
+    counts = all_counts.where(F.col("category").isNotNull())
     w = Window.partitionBy(*keys, "feature").orderBy(F.desc("count"), F.asc("category"))
     # rank <= k over row_number: Spark inserts a partial per-partition top-k before
     # the shuffle (WindowGroupLimit), so a feature with many categories is not
     # gathered into one task
     top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return (
-        top.join(totals, [*keys, "feature"]).join(n_unique, [*keys, "feature"])
+        top.join(totals, [*keys, "feature"])
         .select(*keys, "feature", "category", "count",
                 (F.col("count") / F.col("n")).alias("share"),
                 F.col("rank").cast("int").alias("rank"), "n_unique", "n", "missing_rate")
@@ -109,9 +112,11 @@ def value_counts(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFr
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("count")
     )
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    # the window sees one row per distinct value, not per input row
-    return counts.withColumn("share", F.col("count") / F.sum("count").over(w))
+    # totals per key come from an aggregate joined back (one row per key), not
+    # from a window, which would put every distinct value of a key in one task
+    tot = counts.groupBy(*keys).agg(F.sum("count").alias("_tot"))
+    return join_small(counts, tot, list(keys)).withColumn(
+        "share", F.col("count") / F.col("_tot")).drop("_tot")
 
 
 def histogram_edges(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabwatch.functions.core import round_floats, to_long
 from tabwatch.operators import drift as E
 from tabwatch.operators import profile as D
-from tabwatch.session import materialize
+from tabwatch.plans.baselines import stored_baseline
 from tabwatch.sources.tables import read_table, ts_lit
 
 # Fixed values of the registered plans (mirrored in plans.oracle).
@@ -46,17 +46,24 @@ def score_column(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-lin)))
 
 
+def _table_path(sf: str, name: str) -> str:
+    return f"{sf.rstrip('/')}/{name}.parquet"
+
+
 def _base_profile(spark, sf):
-    """Baseline profile of the earlier rows, materialised once (the stored
-    baseline of the reference) and read by every drift operator."""
+    """Baseline profile of the earlier rows: a stored baseline artifact (built
+    once from the table, as the reference stores its baseline) read by every
+    drift operator."""
     base, cur = lineitem_halves(spark, sf)
-    return materialize(round_floats(D.numeric_profile(base, LINEITEM_NUMERIC))), base, cur
+    prof = stored_baseline(spark, "lineitem_numeric_profile", [_table_path(sf, "lineitem")],
+                           lambda: round_floats(D.numeric_profile(base, LINEITEM_NUMERIC)))
+    return prof, base, cur
 
 
 # ----------------------------------------------------------------- profiles
 def d1_numeric_profile(spark, sf):
-    prof, _, _ = _base_profile(spark, sf)
-    return prof
+    base, _ = lineitem_halves(spark, sf)
+    return round_floats(D.numeric_profile(base, LINEITEM_NUMERIC))
 
 
 def d2_categorical_profile(spark, sf):
@@ -154,7 +161,9 @@ def e5_ks_profile(spark, sf):
 
 def _orders_cat_profile(spark, sf):
     base, cur = orders_halves(spark, sf)
-    return materialize(round_floats(D.categorical_profile(base, ORDERS_CATEGORICAL))), cur
+    prof = stored_baseline(spark, "orders_categorical_profile", [_table_path(sf, "orders")],
+                           lambda: round_floats(D.categorical_profile(base, ORDERS_CATEGORICAL)))
+    return prof, cur
 
 
 def e7_chi_square(spark, sf):
@@ -193,9 +202,14 @@ def _score_base(base: DataFrame) -> DataFrame:
     )
 
 
+def _stored_score_base(spark, sf, base):
+    return stored_baseline(spark, "lineitem_score_histogram", [_table_path(sf, "lineitem")],
+                           lambda: round_floats(_score_base(base)))
+
+
 def e8_score_drift(spark, sf):
     base, cur = lineitem_halves(spark, sf)
-    return round_floats(E.score_drift(score_column(cur), "score", materialize(round_floats(_score_base(base)))))
+    return round_floats(E.score_drift(score_column(cur), "score", _stored_score_base(spark, sf, base)))
 
 
 def _softmax(col: str):
@@ -223,7 +237,7 @@ def e10_feature_drift(spark, sf):
 def e11_prediction_drift(spark, sf):
     base, cur = lineitem_halves(spark, sf)
     out = E.prediction_drift(score_column(cur), "binary_classification", score_col="score",
-                             score_base=materialize(round_floats(_score_base(base))))
+                             score_base=_stored_score_base(spark, sf, base))
     return round_floats(out)
 
 

@@ -13,8 +13,9 @@ from tabwatch.operators import profile as D
 from tabwatch.operators.contract import validate_for_scoring
 from tabwatch.sources.derived import (
     BATCH_ENDPOINT, SINGLE_ENDPOINT, VERSION_NEW, VERSION_OLD, VERSION_SWITCH, prediction_log, request_log,
+    version_of,
 )
-from tabwatch.session import materialize
+from tabwatch.plans.baselines import stored_baseline
 from tabwatch.sources.tables import read_table
 from tabwatch.streaming.windows import windowed_numeric_drift
 
@@ -43,11 +44,14 @@ def a3_ingest(spark, sf):
 def _batches(spark, sf):
     pl = _pl(spark, sf)
     hour = F.date_trunc("hour", "ts")
-    b = pl.groupBy("user_id", hour.alias("hour")).agg(
+    # a batch is one user's requests in one hour, split by event-id block so no
+    # batch exceeds the 1000-instance contract (C6): collect_list stays bounded
+    b = pl.groupBy("user_id", hour.alias("hour"), F.floor(F.col("event_id") / 1000).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("event_id", "k", "prediction"))).alias("_items"),
         F.min("ts").alias("ts"))
     return b.select(
-        F.concat(F.lit("batch-"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("hour", "yyyyMMddHH")).alias("request_id"),
+        F.concat(F.lit("batch-"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("hour", "yyyyMMddHH"),
+                 F.lit("-"), F.col("block").cast("string")).alias("request_id"),
         "ts", F.lit(VERSION_OLD).alias("model_version"),
         F.transform("_items", lambda x: F.struct(x["event_id"].alias("event_id"), x["k"].alias("k"))).alias("instances"),
         F.transform("_items", lambda x: x["prediction"]).alias("predictions"))
@@ -104,7 +108,8 @@ def g8_dedup(spark, sf):
 def g9_windowed_drift(spark, sf):
     ev = read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     base = ev.where(F.col("ts") < F.to_timestamp(F.lit(EVENTS_BASELINE_END)))
-    prof = materialize(round_floats(D.numeric_profile(base, ["value"])))
+    prof = stored_baseline(spark, "events_value_profile", [f"{sf.rstrip('/')}/events.parquet"],
+                           lambda: round_floats(D.numeric_profile(base, ["value"])))
     out = windowed_numeric_drift(ev, prof, ["value"], "1 day")
     return round_floats(out.select(ts_string("window_start").alias("window_start"), "feature", "metric", "value"))
 
@@ -174,8 +179,8 @@ def h14_validation_error_counts(spark, sf):
     ev = read_table(spark, sf, "events")
     feats = F.map_concat(F.from_json("props", "map<string,string>"),
                          F.create_map(F.lit("value"), F.col("value").cast("string")))
-    rl = request_log(ev).select("event_id", "model_version")
-    checked = validate_for_scoring(ev.withColumn("features", feats), "features", ["k", "value"]).join(rl, "event_id")
+    ev = ev.withColumn("features", feats).withColumn("model_version", version_of("ts"))
+    checked = validate_for_scoring(ev, "features", ["k", "value"])
     return H.validation_error_counts(checked)
 
 
@@ -246,8 +251,10 @@ def o_a3():
 
 def o_a4():
     return f"""WITH pl AS ({PL})
-        SELECT 'batch-' || CAST(user_id AS VARCHAR) || '-' || strftime(date_trunc('hour', ts), '%Y%m%d%H') AS request_id,
-            CAST(row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id, k, prediction) - 1 AS INTEGER) AS pos,
+        SELECT 'batch-' || CAST(user_id AS VARCHAR) || '-' || strftime(date_trunc('hour', ts), '%Y%m%d%H')
+               || '-' || CAST(CAST(floor(event_id / 1000) AS BIGINT) AS VARCHAR) AS request_id,
+            CAST(row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts), floor(event_id / 1000)
+                 ORDER BY event_id, k, prediction) - 1 AS INTEGER) AS pos,
             event_id, round(prediction, 6) AS prediction FROM pl"""
 
 

@@ -24,6 +24,11 @@ BATCH_ENDPOINT = "/v1/predict/batch"
 SINGLE_ENDPOINT = "/v1/predict"
 
 
+def version_of(ts_col: str = "ts"):
+    """Serving version in force at an event time (switch at VERSION_SWITCH)."""
+    return F.when(F.col(ts_col) < ts_lit(VERSION_SWITCH), F.lit(VERSION_OLD)).otherwise(F.lit(VERSION_NEW))
+
+
 def request_log(events: DataFrame) -> DataFrame:
     """``ts, endpoint, model_version, status, error_type, latency_s, client,
     request_id, batch_size, event_id``."""
@@ -33,7 +38,7 @@ def request_log(events: DataFrame) -> DataFrame:
         F.col("event_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(is_batch, F.lit(BATCH_ENDPOINT)).otherwise(F.lit(SINGLE_ENDPOINT)).alias("endpoint"),
-        F.when(F.col("ts") < ts_lit(VERSION_SWITCH), F.lit(VERSION_OLD)).otherwise(F.lit(VERSION_NEW)).alias("model_version"),
+        version_of("ts").alias("model_version"),
         F.when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("success")).alias("status"),
         F.when(F.col("event_type") == "error",
                F.when(F.col("value") < 100, F.lit("validation"))
@@ -58,7 +63,7 @@ def prediction_log(events: DataFrame) -> DataFrame:
         F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"),
         F.lit(0).alias("pos"),
         F.col("ts").cast("timestamp").alias("ts"),
-        F.when(F.col("ts") < ts_lit(VERSION_SWITCH), F.lit(VERSION_OLD)).otherwise(F.lit(VERSION_NEW)).alias("model_version"),
+        version_of("ts").alias("model_version"),
         p.alias("prediction"),
         F.when(p >= 0.5, F.lit(1)).otherwise(F.lit(0)).alias("prediction_class"),
         F.col("value"), k.alias("k"), F.col("user_id"), F.col("event_id"),
