@@ -126,9 +126,14 @@ def version_in_force(log: DataFrame, promotions: DataFrame, ts: str = "ts",
     row = F.struct(*[F.col(c) for c in log.columns])
     p = promotions.select(*keys, F.col("promoted_at").cast("timestamp").alias("_t"), F.lit(0).alias("_kind"),
                           F.col("promotion_seq").cast("long").alias("_seq"), F.col("model_version").alias("_v"),
-                          F.lit(None).cast(log.select(row.alias("r")).schema["r"].dataType).alias("_r"))
+                          F.lit(None).cast(log.select(row.alias("r")).schema["r"].dataType).alias("_r"),
+                          F.lit(None).cast("long").alias("_h"))
     lg = log.select(*keys, F.col(ts).cast("timestamp").alias("_t"), F.lit(1).alias("_kind"),
-                    F.lit(None).cast("long").alias("_seq"), F.lit(None).cast("string").alias("_v"), row.alias("_r"))
+                    F.lit(None).cast("long").alias("_seq"), F.lit(None).cast("string").alias("_v"), row.alias("_r"),
+                    F.xxhash64(row).alias("_h"))
     u = p.unionByName(lg)
-    filled = forward_fill(u, keys, ["_t", "_kind", "_seq"], "_v", "version_in_force")
+    # log rows sharing a timestamp are split by their hash; promotions at that
+    # instant sort first (-inf), so the order (_t, _kind, _seq, _h) is kept
+    tie = F.when(F.col("_kind") == 0, F.lit(float("-inf"))).otherwise(F.col("_h").cast("double"))
+    filled = forward_fill(u, keys, ["_t", "_kind", "_seq", "_h"], "_v", "version_in_force", tie_value=tie)
     return filled.where(F.col("_kind") == 1).select("_r.*", "version_in_force")

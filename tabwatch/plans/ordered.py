@@ -81,20 +81,40 @@ def count_below(sorted_arr: Column, v: Column, m: int, inclusive: bool = False)
     return search(0, m)
 
 
-def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str,
-                 n_buckets: int | None = None, small_keys: bool = True) -> DataFrame:
-    """Add ``_bucket``: equi-depth range bucket of ``order_col`` within ``keys``.
-
-    Equal order values always land in the same bucket.
+def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[str],
+                 n_buckets: int | None = None, small_keys: bool = True,
+                 tie_value: Column | None = None) -> DataFrame:
+    """Add ``_bucket``: equi-depth range bucket within ``keys``, monotone in the
+    order ``order_col`` (one column or a list, the first one is bucketed).
+
+    A value equal to a splitter gets a bucket of its own (odd ids), so a hot
+    value that fills many quantiles is isolated; with a second order column (or
+    ``tie_value``, a number monotone in the remaining order) such tie buckets are
+    split again by that column's splitters, so even a timestamp carrying a third
+    of the rows is spread over several tasks while the order stays exact.
     """
+    cols = [order_col] if isinstance(order_col, str) else list(order_col)
     n = n_buckets or default_buckets(df)
     probs = [i / n for i in range(1, n)]
-    ov = _order_value(df, order_col)
-    splits = df.groupBy(*keys).agg(
-        F.percentile_approx(ov, probs, SPLIT_ACCURACY).alias("_splits")
-    )
+    ov = _order_value(df, cols[0])
+    splits = df.groupBy(*keys).agg(F.percentile_approx(ov, probs, SPLIT_ACCURACY).alias("_splits"))
     joined = df.join(_small(splits, small_keys), list(keys), "inner")
-    return joined.withColumn(_B, count_below(F.col("_splits"), ov, n - 1)).drop("_splits")
+    lt = count_below(F.col("_splits"), ov, n - 1)
+    le = count_below(F.col("_splits"), ov, n - 1, inclusive=True)
+    primary = lt * 2 + F.when(le > lt, 1).otherwise(0)
+    if tie_value is None and len(cols) > 1:
+        tie_value = _order_value(df, cols[1])
+    if tie_value is None:
+        return joined.withColumn(_B, primary).drop("_splits")
+    out = joined.withColumn("_p", primary).withColumn("_tv", tie_value).drop("_splits")
+    m = max(2, n // 4)
+    tprobs = [i / m for i in range(1, m)]
+    # one row per (key, tie bucket): at most #keys x #buckets rows
+    tsplits = out.where(F.col("_p") % 2 == 1).groupBy(*keys, "_p").agg(
+        F.percentile_approx(F.col("_tv"), tprobs, SPLIT_ACCURACY).alias("_ts"))
+    out = out.join(_small(tsplits, small_keys), [*keys, "_p"], "left")
+    sub = F.when(F.col("_ts").isNotNull(), count_below(F.col("_ts"), F.col("_tv"), m - 1)).otherwise(0)
+    return out.withColumn(_B, F.col("_p") * m + sub).drop("_p", "_tv", "_ts")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
@@ -105,7 +125,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     ``order_cols`` must order rows totally within a key (add a tie-breaker).
     """
     df, keys, synthetic = _with_keys(df, keys)
-    b = range_bucket(df, keys, order_cols[0], n_buckets, small_keys)
+    b = range_bucket(df, keys, order_cols, n_buckets, small_keys)
     tot = b.groupBy(*keys, _B).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     prev = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(
@@ -127,7 +147,7 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     """``lag(value, 1) OVER (PARTITION BY keys ORDER BY order_cols)`` without
     sending a whole key to one task."""
     df, keys, synthetic = _with_keys(df, keys)
-    b = range_bucket(df, keys, order_cols[0], n_buckets, small_keys)
+    b = range_bucket(df, keys, order_cols, n_buckets, small_keys)
     inner = Window.partitionBy(*keys, _B).orderBy(*order_cols)
     order_struct = F.struct(*[F.col(c) for c in order_cols])
     last_in_bucket = b.groupBy(*keys, _B).agg(
@@ -147,11 +167,11 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                  value_col: str, out_col: str, n_buckets: int | None = None,
-                 small_keys: bool = True) -> DataFrame:
+                 small_keys: bool = True, tie_value: Column | None = None) -> DataFrame:
     """``last(value, ignoreNulls) OVER (PARTITION BY keys ORDER BY order_cols
     ROWS UNBOUNDED PRECEDING)`` as a distributed plan (as-of lookups)."""
     df, keys, synthetic = _with_keys(df, keys)
-    b = range_bucket(df, keys, order_cols[0], n_buckets, small_keys)
+    b = range_bucket(df, keys, order_cols, n_buckets, small_keys, tie_value)
     order_struct = F.struct(*[F.col(c) for c in order_cols])
     last_nn = b.where(F.col(value_col).isNotNull()).groupBy(*keys, _B).agg(
         F.max_by(F.col(value_col), order_struct).alias("_last")

@@ -55,3 +55,24 @@ def test_count_below_is_binary_search(spark):
                     O.count_below(a, F.col("v"), 5, inclusive=True).alias("le")).toPandas()
     for v, lt, le in got.itertuples(index=False):
         assert lt == sum(x < v for x in arr) and le == sum(x <= v for x in arr)
+
+
+def test_hot_tie_group_is_split_and_exact(spark):
+    import datetime as dt
+    rng = np.random.default_rng(1)
+    n = 6000
+    t0 = dt.datetime(2024, 1, 1)
+    ts = [t0 + dt.timedelta(seconds=int(x)) for x in rng.integers(0, 4000, n)]
+    for i in range(0, n, 3):  # a third of the rows share one timestamp
+        ts[i] = t0 + dt.timedelta(seconds=2000)
+    pdf = pd.DataFrame({"ts": ts, "seq": np.arange(n), "x": rng.integers(0, 5, n)})
+    df = spark.createDataFrame(pdf)
+    keyed = df.withColumn("_const_key", F.lit(0))
+    bk = O.range_bucket(keyed, ["_const_key"], ["ts", "seq"], n_buckets=16).toPandas()
+    assert bk.groupby("_bucket").size().max() < n / 3 / 2  # the hot timestamp spans several buckets
+    srt = bk.sort_values(["ts", "seq"])
+    assert srt["_bucket"].is_monotonic_increasing  # bucket order follows (ts, seq)
+    lag = O.ordered_lag(df, [], ["ts", "seq"], ["seq"], n_buckets=16).toPandas().sort_values(["ts", "seq"])
+    assert (lag.prev_seq.fillna(-1).to_numpy() == lag.seq.shift(1).fillna(-1).to_numpy()).all()
+    rs = O.running_sum(df, [], ["ts", "seq"], ["x"], n_buckets=16).toPandas().sort_values(["ts", "seq"])
+    assert (rs.x_cum.to_numpy() == rs.x.cumsum().to_numpy()).all()
