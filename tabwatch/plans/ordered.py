@@ -57,6 +57,19 @@ def _small(df: DataFrame, small_keys: bool) -> DataFrame:
     return F.broadcast(df) if small_keys else df
 
 
+def _pinned(df: DataFrame, small_keys: bool) -> DataFrame:
+    """Fix the splitters once.  ``percentile_approx`` merges partial sketches in
+    shuffle-fetch order, so two evaluations (two plan branches, or a retry after
+    an executor loss) may differ slightly; every branch must bucket with the same
+    numbers.  With low-cardinality keys the table is #keys x #buckets numbers and
+    is pinned as a local relation; otherwise it is written to the checkpoint
+    folder and read back."""
+    if small_keys:
+        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    from tabwatch.session import materialize
+    return materialize(df)
+
+
 def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
     if keys:
         return df, list(keys), False
@@ -97,7 +110,8 @@ def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[s
     n = n_buckets or default_buckets(df)
     probs = [i / n for i in range(1, n)]
     ov = _order_value(df, cols[0])
-    splits = df.groupBy(*keys).agg(F.percentile_approx(ov, probs, SPLIT_ACCURACY).alias("_splits"))
+    splits = _pinned(df.groupBy(*keys).agg(F.percentile_approx(ov, probs, SPLIT_ACCURACY).alias("_splits")),
+                     small_keys)
     joined = df.join(_small(splits, small_keys), list(keys), "inner")
     lt = count_below(F.col("_splits"), ov, n - 1)
     le = count_below(F.col("_splits"), ov, n - 1, inclusive=True)
@@ -110,8 +124,8 @@ def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[s
     m = max(2, n // 4)
     tprobs = [i / m for i in range(1, m)]
     # one row per (key, tie bucket): at most #keys x #buckets rows
-    tsplits = out.where(F.col("_p") % 2 == 1).groupBy(*keys, "_p").agg(
-        F.percentile_approx(F.col("_tv"), tprobs, SPLIT_ACCURACY).alias("_ts"))
+    tsplits = _pinned(out.where(F.col("_p") % 2 == 1).groupBy(*keys, "_p").agg(
+        F.percentile_approx(F.col("_tv"), tprobs, SPLIT_ACCURACY).alias("_ts")), small_keys)
     out = out.join(_small(tsplits, small_keys), [*keys, "_p"], "left")
     sub = F.when(F.col("_ts").isNotNull(), count_below(F.col("_ts"), F.col("_tv"), m - 1)).otherwise(0)
     return out.withColumn(_B, F.col("_p") * m + sub).drop("_p", "_tv", "_ts")

@@ -28,6 +28,10 @@ class MonitorPaths:
     scores: str
     alerts: str
 
+    @property
+    def batch_counts(self) -> str:
+        return self.state.rstrip("/") + "_batch_counts"
+
 
 def dedup_stream(stream: DataFrame, watermark: str = "10 minutes", ts: str = "ts",
                  keys: tuple[str, ...] = ("request_id", "pos")) -> DataFrame:
@@ -63,35 +67,68 @@ def drift_check(log: DataFrame, num_profile: DataFrame, features: list[str], win
     return scores.withColumn("batch_id", F.lit(batch_id).cast("long"))
 
 
+def batches_covering(batch_counts: DataFrame, versions: DataFrame, window: int) -> DataFrame:
+    """Per version, the newest micro-batches whose rows cover the last ``window``
+    rows: ``model_version, min_batch``.  Works on the (version, batch) count
+    table, one row per micro-batch and version."""
+    from pyspark.sql import Window
+    bc = batch_counts.join(versions, "model_version")
+    w = Window.partitionBy("model_version").orderBy(F.desc("batch_id")).rowsBetween(Window.unboundedPreceding, -1)
+    newer = F.coalesce(F.sum("n").over(w), F.lit(0))  # rows in strictly newer batches
+    return bc.withColumn("_newer", newer).where(F.col("_newer") < window).groupBy("model_version").agg(
+        F.min("batch_id").alias("min_batch"))
+
+
 def start_drift_monitor(stream: DataFrame, num_profile: DataFrame, features: list[str], paths: MonitorPaths,
                         checkpoint: str, window: int = G.DRIFT_WINDOW, interval_s: int = G.CHECK_INTERVAL_S,
                         score_base: DataFrame | None = None, trigger: dict | None = None):
     """Start the monitor; returns the ``StreamingQuery``.
 
     ``num_profile`` must carry ``model_version`` (one profile per version);
-    ``trigger`` defaults to a 60-second processing-time trigger."""
+    ``trigger`` defaults to a 60-second processing-time trigger.  Each
+    micro-batch touches the new rows, a (version, batch) count table and only the
+    log partitions that hold the last ``window`` rows of a due version, so its
+    cost does not grow with the length of the log."""
+
+    def overwrite(df: DataFrame, path: str, *parts: str) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*parts).parquet(path))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("model_version", "batch_id").parquet(paths.log))
-        log = spark.read.parquet(paths.log)
+        b = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        overwrite(b, paths.log, "model_version", "batch_id")
+        overwrite(b.groupBy("model_version", "batch_id").agg(F.count(F.lit(1)).alias("n")),
+                  paths.batch_counts, "batch_id")
+        counts = spark.read.parquet(paths.batch_counts)
         state = _read_or_none(spark, paths.state)
-        due = G.due_checks(log, state, keys=["model_version"], now=F.current_timestamp(),
-                           interval_s=interval_s, window=window)
+        now = F.current_timestamp()
+        tot = counts.groupBy("model_version").agg(F.sum("n").alias("total"))
+        if state is not None:
+            tot = tot.join(state, "model_version", "left")
+        else:
+            tot = tot.withColumn("last_check_ts", F.lit(None).cast("timestamp")).withColumn(
+                "last_check_count", F.lit(None).cast("long"))
+        elapsed = (F.unix_micros(now) - F.coalesce(F.unix_micros("last_check_ts"), F.lit(0))) / 1e6
+        new_rows = F.col("total") - F.coalesce(F.col("last_check_count"), F.lit(0))
+        due = tot.select("model_version", "total", (((elapsed >= interval_s) | (new_rows >= window))
+                                                    & (F.col("total") >= window)).alias("due"))
         due_versions = due.where("due").select("model_version")
-        scores = drift_check(log.join(due_versions, "model_version"), num_profile, features, window, batch_id,
-                             score_base)
-        (scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("model_version", "batch_id").parquet(paths.scores))
-        written = spark.read.parquet(paths.scores).where(F.col("batch_id") == batch_id)
-        alerts = E.drift_alerts(written, keys=["model_version", "batch_id"])
-        (alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("model_version", "batch_id").parquet(paths.alerts))
-        new_state = due.where("due").select(
-            "model_version", F.current_timestamp().alias("last_check_ts"),
-            F.col("total").alias("last_check_count"))
+        # partition pruning: only the newest batches of each due version are read
+        need = batches_covering(counts, due_versions, window).collect()  # one row per version
+        if need:
+            cond = None
+            for r in need:
+                c = (F.col("model_version") == r["model_version"]) & (F.col("batch_id") >= r["min_batch"])
+                cond = c if cond is None else (cond | c)
+            recent = spark.read.parquet(paths.log).where(cond)
+            scores = drift_check(recent, num_profile, features, window, batch_id, score_base)
+            overwrite(scores, paths.scores, "model_version", "batch_id")
+            written = spark.read.parquet(paths.scores).where(F.col("batch_id") == batch_id)
+            overwrite(E.drift_alerts(written, keys=["model_version", "batch_id"]), paths.alerts,
+                      "model_version", "batch_id")
+        new_state = due.where("due").select("model_version", now.alias("last_check_ts"),
+                                            F.col("total").alias("last_check_count"))
         if state is not None:
             new_state = state.join(new_state.select("model_version"), "model_version", "left_anti").unionByName(new_state)
         # cut the lineage (reliable checkpoint in spark.checkpoint.dir) before
