@@ -4,12 +4,15 @@ A window ``PARTITION BY feature ORDER BY v`` puts a whole feature (or a whole
 environment, or the whole log) into one task.  Every order-dependent operator in
 the library goes through the helpers below instead:
 
-1. range-bucket the order column per key with ``percentile_approx`` splitters
-   (a mergeable sketch, bounded memory per key);
+1. range-bucket the order column per key: exact per-key min/max, a fine grid of
+   cells with exact counts, cells equalised into buckets by cumulative count, and
+   cells holding one hot value split again by the next order column;
 2. aggregate a tiny ``(key, bucket)`` table and prefix-sum it;
 3. run the real window per ``(key, bucket)`` and add the carried-in offset.
 
-Splitters only steer balance; results are exact whatever the sketch returns.
+Every number used for bucketing is an exact, order-independent aggregate, so a
+recomputed task or a second plan branch buckets every row identically; buckets
+only steer balance, results are exact.
 """
 
 from __future__ import annotations
@@ -22,8 +25,6 @@ from pyspark.sql import types as T
 
 _B = "_bucket"
 _K = "_const_key"
-# splitters only balance the buckets; results never depend on them
-SPLIT_ACCURACY = 1000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -57,19 +58,6 @@ def _small(df: DataFrame, small_keys: bool) -> DataFrame:
     return F.broadcast(df) if small_keys else df
 
 
-def _pinned(df: DataFrame, small_keys: bool) -> DataFrame:
-    """Fix the splitters once.  ``percentile_approx`` merges partial sketches in
-    shuffle-fetch order, so two evaluations (two plan branches, or a retry after
-    an executor loss) may differ slightly; every branch must bucket with the same
-    numbers.  With low-cardinality keys the table is #keys x #buckets numbers and
-    is pinned as a local relation; otherwise it is written to the checkpoint
-    folder and read back."""
-    if small_keys:
-        return df.sparkSession.createDataFrame(df.collect(), df.schema)
-    from tabwatch.session import materialize
-    return materialize(df)
-
-
 def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
     if keys:
         return df, list(keys), False
@@ -94,41 +82,85 @@ def count_below(sorted_arr: Column, v: Column, m: int, inclusive: bool = False)
     return search(0, m)
 
 
+def _grid_value(df: DataFrame, c: str) -> Column:
+    """Monotone numeric image of an order column used for gridding: signed log
+    for plain numbers (heavy tails still spread over the grid), linear for times
+    and byte prefixes."""
+    v = _order_value(df, c)
+    dt = df.schema[c].dataType
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType)):
+        return v
+    return F.signum(v) * F.log1p(F.abs(v))
+
+
+GRID_PER_BUCKET = 64
+
+
 def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[str],
                  n_buckets: int | None = None, small_keys: bool = True,
                  tie_value: Column | None = None) -> DataFrame:
-    """Add ``_bucket``: equi-depth range bucket within ``keys``, monotone in the
-    order ``order_col`` (one column or a list, the first one is bucketed).
-
-    A value equal to a splitter gets a bucket of its own (odd ids), so a hot
-    value that fills many quantiles is isolated; with a second order column (or
-    ``tie_value``, a number monotone in the remaining order) such tie buckets are
-    split again by that column's splitters, so even a timestamp carrying a third
-    of the rows is spread over several tasks while the order stays exact.
+    """Add ``_bucket``: a bucket id within ``keys`` that is monotone in the order
+    ``order_col`` (one column or a list; the first one is gridded).
+
+    Level 1: a grid of ``64 x n`` cells over the exact per-key range, equalised
+    into ``n`` buckets by cumulative exact counts.  Level 2: a cell holding more
+    than a bucket's share gets a finer grid over its own exact range, equalised
+    into sub-buckets; a sub-cell that is a single hot value is spread over its
+    share of sub-buckets by the second order column (or ``tie_value``, a number
+    monotone in the remaining order).  So a timestamp carrying a third of the
+    rows is spread over several tasks.  Rows with a NULL order value sort first.
     """
     cols = [order_col] if isinstance(order_col, str) else list(order_col)
     n = n_buckets or default_buckets(df)
-    probs = [i / n for i in range(1, n)]
-    ov = _order_value(df, cols[0])
-    splits = _pinned(df.groupBy(*keys).agg(F.percentile_approx(ov, probs, SPLIT_ACCURACY).alias("_splits")),
-                     small_keys)
-    joined = df.join(_small(splits, small_keys), list(keys), "inner")
-    lt = count_below(F.col("_splits"), ov, n - 1)
-    le = count_below(F.col("_splits"), ov, n - 1, inclusive=True)
-    primary = lt * 2 + F.when(le > lt, 1).otherwise(0)
+    g = n * GRID_PER_BUCKET
+    sub_n = max(4, n)
+    g2 = sub_n * 16
     if tie_value is None and len(cols) > 1:
         tie_value = _order_value(df, cols[1])
-    if tie_value is None:
-        return joined.withColumn(_B, primary).drop("_splits")
-    out = joined.withColumn("_p", primary).withColumn("_tv", tie_value).drop("_splits")
-    m = max(2, n // 4)
-    tprobs = [i / m for i in range(1, m)]
-    # one row per (key, tie bucket): at most #keys x #buckets rows
-    tsplits = _pinned(out.where(F.col("_p") % 2 == 1).groupBy(*keys, "_p").agg(
-        F.percentile_approx(F.col("_tv"), tprobs, SPLIT_ACCURACY).alias("_ts")), small_keys)
-    out = out.join(_small(tsplits, small_keys), [*keys, "_p"], "left")
-    sub = F.when(F.col("_ts").isNotNull(), count_below(F.col("_ts"), F.col("_tv"), m - 1)).otherwise(0)
-    return out.withColumn(_B, F.col("_p") * m + sub).drop("_p", "_tv", "_ts")
+    d = df.withColumn("_rb_gv", _grid_value(df, cols[0])).withColumn(
+        "_rb_tv", tie_value if tie_value is not None else F.lit(None).cast("double"))
+    rng = d.groupBy(*keys).agg(F.min("_rb_gv").alias("_rb_lo"), F.max("_rb_gv").alias("_rb_hi"))
+    d = d.join(_small(rng, small_keys), list(keys), "inner")  # one row per key
+
+    def grid(v, lo, hi, cells):
+        w = hi - lo
+        return (F.when(v.isNull(), F.lit(-1)).when(w <= 0, F.lit(0))
+                .otherwise(F.least(F.floor((v - lo) / w * cells).cast("int"), F.lit(cells - 1))))
+
+    d = d.withColumn("_rb_cell", grid(F.col("_rb_gv"), F.col("_rb_lo"), F.col("_rb_hi"), g)).drop("_rb_lo", "_rb_hi")
+    # level 1: at most #keys x (grid + 1) rows of exact, order-independent numbers
+    cells = d.groupBy(*keys, "_rb_cell").agg(F.count(F.lit(1)).alias("_rb_n"), F.min("_rb_gv").alias("_rb_cmin"),
+                                          F.max("_rb_gv").alias("_rb_cmax"))
+    before = Window.partitionBy(*keys).orderBy("_rb_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_rb_before", F.coalesce(F.sum("_rb_n").over(before), F.lit(0))).withColumn(
+        "_rb_total", F.sum("_rb_n").over(Window.partitionBy(*keys)))
+    cells = cells.withColumn("_rb_cb", F.floor(F.col("_rb_before") * n / F.col("_rb_total")).cast("long")).withColumn(
+        "_rb_heavy", (F.col("_rb_n") * n > F.col("_rb_total")) & (F.col("_rb_cmax") > F.col("_rb_cmin")) | (
+            (F.col("_rb_n") * n > F.col("_rb_total")) & F.lit(tie_value is not None)))
+    d = d.join(_small(cells.select(*keys, "_rb_cell", "_rb_cb", "_rb_heavy", "_rb_cmin", "_rb_cmax", F.col("_rb_n").alias("_rb_hn")),
+                      small_keys), [*keys, "_rb_cell"], "inner")
+    # level 2, heavy cells only: at most #keys x #buckets x (grid2 + 1) rows
+    d = d.withColumn("_rb_cell2", F.when(F.col("_rb_heavy"), grid(F.col("_rb_gv"), F.col("_rb_cmin"), F.col("_rb_cmax"), g2)))
+    c2 = d.where(F.col("_rb_heavy")).groupBy(*keys, "_rb_cell", "_rb_cell2").agg(
+        F.count(F.lit(1)).alias("_rb_n2"), F.min("_rb_gv").alias("_rb_vmin"), F.max("_rb_gv").alias("_rb_vmax"),
+        F.min("_rb_tv").alias("_rb_tmin"), F.max("_rb_tv").alias("_rb_tmax"), F.first("_rb_hn").alias("_rb_hn"))
+    b2 = Window.partitionBy(*keys, "_rb_cell").orderBy("_rb_cell2").rowsBetween(Window.unboundedPreceding, -1)
+    c2 = c2.withColumn("_rb_b2", F.coalesce(F.sum("_rb_n2").over(b2), F.lit(0)))
+    c2 = c2.withColumn("_rb_s0", F.floor(F.col("_rb_b2") * sub_n / F.col("_rb_hn")).cast("long")).withColumn(
+        "_rb_s1", F.floor((F.col("_rb_b2") + F.col("_rb_n2")) * sub_n / F.col("_rb_hn")).cast("long"))
+    c2 = c2.withColumn("_rb_hot", (F.col("_rb_vmin") == F.col("_rb_vmax")) & (F.col("_rb_tmax") > F.col("_rb_tmin"))
+                       & (F.col("_rb_s1") - F.col("_rb_s0") >= 2))
+    d = d.join(_small(c2.select(*keys, "_rb_cell", "_rb_cell2", "_rb_s0", "_rb_s1", "_rb_hot", "_rb_tmin", "_rb_tmax"), small_keys),
+               [*keys, "_rb_cell", "_rb_cell2"], "left")
+    span = F.col("_rb_s1") - F.col("_rb_s0")
+    spread = F.least(F.floor((F.col("_rb_tv") - F.col("_rb_tmin")) / (F.col("_rb_tmax") - F.col("_rb_tmin")) * span).cast("long"),
+                     span - 1)
+    sub = (F.when(~F.col("_rb_heavy"), F.lit(0))
+           .when(F.col("_rb_hot") & F.col("_rb_tv").isNotNull(), F.col("_rb_s0") + spread)
+           .otherwise(F.col("_rb_s0")))
+    return d.withColumn(_B, F.col("_rb_cb") * sub_n + F.least(F.coalesce(sub, F.lit(0)), F.lit(sub_n - 1))).drop(
+        "_rb_gv", "_rb_tv", "_rb_cell", "_rb_cb", "_rb_heavy", "_rb_cmin", "_rb_cmax", "_rb_hn", "_rb_cell2", "_rb_s0", "_rb_s1", "_rb_hot",
+        "_rb_tmin", "_rb_tmax")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
