@@ -64,12 +64,24 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str, c: float =
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_y")))
-    n = data.count()
-    lr = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=1e-10, fitIntercept=True)
-    return lr.fit(data)
+    from pyspark import StorageLevel
+
+    from tabwatch.session import materialize
+
+    # the optimiser passes over the data once per iteration: snapshot the
+    # training columns once (lineage cut, deterministic on retries) and keep
+    # them cached for the iterations
+    snap = materialize(df.select(*[F.col(f).cast("double").alias(f) for f in features],
+                                 F.col(label).cast("double").alias("_y")))
+    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(snap).select("_x", "_y")
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = data.count()
+        lr = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), elasticNetParam=0.0,
+                                standardization=False, maxIter=max_iter, tol=1e-10, fitIntercept=True)
+        return lr.fit(data)
+    finally:
+        data.unpersist()
 
 
 def coefficients(model, features: Sequence[str]) -> tuple[float, dict[str, float]]:
