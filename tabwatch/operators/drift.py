@@ -197,7 +197,9 @@ def reference_sample(profile: DataFrame, n: int = REFERENCE_SAMPLE_SIZE, keys: S
         F.coalesce(F.col("min"), F.lit(float("-inf"))).alias("_lo"),
         F.coalesce(F.col("max"), F.lit(float("inf"))).alias("_hi"),
     )
-    draws = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    # one task per feature generates its draws (the profile is tiny and would
+    # otherwise sit in one partition)
+    draws = p.repartition(*k).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
     base = F.concat_ws("-", F.col("feature"), F.lit(str(seed)), F.col("draw").cast("string"))
     u1 = _md5_uniform(F.concat(base, F.lit("-1")))
     u2 = _md5_uniform(F.concat(base, F.lit("-2")))

@@ -114,6 +114,37 @@ def g9_windowed_drift(spark, sf):
     return round_floats(out.select(ts_string("window_start").alias("window_start"), "feature", "metric", "value"))
 
 
+def g5_stream_monitor(spark, sf):
+    """The prediction log (from ``events``) replayed as daily files through
+    the ``foreachBatch`` drift monitor (``availableNow``); returns the scores of
+    the last check of every version.  Baselines are per model version."""
+    import os
+    import uuid
+
+    from tabwatch.session import checkpoint_dir
+    from tabwatch.streaming import monitor as M
+
+    pl = _pl(spark, sf).select(
+        "request_id", "pos", "ts", "model_version", "prediction",
+        F.struct(F.col("value"), F.col("k")).alias("features"), F.to_date("ts").alias("day"))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/tabwatch-stream/{uuid.uuid4().hex}"
+    pl.write.partitionBy("day").parquet(f"{root}/src")
+    prof = stored_baseline(
+        spark, "events_version_profiles", [f"{sf.rstrip('/')}/events.parquet"],
+        lambda: round_floats(D.numeric_profile(pl.select("model_version", "features.value", "features.k"),
+                                               ["value", "k"], keys=["model_version"])))
+    schema = pl.drop("day").schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+              .option("recursiveFileLookup", "true").parquet(f"{root}/src"))
+    paths = M.MonitorPaths(*(os.path.join(root, x) for x in ("log", "state", "scores", "alerts")))
+    q = M.start_drift_monitor(stream, prof, ["value", "k"], paths, f"{root}/ckpt", trigger={"availableNow": True})
+    q.awaitTermination()
+    scores = spark.read.parquet(paths.scores)
+    last = scores.groupBy("model_version").agg(F.max("batch_id").alias("batch_id"))
+    return round_floats(scores.join(last, ["model_version", "batch_id"]).select(
+        "model_version", "feature", "metric", "value"))
+
+
 # --------------------------------------------------------------------- H
 def h1_request_counts(spark, sf):
     return H.request_counts(_rl(spark, sf))
@@ -205,6 +236,7 @@ QUERIES = {
     "g4_due_checks": g4_due_checks,
     "g8_dedup": g8_dedup,
     "g9_windowed_drift": g9_windowed_drift,
+    "g5_stream_monitor": g5_stream_monitor,
     "h1_request_counts": h1_request_counts,
     "h2_error_counts": h2_error_counts,
     "h3_latency_histogram": h3_latency_histogram,
