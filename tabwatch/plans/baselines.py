@@ -36,11 +36,19 @@ def _file_identity(spark: SparkSession, paths: Sequence[str]) -> list[tuple]:
     return out
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp))
+
+
 def stored_baseline(spark: SparkSession, name: str, inputs: Sequence[str],
                     build: Callable[[], DataFrame]) -> DataFrame:
     """Read the baseline artifact ``name`` built from ``inputs``; build it once."""
     key = hashlib.sha256(repr((name, _file_identity(spark, inputs))).encode()).hexdigest()[:24]
     path = _BUILT.get(key)
+    if path is not None and not _exists(spark, f"{path}/_SUCCESS"):
+        path = None  # the folder was cleaned: build again
     if path is None:
         path = f"{checkpoint_dir(spark).rstrip('/')}/tabwatch-baselines/{name}-{key}"
         build().write.mode("overwrite").parquet(path)
