@@ -9,12 +9,18 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The pandas UDF below is shipped by value, so executors need no copy of this
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Number of series terms and the switch point between the two forms.
 KOLMOGOROV_TERMS = 100
 KOLMOGOROV_SWITCH = 1.18

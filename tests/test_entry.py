@@ -55,3 +55,19 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(sdf.columns) == sorted(odf.columns)
     assert len(sdf) == len(odf)
     assert _rows(sdf) == _rows(odf)
+
+
+def test_udf_query_from_foreign_working_dir(tmp_path):
+    """Executors must not need the package on their path (the UDF ships by value)."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', len(E.queries()['e7_chi_square_test'](s, %r).collect()))\n" % (repo, SF)
+    )
+    out = subprocess.run([sys.executable, "-c", script], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert "ROWS 2" in out.stdout, out.stderr[-2000:]
