@@ -116,19 +116,17 @@ def ts_string(c: str | Column) -> Column:
     return F.date_format(col_of(c), "yyyy-MM-dd HH:mm:ss")
 
 
-_ONE = "_one"
-
-
 def join_small(df: DataFrame, small: DataFrame, keys: list[str] | tuple[str, ...] = (),
                how: str = "inner", broadcast: bool = True) -> DataFrame:
-    """Join ``df`` with a lookup table whose size is bounded by its keys.
+    """Attach a lookup table whose size is bounded by its keys.
 
     Callers only pass tables with one row per key where the key set is a schema
-    property (features, class indexes, bins) or a single row.  With no keys both
-    sides get a constant key, so the plan is an equi-join, never a cross join.
+    property (features, class indexes, bins).  Without keys the table is a single
+    row (a global aggregate) and is attached as a scalar subquery -- computed once,
+    no join, never a cross join.
     """
     keys = list(keys)
-    rhs = F.broadcast(small) if broadcast else small
     if keys:
-        return df.join(rhs, keys, how)
-    return df.withColumn(_ONE, F.lit(1)).join(rhs.withColumn(_ONE, F.lit(1)), [_ONE], how).drop(_ONE)
+        return df.join(F.broadcast(small) if broadcast else small, keys, how)
+    row = small.select(F.struct(*[F.col(c) for c in small.columns]).alias("_row")).scalar()
+    return df.select("*", *[row.getField(c).alias(c) for c in small.columns])

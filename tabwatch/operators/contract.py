@@ -128,10 +128,13 @@ def validate_contract(df: DataFrame, contract: DataFrame, target: str | None = N
             F.lit("feature_count").alias("error_type"), F.lit(None).cast("string").alias("column"),
             F.lit(str(n_features)).alias("expected"), F.col("n").cast("string").alias("actual")))
     if check_names:
-        a = actual.agg(F.sort_array(F.collect_list(F.struct("position", "name"))).alias("a"))
-        e = contract.agg(F.sort_array(F.collect_list(F.struct("position", "name"))).alias("e"))
-        names = a.withColumn("_o", F.lit(1)).join(e.withColumn("_o", F.lit(1)), "_o").select(
-            F.transform("a", lambda x: x["name"]).alias("a"), F.transform("e", lambda x: x["name"]).alias("e"))
+        # both schemas in one aggregation (rows bounded by the schema width)
+        both = actual.select(F.lit("a").alias("_s"), "position", "name").unionByName(
+            contract.select(F.lit("e").alias("_s"), "position", "name"))
+        names = both.agg(
+            F.sort_array(F.collect_list(F.when(F.col("_s") == "a", F.struct("position", "name")))).alias("a"),
+            F.sort_array(F.collect_list(F.when(F.col("_s") == "e", F.struct("position", "name")))).alias("e"),
+        ).select(F.transform("a", lambda x: x["name"]).alias("a"), F.transform("e", lambda x: x["name"]).alias("e"))
         errs.append(names.where(F.col("a") != F.col("e")).select(
             F.lit("feature_names").alias("error_type"), F.lit(None).cast("string").alias("column"),
             F.array_join("e", ",").alias("expected"), F.array_join("a", ",").alias("actual")))

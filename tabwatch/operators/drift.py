@@ -290,23 +290,29 @@ def chi_square_test(cur_long: DataFrame, cat_profile: DataFrame, keys: Sequence[
 def score_drift(cur: DataFrame, score_col: str, base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Binary prediction drift.  ``base`` has one row per key with ``mean``,
     ``edges`` and ``counts`` (the baseline histogram).  Returns long rows
-    ``keys..., feature='prediction', metric in (mean_shift, psi), value``."""
+    ``keys..., feature='prediction', metric in (mean_shift, psi), value``; PSI is
+    absent when the baseline histogram is malformed."""
     keys = list(keys)
     v = F.col(score_col).cast("double")
-    long = cur.select(*keys, F.lit("prediction").alias("feature"), v.alias("v")).where(
-        F.col("v").isNotNull()
-    )
-    b = base.select(*keys, F.lit("prediction").alias("feature"), "mean", "edges", "counts")
-    ms = mean_shift(long, b, keys, DEFAULT_SCORE_MEAN)
-    ok = b.where((F.size("edges") > 1) & (F.size("counts") > 0) & (F.size("counts") == F.size("edges") - 1))
-    cur = bin_vectors(long, ok.select(*keys, "feature", "edges"), keys)
-    cur = join_small(cur, ok.select(*keys, "feature", F.col("counts").alias("_exp")), [*keys, "feature"])
-    psi = cur.select(*keys, "feature", F.when(F.col("counts").isNotNull(),
-                                              psi_arrays(F.col("counts"), F.col("_exp"))).alias("psi"))
-    return (
-        ms.select(*keys, "feature", F.lit("mean_shift").alias("metric"), F.col("mean_shift").alias("value"))
-        .unionByName(psi.select(*keys, "feature", F.lit("psi").alias("metric"), F.col("psi").alias("value")))
+    b = base.select(*keys, "mean", "edges", "counts")
+    x = join_small(cur.select(*keys, v.alias("v")).where(F.col("v").isNotNull()), b, keys)  # one row per key
+    ok = (F.size("edges") > 1) & (F.size("counts") > 0) & (F.size("counts") == F.size("edges") - 1)
+    binned = x.select(*keys, F.when(ok, bin_index(F.col("v"), F.col("edges"))).alias("bin"))
+    # at most #bins entries per key
+    per_bin = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_c"))
+    hist = per_bin.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "_c"))).alias("_m"))
+    stats = join_small(x.groupBy(*keys).agg(F.avg("v").alias("_cm")), b, keys)
+    res = join_small(stats, hist, keys, how="left") if keys else join_small(stats, hist)
+    counts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0))),
+                         lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)).cast("long"))
+    out = res.select(
+        *keys, F.lit("prediction").alias("feature"),
+        F.abs(F.col("_cm") - F.coalesce(F.col("mean"), F.lit(DEFAULT_SCORE_MEAN))).alias("mean_shift"),
+        F.when(ok, psi_arrays(counts, F.col("counts"))).alias("psi"), ok.alias("_ok"),
     )
+    ms = out.select(*keys, "feature", F.lit("mean_shift").alias("metric"), F.col("mean_shift").alias("value"))
+    psi = out.where("_ok").select(*keys, "feature", F.lit("psi").alias("metric"), F.col("psi").alias("value"))
+    return ms.unionByName(psi)
 
 
 def class_drift(cur: DataFrame, arr_col: str, class_base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tabwatch.functions.core import round_floats
+from tabwatch.functions.core import join_small, round_floats
 from tabwatch.operators import contract as C
 from tabwatch.operators import learn as L
 from tabwatch.plans.drift_queries import SCORE_COEFFICIENTS, SCORE_INTERCEPT, score_column
@@ -137,8 +137,8 @@ def f7_run_metadata(spark, sf):
     m = L.fit_logistic(train, feats, "quality")
     b0, coefs = L.coefficients(m, feats)
     scored = L.score(test, b0, coefs)
-    metrics = L.classification_metrics(scored, "quality", "predicted_class").join(
-        L.roc_auc(scored, "quality", "probability").select("roc_auc"))
+    metrics = join_small(L.classification_metrics(scored, "quality", "predicted_class"),
+                         L.roc_auc(scored, "quality", "probability").select("roc_auc"))  # one row each
     counts = split.groupBy().agg(F.count(F.when(F.col("split") == "train", 1)).alias("a"),
                                  F.count(F.when(F.col("split") == "test", 1)).alias("b")).first()
     return round_floats(L.run_metadata(spark, "v20240101_000000_a1b2c3", "logistic_regression", metrics,

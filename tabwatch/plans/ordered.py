@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwatch.functions.core import join_small
+
 _B = "_bucket"
-_K = "_const_key"
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -58,10 +59,16 @@ def _small(df: DataFrame, small_keys: bool) -> DataFrame:
     return F.broadcast(df) if small_keys else df
 
 
-def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
+def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str], small_keys: bool) -> DataFrame:
+    """Join a per-key side table; without keys it is one row, attached as a
+    scalar subquery (no cross join)."""
     if keys:
-        return df, list(keys), False
-    return df.withColumn(_K, F.lit(0)), [_K], True
+        return df.join(_small(small, small_keys), list(keys), "inner")
+    return join_small(df, small, [])
+
+
+def _win(keys: Sequence[str]):
+    return Window.partitionBy(*keys) if keys else Window.partitionBy()
 
 
 def count_below(sorted_arr: Column, v: Column, m: int, inclusive: bool = False) -> Column:
@@ -120,7 +127,7 @@ def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[s
     d = df.withColumn("_rb_gv", _grid_value(df, cols[0])).withColumn(
         "_rb_tv", tie_value if tie_value is not None else F.lit(None).cast("double"))
     rng = d.groupBy(*keys).agg(F.min("_rb_gv").alias("_rb_lo"), F.max("_rb_gv").alias("_rb_hi"))
-    d = d.join(_small(rng, small_keys), list(keys), "inner")  # one row per key
+    d = _attach(d, rng, keys, small_keys)  # one row per key
 
     def grid(v, lo, hi, cells):
         w = hi - lo
@@ -131,9 +138,9 @@ def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[s
     # level 1: at most #keys x (grid + 1) rows of exact, order-independent numbers
     cells = d.groupBy(*keys, "_rb_cell").agg(F.count(F.lit(1)).alias("_rb_n"), F.min("_rb_gv").alias("_rb_cmin"),
                                           F.max("_rb_gv").alias("_rb_cmax"))
-    before = Window.partitionBy(*keys).orderBy("_rb_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = _win(keys).orderBy("_rb_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_rb_before", F.coalesce(F.sum("_rb_n").over(before), F.lit(0))).withColumn(
-        "_rb_total", F.sum("_rb_n").over(Window.partitionBy(*keys)))
+        "_rb_total", F.sum("_rb_n").over(_win(keys)))
     cells = cells.withColumn("_rb_cb", F.floor(F.col("_rb_before") * n / F.col("_rb_total")).cast("long")).withColumn(
         "_rb_heavy", (F.col("_rb_n") * n > F.col("_rb_total")) & (F.col("_rb_cmax") > F.col("_rb_cmin")) | (
             (F.col("_rb_n") * n > F.col("_rb_total")) & F.lit(tie_value is not None)))
@@ -170,10 +177,10 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
 
     ``order_cols`` must order rows totally within a key (add a tie-breaker).
     """
-    df, keys, synthetic = _with_keys(df, keys)
+    keys = list(keys)
     b = range_bucket(df, keys, order_cols, n_buckets, small_keys)
     tot = b.groupBy(*keys, _B).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    prev = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    prev = _win(keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(
         *keys, _B, *[F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0)).alias(f"_o_{c}") for c in sum_cols]
     )
@@ -184,7 +191,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     for c in sum_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_o_{c}") + F.sum(c).over(inner))
     out = out.drop(_B, *[f"_o_{c}" for c in sum_cols])
-    return out.drop(_K) if synthetic else out
+    return out
 
 
 def ordered_lag(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
@@ -192,14 +199,14 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                 prefix: str = "prev_", small_keys: bool = True) -> DataFrame:
     """``lag(value, 1) OVER (PARTITION BY keys ORDER BY order_cols)`` without
     sending a whole key to one task."""
-    df, keys, synthetic = _with_keys(df, keys)
+    keys = list(keys)
     b = range_bucket(df, keys, order_cols, n_buckets, small_keys)
     inner = Window.partitionBy(*keys, _B).orderBy(*order_cols)
     order_struct = F.struct(*[F.col(c) for c in order_cols])
     last_in_bucket = b.groupBy(*keys, _B).agg(
         F.max_by(F.struct(*[F.col(c) for c in value_cols]), order_struct).alias("_last")
     )
-    bw = Window.partitionBy(*keys).orderBy(_B)
+    bw = _win(keys).orderBy(_B)
     carry = last_in_bucket.select(*keys, _B, F.lag("_last", 1).over(bw).alias("_carry"))
     out = b.join(_small(carry, small_keys), [*keys, _B], "inner").withColumn("_rn", F.row_number().over(inner))
     for c in value_cols:
@@ -208,7 +215,7 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
             F.when(F.col("_rn") == 1, F.col(f"_carry.{c}")).otherwise(F.lag(c, 1).over(inner)),
         )
     out = out.drop(_B, "_carry", "_rn")
-    return out.drop(_K) if synthetic else out
+    return out
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
@@ -216,7 +223,7 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                  small_keys: bool = True, tie_value: Column | None = None) -> DataFrame:
     """``last(value, ignoreNulls) OVER (PARTITION BY keys ORDER BY order_cols
     ROWS UNBOUNDED PRECEDING)`` as a distributed plan (as-of lookups)."""
-    df, keys, synthetic = _with_keys(df, keys)
+    keys = list(keys)
     b = range_bucket(df, keys, order_cols, n_buckets, small_keys, tie_value)
     order_struct = F.struct(*[F.col(c) for c in order_cols])
     last_nn = b.where(F.col(value_col).isNotNull()).groupBy(*keys, _B).agg(
@@ -225,7 +232,7 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     # every bucket (also those without a non-null value) carries the last value of
     # the nearest earlier bucket that has one; the table is (#keys x #buckets)
     buckets = b.select(*keys, _B).distinct().join(last_nn, [*keys, _B], "left")
-    bw = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    bw = _win(keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     allb = buckets.select(*keys, _B, F.last("_last", ignorenulls=True).over(bw).alias("_carry"))
     inner = Window.partitionBy(*keys, _B).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -234,7 +241,7 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
         out_col, F.coalesce(F.last(value_col, ignorenulls=True).over(inner), F.col("_carry"))
     )
     out = out.drop(_B, "_carry")
-    return out.drop(_K) if synthetic else out
+    return out
 
 
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value_col: str,
@@ -244,9 +251,11 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value_col: str,
 
     Returns ``keys..., q, value`` with one row per (key, prob).  Works on the
     distinct values with their multiplicities, so a value repeated a billion times
-    is one row, and the ordered pass is range-bucketed.
+    is one row, and the ordered pass is range-bucketed.  The target ranks
+    (2 x #probs per key) travel as a small array; each distinct value keeps the
+    ranks it covers -- no range join.
     """
-    long_df, keys, synthetic = _with_keys(long_df, keys)
+    keys = list(keys)
     cnt = long_df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_c"))
     cum = running_sum(cnt, keys, [value_col], ["_c"], n_buckets, small_keys=small_keys)
     tot = cnt.groupBy(*keys).agg(F.sum("_c").alias("_n"))
@@ -259,22 +268,18 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value_col: str,
         .withColumn("_frac", F.col("_pos") - F.col("_lo"))
     )
     ranks = targets.select(
-        *keys, "q", "_frac",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("which"), F.col("_lo").alias("r")),
-            F.struct(F.lit(1).alias("which"), F.col("_hi").alias("r")),
-        )).alias("_t"),
-    ).select(*[F.col(k).alias(f"_r_{k}") for k in keys], "q", "_frac", "_t.which", "_t.r")
-    # (#keys x #probs x 2) rows: bounded by the number of keys (features), so the
-    # broadcast is safe; the join is an equi-join on the key plus a range filter
-    cond = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [
-        (F.col("_c_cum") - F.col("_c")) <= F.col("r"),
-        F.col("r") < F.col("_c_cum"),
-    ]
-    hit = cum.join(F.broadcast(ranks), cond, "inner").select(
-        *keys, "q", "_frac", "which", F.col(value_col).alias("_v")
-    )
-    out = hit.groupBy(*keys, "q", "_frac").agg(
+        *keys,
+        F.array(
+            F.struct(F.col("q"), F.col("_frac"), F.lit(0).alias("which"), F.col("_lo").alias("r")),
+            F.struct(F.col("q"), F.col("_frac"), F.lit(1).alias("which"), F.col("_hi").alias("r")),
+        ).alias("_t"),
+    ).groupBy(*keys).agg(F.flatten(F.collect_list("_t")).alias("_ranks"))  # 2 x #probs per key
+    hit = _attach(cum, ranks, keys, small_keys).select(
+        *keys, F.col(value_col).alias("_v"),
+        F.explode(F.filter("_ranks", lambda t: ((F.col("_c_cum") - F.col("_c")) <= t["r"]) & (t["r"] < F.col("_c_cum"))))
+        .alias("_t"),
+    ).select(*keys, "_v", "_t.q", "_t._frac", "_t.which")
+    return hit.groupBy(*keys, "q", "_frac").agg(
         F.max(F.when(F.col("which") == 0, F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("which") == 1, F.col("_v"))).alias("_vhi"),
     ).select(
@@ -283,7 +288,6 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value_col: str,
         .otherwise(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
         .alias("value"),
     )
-    return out.drop(_K) if synthetic else out
 
 
 def quantile_columns(long_df: DataFrame, keys: Sequence[str], value_col: str,

@@ -18,9 +18,10 @@ from tabwatch.operators import drift as E
 
 
 def _profile_per_window(long: DataFrame, profile: DataFrame) -> DataFrame:
-    # (#windows x #features) rows: the profile has one row per feature
-    wins = long.select("window_start").distinct()
-    return join_small(wins, profile)
+    # the (window, feature) pairs that have data, each with its feature's
+    # baseline: an equi-join on the feature (profile: one row per feature)
+    pairs = long.select("window_start", "feature").distinct()
+    return join_small(pairs, profile, ["feature"])
 
 
 def windowed_numeric_drift(df: DataFrame, profile: DataFrame, features: Sequence[str], window: str,
