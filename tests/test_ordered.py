@@ -76,3 +76,11 @@ def test_hot_tie_group_is_split_and_exact(spark):
     assert (lag.prev_seq.fillna(-1).to_numpy() == lag.seq.shift(1).fillna(-1).to_numpy()).all()
     rs = O.running_sum(df, [], ["ts", "seq"], ["x"], n_buckets=16).toPandas().sort_values(["ts", "seq"])
     assert (rs.x_cum.to_numpy() == rs.x.cumsum().to_numpy()).all()
+
+
+def test_bucket_ids_do_not_depend_on_partitioning(spark, data):
+    pdf, df = data
+    a = O.range_bucket(df.repartition(1), ["k"], ["v", "id"], n_buckets=9).select("id", "_bucket").toPandas()
+    b = O.range_bucket(df.repartition(13, "id"), ["k"], ["v", "id"], n_buckets=9).select("id", "_bucket").toPandas()
+    m = a.merge(b, on="id")
+    assert len(m) == len(pdf) and (m._bucket_x == m._bucket_y).all()
