@@ -112,6 +112,24 @@ def to_long(df: DataFrame, features: list[str], ids: list[str] | None = None,
     return long
 
 
+def to_long_ids(df: DataFrame, features: list[str], ids: list[str] | None = None,
+                keep_missing: bool = False) -> DataFrame:
+    """Like :func:`to_long` but the feature is a small int ``_fid`` (position in
+    ``features``): shuffles keyed by feature carry 4 bytes instead of the name.
+    Map back with :func:`feature_name`."""
+    ids = ids or []
+    pairs = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(features))
+    long = df.select(*ids, F.expr(f"stack({len(features)}, {pairs}) AS (_fid, v)"))
+    long = long.withColumn("_fid", F.col("_fid").cast("int")).withColumn("v", missing_to_null("v"))
+    if not keep_missing:
+        long = long.where(F.col("v").isNotNull())
+    return long
+
+
+def feature_name(features: list[str], fid: str | Column = "_fid") -> Column:
+    return F.element_at(F.array(*[F.lit(f) for f in features]), col_of(fid) + 1)
+
+
 def ts_string(c: str | Column) -> Column:
     return F.date_format(col_of(c), "yyyy-MM-dd HH:mm:ss")
 

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.functions.core import categorical_columns, join_small, nan_div, numeric_columns, to_long
+from tabwatch.functions.core import (
+    categorical_columns, feature_name, join_small, nan_div, numeric_columns, to_long, to_long_ids,
+)
 from tabwatch.plans.ordered import exact_quantiles, quantile_columns
 
 # The profile percentiles and the category count kept per feature.
@@ -28,8 +30,9 @@ def numeric_profile(df: DataFrame, features: Sequence[str] | None = None,
     missing_rate`` (sample std; NaN counts as missing)."""
     keys = list(keys)
     features = list(features) if features is not None else numeric_columns(df, exclude=keys)
-    long = to_long(df, features, ids=keys, keep_missing=True)
-    stats = long.groupBy(*keys, "feature").agg(
+    # the shuffles are keyed by a small int feature id; names come back at the end
+    long = to_long_ids(df, features, ids=keys, keep_missing=True)
+    stats = long.groupBy(*keys, "_fid").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("v").alias("n"),
         F.avg("v").alias("mean"),
@@ -38,11 +41,11 @@ def numeric_profile(df: DataFrame, features: Sequence[str] | None = None,
         F.max("v").alias("max"),
         F.avg(F.col("v").isNull().cast("double")).alias("missing_rate"),
     )
-    qs = quantile_columns(long.where(F.col("v").isNotNull()), [*keys, "feature"], "v",
+    qs = quantile_columns(long.where(F.col("v").isNotNull()), [*keys, "_fid"], "v",
                           PROFILE_PERCENTILES, n_buckets)
     # one row per (key, feature) on both sides
-    return stats.join(qs, [*keys, "feature"], "left").select(
-        *keys, "feature", "n_rows", "n", "mean", "std", "min", "max",
+    return stats.join(qs, [*keys, "_fid"], "left").select(
+        *keys, feature_name(features).alias("feature"), "n_rows", "n", "mean", "std", "min", "max",
         *PROFILE_PERCENTILES.keys(), "missing_rate",
     )
 
@@ -206,14 +209,14 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None,
              n_buckets: int | None = None) -> DataFrame:
     """``feature, count, mean, std, min, q25, q50, q75, max`` with exact quartiles."""
     columns = list(columns) if columns is not None else numeric_columns(df)
-    long = to_long(df, columns)
-    stats = long.groupBy("feature").agg(
+    long = to_long_ids(df, columns)
+    stats = long.groupBy("_fid").agg(
         F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"),
     )
-    qs = quantile_columns(long, ["feature"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, n_buckets)
-    return stats.join(qs, "feature", "left").select(
-        "feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    qs = quantile_columns(long, ["_fid"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, n_buckets)
+    return stats.join(qs, "_fid", "left").select(
+        feature_name(columns).alias("feature"), "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 
 
