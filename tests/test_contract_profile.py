@@ -122,3 +122,12 @@ def test_score_and_class_profiles(spark):
     assert s["std"] == pytest.approx(np.std([0.1, 0.5, 0.9]))  # population std
     c = D.class_profile(df, "a").orderBy("class_idx").toPandas()
     assert c.n_classes.iloc[0] == 2 and c["mean"].tolist() == pytest.approx([0.4333333333, 0.5666666667])
+
+
+def test_int_id_unpivot_matches_named_unpivot(spark):
+    from tabwatch.functions.core import feature_name, to_long, to_long_ids
+    df = spark.createDataFrame([(1.0, None), (float("nan"), 2.0), (3.0, 4.0)], "a double, b double")
+    named = sorted((r["feature"], r["v"]) for r in to_long(df, ["a", "b"]).collect())
+    ids = to_long_ids(df, ["a", "b"]).select(feature_name(["a", "b"]).alias("feature"), "v")
+    assert sorted((r["feature"], r["v"]) for r in ids.collect()) == named == [("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 4.0)]
+    assert to_long_ids(df, ["a", "b"], keep_missing=True).count() == 6
