@@ -1,8 +1,7 @@
 """Session helpers.
 
 The library never creates its own cluster settings beyond what a job needs to be
-correct (UTC session time, AQE on).  A checkpoint directory is only set when the
-cluster did not name one, which is the case in local tests.
+correct (UTC session time, AQE on).
 """
 
 from __future__ import annotations
@@ -38,30 +37,33 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings every operator relies on (idempotent)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """The shared folder for intermediate tables, from ``spark.checkpoint.dir``.
 
-    Only when ``spark.checkpoint.dir`` is unset (local tests) is a scratch folder
-    chosen; on a cluster the configured shared folder is always used.
+    Where it is unset, a scratch folder is made for a local master, whose driver and
+    executors are one process; on a cluster that would not be shared, so there it is
+    an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tabwatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
 def materialize(df):
-    """Compute a small intermediate (a baseline profile) once: write it as a
-    parquet table under ``spark.checkpoint.dir`` (shared storage on a cluster)
-    and read it back, so later plans scan a few rows instead of recomputing it,
-    and a lost executor does not force the recomputation either."""
+    """Compute an intermediate once: write it as a parquet table under
+    ``spark.checkpoint.dir`` and read it back. Later plans scan the table, its lineage
+    is cut, and a lost executor costs no recomputation."""
     base = checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/tabwatch-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
