@@ -40,6 +40,15 @@ def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
+#: Lower-cases A-Z and turns every other ASCII character but a-z and 0-9 into a space; bytes of non-ASCII characters stay.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of ASCII letters and digits and of all non-ASCII characters, A-Z in lower case."""
+    return text.translate(WORD_BYTES).split()
+
+
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]

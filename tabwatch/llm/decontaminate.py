@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import annotate, field, fresh, map_batches, slices, text_bytes
+from tabwatch.llm.common import annotate, field, fresh, map_batches, slices, text_bytes, words_of
 from tabwatch.session import materialize
 
 #: Words of a window.
@@ -35,13 +35,6 @@ WINDOW = 10
 #: Most benchmark text broadcast at once.
 BLOCK_BYTES = 16 << 20
 
-#: Fixed by the contract: letters a-z, digits and all non-ASCII bytes are word bytes, A-Z become a-z.
-WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(WORD_BYTES).split()
-
 
 def build_index(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict:
     """Test side of one block: word ids and, for each window length, the sorted
