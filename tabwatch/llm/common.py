@@ -101,3 +101,13 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind))
+
+
+#: Most rows of one narrow table (ids and numbers) that are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_narrow(df: DataFrame, narrow: DataFrame, on: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a stored table of ids: broadcast where a count shows it is small,
+    so wide rows stay where they are, else by shuffle."""
+    return df.join(F.broadcast(narrow) if narrow.count() <= limit else narrow, on, how)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwatch.llm import decontaminate, importance, packing, secret_scan, toxicity
+from tabwatch.llm import decontaminate, importance, ngram_join, packing, secret_scan, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,12 +35,27 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op5_importance_resampling, op7_toxicity, op8_benchmark_decontamination)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op5_importance_resampling, op7_toxicity, op8_benchmark_decontamination, op10_ngram_jaccard_join)}
 
 #: Words of a text as the contract cuts them; RE2 works on code points, as Spark's side does on UTF-8 bytes.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLE = {
+    "op10_ngram_jaccard_join": rf"""
+with recursive d as (select row_number() over () as row, doc_id, {_TOKENS} as w from documents),
+s as (select row, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [w] else list_transform(range(1, len(w) - 3), lambda i: w[i:i+4]) end) as grams from d),
+g as (select row, len(grams) as n, unnest(grams) as gram from s),
+p as (select a.row as a, b.row as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from g a join g b on a.gram = b.gram and a.row <> b.row group by a.row, b.row),
+l as (select a, b from p where 100 * k >= 80 * (na + nb - k)),
+r as (select row as a, row as b from s union select r.a, l.b from r join l on r.b = l.a),
+c as (select r.a as row, min(s.doc_id) as component_id from r join s on r.b = s.row group by r.a)
+select s.doc_id, len(grams)::bigint as n_shingles, component_id from s join c using (row)""",
     "op8_benchmark_decontamination": rf"""
 with d as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
 b as (select coalesce(item_id::varchar, '') as item_id, {_WORDS} as w from benchmark),
