@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,6 +51,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+#: Lower-cases A-Z only.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def worker_memo(name: str) -> dict:
+    """A dict that lives as long as the Python worker, which Spark reuses for many tasks."""
+    holder = sys.modules.setdefault("tabwatch_worker_memo", types.ModuleType("tabwatch_worker_memo"))
+    return holder.__dict__.setdefault(name, {})
+
+
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]

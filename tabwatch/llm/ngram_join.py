@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import field, join_narrow, map_batches, slices, text_bytes
+from tabwatch.llm.common import LOWER, field, join_narrow, map_batches, slices, text_bytes
 from tabwatch.session import materialize
 
 N, PERCENT = 5, 80
@@ -44,12 +44,10 @@ HELD_WORDS, LONGEST = 400_000, 64
 #: Nodes of a group met at once.
 BLOCK = 1024
 
-#: Fixed by the contract: only A-Z change; white space is 0x20 and 0x09-0x0D, as bytes.split() has it.
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
 
 class Words(dict):
-    """Hashes of words, remembered."""
+    """Hashes of words, remembered. By the contract only A-Z change case and white space
+    is 0x20 and 0x09-0x0D, which is what bytes.split() takes."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)

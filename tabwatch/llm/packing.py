@@ -27,39 +27,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import doc_columns, field, map_batches, slices, text_strings
+from tabwatch.llm.common import LOWER, doc_columns, field, map_batches, slices, text_bytes, worker_memo
 from tabwatch.session import materialize
 
 CAPACITY = 2048
-#: Words whose ids a task remembers, and the longest word it remembers.
-REMEMBERED, LONGEST = 1_000_000, 64
+#: Words whose ids a worker remembers, and the longest word it remembers.
+REMEMBERED, LONGEST = 1_500_000, 64
 #: Pieces dealt to one bucket, about.
 BUCKET_ROWS = 50_000
 #: Fixed: control characters that str.split() takes as white space and the tokenizer does not.
-ODD_SPACE = r"[\x1c-\x1f]"
+ODD_SPACE = rb"[\x1c-\x1f]"
 
 
 def build_encoder(tokenizer_path: str):
-    """texts -> list of little-endian unsigned 32-bit ids. White space never enters a
-    token of this tokenizer, so texts are encoded word by word and words remembered."""
+    """UTF-8 texts -> list of little-endian unsigned 32-bit ids. This tokenizer ignores
+    letter case and white space never enters a token, so texts are encoded word by
+    word, A-Z in lower case, and words remembered. A text that may hold a special
+    token's string keeps its case; one with odd spaces is encoded whole."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok, known, odd = Tokenizer.from_file(tokenizer_path), {}, re.compile(ODD_SPACE).search
+    tok, known, odd = Tokenizer.from_file(tokenizer_path), worker_memo(tokenizer_path), re.compile(ODD_SPACE).search
 
     def raw(parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [None if odd(t) else t.split() for t in texts]
-        new = list(set().union(*(s for s in split if s)).difference(known))
+    def encode(texts: list[bytes]) -> list[bytes]:
+        split = [None if odd(t) else (t if b"<|" in t else t.translate(LOWER)).decode().split() for t in texts]
+        every = set().union(*(s for s in split if s))
+        new = list(every.difference(known))
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list(set().union(*(s for s in split if s)))
+            new = list(every)
         known.update(zip(new, raw(new), strict=True))
-        out = [raw([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        out = [raw([t.decode()])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
         for w in [w for w in new if len(w) > LONGEST]:
             del known[w]
         return out
@@ -75,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
         encode = build_encoder(tokenizer_path)
 
         def on_batch(batch: pa.RecordBatch):
-            texts, ids = text_strings(batch, "text"), batch.column("doc_id").to_pylist()
+            texts, ids = text_bytes(batch, "text"), batch.column("doc_id").to_pylist()
             for i, j in slices(texts):
                 rows = []
                 for doc, data in zip(ids[i:j], encode(texts[i:j]), strict=True):

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwatch.llm import decontaminate, importance, ngram_join, packing, secret_scan, toxicity
+from tabwatch.llm import decontaminate, html_extract, importance, ngram_join, packing, secret_scan, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -39,7 +43,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op5_importance_resampling, op7_toxicity, op8_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_secret_scan, op5_importance_resampling, op7_toxicity, op8_benchmark_decontamination, op10_ngram_jaccard_join)}
 
 #: Words of a text as the contract cuts them; RE2 works on code points, as Spark's side does on UTF-8 bytes.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
