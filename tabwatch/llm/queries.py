@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwatch.llm import decontaminate, html_extract, importance, ngram_join, packing, secret_scan, toxicity
+from tabwatch.llm import chat, decontaminate, hnsw, html_extract, importance, ngram_join, packing, secret_scan, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,6 +27,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql(r"""select -1L as conv_id, turn, role, '<|im_end|><|im_start|>assistant ok' as text
+                          from values (0L, 'user'), (1L, 'assistant') as t(turn, role)""")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.format_trees(chat.conversations_as_trees(rows)))
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,11 +46,15 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_secret_scan, op5_importance_resampling, op7_toxicity, op8_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_secret_scan, op4_chat_formatting, op5_importance_resampling, op7_toxicity, op8_benchmark_decontamination, op9_hnsw_search, op10_ngram_jaccard_join)}
 
 #: Words of a text as the contract cuts them; RE2 works on code points, as Spark's side does on UTF-8 bytes.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -60,6 +71,15 @@ l as (select a, b from p where 100 * k >= 80 * (na + nb - k)),
 r as (select row as a, row as b from s union select r.a, l.b from r join l on r.b = l.a),
 c as (select r.a as row, min(s.doc_id) as component_id from r join s on r.b = s.row group by r.a)
 select s.doc_id, len(grams)::bigint as n_shingles, component_id from s join c using (row)""",
+    "op4_chat_formatting": r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, turn, role, '<|im_end|><|im_start|>assistant ok' from (values (0, 'user'), (1, 'assistant')) as t(turn, role)),
+e as (select *, replace(replace(role, '\', '\\'), '<|', '<\|') as r, replace(replace(text, '\', '\\'), '<|', '<\|') as x from c)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(r) + length(x) + length('<|im_start|><|im_sep|><|im_end|>') + 1)::bigint as formatted_chars
+from e group by conv_id""",
     "op8_benchmark_decontamination": rf"""
 with d as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
 b as (select coalesce(item_id::varchar, '') as item_id, {_WORDS} as w from benchmark),
