@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwatch.llm import chat, decontaminate, hnsw, html_extract, importance, ngram_join, packing, secret_scan, toxicity
+from tabwatch.llm import chat, decontaminate, hnsw, html_extract, importance, ngram_join, packing, sanitise, secret_scan, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,6 +38,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digests(sanitise.find(_table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_secret_scan, op4_chat_formatting, op5_importance_resampling, op7_toxicity, op8_benchmark_decontamination, op9_hnsw_search, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_secret_scan, op4_chat_formatting, op5_importance_resampling, op6_pii_sanitisation, op7_toxicity, op8_benchmark_decontamination, op9_hnsw_search, op10_ngram_jaccard_join)}
 
 #: Words of a text as the contract cuts them; RE2 works on code points, as Spark's side does on UTF-8 bytes.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
