@@ -58,7 +58,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_secret_scan, op4_chat_formatting, op5_importance_resampling, op6_pii_sanitisation, op7_toxicity, op8_benchmark_decontamination, op9_hnsw_search, op10_ngram_jaccard_join)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_secret_scan, op4_chat_formatting, op5_importance_resampling, op6_pii_sanitisation, op7_toxicity, op8_benchmark_decontamination, op9_hnsw_search, op10_ngram_jaccard_join, pipeline)}
 
 #: Words of a text as the contract cuts them; RE2 works on code points, as Spark's side does on UTF-8 bytes.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
