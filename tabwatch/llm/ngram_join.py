@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import LOWER, field, join_narrow, map_batches, slices, text_bytes
+from tabwatch.llm.common import LOWER, field, fresh, join_narrow, map_batches, slices, text_bytes
 from tabwatch.session import materialize
 
 N, PERCENT = 5, 80
@@ -330,10 +330,11 @@ def remove_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT)
     Documents without words or without doc_id stay. Same columns."""
     found = materialize(classes(docs, n, percent).where("doc_id is not null"))
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
-    repeated = materialize(found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_repeated")))
+    twice = fresh("repeated", docs.columns)
+    repeated = materialize(found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias(twice)))
     kept = join_narrow(docs, gone, "doc_id", "left_anti")
     if not repeated.limit(1).count():
         return kept.select(*docs.columns)
     some = join_narrow(kept, repeated, "doc_id", "left")
-    once = some.where("_repeated").dropDuplicates(["doc_id"])
-    return some.where("_repeated is null").unionByName(once).select(*docs.columns)
+    once = some.where(F.col(twice)).dropDuplicates(["doc_id"])
+    return some.where(F.col(twice).isNull()).unionByName(once).select(*docs.columns)
