@@ -17,7 +17,7 @@ prefix filtering; a good one keeps the groups small.
 5. Both rounds filter: length; position (what can still overlap after the shared
    n-gram); suffix: nodes' n-grams are dealt into ``SKETCH_BITS`` cells by hash, and
    the cells of odd difference bound the sets' distance from below. Pairs left are
-   verified on the whole sets, read again for the nodes in question only.
+   verified on the whole sets, from the texts of the nodes in question only.
 
 N-grams and sets are compared by 64-bit hashes. Nothing is capped.
 
@@ -169,49 +169,54 @@ def close(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(far <= total - 2 * needed(F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
 
 
-def read_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(key, whole set) of every node in ``pairs``, from the texts."""
+def read_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, compressed text) of every node in ``pairs``, read again from the documents:
+    a text is a third the size of its n-grams' hashes."""
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = materialize(asked.join(nodes, "key").select("text_hash").distinct())
-    texts = join_narrow(docs.select("text", F.xxhash64("text").alias("text_hash")), wanted, "text_hash").select("text")
+    wanted = materialize(asked.join(nodes, "key").select("key", "text_hash", "first_doc"))
+    texts = join_narrow(docs.withColumn("text_hash", F.xxhash64("text")), wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("key", "text")
 
     def work():
-        words, seen = Words(), set()
+        import zstandard
+
+        pack, seen = zstandard.ZstdCompressor(level=3).compress, set()
 
         def on_batch(batch):
-            texts = text_bytes(batch, "text")
-            for i, j in slices(texts):
-                keys, sets = [], []
-                for t in texts[i:j]:
-                    data = np.unique(_ngrams(words.hashes(t), n)).tobytes()
-                    key = xxhash.xxh3_64_intdigest(data) - (1 << 63)
-                    if key not in seen:
-                        seen.add(key)
-                        keys.append(key)
-                        sets.append(data)
-                if len(seen) > HELD_WORDS:
-                    seen.clear()
-                yield [keys, sets]
+            keys, texts = batch.column("key").to_pylist(), text_bytes(batch, "text")
+            new = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            if len(seen) > HELD_WORDS:
+                seen.clear()
+            yield [[keys[k] for k in new], [pack(texts[k]) for k in new]]
 
         return on_batch
 
-    return map_batches(texts, [field("key", "bigint"), field("grams", "binary")], work).dropDuplicates(["key"])
+    found = materialize(map_batches(texts, [field("key", "bigint"), field("packed", "binary")], work))
+    if found.count() > wanted.count():  # a repeated row, met by several tasks
+        found = materialize(found.dropDuplicates(["key"]))
+    return found
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that do link."""
-    sets = materialize(read_sets(docs, nodes, pairs, n))
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("grams").alias(f"grams_{c}"))
+    texts = read_texts(docs, nodes, pairs)
+    side = lambda c: texts.select(F.col("key").alias(c), F.col("packed").alias(f"packed_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def work():
+        import zstandard
+
+        unpack, words = zstandard.ZstdDecompressor().decompress, Words()
+
         def on_batch(batch):
-            keep = []
-            for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            keep = pa.array(keep)
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            last, kept, keep = None, None, []  # rows of one node often follow each other
+            for x, y, packed_x, packed_y in zip(a, b, batch.column("packed_a").to_pylist(), batch.column("packed_b").to_pylist(), strict=True):
+                if y != last:
+                    last, kept = y, np.unique(_ngrams(words.hashes(unpack(packed_y)), n))
+                other = np.unique(_ngrams(words.hashes(unpack(packed_x)), n))
+                same = len(np.intersect1d(other, kept, assume_unique=True))
+                keep.append(100 * same >= percent * (len(other) + len(kept) - same))
+            keep = pa.array(keep, pa.bool_())
             yield [batch.column(c).filter(keep) for c in ("a", "b")]
 
         return on_batch
@@ -305,7 +310,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BL
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = materialize(describe(docs, n, percent))
     nodes = materialize(table.where("key is not null").groupBy("key").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.max("sketch").alias("sketch")))
+        F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_one"), F.min("size").alias("size"), F.max("sketch").alias("sketch")).withColumn("text_hash", F.col("_one.text_hash")).drop("_one"))
     group = Window.partitionBy("token")
     shared = materialize(shared_prefixes(table).join(nodes.select("key", "copies"), "key")
                          .withColumn("pivot", F.max(F.struct("copies", "key", "size", "pos")).over(group)).drop("copies"))
