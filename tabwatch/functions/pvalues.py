@@ -66,21 +66,13 @@ def chi2_sf_scalar(x: float, dof: int) -> float:
     if x <= 0:
         return 1.0
     h = x / 2.0
-    if dof % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, dof // 2):
-            term *= h / i
-            total += term
-        return min(1.0, math.exp(-h) * total)
-    total = math.erfc(math.sqrt(h))
-    # e^-h * sum_{i=1}^{(dof-1)/2} h^(i-1/2) / Gamma(i + 1/2)
-    term = math.sqrt(h) / math.gamma(1.5)
-    acc = 0.0
-    for i in range(1, (dof - 1) // 2 + 1):
-        if i > 1:
-            term *= h / (i - 0.5)
-        acc += term
-    return min(1.0, total + math.exp(-h) * acc)
+    if math.isinf(h):
+        return 0.0
+    # e^-h * sum of h^a / Gamma(a + 1), a = 0, 1, .. (even dof) or 1/2, 3/2, .. (odd);
+    # every term in logs, so neither the powers nor the exponential leave the range
+    half = 0.5 * (dof % 2)
+    terms = (math.exp((i + half) * math.log(h) - math.lgamma(i + half + 1.0) - h) for i in range(dof // 2))
+    return min(1.0, math.fsum(terms) + (math.erfc(math.sqrt(h)) if dof % 2 else 0.0))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -83,7 +83,16 @@ def describe_columns(df: DataFrame, target: str | None = None) -> DataFrame:
             F.min("v").alias("min"), F.max("v").alias("max"),
             F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         )
-        uniq = ln.where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.lit(1).alias("_x")).groupBy("name").agg(
+        # distinct values on the native type: doubles merge integers above 2**53
+        exact = [c for c in num if df.schema[c].dataType.typeName() not in ("double", "float")]
+        lossy = [c for c in num if c not in exact]
+        values = []
+        if lossy:
+            values.append(ln.where(F.col("name").isin(lossy)).select("name", (F.col("v") + 0.0).cast("string").alias("v")))
+        if exact:
+            values.append(df.select(*[F.col(c).cast("string").alias(c) for c in exact]).unpivot([], exact, "name", "v"))
+        every = values[0] if len(values) == 1 else values[0].unionByName(values[1])
+        uniq = every.where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.lit(1).alias("_x")).groupBy("name").agg(
             F.count(F.lit(1)).alias("num_unique"))
         parts.append(stats.join(uniq, "name", "left").withColumn("type", F.lit("numeric")))
     if cat:
@@ -175,6 +184,34 @@ def check_batches(df: DataFrame, batch_col: str) -> DataFrame:
     )
 
 
+def check_batch_arrays(df: DataFrame, instances_col: str) -> DataFrame:
+    """C6 on whole requests, one row with its array of instances: adds ``n_instances``
+    and ``status``; a null or empty array is ``empty``."""
+    n = F.coalesce(F.size(instances_col), F.lit(0))
+    n = F.when(F.col(instances_col).isNull(), F.lit(0)).otherwise(n).cast("long")
+    return df.withColumn("n_instances", n).withColumn(
+        "status", F.when(n < MIN_BATCH, F.lit("empty")).when(n > MAX_BATCH, F.lit("too_large")).otherwise(F.lit("ok")))
+
+
+def conforming_records(df: DataFrame, contract: DataFrame) -> DataFrame:
+    """C4 on the data: ``name, dtype, n_records, n_conforming`` per contract column:
+    records that hold a value castable to the contract's type (0 if there is no such
+    column). One pass over ``df``; ``contract`` is a C1 table of schema size."""
+    casts = {"int64": "bigint", "float64": "double", "bool": "boolean", "datetime64[ns]": "timestamp"}
+    want = [(r["name"], r["dtype"]) for r in contract.collect()]
+    have = {c.lower(): c for c in df.columns}
+
+    def conforming(name, dtype):
+        if name.lower() not in have:
+            return F.lit(0).cast("long")
+        value = F.col(have[name.lower()]).cast("string")
+        return F.count(value.try_cast(casts[dtype]) if dtype in casts else value)
+
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[conforming(n, t).alias(n) for n, t in want])
+    long = wide.unpivot(["_n"], [n for n, _ in want], "name", "n_conforming")
+    return long.join(F.broadcast(contract.select("name", "dtype")), "name").select("name", "dtype", F.col("_n").alias("n_records"), "n_conforming")
+
+
 # ----------------------------------------------------------------- B1 / B4 / B5
 def select_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """B1: features in contract order."""
@@ -213,8 +250,10 @@ def shared_features(df: DataFrame, profile_features: Sequence[str]) -> list[str]
 
 
 # ------------------------------------------------------------------------- C7
-def validate_for_scoring(df: DataFrame, features_col: str, names: Sequence[str]) -> DataFrame:
-    """Per record the first failure of contract -> cast -> finite.
+def validate_for_scoring(df: DataFrame, features_col: str, names: Sequence[str], strict: bool = False) -> DataFrame:
+    """Per record the first failure of contract -> cast -> finite. With ``strict``
+    the features must also come in the contract's order, else the error is ``schema``
+    and the record's own order is named.
 
     ``features_col`` is a ``map<string, string|double>``; adds ``error_type``
     (``schema`` / ``invalid_value`` / ``non_finite`` / NULL) and
@@ -230,13 +269,16 @@ def validate_for_scoring(df: DataFrame, features_col: str, names: Sequence[str])
     f32 = {n: vals[n].cast("string").try_cast("float") for n in names}
     finite_bad = F.array_compact(F.array(*[
         F.when(f32[n].isNull() | F.isnan(f32[n]) | (F.abs(f32[n]) == F.lit(float("inf"))), F.lit(n)) for n in names]))
+    given = F.map_keys(m)
+    misplaced = (given != F.array(*[F.lit(n) for n in names])) & ~schema_bad if strict else F.lit(False)
     err = (
-        F.when(schema_bad, F.lit("schema"))
+        F.when(schema_bad | misplaced, F.lit("schema"))
         .when(F.size(cast_bad) > 0, F.lit("invalid_value"))
         .when(F.size(finite_bad) > 0, F.lit("non_finite"))
     )
     bad_list = (
         F.when(schema_bad, F.array_join(F.array_sort(F.array_except(F.array_union(F.coalesce(keys, F.array().cast("array<string>")), expected), F.coalesce(F.array_intersect(keys, expected), F.array().cast("array<string>")))), ","))
+        .when(misplaced, F.array_join(given, ","))
         .when(F.size(cast_bad) > 0, F.array_join(cast_bad, ","))
         .when(F.size(finite_bad) > 0, F.array_join(finite_bad, ","))
     )

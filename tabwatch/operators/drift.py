@@ -263,8 +263,9 @@ def chi_square(cur_long: DataFrame, cat_profile: DataFrame, keys: Sequence[str]
         F.sum("_e").alias("expected_total"),
         F.sum((F.col("_o") - F.col("_e")) * (F.col("_o") - F.col("_e")) / F.col("_e")).alias("_stat"),
     )
-    rel = F.abs(F.col("observed_total") - F.col("expected_total")) / F.least(
-        F.col("observed_total"), F.col("expected_total"))
+    # nothing observed in any baseline category: no finite difference, so a mismatch
+    rel = F.coalesce(F.try_divide(F.abs(F.col("observed_total") - F.col("expected_total")), F.least(
+        F.col("observed_total"), F.col("expected_total"))), F.lit(float("inf")))
     status = (
         F.when(F.col("k") <= 1, F.lit("too_few_categories"))
         .when(rel > CHI2_SUM_RTOL, F.lit("sum_mismatch"))

@@ -30,12 +30,16 @@ def _hash_order(id_col: str, seed: int) -> Column:
 
 
 def split_quotas(df: DataFrame, label: str, test_size: float = TEST_SIZE) -> DataFrame:
-    """Per class ``label, n_class, n_train, n_test`` (largest remainder)."""
+    """Per class ``label, n_class, n_train, n_test`` (largest remainder). A class with
+    one row cannot be in both parts: that is an error."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+    per = per.withColumn("n_class", F.when(F.col("n_class") < 2, F.raise_error(F.concat(
+        F.lit("stratified split: class with one row: "), F.col(label).cast("string"))).cast("long")).otherwise(F.col("n_class")))
     w = Window.partitionBy(F.lit(0))  # one row per class
     t = per.withColumn("_n", F.sum("n_class").over(w))
     t = t.withColumn("_ntrain", F.col("_n") - F.ceil(F.lit(test_size) * F.col("_n")))
-    t = t.withColumn("_exact", F.col("_ntrain") * F.col("n_class") / F.col("_n"))
+    product = F.col("_ntrain").cast("decimal(19,0)") * F.col("n_class").cast("decimal(19,0)")  # beyond the range of a long
+    t = t.withColumn("_exact", product.cast("double") / F.col("_n"))
     t = t.withColumn("_floor", F.floor("_exact")).withColumn("_frac", F.col("_exact") - F.col("_floor"))
     t = t.withColumn("_left", F.col("_ntrain") - F.sum("_floor").over(w))
     t = t.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_frac"), F.asc(label))))
@@ -140,7 +144,7 @@ def roc_auc(df: DataFrame, label: str, score_col: str, keys: Sequence[str] = ())
         F.sum(F.col("_pos") * ((F.col("_neg_cum") - F.col("_neg")) + F.col("_neg") / 2.0)).alias("_num"),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     return part.select(*keys, "n_pos", "n_neg",
-                       F.try_divide(F.col("_num"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("roc_auc"))
+                       F.try_divide(F.col("_num"), F.col("n_pos").cast("double") * F.col("n_neg").cast("double")).alias("roc_auc"))
 
 
 def run_metadata(spark, model_version: str, model_type: str, metrics: DataFrame, n_train: int, n_test: int,

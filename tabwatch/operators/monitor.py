@@ -88,11 +88,13 @@ def bucket_quantiles(hist: DataFrame, qs: Sequence[float] = (0.5, 0.95, 0.99),
 
 def request_rate(log: DataFrame, keys: Sequence[str] = ("endpoint", "model_version"),
                  window: str = "1 minute") -> DataFrame:
-    """H5: ``window_start, keys..., per_minute, per_second`` over tumbling windows."""
+    """H5: ``window_start, keys..., per_minute, per_second`` over tumbling windows;
+    for other than minute windows ``per_minute`` is the rounded mean."""
     w = F.window("ts", window)
-    agg = log.groupBy(w.alias("w"), *keys).agg(F.sum("batch_size").cast("long").alias("per_minute"))
-    return agg.select(F.col("w.start").alias("window_start"), *keys, "per_minute",
-                      (F.col("per_minute") / 60.0).alias("per_second"))
+    agg = log.groupBy(w.alias("w"), *keys).agg(F.sum("batch_size").cast("long").alias("_all"))
+    per_second = F.col("_all") / (F.unix_seconds("w.end") - F.unix_seconds("w.start")).cast("double")
+    return agg.select(F.col("w.start").alias("window_start"), *keys,
+                      F.round(per_second * 60).cast("long").alias("per_minute"), per_second.alias("per_second"))
 
 
 def error_rate(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
@@ -124,11 +126,11 @@ def status_band(c: Column, warn: float, crit: float) -> Column:
             .when(c >= warn, F.lit("yellow")).otherwise(F.lit("green")))
 
 
-def limit_audit(log: DataFrame, window: str = "1 minute") -> DataFrame:
-    """Requests over the per-minute limit per client and endpoint:
+def limit_audit(log: DataFrame, window: str = "1 minute", limits: dict[str, int] | None = None) -> DataFrame:
+    """Requests over the limit of a window per client and endpoint:
     ``client, endpoint, window_start, calls, limit, excess``."""
     lim = F.lit(DEFAULT_RATE_LIMIT)
-    for ep, v in RATE_LIMITS.items():
+    for ep, v in (RATE_LIMITS if limits is None else limits).items():
         lim = F.when(F.col("endpoint") == ep, F.lit(v)).otherwise(lim)
     agg = log.groupBy("client", "endpoint", F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("calls"))
     agg = agg.withColumn("limit", lim)

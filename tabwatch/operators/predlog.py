@@ -20,13 +20,17 @@ ARRIVAL_ORDER = ("ts", "request_id", "pos")
 DRIFT_WINDOW = 1000
 RETENTION = 10 * DRIFT_WINDOW
 CHECK_INTERVAL_S = 3600
+SALTS = 64
+#: Most distinct keys of a map that become columns.
+MAX_COLUMNS = 10_000
 
 
-def ingest(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
-    """A3: stamp the time when a record has none."""
+def ingest(df: DataFrame, ts_col: str = "timestamp", now: Column | None = None) -> DataFrame:
+    """A3: stamp the time (``now``, by default the query's) when a record has none."""
+    now = F.current_timestamp() if now is None else now
     if ts_col not in df.columns:
-        return df.withColumn(ts_col, F.current_timestamp())
-    return df.withColumn(ts_col, F.coalesce(F.col(ts_col).cast("timestamp"), F.current_timestamp()))
+        return df.withColumn(ts_col, now)
+    return df.withColumn(ts_col, F.coalesce(F.col(ts_col).cast("timestamp"), now))
 
 
 def flatten_batch(df: DataFrame, instances_col: str, predictions_col: str,
@@ -43,12 +47,16 @@ def records_to_table(df: DataFrame, features_col: str, names: Sequence[str] | No
     """A5: feature records (struct or map) to columns; missing keys become NULL.
 
     For a map without ``names``, the union of keys is found with a distributed
-    distinct (the key set is schema-sized) and read back as metadata."""
+    distinct and read back as metadata; more than ``MAX_COLUMNS`` keys are an error,
+    as no table is that wide."""
     dt = df.schema[features_col].dataType.typeName()
     if dt == "struct":
         return df.select(*keep, f"{features_col}.*")
     if names is None:
-        names = sorted(r[0] for r in df.select(F.explode(F.map_keys(features_col))).distinct().collect())
+        found = df.select(F.explode(F.map_keys(features_col))).distinct().limit(MAX_COLUMNS + 1).collect()
+        if len(found) > MAX_COLUMNS:
+            raise ValueError(f"{features_col} has more than {MAX_COLUMNS} distinct keys; name the wanted ones")
+        names = sorted(r[0] for r in found)
     return df.select(*keep, *[F.col(features_col).getItem(n).alias(n) for n in names])
 
 
@@ -66,8 +74,13 @@ def last_n(log: DataFrame, n: int, keys: Sequence[str] = (), order: Sequence[str
         top = log.orderBy(*_order(order, True)).limit(n)
         w = Window.partitionBy(F.lit(0)).orderBy(*_order(order, False))  # at most n rows
         return top.withColumn("seq", F.row_number().over(w))
+    # the newest n of a key are among the newest n of each of its salted parts, so a
+    # hot key is cut in SALTS tasks before its last cut gathers at most n * SALTS rows
+    salted = log.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    part = Window.partitionBy(*keys, "_salt").orderBy(*_order(order, True))
+    few = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_rn", "_salt")
     w = Window.partitionBy(*keys).orderBy(*_order(order, True))
-    kept = log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    kept = few.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     w2 = Window.partitionBy(*keys).orderBy(*_order(order, False))  # at most n rows per key
     return kept.drop("_rn").withColumn("seq", F.row_number().over(w2))
 

@@ -63,7 +63,8 @@ def categorical_profile(df: DataFrame, features: Sequence[str] | None = None,
     """Top-``k`` categories per feature with their share of non-null rows.
 
     ``keys..., feature, category, count, share, rank, n_unique, n, missing_rate``.
-    Ties in count are broken by category ascending.
+    Ties in count are broken by category ascending. A feature without any non-null
+    value has one row with a null category, ``n_unique`` 0 and its missing rate.
     """
     keys = list(keys)
     features = list(features) if features is not None else categorical_columns(df, exclude=keys)
@@ -85,9 +86,9 @@ def categorical_profile(df: DataFrame, features: Sequence[str] | None = None,
     # gathered into one task
     top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return (
-        top.join(totals, [*keys, "feature"])
-        .select(*keys, "feature", "category", "count",
-                (F.col("count") / F.col("n")).alias("share"),
+        totals.join(top, [*keys, "feature"], "left")
+        .select(*keys, "feature", "category", F.coalesce("count", F.lit(0).cast("long")).alias("count"),
+                F.try_divide(F.col("count").cast("double"), F.col("n").cast("double")).alias("share"),
                 F.col("rank").cast("int").alias("rank"), "n_unique", "n", "missing_rate")
     )
 

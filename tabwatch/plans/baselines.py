@@ -11,6 +11,7 @@ builds a new artifact.  Profile queries (D1-D9) always compute afresh.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +44,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def stored_baseline(spark: SparkSession, name: str, inputs: Sequence[str],
-                    build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the baseline artifact ``name`` built from ``inputs``; build it once."""
-    key = hashlib.sha256(repr((name, _file_identity(spark, inputs))).encode()).hexdigest()[:24]
+                    build: Callable[[], DataFrame], spec: object = ()) -> DataFrame:
+    """Read the baseline artifact ``name`` built from ``inputs`` under ``spec`` (split,
+    features); build it once. Each build writes a folder of its own and is known only
+    once complete, so concurrent jobs never overwrite what another one reads."""
+    key = hashlib.sha256(repr((name, spec, checkpoint_dir(spark), _file_identity(spark, inputs))).encode()).hexdigest()[:24]
     path = _BUILT.get(key)
     if path is not None and not _exists(spark, f"{path}/_SUCCESS"):
         path = None  # the folder was cleaned: build again
     if path is None:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tabwatch-baselines/{name}-{key}"
-        build().write.mode("overwrite").parquet(path)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tabwatch-baselines/{name}-{key}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
         _BUILT[key] = path
     return spark.read.parquet(path)

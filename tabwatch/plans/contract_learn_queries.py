@@ -39,32 +39,57 @@ def c3_describe_columns(spark, sf):
 
 
 def c4_validate_contract(spark, sf):
-    """Supplier rows (renamed to the customer prefix) against the customer contract."""
+    """Supplier rows (renamed to the customer prefix) against the customer contract:
+    schema errors, and columns with records that do not conform."""
     cust = read_table(spark, sf, "customer")
     sup = read_table(spark, sf, "supplier")
     sup = sup.select(*[F.col(c).alias("c_" + c[2:]) for c in sup.columns])
+    # a tenth of the names are numbers in disguise, to be told from the contract's numbers
+    sup = sup.withColumn("c_acctbal", F.when(F.col("c_suppkey") % 10 == 0, F.concat(F.lit("about "), F.col("c_acctbal").cast("string"))).otherwise(F.col("c_acctbal").cast("string")))
     contract = C.structural_schema(cust)
-    return C.validate_contract(sup, contract, n_features=len(cust.columns))
-
-
-def _props_map(col="props"):
-    return F.from_json(F.col(col), "map<string,double>")
+    schema = C.validate_contract(sup, contract, n_features=len(cust.columns))
+    records = C.conforming_records(sup, contract).where("n_conforming < n_records")
+    return schema.unionByName(records.select(F.lit("records").alias("error_type"), F.col("name").alias("column"),
+                                             F.col("n_records").cast("string").alias("expected"), F.col("n_conforming").cast("string").alias("actual")))
 
 
 def c5_check_records(spark, sf):
-    ev = read_table(spark, sf, "events").withColumn("features", _props_map())
+    """Event properties; every fiftieth event breaks each rule or sits at its limit."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.col("event_id") % 50
+    names = (F.when(kind == 0, F.array().cast("array<string>"))
+             .when(kind == 1, F.transform(F.sequence(F.lit(1), 90 + k % 30), lambda i: F.concat(F.lit("f"), i.cast("string"))))
+             .when(kind == 2, F.array(F.repeat(F.lit("x"), 250 + k % 12)))
+             .otherwise(F.map_keys(F.from_json("props", "map<string,double>"))))
+    ev = read_table(spark, sf, "events").withColumn("features", F.map_from_arrays(names, F.transform(names, lambda n: F.lit(1.0))))
     return C.check_records(ev, "features").select("event_id", "n_features", "error")
 
 
 def c6_check_batches(spark, sf):
-    return C.check_batches(read_table(spark, sf, "events"), "user_id")
+    """A request per event with 25 instances for each unit of its property (0 to over 1000)."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    n = k * 25
+    inst = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    ev = read_table(spark, sf, "events").withColumn("instances", inst)
+    return C.check_batch_arrays(ev, "instances").select(F.col("event_id").alias("batch"), "n_instances", "status")
+
+
+def scoring_records(spark, sf):
+    """Events as scoring requests ``k, value``; some of each forty break each rule."""
+    k, v, kind = F.get_json_object("props", "$.k"), F.col("value").cast("string"), F.col("event_id") % 40
+    name_k, name_v = F.lit("k"), F.lit("value")
+    feats = (F.when(kind == 0, F.create_map(name_k, k, name_v, v, F.lit("extra"), F.lit("1")))
+             .when(kind == 1, F.create_map(name_k, k))
+             .when(kind == 2, F.create_map(name_k, F.concat(F.lit("x"), k), name_v, v))
+             .when(kind == 3, F.create_map(name_k, k, name_v, F.lit("NaN")))
+             .when(kind == 4, F.create_map(name_k, F.lit("Infinity"), name_v, v))
+             .when(kind == 5, F.create_map(name_v, v, name_k, k))
+             .otherwise(F.create_map(name_k, k, name_v, v)))
+    return read_table(spark, sf, "events").withColumn("features", feats)
 
 
 def c7_validate_for_scoring(spark, sf):
-    ev = read_table(spark, sf, "events")
-    feats = F.map_concat(F.from_json("props", "map<string,string>"),
-                         F.create_map(F.lit("value"), F.col("value").cast("string")))
-    out = C.validate_for_scoring(ev.withColumn("features", feats), "features", ["k", "value"])
+    out = C.validate_for_scoring(scoring_records(spark, sf), "features", ["k", "value"], strict=True)
     return out.select("event_id", "error_type", "invalid_features")
 
 
@@ -197,7 +222,7 @@ def o_c3() -> str:
     for c in cols:
         if c in numeric:
             v = f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END"
-            parts.append(f"""SELECT '{c}' AS name, 'numeric' AS type, count(DISTINCT {v}) AS num_unique,
+            parts.append(f"""SELECT '{c}' AS name, 'numeric' AS type, count(DISTINCT {c}) AS num_unique,
                 count(*) - count({v}) AS num_missing, CAST(count(*) - count({v}) AS DOUBLE) / count(*) AS missing_rate,
                 min({v}) AS min, max({v}) AS max, avg({v}) AS mean, stddev_samp({v}) AS std FROM orders""")
         else:
@@ -214,46 +239,45 @@ def o_c3() -> str:
 
 def o_c4() -> str:
     return f"""WITH e AS ({_cols_cte({'customer': None})}),
-        a AS (SELECT replace(column_name, 's_', 'c_') AS column_name, dtype, pos FROM ({_cols_cte({'supplier': None})})),
+        a0 AS (SELECT replace(column_name, 's_', 'c_') AS column_name, dtype, pos FROM ({_cols_cte({'supplier': None})})),
+        a AS (SELECT column_name, CASE WHEN column_name = 'c_acctbal' THEN 'object' ELSE dtype END AS dtype, pos FROM a0),
         en AS (SELECT string_agg(column_name, ',' ORDER BY pos) AS names, count(*) AS n FROM e),
-        an AS (SELECT string_agg(column_name, ',' ORDER BY pos) AS names, count(*) AS n FROM a)
+        an AS (SELECT string_agg(column_name, ',' ORDER BY pos) AS names, count(*) AS n FROM a),
+        r AS (SELECT count(*) AS n, count(s_name) AS c_name, count(s_nationkey) AS c_nationkey,
+              count(CASE WHEN s_suppkey % 10 <> 0 THEN s_acctbal END) AS c_acctbal FROM supplier)
         SELECT 'feature_count' AS error_type, CAST(NULL AS VARCHAR) AS "column", CAST(en.n AS VARCHAR) AS expected,
                CAST(an.n AS VARCHAR) AS actual FROM en, an WHERE en.n <> an.n
         UNION ALL SELECT 'feature_names', NULL, en.names, an.names FROM en, an WHERE en.names <> an.names
-        UNION ALL SELECT 'dtype', e.column_name, e.dtype, a.dtype FROM e JOIN a USING (column_name) WHERE e.dtype <> a.dtype"""
+        UNION ALL SELECT 'dtype', e.column_name, e.dtype, a.dtype FROM e JOIN a USING (column_name) WHERE e.dtype <> a.dtype
+        UNION ALL SELECT 'records', c, CAST(n AS VARCHAR), CAST(x AS VARCHAR) FROM (
+            SELECT n, 'c_custkey' AS c, 0 AS x FROM r UNION ALL SELECT n, 'c_mktsegment', 0 FROM r
+            UNION ALL SELECT n, 'c_name', c_name FROM r UNION ALL SELECT n, 'c_nationkey', c_nationkey FROM r
+            UNION ALL SELECT n, 'c_acctbal', c_acctbal FROM r) WHERE x < n"""
 
 
 def o_c5() -> str:
-    return """SELECT event_id, CAST(coalesce(len(json_keys(props)), 0) AS INTEGER) AS n_features,
-        CASE WHEN props IS NULL OR len(json_keys(props)) = 0 THEN 'empty_features'
-             WHEN len(json_keys(props)) > 100 THEN 'too_many_features'
-             WHEN len(list_filter(json_keys(props), lambda k: length(k) > 256)) > 0 THEN 'feature_name_too_long'
-        END AS error FROM events"""
+    return """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, props FROM events),
+        f AS (SELECT event_id, CASE event_id % 50 WHEN 0 THEN [] WHEN 1 THEN list_transform(range(1, 91 + k % 30), lambda i: 'f' || i)
+              WHEN 2 THEN [repeat('x', CAST(250 + k % 12 AS INTEGER))] ELSE json_keys(props) END AS names FROM e)
+        SELECT event_id, CAST(coalesce(len(names), 0) AS INTEGER) AS n_features,
+        CASE WHEN names IS NULL OR len(names) = 0 THEN 'empty_features'
+             WHEN len(names) > 100 THEN 'too_many_features'
+             WHEN len(list_filter(names, lambda k: length(k) > 256)) > 0 THEN 'feature_name_too_long'
+        END AS error FROM f"""
 
 
 def o_c6() -> str:
-    return """SELECT user_id AS batch, count(*) AS n_instances,
-        CASE WHEN count(*) < 1 THEN 'empty' WHEN count(*) > 1000 THEN 'too_large' ELSE 'ok' END AS status
-        FROM events GROUP BY user_id"""
+    return """SELECT event_id AS batch, n AS n_instances,
+        CASE WHEN n < 1 THEN 'empty' WHEN n > 1000 THEN 'too_large' ELSE 'ok' END AS status
+        FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) * 25 AS n FROM events)"""
 
 
 def o_c7() -> str:
-    # keys are exactly {k, value} and both values parse as float for these rows;
-    # the expression still spells out the rule order
-    return """WITH r AS (SELECT event_id, list_sort(json_keys(props) || ['value']) AS keys,
-            TRY_CAST(json_extract_string(props, '$.k') AS FLOAT) AS k, CAST(value AS FLOAT) AS v,
-            json_extract_string(props, '$.k') AS k_raw FROM events)
-        SELECT event_id,
-            CASE WHEN keys <> ['k', 'value'] THEN 'schema'
-                 WHEN (k_raw IS NOT NULL AND k IS NULL) THEN 'invalid_value'
-                 WHEN k IS NULL OR isnan(k) OR isinf(k) OR v IS NULL OR isnan(v) OR isinf(v) THEN 'non_finite' END AS error_type,
-            CASE WHEN keys <> ['k', 'value'] THEN array_to_string(list_sort(list_filter(list_distinct(keys || ['k', 'value']),
-                    lambda x: NOT (list_contains(keys, x) AND list_contains(['k', 'value'], x)))), ',')
-                 WHEN (k_raw IS NOT NULL AND k IS NULL) THEN 'k'
-                 WHEN k IS NULL OR isnan(k) OR isinf(k) OR v IS NULL OR isnan(v) OR isinf(v) THEN
-                    array_to_string(list_filter(['k', 'value'], lambda n: (n = 'k' AND (k IS NULL OR isnan(k) OR isinf(k)))
-                        OR (n = 'value' AND (v IS NULL OR isnan(v) OR isinf(v)))), ',') END AS invalid_features
-        FROM r"""
+    return """SELECT event_id,
+        CASE event_id % 40 WHEN 0 THEN 'schema' WHEN 1 THEN 'schema' WHEN 2 THEN 'invalid_value'
+             WHEN 3 THEN 'non_finite' WHEN 4 THEN 'non_finite' WHEN 5 THEN 'schema' END AS error_type,
+        CASE event_id % 40 WHEN 0 THEN 'extra' WHEN 1 THEN 'value' WHEN 2 THEN 'k'
+             WHEN 3 THEN 'value' WHEN 4 THEN 'k' WHEN 5 THEN 'value,k' END AS invalid_features FROM events"""
 
 
 def o_f1() -> str:

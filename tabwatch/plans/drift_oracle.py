@@ -144,7 +144,9 @@ def sample_ctes(prof: str, name: str, n: int = 10000) -> list[tuple[str, str]]:
         FROM {prof} p CROSS JOIN range(0, {n}) d""")]
 
 
-def cat_profile_ctes(name: str, src: str, feats: list[str], k: int = 10) -> list[tuple[str, str]]:
+def cat_profile_ctes(name: str, src: str, feats: list[str], k: int = 10, rounded: bool = True) -> list[tuple[str, str]]:
+    share = "CAST(count AS DOUBLE) / n"
+    share = f"round({share}, 6)" if rounded else share
     return [
         (f"{name}_long", long_sql(src, feats, keep_null=True, string=True)),
         (f"{name}_tot", f"""SELECT feature, count(v) AS n,
@@ -154,7 +156,7 @@ def cat_profile_ctes(name: str, src: str, feats: list[str], k: int = 10) -> list
         (f"{name}_uniq", f"SELECT feature, count(*) AS n_unique FROM {name}_cnt GROUP BY feature"),
         (f"{name}_rank", f"""SELECT *, row_number() OVER (PARTITION BY feature ORDER BY count DESC, category ASC) AS rank
             FROM {name}_cnt"""),
-        (name, f"""SELECT feature, category, count, round(CAST(count AS DOUBLE) / n, 6) AS share,
+        (name, f"""SELECT feature, category, count, {share} AS share,
             CAST(rank AS INTEGER) AS rank, n_unique, n, round(missing_rate, 6) AS missing_rate
             FROM {name}_rank JOIN {name}_tot USING (feature) JOIN {name}_uniq USING (feature) WHERE rank <= {k}"""),
     ]
@@ -221,7 +223,7 @@ def r6_all(cols: list[str]) -> str:
 
 # -------------------------------------------------------------------- queries
 def q_d1() -> str:
-    return with_(li_profile(), "SELECT * FROM prof")
+    return with_(numeric_profile_ctes("prof", "lineitem", LINEITEM_NUMERIC), "SELECT * FROM prof")
 
 
 def q_d2() -> str:
@@ -242,14 +244,18 @@ def score_base_ctes() -> list[tuple[str, str]]:
     ]
 
 
+def score_all_ctes() -> list[tuple[str, str]]:
+    return [("sb", f"SELECT {score_expr()} AS score FROM lineitem")]
+
+
 def q_d5() -> str:
-    return with_(score_base_ctes(), """SELECT count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std,
+    return with_(score_all_ctes(), """SELECT count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std,
         round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.5), 6) AS p50,
         round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.95), 6) AS p95 FROM sb""")
 
 
 def q_d6() -> str:
-    return with_(score_base_ctes() + hist20_ctes("sb", "score", "h"),
+    return with_(score_all_ctes() + hist20_ctes("sb", "score", "h"),
                  "SELECT bin, round(lo, 6) AS lo, round(hi, 6) AS hi, count FROM h")
 
 
@@ -282,20 +288,19 @@ def q_d4() -> str:
     pstats = ["mean", "std", "p25", "p50", "p75", "p95"]
     pred_rows = " UNION ALL ".join(
         f"SELECT 'prediction' AS section, 'score' AS feature, '{s}' AS stat, {s} AS value FROM sp" for s in pstats)
-    ctes = (li_halves()
-            + [("npl", long_sql("li_base", LINEITEM_NUMERIC, keep_null=True))]
+    ctes = ([("npl", long_sql("lineitem", LINEITEM_NUMERIC, keep_null=True))]
             + [("np", """SELECT feature, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max,
                 quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75,
                 quantile_cont(v, 0.95) AS p95,
                 avg(CASE WHEN v IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS missing_rate
                 FROM npl GROUP BY feature""")]
-            + cat_profile_ctes("cp", "li_base", LINEITEM_CATEGORICAL)
-            + [("sb", f"SELECT {score_expr()} AS score FROM li_base"),
+            + cat_profile_ctes("cp", "lineitem", LINEITEM_CATEGORICAL)
+            + [("sb", f"SELECT {score_expr()} AS score FROM lineitem"),
                ("sp", """SELECT avg(score) AS mean, stddev_pop(score) AS std, quantile_cont(score, 0.25) AS p25,
                 quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75, quantile_cont(score, 0.95) AS p95 FROM sb""")]
             + hist20_ctes("sb", "score", "h"))
     final = f"""SELECT section, feature, stat, round(value, 6) AS value FROM (
-        SELECT 'dataset' AS section, '' AS feature, 'n_samples' AS stat, CAST(count(*) AS DOUBLE) AS value FROM li_base
+        SELECT 'dataset' AS section, '' AS feature, 'n_samples' AS stat, CAST(count(*) AS DOUBLE) AS value FROM lineitem
         UNION ALL {num_rows}
         UNION ALL SELECT 'categorical', feature, 'share:' || category, share FROM cp
         UNION ALL SELECT DISTINCT 'categorical', feature, 'n_unique', CAST(n_unique AS DOUBLE) FROM cp
@@ -370,11 +375,24 @@ def q_e5_profile() -> str:
 def orders_chi_ctes() -> list[tuple[str, str]]:
     return ([("ob", f"SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{ORDERS_SPLIT}'"),
              ("oc", f"SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '{ORDERS_SPLIT}'")]
-            + cat_profile_ctes("ocp", "ob", ORDERS_CATEGORICAL)
+            + cat_profile_ctes("ocp", "ob", ORDERS_CATEGORICAL, rounded=False)
             + [("oc_long", long_sql("oc", ORDERS_CATEGORICAL, string=True))]
             + chi_ctes("oc_long", "ocp", "chi"))
 
 
+def chi_tail_sql(stat: str, dof: str) -> str:
+    """Upper tail for even degrees of freedom: exp(-h) * sum of h^i / i!, i < dof / 2."""
+    h = f"({stat} / 2.0)"
+    return (f"CASE WHEN {stat} <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, {dof} // 2), "
+            f"lambda i: exp(i * ln({h}) - lgamma(i + 1.0) - {h})))) END")
+
+
+def q_e7_test() -> str:
+    return with_(orders_chi_ctes(), f"""SELECT feature, k, round(observed_total, 6) AS observed_total,
+        round(expected_total, 6) AS expected_total, round(chi2_statistic, 6) AS chi2_statistic, dof, status,
+        round({chi_tail_sql('chi2_statistic', 'dof')}, 6) AS chi2_pvalue FROM chi""")
+
+
 def q_e7() -> str:
     return with_(orders_chi_ctes(), """SELECT feature, k, round(observed_total, 6) AS observed_total,
         round(expected_total, 6) AS expected_total, round(chi2_statistic, 6) AS chi2_statistic, dof, status FROM chi""")
@@ -431,7 +449,8 @@ def feature_drift_ctes() -> list[tuple[str, str]]:
         UNION ALL SELECT feature, 'ks_statistic', ks_statistic FROM ksp
         UNION ALL SELECT feature, 'ks_pvalue', ks_pvalue FROM ksp
         UNION ALL SELECT feature, 'mean_shift', mean_shift FROM ms
-        UNION ALL SELECT feature, 'chi2_statistic', chi2_statistic FROM chi WHERE status <> 'too_few_categories'""")]
+        UNION ALL SELECT feature, 'chi2_statistic', chi2_statistic FROM chi WHERE status <> 'too_few_categories'
+        UNION ALL SELECT feature, 'chi2_pvalue', """ + chi_tail_sql("chi2_statistic", "dof") + """ FROM chi WHERE status <> 'too_few_categories'""")]
     return ctes
 
 
@@ -482,6 +501,7 @@ ORACLE = {
     "e6_mean_shift": q_e6,
     "e7_chi_square": q_e7,
     "e7_chi_square_part": q_e7_part,
+    "e7_chi_square_test": q_e7_test,
     "e8_score_drift": q_e8,
     "e9_class_drift": q_e9,
     "e10_feature_drift": q_e10,

@@ -16,7 +16,8 @@ from tabwatch.sources.derived import (
     version_of,
 )
 from tabwatch.plans.baselines import stored_baseline
-from tabwatch.sources.tables import read_table
+from tabwatch.plans.contract_learn_queries import scoring_records
+from tabwatch.sources.tables import read_table, ts_lit
 from tabwatch.streaming.windows import windowed_numeric_drift
 
 # Fixed values of these plans (mirrored in the SQL below).
@@ -25,6 +26,10 @@ GLOBAL_LAST_N = 1000
 RETAIN_PER_VERSION = 2000
 CHECK_STATE_TS = "2024-01-20 00:00:00"
 EVENTS_BASELINE_END = "2024-01-08 00:00:00"
+STAMP = "2024-03-01 12:00:00"
+# limits of the audit and the alert rule that the given rows do exceed
+AUDIT_WINDOW, AUDIT_LIMITS = "1 day", {SINGLE_ENDPOINT: 3, BATCH_ENDPOINT: 2}
+ALERT_PSI, ALERT_KS = 0.01, 0.5
 
 
 def _rl(spark, sf):
@@ -37,8 +42,10 @@ def _pl(spark, sf):
 
 # ----------------------------------------------------------------- A / G
 def a3_ingest(spark, sf):
-    ev = read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("timestamp"))
-    return G.ingest(ev).select("event_id", ts_string("timestamp").alias("timestamp"))
+    """Every seventh record comes without a time and is stamped."""
+    ts = F.when(F.col("event_id") % 7 != 0, F.col("ts").cast("timestamp"))
+    ev = read_table(spark, sf, "events").select("event_id", ts.alias("timestamp"))
+    return G.ingest(ev, now=ts_lit(STAMP)).select("event_id", ts_string("timestamp").alias("timestamp"))
 
 
 def _batches(spark, sf):
@@ -109,7 +116,7 @@ def g9_windowed_drift(spark, sf):
     ev = read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     base = ev.where(F.col("ts") < F.to_timestamp(F.lit(EVENTS_BASELINE_END)))
     prof = stored_baseline(spark, "events_value_profile", [f"{sf.rstrip('/')}/events.parquet"],
-                           lambda: round_floats(D.numeric_profile(base, ["value"])))
+                           lambda: round_floats(D.numeric_profile(base, ["value"])), spec=EVENTS_BASELINE_END)
     out = windowed_numeric_drift(ev, prof, ["value"], "1 day")
     return round_floats(out.select(ts_string("window_start").alias("window_start"), "feature", "metric", "value"))
 
@@ -182,7 +189,7 @@ def h8_log_gauges(spark, sf):
 
 def h9_alert_counts(spark, sf):
     scores = g9_windowed_drift(spark, sf)
-    alerts = E.drift_alerts(scores.withColumn("model_version", F.lit(VERSION_OLD)), keys=["model_version"])
+    alerts = E.drift_alerts(scores.withColumn("model_version", F.lit(VERSION_OLD)), ["model_version"], ALERT_PSI, ALERT_KS)
     return H.alert_counts(alerts)
 
 
@@ -199,7 +206,7 @@ def h10_status_band(spark, sf):
 
 
 def h12_limit_audit(spark, sf):
-    return H.limit_audit(_rl(spark, sf)).withColumn("window_start", ts_string("window_start"))
+    return H.limit_audit(_rl(spark, sf), AUDIT_WINDOW, AUDIT_LIMITS).withColumn("window_start", ts_string("window_start"))
 
 
 def h13_version_changes(spark, sf):
@@ -207,12 +214,8 @@ def h13_version_changes(spark, sf):
 
 
 def h14_validation_error_counts(spark, sf):
-    ev = read_table(spark, sf, "events")
-    feats = F.map_concat(F.from_json("props", "map<string,string>"),
-                         F.create_map(F.lit("value"), F.col("value").cast("string")))
-    ev = ev.withColumn("features", feats).withColumn("model_version", version_of("ts"))
-    checked = validate_for_scoring(ev, "features", ["k", "value"])
-    return H.validation_error_counts(checked)
+    ev = scoring_records(spark, sf).withColumn("model_version", version_of("ts"))
+    return H.validation_error_counts(validate_for_scoring(ev, "features", ["k", "value"], strict=True))
 
 
 def h15_clean_request_id(spark, sf):
@@ -278,7 +281,7 @@ BOUNDS = "[" + ", ".join(f"CAST({b!r} AS DOUBLE)" for b in H.LATENCY_BUCKETS) +
 
 
 def o_a3():
-    return f"SELECT event_id, strftime(CAST(ts AS TIMESTAMP), {TS}) AS timestamp FROM events"
+    return f"SELECT event_id, strftime(CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS TIMESTAMP) ELSE TIMESTAMP '{STAMP}' END, {TS}) AS timestamp FROM events"
 
 
 def o_a4():
@@ -450,8 +453,8 @@ def o_h9():
     from tabwatch.plans.drift_oracle import with_
     return with_(g9_ctes(), f"""SELECT '{VERSION_OLD}' AS model_version, feature,
         CASE WHEN metric = 'psi' THEN 'psi' ELSE 'ks_test' END AS drift_type, count(*) AS alerts
-        FROM g9 WHERE value IS NOT NULL AND NOT isnan(value) AND ((metric = 'psi' AND value > 0.2)
-              OR (metric = 'ks_pvalue' AND feature <> 'prediction' AND value < 0.1)) GROUP BY ALL""")
+        FROM g9 WHERE value IS NOT NULL AND NOT isnan(value) AND ((metric = 'psi' AND value > {ALERT_PSI})
+              OR (metric = 'ks_pvalue' AND feature <> 'prediction' AND value < {ALERT_KS})) GROUP BY ALL""")
 
 
 def o_h10():
@@ -465,8 +468,8 @@ def o_h10():
 
 
 def o_h12():
-    lim = f"CASE endpoint WHEN '{SINGLE_ENDPOINT}' THEN {H.RATE_LIMITS[SINGLE_ENDPOINT]} WHEN '{BATCH_ENDPOINT}' THEN {H.RATE_LIMITS[BATCH_ENDPOINT]} ELSE {H.DEFAULT_RATE_LIMIT} END"
-    return f"""WITH rl AS ({RL}), a AS (SELECT client, endpoint, time_bucket(INTERVAL '1 minute', ts) AS w, count(*) AS calls
+    lim = f"CASE endpoint WHEN '{SINGLE_ENDPOINT}' THEN {AUDIT_LIMITS[SINGLE_ENDPOINT]} WHEN '{BATCH_ENDPOINT}' THEN {AUDIT_LIMITS[BATCH_ENDPOINT]} ELSE {H.DEFAULT_RATE_LIMIT} END"
+    return f"""WITH rl AS ({RL}), a AS (SELECT client, endpoint, time_bucket(INTERVAL '1 day', ts) AS w, count(*) AS calls
         FROM rl GROUP BY ALL)
         SELECT client, endpoint, strftime(w, {TS}) AS window_start, calls, CAST({lim} AS INTEGER) AS "limit",
             calls - {lim} AS excess FROM a WHERE calls > {lim}"""

@@ -4,9 +4,9 @@ A window ``PARTITION BY feature ORDER BY v`` puts a whole feature (or a whole
 environment, or the whole log) into one task.  Every order-dependent operator in
 the library goes through the helpers below instead:
 
-1. range-bucket the order column per key: exact per-key min/max, a fine grid of
-   cells with exact counts, cells equalised into buckets by cumulative count, and
-   cells holding one hot value split again by the next order column;
+1. range-bucket the order column per key: cells of fixed width with exact counts,
+   equalised into buckets by cumulative count; a cell with more than a bucket's
+   share is split over its own range, one hot value by the next order column;
 2. aggregate a tiny ``(key, bucket)`` table and prefix-sum it;
 3. run the real window per ``(key, bucket)`` and add the carried-in offset.
 
@@ -43,17 +43,25 @@ def _order_value(df: DataFrame, c: str) -> Column:
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(c)).cast("double")
     if isinstance(dt, T.StringType):
-        # first 6 UTF-8 bytes as a big-endian number: monotone in Spark's binary
-        # string order (exact ties are ordered inside the bucket)
-        return F.conv(F.rpad(F.substring(F.hex(F.col(c)), 1, 12), 12, "0"), 16, 10).cast("double")
+        return _text_value(F.hex(F.col(c)), F.lit(0))
     return F.col(c).cast("double")
 
 
+def _text_value(hexed: Column, skip: Column) -> Column:
+    """Six UTF-8 bytes after the first ``skip`` hex digits as a big-endian number:
+    monotone in Spark's binary string order among texts that share those digits."""
+    return F.conv(F.rpad(F.substr(hexed, skip + 1, F.lit(12)), 12, "0"), 16, 10).cast("double")
+
+
+def _shared_digits(a: Column, b: Column) -> Column:
+    """How many leading hex digits two texts share."""
+    return F.length(F.regexp_extract(F.concat(a, F.lit("x"), b), "^([0-9A-F]*)[0-9A-F]*x\\1", 1))
+
+
 def _small(df: DataFrame, small_keys: bool) -> DataFrame:
-    """Per-(key, bucket) side tables hold #keys x #buckets rows.  With
-    low-cardinality keys (features, environments, one global key) that is a few
-    KB, so they are broadcast; a shuffle join would hash-partition the big side
-    by the key alone and put a whole key into one task.  Callers with
+    """Per-(key, cell) side tables are bounded per key (see :func:`range_bucket`).
+    With schema-bounded keys (features, environments, one global key) they are
+    broadcast; a shuffle join would move the big side for a few MB.  Callers with
     high-cardinality keys pass ``small_keys=False`` (the key itself then spreads
     the rows)."""
     return F.broadcast(df) if small_keys else df
@@ -89,18 +97,43 @@ def count_below(sorted_arr: Column, v: Column, m: int, inclusive: bool = False)
     return search(0, m)
 
 
+# Grid sizes, the same at every number of shuffle partitions.
+MAX_BUCKETS, SUB_GRID, SUB_BUCKETS = 512, 8192, 64
+CELLS_PER_LOG, CELL_HOURS = 256, 1
+_INFINITE = 1 << 20  # beyond the cell of every finite number
+
+
+def _is_time(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
+def _is_text(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, T.StringType)
+
+
 def _grid_value(df: DataFrame, c: str) -> Column:
-    """Monotone numeric image of an order column used for gridding: signed log
-    for plain numbers (heavy tails still spread over the grid), linear for times
-    and byte prefixes."""
+    """Monotone numeric image of a number or time: signed log for plain numbers
+    (heavy tails still spread), linear for times."""
     v = _order_value(df, c)
-    dt = df.schema[c].dataType
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType)):
-        return v
-    return F.signum(v) * F.log1p(F.abs(v))
+    return v if _is_time(df, c) else F.signum(v) * F.log1p(F.abs(v))
 
 
-GRID_PER_BUCKET = 64
+def _cell(df: DataFrame, c: str) -> Column:
+    """First-level cell of an order value: fixed widths, so no range is needed first.
+    NULL sorts before all; infinities and NaN have cells of their own, and the
+    finite numbers keep theirs whatever else the column holds."""
+    v = _order_value(df, c)
+    if _is_text(df, c):
+        cell = F.floor(v / float(1 << 24)).cast("long")  # three bytes
+    elif isinstance(df.schema[c].dataType, T.DateType):
+        cell = v.cast("long")
+    elif _is_time(df, c):
+        cell = F.floor(v / (3.6e9 * CELL_HOURS)).cast("long")
+    else:
+        far = F.isnan(v) | (F.abs(v) == float("inf"))
+        cell = F.when(far, F.when(v < 0, -_INFINITE).when(F.isnan(v), _INFINITE + 1).otherwise(_INFINITE).cast("long")).otherwise(
+            F.floor(_grid_value(df, c) * CELLS_PER_LOG).cast("long"))
+    return F.coalesce(cell, F.lit(-(1 << 62)))
 
 
 def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[str],
@@ -109,53 +142,59 @@ def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[s
     """Add ``_bucket``: a bucket id within ``keys`` that is monotone in the order
     ``order_col`` (one column or a list; the first one is gridded).
 
-    Level 1: a grid of ``64 x n`` cells over the exact per-key range, equalised
-    into ``n`` buckets by cumulative exact counts.  Level 2: a cell holding more
-    than a bucket's share gets a finer grid over its own exact range, equalised
-    into sub-buckets; a sub-cell that is a single hot value is spread over its
-    share of sub-buckets by the second order column (or ``tie_value``, a number
-    monotone in the remaining order).  So a timestamp carrying a third of the
-    rows is spread over several tasks.  Rows with a NULL order value sort first.
+    Level 1: cells of fixed width (a share of the value's logarithm, an hour, a day,
+    three bytes), equalised into at most ``MAX_BUCKETS`` buckets by cumulative exact
+    counts.  Level 2: a cell holding more than a bucket's share gets a grid of
+    ``SUB_GRID`` over its own exact range (for texts: over the bytes after those that
+    all its texts share), equalised into ``SUB_BUCKETS``; a sub-cell that is a single
+    hot value is spread over its share of them by the second order column (or
+    ``tie_value``, a number monotone in the remaining order).  So a timestamp or a
+    prefix carrying a third of the rows is spread over several tasks.
+
+    Side tables per key: one row per occupied first-level cell (values over ten
+    orders of magnitude occupy at most some 6000, a year of hours 8760) and at most
+    ``MAX_BUCKETS * (SUB_GRID + 1)`` rows of heavy cells, at any number of rows and
+    partitions.  With ``small_keys`` (schema-bounded keys) they are broadcast.
     """
     cols = [order_col] if isinstance(order_col, str) else list(order_col)
-    n = n_buckets or default_buckets(df)
-    g = n * GRID_PER_BUCKET
-    sub_n = max(4, n)
-    g2 = sub_n * 16
+    c, text = cols[0], _is_text(df, cols[0])
+    n = min(n_buckets or default_buckets(df), MAX_BUCKETS)
+    sub_n = SUB_BUCKETS
     if tie_value is None and len(cols) > 1:
         tie_value = _order_value(df, cols[1])
-    d = df.withColumn("_rb_gv", _grid_value(df, cols[0])).withColumn(
+    d = df.withColumn("_rb_gv", F.hex(c) if text else _grid_value(df, c)).withColumn("_rb_cell", _cell(df, c)).withColumn(
         "_rb_tv", tie_value if tie_value is not None else F.lit(None).cast("double"))
-    rng = d.groupBy(*keys).agg(F.min("_rb_gv").alias("_rb_lo"), F.max("_rb_gv").alias("_rb_hi"))
-    d = _attach(d, rng, keys, small_keys)  # one row per key
-
-    def grid(v, lo, hi, cells):
-        w = hi - lo
-        return (F.when(v.isNull(), F.lit(-1)).when(w <= 0, F.lit(0))
-                .otherwise(F.least(F.floor((v - lo) / w * cells).cast("int"), F.lit(cells - 1))))
-
-    d = d.withColumn("_rb_cell", grid(F.col("_rb_gv"), F.col("_rb_lo"), F.col("_rb_hi"), g)).drop("_rb_lo", "_rb_hi")
-    # level 1: at most #keys x (grid + 1) rows of exact, order-independent numbers
     cells = d.groupBy(*keys, "_rb_cell").agg(F.count(F.lit(1)).alias("_rb_n"), F.min("_rb_gv").alias("_rb_cmin"),
-                                          F.max("_rb_gv").alias("_rb_cmax"))
+                                             F.max("_rb_gv").alias("_rb_cmax"))
     before = _win(keys).orderBy("_rb_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_rb_before", F.coalesce(F.sum("_rb_n").over(before), F.lit(0))).withColumn(
         "_rb_total", F.sum("_rb_n").over(_win(keys)))
-    cells = cells.withColumn("_rb_cb", F.floor(F.col("_rb_before") * n / F.col("_rb_total")).cast("long")).withColumn(
-        "_rb_heavy", (F.col("_rb_n") * n > F.col("_rb_total")) & (F.col("_rb_cmax") > F.col("_rb_cmin")) | (
-            (F.col("_rb_n") * n > F.col("_rb_total")) & F.lit(tie_value is not None)))
-    d = d.join(_small(cells.select(*keys, "_rb_cell", "_rb_cb", "_rb_heavy", "_rb_cmin", "_rb_cmax", F.col("_rb_n").alias("_rb_hn")),
+    share = F.col("_rb_n").cast("double") * n > F.col("_rb_total")
+    cells = cells.withColumn("_rb_cb", F.floor(F.col("_rb_before").cast("double") * n / F.col("_rb_total")).cast("long")).withColumn(
+        "_rb_heavy", share & (F.coalesce(F.col("_rb_cmax") > F.col("_rb_cmin"), F.lit(False)) | F.lit(tie_value is not None)))
+    if text:
+        skip = _shared_digits(F.col("_rb_cmin"), F.col("_rb_cmax"))
+        cells = cells.withColumn("_rb_skip", F.when(F.col("_rb_heavy"), skip)).withColumn(
+            "_rb_cmin", _text_value(F.col("_rb_cmin"), F.col("_rb_skip"))).withColumn("_rb_cmax", _text_value(F.col("_rb_cmax"), F.col("_rb_skip")))
+    else:
+        cells = cells.withColumn("_rb_skip", F.lit(None).cast("int"))
+    d = d.join(_small(cells.select(*keys, "_rb_cell", "_rb_cb", "_rb_heavy", "_rb_cmin", "_rb_cmax", "_rb_skip", F.col("_rb_n").alias("_rb_hn")),
                       small_keys), [*keys, "_rb_cell"], "inner")
-    # level 2, heavy cells only: at most #keys x #buckets x (grid2 + 1) rows
-    d = d.withColumn("_rb_cell2", F.when(F.col("_rb_heavy"), grid(F.col("_rb_gv"), F.col("_rb_cmin"), F.col("_rb_cmax"), g2)))
+    # level 2, heavy cells only
+    v2 = _text_value(F.col("_rb_gv"), F.col("_rb_skip")) if text else F.col("_rb_gv")
+    d = d.withColumn("_rb_v2", F.when(F.col("_rb_heavy"), v2))
+    width = F.col("_rb_cmax") - F.col("_rb_cmin")
+    d = d.withColumn("_rb_cell2", F.when(F.col("_rb_heavy"), F.when(F.col("_rb_v2").isNull() | (F.col("_rb_cmax") == F.col("_rb_cmin")), F.lit(0)).otherwise(
+        F.least(F.floor((F.col("_rb_v2") - F.col("_rb_cmin")) / width * SUB_GRID).cast("int"), F.lit(SUB_GRID - 1)))))
     c2 = d.where(F.col("_rb_heavy")).groupBy(*keys, "_rb_cell", "_rb_cell2").agg(
-        F.count(F.lit(1)).alias("_rb_n2"), F.min("_rb_gv").alias("_rb_vmin"), F.max("_rb_gv").alias("_rb_vmax"),
+        F.count(F.lit(1)).alias("_rb_n2"), F.min(c).alias("_rb_vmin"), F.max(c).alias("_rb_vmax"),
         F.min("_rb_tv").alias("_rb_tmin"), F.max("_rb_tv").alias("_rb_tmax"), F.first("_rb_hn").alias("_rb_hn"))
     b2 = Window.partitionBy(*keys, "_rb_cell").orderBy("_rb_cell2").rowsBetween(Window.unboundedPreceding, -1)
     c2 = c2.withColumn("_rb_b2", F.coalesce(F.sum("_rb_n2").over(b2), F.lit(0)))
-    c2 = c2.withColumn("_rb_s0", F.floor(F.col("_rb_b2") * sub_n / F.col("_rb_hn")).cast("long")).withColumn(
-        "_rb_s1", F.floor((F.col("_rb_b2") + F.col("_rb_n2")) * sub_n / F.col("_rb_hn")).cast("long"))
-    c2 = c2.withColumn("_rb_hot", (F.col("_rb_vmin") == F.col("_rb_vmax")) & (F.col("_rb_tmax") > F.col("_rb_tmin"))
+    c2 = c2.withColumn("_rb_s0", F.floor(F.col("_rb_b2").cast("double") * sub_n / F.col("_rb_hn")).cast("long")).withColumn(
+        "_rb_s1", F.floor((F.col("_rb_b2") + F.col("_rb_n2")).cast("double") * sub_n / F.col("_rb_hn")).cast("long"))
+    finite = (F.abs("_rb_tmin") < float("inf")) & (F.abs("_rb_tmax") < float("inf"))
+    c2 = c2.withColumn("_rb_hot", F.col("_rb_vmin").eqNullSafe(F.col("_rb_vmax")) & (F.col("_rb_tmax") > F.col("_rb_tmin")) & finite
                        & (F.col("_rb_s1") - F.col("_rb_s0") >= 2))
     d = d.join(_small(c2.select(*keys, "_rb_cell", "_rb_cell2", "_rb_s0", "_rb_s1", "_rb_hot", "_rb_tmin", "_rb_tmax"), small_keys),
                [*keys, "_rb_cell", "_rb_cell2"], "left")
@@ -166,8 +205,8 @@ def range_bucket(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[s
            .when(F.col("_rb_hot") & F.col("_rb_tv").isNotNull(), F.col("_rb_s0") + spread)
            .otherwise(F.col("_rb_s0")))
     return d.withColumn(_B, F.col("_rb_cb") * sub_n + F.least(F.coalesce(sub, F.lit(0)), F.lit(sub_n - 1))).drop(
-        "_rb_gv", "_rb_tv", "_rb_cell", "_rb_cb", "_rb_heavy", "_rb_cmin", "_rb_cmax", "_rb_hn", "_rb_cell2", "_rb_s0", "_rb_s1", "_rb_hot",
-        "_rb_tmin", "_rb_tmax")
+        "_rb_gv", "_rb_v2", "_rb_skip", "_rb_tv", "_rb_cell", "_rb_cb", "_rb_heavy", "_rb_cmin", "_rb_cmax", "_rb_hn", "_rb_cell2",
+        "_rb_s0", "_rb_s1", "_rb_hot", "_rb_tmin", "_rb_tmax")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],

@@ -11,31 +11,65 @@ from tabwatch.operators import profile as D
 
 @pytest.fixture(scope="module")
 def table(spark):
-    pdf = pd.DataFrame({"age": [25, 30, 35, 40, 45], "income": [50000, 60000, 70000, 80000, 90000],
-                        "credit_score": [650, 700, 750, 800, 850], "city": ["NYC", "LA", "NYC", "SF", "LA"],
-                        "approved": [0, 1, 1, 1, 0]})
-    return spark.createDataFrame(pdf)
+    """A parcel table: two whole numbers, one more, a text and the target."""
+    return spark.createDataFrame(pd.DataFrame({
+        "weight": [3, 8, 13, 21, 34, 55], "distance": [120, 7, 7, 640, 1, 88], "stops": [0, 1, 0, 2, 0, 3],
+        "depot": ["north", "quay", "quay", "north", "hill", "quay"], "late": [0, 0, 1, 1, 0, 1]}))
 
 
 def test_structural_schema_and_hash(table):
-    rows = C.structural_rows(table, "approved")
-    assert [r["name"] for r in rows] == ["age", "income", "credit_score", "city"]
+    rows = C.structural_rows(table, "late")
+    assert [r["name"] for r in rows] == ["weight", "distance", "stops", "depot"]
     assert [r["position"] for r in rows] == [0, 1, 2, 3]
     assert [r["dtype"] for r in rows] == ["int64", "int64", "int64", "object"]
-    h = C.schema_hash(table, "approved")
+    h = C.schema_hash(table, "late")
     assert re.fullmatch(r"[0-9a-f]{32}", h)
     # statistics never change the hash; structure does
-    assert C.schema_hash(table.withColumn("age", F.col("age") * 2), "approved") == h
-    assert C.schema_hash(table.select("income", "age", "credit_score", "city", "approved"), "approved") != h
-    got = table.select(C.schema_hash_column(table, "approved").alias("h")).first()["h"]
+    assert C.schema_hash(table.withColumn("weight", F.col("weight") * 2), "late") == h
+    assert C.schema_hash(table.select("distance", "weight", "stops", "depot", "late"), "late") != h
+    got = table.select(C.schema_hash_column(table, "late").alias("h")).first()["h"]
     assert got == h
 
 
 def test_describe_columns(table):
-    d = {r["name"]: r for r in C.describe_columns(table, "approved").collect()}
-    assert d["age"]["mean"] == 35 and d["age"]["num_unique"] == 5 and d["age"]["type"] == "numeric"
-    assert d["city"]["num_unique"] == 3 and d["city"]["type"] == "categorical"
-    assert d["age"]["std"] == pytest.approx(np.std([25, 30, 35, 40, 45], ddof=1))
+    d = {r["name"]: r for r in C.describe_columns(table, "late").collect()}
+    assert d["weight"]["mean"] == pytest.approx(134 / 6) and d["weight"]["num_unique"] == 6 and d["weight"]["type"] == "numeric"
+    assert d["distance"]["num_unique"] == 5 and d["depot"]["num_unique"] == 3 and d["depot"]["type"] == "categorical"
+    assert d["weight"]["std"] == pytest.approx(np.std([3, 8, 13, 21, 34, 55], ddof=1))
+
+
+def test_distinct_counts_of_large_integers(spark):
+    df = spark.range(1000).selectExpr("id + 9007199254740992 as big", "cast(id % 3 as double) as d")
+    got = {r["name"]: r["num_unique"] for r in C.describe_columns(df).collect()}
+    assert got == {"big": 1000, "d": 3}
+
+
+def test_categorical_profile_keeps_all_null_features(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", None)], "x string, empty string")
+    got = {(r["feature"], r["category"]): r for r in D.categorical_profile(df, ["x", "empty"]).collect()}
+    assert set(got) == {("x", "a"), ("x", "b"), ("empty", None)}
+    e = got[("empty", None)]
+    assert e["n_unique"] == 0 and e["missing_rate"] == 1 and e["n"] == 0 and e["count"] == 0
+
+
+def test_batches_as_arrays(spark):
+    df = spark.createDataFrame([(0, None), (1, []), (2, [1]), (3, list(range(1000))), (4, list(range(1001)))], "id int, xs array<int>")
+    assert [r["status"] for r in C.check_batch_arrays(df, "xs").orderBy("id").collect()] == ["empty", "empty", "ok", "ok", "too_large"]
+
+
+def test_strict_order_for_scoring(spark):
+    df = spark.createDataFrame([(0, [("a", "1"), ("b", "2")]), (1, [("b", "2"), ("a", "1")])], "id int, kv array<struct<k:string,v:string>>")
+    df = df.withColumn("f", F.map_from_entries("kv"))
+    loose = [r["error_type"] for r in C.validate_for_scoring(df, "f", ["a", "b"]).orderBy("id").collect()]
+    strict = [(r["error_type"], r["invalid_features"]) for r in C.validate_for_scoring(df, "f", ["a", "b"], strict=True).orderBy("id").collect()]
+    assert loose == [None, None] and strict == [(None, None), ("schema", "b,a")]
+
+
+def test_conforming_records(spark):
+    df = spark.createDataFrame([("1", "x"), ("two", None), (None, "z")], "n string, t string")
+    contract = spark.createDataFrame([("n", 0, "int64"), ("t", 1, "object"), ("gone", 2, "float64")], "name string, position int, dtype string")
+    got = {r["name"]: (r["n_records"], r["n_conforming"]) for r in C.conforming_records(df, contract).collect()}
+    assert got == {"n": (3, 1), "t": (3, 2), "gone": (3, 0)}
 
 
 def test_missing_rate(spark):
@@ -47,20 +81,20 @@ def test_missing_rate(spark):
 
 
 def test_compatibility_errors(spark, table):
-    contract = C.structural_schema(table, "approved")
-    assert C.validate_contract(table.drop("approved"), contract, n_features=4).count() == 0
-    wrong_count = C.validate_contract(table.drop("city", "approved"), contract, n_features=4).toPandas()
+    contract = C.structural_schema(table, "late")
+    assert C.validate_contract(table.drop("late"), contract, n_features=4).count() == 0
+    wrong_count = C.validate_contract(table.drop("depot", "late"), contract, n_features=4).toPandas()
     assert set(wrong_count.error_type) == {"feature_count", "feature_names"}
-    reordered = table.select("income", "age", "credit_score", "city")
+    reordered = table.select("distance", "weight", "stops", "depot")
     assert set(C.validate_contract(reordered, contract, n_features=4).toPandas().error_type) == {"feature_names"}
-    retyped = table.drop("approved").withColumn("age", F.col("age").cast("double"))
+    retyped = table.drop("late").withColumn("weight", F.col("weight").cast("double"))
     e = C.validate_contract(retyped, contract, n_features=4).toPandas()
-    assert list(e.error_type) == ["dtype"] and e.column.iloc[0] == "age"
+    assert list(e.error_type) == ["dtype"] and e.column.iloc[0] == "weight"
 
 
 def test_record_rules(spark):
     recs = [
-        ({f"f{i}": 1.0 for i in range(100)},), ({f"f{i}": 1.0 for i in range(150)},),
+        ({f"f{i}": 1.0 for i in range(100)},), ({f"f{i}": 1.0 for i in range(101)},),
         ({"x" * 300: 1.0},), ({},),
     ]
     df = spark.createDataFrame(recs, "features map<string,double>")

@@ -84,3 +84,36 @@ def test_bucket_ids_do_not_depend_on_partitioning(spark, data):
     b = O.range_bucket(df.repartition(13, "id"), ["k"], ["v", "id"], n_buckets=9).select("id", "_bucket").toPandas()
     m = a.merge(b, on="id")
     assert len(m) == len(pdf) and (m._bucket_x == m._bucket_y).all()
+
+
+def test_infinities_do_not_widen_the_grid(spark):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.lognormal(3, 2, 20_000), [np.inf, -np.inf, np.nan]])
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "v": v, "id": np.arange(len(v))})).withColumn("v", F.when(F.col("id") % 500 != 0, F.col("v")))
+    bk = O.range_bucket(df, ["k"], ["v", "id"], n_buckets=16).toPandas()
+    assert bk.groupby("_bucket").size().max() < len(v) / 16 * 3
+    got = df.join(O.range_bucket(df, ["k"], ["v", "id"], n_buckets=16).select("id", "_bucket"), "id").orderBy("v", "id").collect()
+    assert [r._bucket for r in got] == sorted(r._bucket for r in got)  # NULL first, then -inf .. inf, NaN
+
+
+def test_texts_with_one_prefix_are_split(spark):
+    df = spark.range(100_000).selectExpr("'a' as k", "concat('v1992_common_prefix_', lpad(id, 9, '0')) as v", "id")
+    bk = O.range_bucket(df, ["k"], ["v"], n_buckets=16)
+    sizes = [r["count"] for r in bk.groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 16 and max(sizes) < 100_000 / 16 * 3
+    lag = O.ordered_lag(df, ["k"], ["v"], ["id"], n_buckets=16)
+    assert lag.where("prev_id <> id - 1 or (prev_id is null and id > 0)").count() == 0
+
+
+def test_side_tables_do_not_grow_with_partitions(spark):
+    df = spark.range(3000).selectExpr("id % 2 as k", "cast(id as double) as v")
+    few = O.range_bucket(df, ["k"], "v", n_buckets=20_000).select("_bucket").distinct().count()
+    assert few <= 2 * O.MAX_BUCKETS * O.SUB_BUCKETS
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "10000")
+        assert O.default_buckets(df) > O.MAX_BUCKETS
+        plan = O.running_sum(df, ["k"], ["v"], ["v"])._jdf.queryExecution().optimizedPlan().toString()
+        assert "20000" not in plan and "1280000" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
