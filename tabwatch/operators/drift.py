@@ -288,17 +288,19 @@ def chi_square_test(cur_long: DataFrame, cat_profile: DataFrame, keys: Sequence[
 
 
 # ------------------------------------------------------------------ E8 / E9
-def score_drift(cur: DataFrame, score_col: str, base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def score_drift(cur: DataFrame, score_col: str, base: DataFrame, keys: Sequence[str] = (),
+                n_edges: int | None = None) -> DataFrame:
     """Binary prediction drift.  ``base`` has one row per key with ``mean``,
     ``edges`` and ``counts`` (the baseline histogram).  Returns long rows
     ``keys..., feature='prediction', metric in (mean_shift, psi), value``; PSI is
-    absent when the baseline histogram is malformed."""
+    absent when the baseline histogram is malformed.  With ``n_edges`` known (the
+    baseline histogram's), binning is a codegen'd search."""
     keys = list(keys)
     v = F.col(score_col).cast("double")
     b = base.select(*keys, "mean", "edges", "counts")
     x = join_small(cur.select(*keys, v.alias("v")).where(F.col("v").isNotNull()), b, keys)  # one row per key
     ok = (F.size("edges") > 1) & (F.size("counts") > 0) & (F.size("counts") == F.size("edges") - 1)
-    binned = x.select(*keys, F.when(ok, bin_index(F.col("v"), F.col("edges"))).alias("bin"))
+    binned = x.select(*keys, F.when(ok, bin_index(F.col("v"), F.col("edges"), n_edges)).alias("bin"))
     # at most #bins entries per key
     per_bin = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_c"))
     hist = per_bin.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "_c"))).alias("_m"))
@@ -338,8 +340,9 @@ def _long_metrics(df: DataFrame, k: list[str], metrics: Sequence[str]) -> DataFr
 def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: DataFrame | None,
                   keys: Sequence[str] = (), n_buckets: int | None = None,
                   with_chi2_pvalue: bool = True, num_features: Sequence[str] | None = None,
-                  cat_features: Sequence[str] | None = None) -> DataFrame:
+                  cat_features: Sequence[str] | None = None, metrics: Sequence[str] | None = None) -> DataFrame:
     """Every baseline feature at once, long ``keys..., feature, metric, value``.
+    ``metrics`` names those that are wanted; the others are not computed.
 
     Features missing from ``cur``, all-null features and features of unknown type
     are absent.  Non-numeric values in a numeric feature give NULL metrics.
@@ -347,6 +350,10 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
     keys = list(keys)
     k = [*keys, "feature"]
     parts = []
+
+    def wanted(metric: str) -> bool:
+        return metrics is None or metric in metrics
+
     if num_profile is not None:
         feats = list(num_features) if num_features is not None else [
             r[0] for r in num_profile.select("feature").distinct().collect()]  # profile metadata
@@ -371,18 +378,19 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
             prof = num_profile.where(F.col("feature").isin(feats))
             psi = numeric_psi(long, prof, keys).select(*k, "psi")
             ks = ks_against_profile(long, prof, keys, n_buckets=n_buckets).select(*k, "ks_statistic", "ks_pvalue")
-            ms = mean_shift(long, prof, keys)
-            wide = present.join(psi, k, "left").join(ks, k, "left").join(ms, k, "left")
-            metrics = ["psi", "ks_statistic", "ks_pvalue", "mean_shift"]
-            wide = wide.select(*k, *[F.when(F.col("_bad") == 0, F.col(m)).alias(m) for m in metrics])
-            lm = _long_metrics(wide, k, metrics)
+            wide = present.join(psi, k, "left").join(ks, k, "left")
+            if wanted("mean_shift"):
+                wide = wide.join(mean_shift(long, prof, keys), k, "left")
+            shown = [m for m in ("psi", "ks_statistic", "ks_pvalue", "mean_shift") if wanted(m)]
+            wide = wide.select(*k, *[F.when(F.col("_bad") == 0, F.col(m)).alias(m) for m in shown])
+            lm = _long_metrics(wide, k, shown)
             # psi is absent when the profile has no percentiles
             has_pct = prof.where(F.coalesce("p25", "p50", "p75", "p95").isNotNull()).select(*k)
             lm = lm.join(has_pct.withColumn("_pct", F.lit(True)), k, "left").where(
                 (F.col("metric") != "psi") | F.col("_pct").isNotNull()
             ).drop("_pct")
             parts.append(lm)
-    if cat_profile is not None:
+    if cat_profile is not None and (wanted("chi2_statistic") or wanted("chi2_pvalue")):
         feats = list(cat_features) if cat_features is not None else [
             r[0] for r in cat_profile.select("feature").distinct().collect()]  # profile metadata
         feats = [f for f in feats if f in cur.columns]
@@ -390,8 +398,9 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
             long = to_long(cur, feats, ids=keys, value_type="string")
             cs = chi_square_test(long, cat_profile, keys) if with_chi2_pvalue else chi_square(long, cat_profile, keys)
             cs = cs.where(F.col("status") != "too_few_categories")
-            metrics = ["chi2_statistic", "chi2_pvalue"] if with_chi2_pvalue else ["chi2_statistic"]
-            parts.append(_long_metrics(cs, k, metrics))
+            parts.append(_long_metrics(cs, k, ["chi2_statistic", "chi2_pvalue"] if with_chi2_pvalue else ["chi2_statistic"]))
+    if not parts and cat_profile is not None and num_profile is None:
+        return cat_profile.select(*k, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")).limit(0)
     if not parts:
         raise ValueError("no baseline features present in current data")
     out = parts[0]

@@ -112,8 +112,10 @@ def rollback_target(promotions: DataFrame) -> DataFrame:
 
 
 def model_info(pointers: DataFrame, models: DataFrame) -> DataFrame:
-    """Pointer left-joined with its metadata."""
-    return pointers.join(models, "model_version", "left")
+    """Pointer left-joined with its metadata. The models are first cut to those a
+    pointer names, so only a handful of them meets the join."""
+    named = models.join(pointers.select("model_version").distinct(), "model_version", "left_semi")
+    return pointers.join(named, "model_version", "left")
 
 
 def version_in_force(log: DataFrame, promotions: DataFrame, ts: str = "ts",

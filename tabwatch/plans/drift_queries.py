@@ -207,7 +207,7 @@ def _stored_score_base(spark, sf, base):
 
 def e8_score_drift(spark, sf):
     base, cur = lineitem_halves(spark, sf)
-    return round_floats(E.score_drift(score_column(cur), "score", _stored_score_base(spark, sf, base)))
+    return round_floats(E.score_drift(score_column(cur), "score", _stored_score_base(spark, sf, base), n_edges=D.HISTOGRAM_BINS + 1))
 
 
 def _softmax(col: str):
@@ -239,16 +239,20 @@ def e11_prediction_drift(spark, sf):
     return round_floats(out)
 
 
-def _all_scores(spark, sf):
-    return e10_feature_drift(spark, sf).unionByName(e11_prediction_drift(spark, sf))
+def _alert_scores(spark, sf):
+    """The scores that alerts and exported gauges look at: PSI and the KS p-value, of
+    numeric features and the prediction; nothing else is computed."""
+    prof, _, cur = _base_profile(spark, sf)
+    num = E.feature_drift(cur, prof, None, num_features=LINEITEM_NUMERIC, metrics=["psi", "ks_pvalue"])
+    return round_floats(num).unionByName(e11_prediction_drift(spark, sf))
 
 
 def e12_drift_alerts(spark, sf):
-    return round_floats(E.drift_alerts(_all_scores(spark, sf)))
+    return round_floats(E.drift_alerts(_alert_scores(spark, sf)))
 
 
 def e13_drift_score_rows(spark, sf):
-    return round_floats(E.drift_score_rows(_all_scores(spark, sf), "v19980101_000000_abcdef"))
+    return round_floats(E.drift_score_rows(_alert_scores(spark, sf), "v19980101_000000_abcdef"))
 
 
 QUERIES = {

@@ -219,8 +219,10 @@ def h14_validation_error_counts(spark, sf):
 
 
 def h15_clean_request_id(spark, sf):
-    rl = _rl(spark, sf)
-    return rl.select("event_id", "request_id", H.request_id_valid(F.col("request_id")).alias("valid"))
+    """Ids as given and as cleaned; of the cleaned, whether it is the given or a new UUID."""
+    rl = _rl(spark, sf).withColumn("cleaned", H.clean_request_id(F.col("request_id")))
+    uuid = F.col("cleaned").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return rl.select("event_id", "request_id", (F.col("cleaned") == F.col("request_id")).alias("kept"), uuid.alias("replaced"))
 
 
 def h16_latest_score(spark, sf):
@@ -490,7 +492,8 @@ def o_h14():
 
 def o_h15():
     return f"""WITH rl AS ({RL}) SELECT event_id, request_id,
-        coalesce(regexp_full_match(request_id, '[a-zA-Z0-9\\-]{{8,128}}'), false) AS valid FROM rl"""
+        coalesce(regexp_full_match(request_id, '[a-zA-Z0-9\\-]{{8,128}}'), false) AS kept,
+        NOT coalesce(regexp_full_match(request_id, '[a-zA-Z0-9\\-]{{8,128}}'), false) AS replaced FROM rl"""
 
 
 def o_h16():

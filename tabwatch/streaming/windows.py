@@ -17,25 +17,31 @@ from tabwatch.functions.core import join_small, to_long
 from tabwatch.operators import drift as E
 
 
-def _profile_per_window(long: DataFrame, profile: DataFrame) -> DataFrame:
-    # the (window, feature) pairs that have data, each with its feature's
-    # baseline: an equi-join on the feature (profile: one row per feature)
-    pairs = long.select("window_start", "feature").distinct()
-    return join_small(pairs, profile, ["feature"])
-
-
 def windowed_numeric_drift(df: DataFrame, profile: DataFrame, features: Sequence[str], window: str,
                            ts: str = "ts") -> DataFrame:
     """Quartile PSI and mean shift of every tumbling window against one
-    baseline profile: ``window_start, feature, metric, value``."""
+    baseline profile: ``window_start, feature, metric, value``.
+
+    Rows meet only the profile (one row per feature, broadcast); the window is just
+    part of the group key, so nothing that is broadcast grows with the log. One pass
+    gives counts and sums per (window, feature, bin), at most six rows a group."""
+    k = ["window_start", "feature"]
+    has_pct = F.coalesce(F.col("p25"), F.col("p50"), F.col("p75"), F.col("p95")).isNotNull()
+    base = profile.select("feature", "mean", F.when(has_pct, E.quartile_edges(profile)).alias("edges"))
     cur = df.select(F.window(ts, window).start.alias("window_start"), *features)
-    long = to_long(cur, list(features), ids=["window_start"])
-    prof_w = _profile_per_window(long, profile)
-    psi = E.numeric_psi(long, prof_w, keys=["window_start"]).select(
-        "window_start", "feature", F.lit("psi").alias("metric"), F.col("psi").alias("value"))
-    ms = E.mean_shift(long, prof_w, keys=["window_start"]).select(
-        "window_start", "feature", F.lit("mean_shift").alias("metric"), F.col("mean_shift").alias("value"))
-    return psi.unionByName(ms)
+    j = join_small(to_long(cur, list(features), ids=["window_start"]), base, ["feature"])
+    bins = j.select(*k, "v", E.bin_index(F.col("v"), F.col("edges"), 5).alias("bin")).groupBy(*k, "bin").agg(
+        F.count(F.lit(1)).alias("_c"), F.count("v").alias("_n"), F.sum("v").alias("_s"))
+    per = bins.groupBy(*k).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "_c")))).alias("_m"),
+        (F.sum("_s") / F.sum("_n")).alias("_mean"))
+    per = join_small(per, base, ["feature"])
+    counts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)).cast("long"))
+    psi = F.when(E.edges_valid(F.col("edges")), E.psi_arrays(counts, F.array(*[F.lit(0.25)] * 4)))
+    shift = F.abs(F.col("_mean") - F.coalesce(F.col("mean"), F.lit(0.0)))
+    both = F.array(F.struct(F.lit("psi").alias("metric"), psi.alias("value"), F.col("edges").isNotNull().alias("there")),
+                   F.struct(F.lit("mean_shift").alias("metric"), shift.alias("value"), F.lit(True).alias("there")))
+    return per.select(*k, F.explode(both).alias("x")).where("x.there").select(*k, "x.metric", "x.value")
 
 
 def windowed_bin_counts(df: DataFrame, profile: DataFrame, features: Sequence[str], window: str,
@@ -49,7 +55,7 @@ def windowed_bin_counts(df: DataFrame, profile: DataFrame, features: Sequence[st
     edges = profile.where(has_pct).select("feature", E.quartile_edges(profile).alias("edges"))
     # stream-static join with a table of one row per feature
     j = long.join(F.broadcast(edges), "feature")
-    binned = j.select(ts, "feature", E.bin_index(F.col("v"), F.col("edges")).alias("bin")).where(F.col("bin").isNotNull())
+    binned = j.select(ts, "feature", E.bin_index(F.col("v"), F.col("edges"), 5).alias("bin")).where(F.col("bin").isNotNull())
     return binned.groupBy(F.window(ts, window).alias("w"), "feature", "bin").agg(F.count(F.lit(1)).alias("count")).select(
         F.col("w.start").alias("window_start"), "feature", "bin", "count")
 
