@@ -140,11 +140,18 @@ def g5_stream_monitor(spark, sf):
         spark, "events_version_profiles", [f"{sf.rstrip('/')}/events.parquet"],
         lambda: round_floats(D.numeric_profile(pl.select("model_version", "features.value", "features.k"),
                                                ["value", "k"], keys=["model_version"])))
+    hist = D.histogram(pl, "prediction", keys=["model_version"]).groupBy("model_version").agg(
+        F.sort_array(F.collect_list(F.struct("bin", "lo", "hi", "count"))).alias("b"))  # 20 bins a version
+    base = stored_baseline(spark, "events_version_scores", [f"{sf.rstrip('/')}/events.parquet"], lambda: hist.select(
+        "model_version", F.transform("b", lambda x: x["count"]).alias("counts"),
+        F.concat(F.transform("b", lambda x: x["lo"]), F.array(F.element_at("b", -1)["hi"])).alias("edges")).join(
+            pl.groupBy("model_version").agg(F.avg("prediction").alias("mean")), "model_version"))
     schema = pl.drop("day").schema
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
               .option("recursiveFileLookup", "true").parquet(f"{root}/src"))
     paths = M.MonitorPaths(*(os.path.join(root, x) for x in ("log", "state", "scores", "alerts")))
-    q = M.start_drift_monitor(stream, prof, ["value", "k"], paths, f"{root}/ckpt", trigger={"availableNow": True})
+    q = M.start_drift_monitor(stream, prof, ["value", "k"], paths, f"{root}/ckpt", trigger={"availableNow": True},
+                              score_base=base, event_time="ts")
     q.awaitTermination()
     scores = spark.read.parquet(paths.scores)
     last = scores.groupBy("model_version").agg(F.max("batch_id").alias("batch_id"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tabwatch.operators import drift as E
 from tabwatch.operators import predlog as G
+from tabwatch.session import materialize
 
 
 @dataclass
@@ -45,23 +46,25 @@ def with_baseline(df: DataFrame, baselines: DataFrame) -> DataFrame:
     return df.join(baselines, "model_version", "left")
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the table does not exist before the first write
-        return None
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or None before its first write; a failing store is an error, not None."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return spark.read.parquet(path) if there else None
 
 
 def drift_check(log: DataFrame, num_profile: DataFrame, features: list[str], window: int,
-                batch_id: int, score_base: DataFrame | None = None) -> DataFrame:
+                batch_id: int, score_base: DataFrame | None = None, cat_profile: DataFrame | None = None,
+                cat_features: list[str] | None = None) -> DataFrame:
     """One drift check per model version over its last ``window`` rows: long
-    scores ``model_version, batch_id, feature, metric, value``."""
+    scores ``model_version, batch_id, feature, metric, value`` of numeric features,
+    categorical ones (with ``cat_profile``) and the prediction (with ``score_base``)."""
     snap = G.last_n(log, window, keys=["model_version"])
     enough = snap.groupBy("model_version").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= window)
     snap = snap.join(enough.select("model_version"), "model_version")
-    feats = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in features], "prediction")
-    prof = num_profile
-    scores = E.feature_drift(feats, prof, None, keys=["model_version"])
+    cats = list(cat_features or [])
+    feats = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in [*features, *cats]], "prediction")
+    scores = E.feature_drift(feats, num_profile, cat_profile, keys=["model_version"], num_features=features, cat_features=cats)
     if score_base is not None:
         scores = scores.unionByName(E.score_drift(feats, "prediction", score_base, keys=["model_version"]))
     return scores.withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -81,14 +84,21 @@ def batches_covering(batch_counts: DataFrame, versions: DataFrame, window: int)
 
 def start_drift_monitor(stream: DataFrame, num_profile: DataFrame, features: list[str], paths: MonitorPaths,
                         checkpoint: str, window: int = G.DRIFT_WINDOW, interval_s: int = G.CHECK_INTERVAL_S,
-                        score_base: DataFrame | None = None, trigger: dict | None = None):
+                        score_base: DataFrame | None = None, trigger: dict | None = None,
+                        cat_profile: DataFrame | None = None, cat_features: list[str] | None = None,
+                        event_time: str | None = None):
     """Start the monitor; returns the ``StreamingQuery``.
 
-    ``num_profile`` must carry ``model_version`` (one profile per version);
-    ``trigger`` defaults to a 60-second processing-time trigger.  Each
-    micro-batch touches the new rows, a (version, batch) count table and only the
-    log partitions that hold the last ``window`` rows of a due version, so its
-    cost does not grow with the length of the log."""
+    The profiles must carry ``model_version`` (one per version); ``trigger`` defaults to
+    a 60-second processing-time trigger; ``event_time`` names the column whose newest
+    value is the clock of the checks (default: the wall clock).  Each micro-batch reads
+    the new rows, the state of the batch before it (one row per version, with running
+    totals), the (version, batch) counts, and of the log only the partitions that hold
+    the last ``window`` rows of a due version.
+
+    Every table is partitioned by ``batch_id`` and a batch only writes its own
+    partition and only reads state of earlier ones: a replayed batch, or one that died
+    between two writes, gives the same result again."""
 
     def overwrite(df: DataFrame, path: str, *parts: str) -> None:
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -98,43 +108,39 @@ def start_drift_monitor(stream: DataFrame, num_profile: DataFrame, features: lis
         spark = batch.sparkSession
         b = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
         overwrite(b, paths.log, "model_version", "batch_id")
-        overwrite(b.groupBy("model_version", "batch_id").agg(F.count(F.lit(1)).alias("n")),
-                  paths.batch_counts, "batch_id")
-        counts = spark.read.parquet(paths.batch_counts)
-        state = _read_or_none(spark, paths.state)
-        now = F.current_timestamp()
-        tot = counts.groupBy("model_version").agg(F.sum("n").alias("total"))
-        if state is not None:
-            tot = tot.join(state, "model_version", "left")
-        else:
-            tot = tot.withColumn("last_check_ts", F.lit(None).cast("timestamp")).withColumn(
-                "last_check_count", F.lit(None).cast("long"))
-        elapsed = (F.unix_micros(now) - F.coalesce(F.unix_micros("last_check_ts"), F.lit(0))) / 1e6
+        clock = F.max(event_time) if event_time else F.current_timestamp()
+        fresh = b.groupBy("model_version").agg(F.count(F.lit(1)).alias("n"), clock.cast("timestamp").alias("_now"))
+        overwrite(fresh.select("model_version", "n", F.lit(batch_id).cast("long").alias("batch_id")), paths.batch_counts, "batch_id")
+        prior = _read_if_there(spark, paths.state)
+        if prior is not None:
+            prior = prior.where(F.col("batch_id") < batch_id)
+            newest = prior.agg(F.max("batch_id").alias("batch_id")).first()["batch_id"]
+            prior = prior.where(F.col("batch_id") == newest).drop("batch_id") if newest is not None else None
+        if prior is None:
+            prior = spark.createDataFrame([], "model_version string, total long, last_check_ts timestamp, last_check_count long")
+        tot = prior.join(fresh, "model_version", "full_outer").select(
+            "model_version", (F.coalesce("total", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("total"),
+            "last_check_ts", "last_check_count", F.coalesce("_now", "last_check_ts").alias("_now"))
+        elapsed = (F.unix_micros("_now") - F.coalesce(F.unix_micros("last_check_ts"), F.lit(0))) / 1e6
         new_rows = F.col("total") - F.coalesce(F.col("last_check_count"), F.lit(0))
-        due = tot.select("model_version", "total", (((elapsed >= interval_s) | (new_rows >= window))
-                                                    & (F.col("total") >= window)).alias("due"))
-        due_versions = due.where("due").select("model_version")
+        due = materialize(tot.withColumn("due", F.coalesce(((elapsed >= interval_s) | (new_rows >= window)) & (F.col("total") >= window), F.lit(False))))
+        counts = spark.read.parquet(paths.batch_counts).where(F.col("batch_id") <= batch_id)
         # partition pruning: only the newest batches of each due version are read
-        need = batches_covering(counts, due_versions, window).collect()  # one row per version
+        need = batches_covering(counts, due.where("due").select("model_version"), window).collect()  # one row per version
         if need:
             cond = None
             for r in need:
                 c = (F.col("model_version") == r["model_version"]) & (F.col("batch_id") >= r["min_batch"])
                 cond = c if cond is None else (cond | c)
-            recent = spark.read.parquet(paths.log).where(cond)
-            scores = drift_check(recent, num_profile, features, window, batch_id, score_base)
+            recent = spark.read.parquet(paths.log).where(cond & (F.col("batch_id") <= batch_id))
+            scores = drift_check(recent, num_profile, features, window, batch_id, score_base, cat_profile, cat_features)
             overwrite(scores, paths.scores, "model_version", "batch_id")
             written = spark.read.parquet(paths.scores).where(F.col("batch_id") == batch_id)
             overwrite(E.drift_alerts(written, keys=["model_version", "batch_id"]), paths.alerts,
                       "model_version", "batch_id")
-        new_state = due.where("due").select("model_version", now.alias("last_check_ts"),
-                                            F.col("total").alias("last_check_count"))
-        if state is not None:
-            new_state = state.join(new_state.select("model_version"), "model_version", "left_anti").unionByName(new_state)
-        # cut the lineage (reliable checkpoint in spark.checkpoint.dir) before
-        # overwriting the table it was read from
-        new_state = new_state.checkpoint(eager=True)
-        new_state.write.mode("overwrite").parquet(paths.state)
+        state = due.select("model_version", "total", F.when(F.col("due"), F.col("_now")).otherwise(F.col("last_check_ts")).alias("last_check_ts"),
+                           F.when(F.col("due"), F.col("total")).otherwise(F.col("last_check_count")).alias("last_check_count"))
+        overwrite(state.withColumn("batch_id", F.lit(batch_id).cast("long")), paths.state, "batch_id")
 
     w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "60 seconds"}))
