@@ -11,6 +11,7 @@ builds a new artifact.  Profile queries (D1-D9) always compute afresh.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tabwatch.session import checkpoint_dir
 
 _BUILT: dict[str, str] = {}
+#: What building each baseline took in this process.
+BUILD_SECONDS: dict[str, float] = {}
 
 
 def _file_identity(spark: SparkSession, paths: Sequence[str]) -> list[tuple]:
@@ -54,6 +57,8 @@ def stored_baseline(spark: SparkSession, name: str, inputs: Sequence[str],
         path = None  # the folder was cleaned: build again
     if path is None:
         path = f"{checkpoint_dir(spark).rstrip('/')}/tabwatch-baselines/{name}-{key}-{uuid.uuid4().hex}"
+        began = time.perf_counter()
         build().write.parquet(path)
+        BUILD_SECONDS[name] = round(time.perf_counter() - began, 3)
         _BUILT[key] = path
     return spark.read.parquet(path)
