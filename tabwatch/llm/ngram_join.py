@@ -16,7 +16,8 @@ prefix filtering; a good one keeps the groups small.
    are cut into blocks, so a group of any size is met block by block.
 5. Both rounds filter: length; position (what can still overlap after the shared
    n-gram); suffix: nodes' n-grams are dealt into ``SKETCH_BITS`` cells by hash, and
-   the cells of odd difference bound the sets' distance from below. Pairs left are
+   the cells of odd difference bound the sets' distance from below (large sets have a
+   second, wider sketch). Pairs left are
    verified on the whole sets, from the texts of the nodes in question only.
 
 N-grams and sets are compared by 64-bit hashes. Nothing is capped.
@@ -39,7 +40,8 @@ from tabwatch.session import materialize
 
 N, PERCENT = 5, 80
 WORD_BITS = 18
-SKETCH_BITS = 1024
+#: Cells of a node's parity sketch, and of the wider one that large sets have besides.
+SKETCH_BITS, WIDE_BITS, WIDE_FROM = 1024, 8192, 400
 HELD_WORDS, LONGEST = 400_000, 64
 #: Nodes of a group met at once.
 BLOCK = 1024
@@ -103,11 +105,15 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per row: doc_id, text hash, size and key of its set, and, from the first row of
     a key in a task, its prefix in rare-first order and its sketch."""
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
-    fields = [field("doc_id", "bigint"), field("text_hash", "bigint"), field("size", "bigint"), field("key", "bigint"), field("prefix", "array<bigint>"), field("sketch", "array<bigint>")]
+    fields = [field("doc_id", "bigint"), field("text_hash", "bigint"), field("size", "bigint"), field("key", "bigint"), field("prefix", "array<bigint>"), field("sketch", "array<bigint>"), field("wide", "array<bigint>")]
 
     def work():
         rarity, words, seen = counts.value, Words(), set()
-        mask, top = np.uint64(len(rarity) - 1), np.uint64(64 - SKETCH_BITS.bit_length() + 1)
+        mask = np.uint64(len(rarity) - 1)
+
+        def parity(grams, bits):
+            odd = np.bincount((grams >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
+            return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
         def on_batch(batch):
             texts, ids, hashes = text_bytes(batch, "text"), batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
@@ -116,13 +122,13 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 for k in range(i, j):
                     h = words.hashes(texts[k])
                     if not len(h):
-                        rows.append((ids[k], hashes[k], 0, None, None, None))
+                        rows.append((ids[k], hashes[k], 0, None, None, None, None))
                         continue
                     grams = _ngrams(h, n)
                     every, first = np.unique(grams, return_index=True)
                     key = xxhash.xxh3_64_intdigest(every.tobytes()) - (1 << 63)
                     if key in seen:
-                        rows.append((ids[k], hashes[k], len(every), key, None, None))
+                        rows.append((ids[k], hashes[k], len(every), key, None, None, None))
                         continue
                     seen.add(key)
                     count = rarity[(h & mask).astype(np.int64)]
@@ -130,8 +136,8 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     for m in range(1, len(h) - len(grams) + 1):
                         np.minimum(least, count[m : m + len(grams)], out=least)
                     order = np.lexsort((every, least[first]))[: prefix_size(len(every), percent)]
-                    odd = np.bincount((every >> top).astype(np.int64), minlength=SKETCH_BITS) & 1
-                    rows.append((ids[k], hashes[k], len(every), key, every[order].view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
+                    wide = parity(every, WIDE_BITS) if len(every) >= WIDE_FROM else None
+                    rows.append((ids[k], hashes[k], len(every), key, every[order].view(np.int64), parity(every, SKETCH_BITS), wide))
                 if len(seen) > HELD_WORDS:
                     seen.clear()
                 yield list(zip(*rows, strict=True))
@@ -163,10 +169,15 @@ def fits(size_a, pos_a, size_b, pos_b, percent: int):
 
 def close(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Suffix filter on pairs (a, b): drops those whose sketches prove too far apart."""
-    side = lambda c: nodes.select(F.col("key").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    far = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    side = lambda c: nodes.select(F.col("key").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("size", "sketch", "wide")])
     total = F.col("size_a") + F.col("size_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(far <= total - 2 * needed(F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
+    most = total - 2 * needed(F.col("size_a"), F.col("size_b"), percent)
+
+    def far(x):
+        return F.aggregate(F.zip_with(f"{x}_a", f"{x}_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, p: s + p)
+
+    both = F.col("wide_a").isNotNull() & F.col("wide_b").isNotNull()
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(far("sketch") <= most).where(~both | (far("wide") <= most)).select("a", "b")
 
 
 def read_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -310,19 +321,20 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BL
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = materialize(describe(docs, n, percent))
     nodes = materialize(table.where("key is not null").groupBy("key").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_one"), F.min("size").alias("size"), F.max("sketch").alias("sketch")).withColumn("text_hash", F.col("_one.text_hash")).drop("_one"))
+        F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_one"), F.min("size").alias("size"), F.max("sketch").alias("sketch"), F.max("wide").alias("wide")).withColumn("text_hash", F.col("_one.text_hash")).drop("_one"))
     group = Window.partitionBy("token")
     shared = materialize(shared_prefixes(table).join(nodes.select("key", "copies"), "key")
                          .withColumn("pivot", F.max(F.struct("copies", "key", "size", "pos")).over(group)).drop("copies"))
+    met = materialize(nodes.join(shared.select("key").distinct(), "key", "left_semi"))  # from here on only these matter
     stars = shared.where("key <> pivot.key").where(fits(F.col("size"), F.col("pos"), F.col("pivot.size"), F.col("pivot.pos"), percent))
-    pairs = materialize(close(nodes, stars.select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct(), percent))
-    links = materialize(verify(docs, nodes, pairs, n, percent))
+    pairs = materialize(close(met, stars.select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct(), percent))
+    links = materialize(verify(docs, met, pairs, n, percent))
     labels = components(links)
     others = shared.where("key <> pivot.key").drop("pivot").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     others = others.withColumn("low", F.min("label").over(group)).withColumn("high", F.max("label").over(group)).where("low < high").drop("low", "high")
-    candidates = in_blocks(others.join(nodes.select("key", "sketch"), "key"), block)
-    more = materialize(rest_pairs(candidates, percent).join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(verify(docs, nodes, more, n, percent))
+    candidates = in_blocks(others.join(met.select("key", "sketch"), "key"), block)
+    more = materialize(close(met, rest_pairs(candidates, percent), percent))
+    links = links.union(verify(docs, met, more, n, percent))
     labels = components(links)
     named = nodes.select("key", "first_doc").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
