@@ -55,10 +55,13 @@ def words_of(text: bytes) -> list[bytes]:
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def worker_memo(name: str) -> dict:
-    """A dict that lives as long as the Python worker, which Spark reuses for many tasks."""
-    holder = sys.modules.setdefault("tabwatch_worker_memo", types.ModuleType("tabwatch_worker_memo"))
-    return holder.__dict__.setdefault(name, {})
+def worker_memo(name: str | None) -> dict:
+    """A dict that lives on in the Python worker, which Spark reuses for many tasks.
+    Only one is kept: asking for another one, or for none, frees the last."""
+    held = sys.modules.setdefault("tabwatch_worker_memo", types.ModuleType("tabwatch_worker_memo")).__dict__
+    if "memo" not in held or held["name"] != name:
+        held["name"], held["memo"] = name, {}
+    return held["memo"]
 
 
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -81,6 +84,7 @@ def annotate(df: DataFrame, text: str, fields: list[T.StructField], work: Callab
     kinds = [_arrow(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo(None)
         on_batch = work()
         for b in batches:
             if not b.num_rows:
@@ -91,11 +95,13 @@ def annotate(df: DataFrame, text: str, fields: list[T.StructField], work: Callab
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *new]))
 
 
-def map_batches(df: DataFrame, fields: list[T.StructField], work: Callable[[], Callable[[pa.RecordBatch], Iterator[list]]]) -> DataFrame:
-    """Any number of output batches (lists of columns) for each input batch."""
+def map_batches(df: DataFrame, fields: list[T.StructField], work: Callable[[], Callable[[pa.RecordBatch], Iterator[list]]], memo: str | None = None) -> DataFrame:
+    """Any number of output batches (lists of columns) for each input batch. ``memo``
+    names the worker memo that the work uses, if any."""
     names, kinds = [f.name for f in fields], [_arrow(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo(memo)
         on_batch = work()
         for b in batches:
             if b.num_rows:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import annotate, doc_columns, field, slices, text_bytes, words_of
+from tabwatch.llm.common import annotate, doc_columns, field, slices, text_bytes, words_of, worker_memo
 from tabwatch.session import materialize
 
 BUCKETS = 1 << 14
@@ -79,6 +79,7 @@ def models(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> np
     def run(batches):
         import pyarrow as pa
 
+        worker_memo(None)
         hashed, count = build_hasher(buckets), np.zeros((2, buckets), np.int64)
         for batch in batches:
             texts, good = text_bytes(batch, "text"), np.array([bool(x) for x in batch.column("good").to_pylist()], bool)

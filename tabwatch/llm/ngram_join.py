@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import LOWER, field, fresh, join_narrow, map_batches, slices, text_bytes
+from tabwatch.llm.common import LOWER, field, fresh, join_narrow, map_batches, slices, text_bytes, worker_memo
 from tabwatch.session import materialize
 
 N, PERCENT = 5, 80
@@ -86,6 +86,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     cells = 1 << WORD_BITS
 
     def run(batches):
+        worker_memo(None)
         words, count = Words(), np.zeros(cells, np.int64)
         for b in batches:
             texts = text_bytes(b, "text")

@@ -32,7 +32,7 @@ from tabwatch.session import materialize
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, and the longest word it remembers.
-REMEMBERED, LONGEST = 1_500_000, 64
+REMEMBERED, LONGEST = 1_200_000, 64
 #: Pieces dealt to one bucket, about.
 BUCKET_ROWS = 50_000
 #: Fixed: control characters that str.split() takes as white space and the tokenizer does not.
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
 
         return on_batch
 
-    return map_batches(doc_columns(docs), fields, work)
+    return map_batches(doc_columns(docs), fields, work, memo=tokenizer_path)
 
 
 class Plan:

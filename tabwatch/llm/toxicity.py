@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import annotate, field, fresh, map_batches, slices, text_bytes, words_of
+from tabwatch.llm.common import annotate, field, fresh, map_batches, slices, text_bytes, words_of, worker_memo
 from tabwatch.session import materialize
 
 ORDER, BITS = 5, 12
@@ -100,6 +100,7 @@ def gram_table(docs: DataFrame, sample: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id", "left").select("text", "toxic")
 
     def run(batches):
+        worker_memo(None)
         seen, by_class = Counter(), {0: Counter(), 1: Counter()}
 
         def hand_on():
