@@ -8,8 +8,10 @@ and n(t, e) holding t within ``REACH`` characters of e,
 
 the pointwise mutual information as a share of the entity's information: 1 if t
 occurs nowhere but beside e, 0 if t is as common elsewhere. From ``GENERALISE`` on a
-term is replaced by its word class, from ``REMOVE`` on it goes. An estimate needs
-``SUPPORT`` documents, so that one text alone convicts no word.
+term is replaced by its word class, from ``REMOVE`` on it goes. Every pair is judged:
+each document that n(t, e) falls short of ``SUPPORT`` halves the estimate of P(e | t),
+so a term that one text alone gives is generalised if the corpus is large enough to
+make it rare, and is hardly ever removed.
 
 Counts cover all documents. Document frequencies are pre-aggregated before the
 shuffle, pairs are counted per (term, entity) before they are joined, and no term's
@@ -26,6 +28,8 @@ exclusive; kinds may overlap; repeated rows count as documents of their own.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,10 +139,11 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 def disclosing(near: DataFrame, entities: DataFrame, frequencies: DataFrame, n: int, support: int, generalise: float) -> DataFrame:
     """(term, entity, disclosure) from ``generalise`` on. ``near``: (row, term, entity), ``entities``: (row, entity)."""
-    pairs = near.select("row", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    pairs = near.select("row", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n"))
     known = entities.distinct().groupBy("entity").agg(F.count("*").alias("entity_df")).where(F.col("entity_df") < n)
     both = pairs.join(known, "entity").join(frequencies, "term")
-    pmi = F.log(F.col("n") * F.lit(float(n)) / (F.col("df") * F.col("entity_df")))
+    short = F.greatest(F.lit(support) - F.col("n"), F.lit(0))
+    pmi = F.log(F.col("n") * F.lit(float(n)) / (F.col("df") * F.col("entity_df"))) - short * math.log(2)
     return both.select("term", "entity", (pmi / F.log(F.lit(float(n)) / F.col("entity_df"))).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 

@@ -83,6 +83,24 @@ def test_disclosure_equals_the_formula(spark):
     assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-12 for t in want)
 
 
+def test_entities_of_one_or_two_documents_are_judged(spark):
+    texts = [f"the plain note {i}" for i in range(4000)] + ["the zorbax wrote to ann@x.org"] + ["the quimble saw 10.9.8.7"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in S.sanitise(docs).collect()}
+    assert got[4000] == "the [TERM] [TERM] [TERM] [EMAIL]" and got[4001] == got[4002] == "the [TERM] [TERM] [IP]"
+    assert got[7] == texts[7]
+
+
+def test_a_short_count_lowers_the_estimate(spark):
+    import math
+
+    near = spark.createDataFrame([(r, "x", e) for e, rows in (("a", 1), ("b", 2), ("c", 3)) for r in range(rows)], "row long, term string, entity string")
+    frequency = spark.createDataFrame([("x", 3)], "term string, df long")
+    got = {r.entity: r.disclosure for r in S.disclosing(near, near.select("row", "entity"), frequency, 1000, 3, -9.0).collect()}
+    want = {e: (math.log(1000 / 3) - (3 - k) * math.log(2)) / math.log(1000 / k) for e, k in (("a", 1), ("b", 2), ("c", 3))}
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in want)
+
+
 def test_no_python_on_the_main_path(corpus):
     plan = S.digests(S.find(corpus))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
