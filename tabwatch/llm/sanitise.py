@@ -1,21 +1,23 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Entities are found by pattern. Then the corpus says how strongly the words around an
-entity give it away: with N documents, df(t) of them holding term t, df(e) entity e,
-and n(t, e) holding t within ``REACH`` characters of e,
+Entities are found by pattern. Then the corpus says how strongly words give an entity
+away: with N documents, df(t) of them holding term t, df(e) entity e, and n(t, e) both,
+anywhere in the text and t outside of all entities,
 
     disclosure(t, e) = ln(n(t, e) N / (df(t) df(e))) / ln(N / df(e)),
 
 the pointwise mutual information as a share of the entity's information: 1 if t
-occurs nowhere but beside e, 0 if t is as common elsewhere. From ``GENERALISE`` on a
-term is replaced by its word class, from ``REMOVE`` on it goes. Every pair is judged:
+occurs in no document without e, 0 if t is as common elsewhere. From ``GENERALISE`` on
+a term is replaced by its word class, from ``REMOVE`` on it goes, wherever it stands, also
+in documents that do not write the entity out. Every pair is judged:
 each document that n(t, e) falls short of ``SUPPORT`` halves the estimate of P(e | t),
 so a term that one text alone gives is generalised if the corpus is large enough to
 make it rare, and is hardly ever removed.
 
 Counts cover all documents. Document frequencies are pre-aggregated before the
 shuffle, pairs are counted per (term, entity) before they are joined, and no term's
-or entity's rows are ever gathered in one place.
+or entity's rows are ever gathered in one place. The disclosing terms meet the words
+of all documents in broadcasts of at most about ``TERMS`` of them, one after the other.
 
 Matching is leftmost and non-overlapping per kind. The patterns are the contract's,
 with possessive loops and start conditions that change no match but keep the regular
@@ -29,6 +31,7 @@ exclusive; kinds may overlap; repeated rows count as documents of their own.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +53,10 @@ PATTERNS = {
 HINTS = {"email": "@", "phone": "+"}
 OCTET = r"^0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 WORD = r"[\p{L}\p{N}]+"
-REACH = 48
+#: About so many characters of a text, up to the end of a word, are cut into words at a time.
+CHUNK = r"(?s).{1,256}+[\p{L}\p{N}]*+"
+#: Disclosing terms in one broadcast.
+TERMS = 1_000_000
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
@@ -112,34 +118,38 @@ def _spans(text: Column, matches: Column, kind: str, pattern: str, number: int)
     return F.transform(good, lambda x: F.struct(x.start.alias("start"), F.lit(number).alias("kind"), (x.start + F.length(x.value)).alias("end"), _entity(kind, x.value).alias("value")))
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """(term, start, end, entity) of every whole word that lies within ``REACH`` of a
-    span and overlaps none."""
+def _words(text: Column, spans: Column) -> Column:
+    """(term, start, end) of every word of the text that overlaps none of ``spans``."""
+    chunks = F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    begin = F.array(F.lit(0).cast("bigint"))
+    starts = F.aggregate(chunks, begin, lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(c))))
 
-    def words(window: Column, at: Column, open_left: Column, open_right: Column, entity: Column) -> Column:
-        found = _located(window, WORD, F.regexp_extract_all(window, F.lit(WORD), F.lit(0)))
-        whole = F.filter(found, lambda w: (open_left | (w.start > 0)) & (open_right | (w.start + F.length(w.value) < F.length(window))))
-        return F.transform(whole, lambda w: F.struct(F.lower(w.value).alias("term"), (at + w.start).alias("start"), (at + w.start + F.length(w.value)).alias("end"), entity.alias("entity")))
+    def step(acc, s):
+        end = acc.at + s.gap + F.length(s.word)
+        return F.struct(end.alias("at"), F.concat(acc.found, F.array(F.struct(F.lower(s.word).alias("term"), (acc.at + s.gap).alias("start"), end.alias("end")))).alias("found"))
+
+    def words(c: Column) -> Column:
+        # the piece after the last word has no word beside it
+        steps = F.zip_with(F.split(c.text, WORD, -1), F.regexp_extract_all(c.text, F.lit(WORD), F.lit(0)), lambda p, w: F.struct(F.length(p).alias("gap"), w.alias("word")))
+        found = F.aggregate(F.filter(steps, lambda s: s.word.isNotNull()), F.struct(c.at.alias("at"), F.array().cast("array<struct<term:string,start:bigint,end:bigint>>").alias("found")), step, lambda acc: acc.found)
+        return F.when(F.size(c.spans) > 0, F.filter(found, lambda w: ~F.exists(c.spans, lambda s: (s.start < w.end) & (s.end > w.start)))).otherwise(found)
 
-    def around(s: Column) -> Column:
-        begin = F.greatest(s.start - REACH, F.lit(0))
-        left = F.substr(text, begin + 1, s.start - begin)
-        right = F.substr(text, s.end + 1, F.lit(REACH))
-        return F.concat(words(left, begin, begin == 0, F.lit(True), s.value), words(right, s.end, F.lit(True), F.length(right) < REACH, s.value))
+    def within(c: Column, at: Column) -> Column:
+        return F.struct(at.alias("at"), c.alias("text"), F.filter(spans, lambda s: (s.start < at + F.length(c)) & (s.end > at)).alias("spans"))
 
-    every = F.flatten(F.transform(spans, around))
-    return F.filter(every, lambda w: ~F.exists(spans, lambda s: (s.start < w.end) & (s.end > w.start)))
+    whole = F.zip_with(chunks, starts, within)
+    return F.flatten(F.transform(F.filter(whole, lambda c: c.text.isNotNull()), words))
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(term, df) over all words of all documents."""
-    terms = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    terms = F.array_distinct(F.transform(F.split("text", r"[^\p{L}\p{N}]+"), F.lower))
     return docs.select(F.explode(terms).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def disclosing(near: DataFrame, entities: DataFrame, frequencies: DataFrame, n: int, support: int, generalise: float) -> DataFrame:
-    """(term, entity, disclosure) from ``generalise`` on. ``near``: (row, term, entity), ``entities``: (row, entity)."""
-    pairs = near.select("row", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n"))
+    """(term, entity, disclosure) from ``generalise`` on. ``near``: (row, term, entity), each once, ``entities``: (row, entity)."""
+    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("n"))
     known = entities.distinct().groupBy("entity").agg(F.count("*").alias("entity_df")).where(F.col("entity_df") < n)
     both = pairs.join(known, "entity").join(frequencies, "term")
     short = F.greatest(F.lit(support) - F.col("n"), F.lit(0))
@@ -150,17 +160,23 @@ def disclosing(near: DataFrame, entities: DataFrame, frequencies: DataFrame, n:
 def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, with_text: bool = False) -> DataFrame:
     """(doc_id, spans) of every document, all kinds sorted by start, kind and end."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    near = F.when(F.size("spans") > 0, _near(F.col("text"), F.col("spans"))).otherwise(F.array().cast("array<struct<term:string,start:bigint,end:bigint,entity:string>>"))
-    kept = ["doc_id", "spans", "near"] + ["text"] * with_text
-    stored = materialize(base_spans(base).withColumn("near", near).select(*kept, F.monotonically_increasing_id().alias("row")))
+    stored = materialize(base_spans(base).select("doc_id", "text", "spans", F.monotonically_increasing_id().alias("row")))
     n = stored.count()
-    words = materialize(stored.select("row", F.explode("near").alias("w")).select("row", "w.term", "w.start", "w.end", "w.entity"))
     entities = stored.select("row", F.explode("spans").alias("s")).select("row", F.col("s.value").alias("entity"))
-    told = disclosing(words, entities, document_frequencies(base), n, support, generalise)
+    held = stored.where(F.size("spans") > 0).select("row", F.array_distinct("spans.value").alias("entities"), F.array_distinct(_words(F.col("text"), F.col("spans"))["term"]).alias("terms"))
+    near = held.select("row", "entities", F.explode("terms").alias("term")).select("row", "term", F.explode("entities").alias("entity"))
     kind = F.when(F.col("disclosure") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    hit = words.join(told, ["term", "entity"]).groupBy("row", "start", "end").agg(F.max(kind).alias("kind"), F.max("term").alias("value"))
+    told = materialize(disclosing(near, entities, document_frequencies(stored), n, support, generalise).groupBy("term").agg(F.max(kind).alias("kind")))
+    parts = max(1, math.ceil(told.count() / TERMS))
+    words = stored.select("row", F.explode(_words(F.col("text"), F.col("spans"))).alias("w")).select("row", "w.*")
+    hits = []
+    for k in range(parts):
+        some = told.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k)
+        found = words.join(F.broadcast(some), "term").select("row", "start", "end", "kind", F.col("term").alias("value"))
+        hits.append(found if parts == 1 else materialize(found))
+    hit = reduce(DataFrame.unionByName, hits)
     more = hit.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "value")).cast(SPAN).alias("more"))
-    out = stored.drop("near").join(more, "row", "left")
+    out = (stored if with_text else stored.drop("text")).join(more, "row", "left")
     return out.withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(SPAN))))).drop("more", "row")
 
 

@@ -101,6 +101,38 @@ def test_a_short_count_lowers_the_estimate(spark):
     assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in want)
 
 
+def test_terms_far_from_an_entity_and_without_it(spark):
+    """A disclosing term goes wherever it stands: far off in the text, and where the entity is not written."""
+    far = "the plain note " * 40
+    texts = [f"the plain note {i}" for i in range(4000)] + [f"ann@x.org {far}Zorbax {i}" for i in range(9)] + [f"zorbax {far}zorbax"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in S.sanitise(docs).collect()}
+    assert all("Zorbax" not in got[4000 + i].text and far in got[4000 + i].text for i in range(9))
+    assert [(s.start, s.end) for s in got[4009].spans] == [(0, 6), (len(texts[-1]) - 6, len(texts[-1]))] and "zorbax" not in got[4009].text
+    assert got[5].text == texts[5]
+
+
+def test_words_of_any_text(spark):
+    rng = random.Random(5)
+    bits = ["a", "Bc", "é", "😀", "𝒜", "İ", "Σ", "1", " ", "\n", ".", "_", "w" * 300, " " * 300]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["", "ab " * 3000, "x" * 5000]
+    spans = [[(a, 0, a + 7, "e") for a in range(0, len(t), 11)] if i % 2 else [] for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(list(zip(range(len(texts)), texts, spans, strict=True)), f"i int, text string, spans {S.SPAN}")
+    for r in rows.select("i", S._words(S.F.col("text"), S.F.col("spans")).alias("w")).collect():
+        t = texts[r.i]
+        want = [m.span() for m in re.finditer(r"[^\W_]+", t) if not any(a < m.end() and b > m.start() for a, _, b, _ in spans[r.i])]
+        assert [(w.start, w.end) for w in r.w] == want
+        assert all(w.term == t[w.start : w.end].lower() for w in r.w if not set("İΣ") & set(t[w.start : w.end]))
+
+
+def test_many_disclosing_terms_in_parts(spark, monkeypatch):
+    texts = [f"the plain note {i}" for i in range(400)] + [f"ann@x.org quimble zorbax wrote here day {i}" for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(map(tuple, S.digests(S.find(docs)).collect()))
+    monkeypatch.setattr(S, "TERMS", 2)
+    assert sorted(map(tuple, S.digests(S.find(docs)).collect())) == whole
+
+
 def test_no_python_on_the_main_path(corpus):
     plan = S.digests(S.find(corpus))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
