@@ -6,7 +6,7 @@ block-level tags, each with its tag count and the containers it stands in. A lin
 ratio is text length by tags. The ratios, smoothed along the page by a Gaussian, are
 split at a threshold (a share of their deviation); lines above it are content seeds.
 The seeds elect the region: the ``article`` or ``main`` element with most seed text
-or else the deepest container that holds nearly all of it. All lines of the region
+or else the deepest container that holds all seeds and their headings. All lines of the region
 are the text, but for those inside navigation, forms, adverts, notices, comments and
 the like, which are known by element, role, class or id and are no seeds either.
 
@@ -32,7 +32,7 @@ from tabwatch.llm.common import field, map_batches, slices, text_strings
 SIGMA, RADIUS = 1.0, 3
 #: Seeds lie above this share of the deviation of the smoothed ratios.
 THRESHOLD = 0.5
-#: Share of the seeds' text that a container without article or main must hold.
+#: Share of the seed text of a main element that an article must hold to be preferred.
 MOST = 0.8
 
 # HTML's elements by kind, and words that mark boilerplate in class, id and role.
@@ -175,6 +175,28 @@ def smooth(values: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np
     return np.convolve(np.pad(values, radius), kernel / kernel.sum(), "valid")
 
 
+def headed(lines: list, seeds: list) -> list:
+    """The seeds and the headings right before them."""
+    known, out = {id(x) for x in seeds}, []
+    for x in reversed(lines):
+        if id(x) in known or out and out[-1] is after and x[4] and not x[3] & 1:
+            out.append(x)
+        after = x
+    return out
+
+
+def common(boxes: list[int], parents: list[int]) -> int:
+    """The deepest container around all of ``boxes``, -1 if there is none."""
+    region = boxes[0]
+    for box in boxes[1:]:
+        while box != region:  # containers are numbered from outside in
+            if box > region:
+                box = parents[box]
+            else:
+                region = parents[region]
+    return region
+
+
 def extract(html: str) -> str:
     """The main text of a page, blocks joined by newlines."""
     page = Lines()
@@ -187,7 +209,7 @@ def extract(html: str) -> str:
     ratio = smooth(np.array([len(x[0]) / max(1, x[1]) if not x[3] else 0.0 for x in page.lines]))
     limit = THRESHOLD * float(np.std(ratio))
     seeds = [x for x, r in zip(page.lines, ratio.tolist(), strict=True) if not x[3] and r >= limit] or lines
-    mass, total = {}, sum(len(x[0]) for x in seeds)
+    mass = {}
     for text, _, box, _, _ in seeds:
         while box >= 0:
             mass[box] = mass.get(box, 0) + len(text)
@@ -198,8 +220,7 @@ def extract(html: str) -> str:
         if page.kinds[region] == "article" and any(page.kinds[b] == "main" and mass[region] < math.ceil(MOST * mass[b]) and b < region for b in named):
             region = max((b for b in named if page.kinds[b] == "main"), key=lambda b: mass[b])
     else:
-        held = [b for b, n in mass.items() if n >= MOST * total]
-        region = max(held) if held else -1  # containers are numbered from outside in
+        region = common([x[2] for x in headed(page.lines, seeds)], page.parents)
 
     def inside(box: int) -> bool:
         while box > region:

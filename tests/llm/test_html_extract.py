@@ -16,6 +16,19 @@ def test_main_text(html, text):
     assert H.extract(html) == text
 
 
+LONG = "A long paragraph of the text, with many words in it and no tags at all inside. " * 6
+
+
+@pytest.mark.parametrize("html, lost", [
+    (f"<body><div class=content><h1>Title</h1><div class=body><p>{LONG}<p>{LONG}<p>{LONG}</div></div>", "Title"),
+    (f"<body><div><h1>Title</h1></div><div><p>{LONG}<p>{LONG}<p>{LONG}<p>{LONG}<p>{LONG}<p>{LONG}<p>{LONG}</div>", "Title"),
+    (f"<body><div><section><p>{LONG * 9}<p>{LONG * 9}</section><section><h2>More</h2><p>Other things are said here. {LONG}</section></div>", "Other things are said here."),
+])
+def test_no_part_of_the_text_is_lost_beside_the_largest(html, lost):
+    got = H.extract(html + "<div class=menu><a href=x>Home</a></div>")
+    assert lost in got and LONG.strip() in got and "Home" not in got
+
+
 def test_smoothing_keeps_mass_and_order():
     import numpy as np
 
