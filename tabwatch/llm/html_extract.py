@@ -8,7 +8,10 @@ split at a threshold (a share of their deviation); lines above it are content se
 The seeds elect the region: the ``article`` or ``main`` element with most seed text
 or else the deepest container that holds all seeds and their headings. All lines of the region
 are the text, but for those inside navigation, forms, adverts, notices, comments and
-the like, which are known by element, role, class or id and are no seeds either.
+the like, which are known by element, role, class or id and are no seeds either. A
+class or id with an ordinary word (related, social) is backed by a second one in the
+same class, or by a text-to-tag ratio below the seeds'; without, the element stays. Ids
+of headings, sections and articles, often made from titles, are not read.
 
 Defined results: null html, and html without text, give an empty text; line breaks
 within a block (``br`` too) are white space; unclosed and stray tags are tolerated;
@@ -39,7 +42,7 @@ MOST = 0.8
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td body".split())
-DROPPED = frozenset("head title script style noscript template nav aside footer form button select option textarea iframe svg canvas object audio video dialog menu label fieldset math".split())
+DROPPED = frozenset("head title script style noscript template nav aside footer form button select option textarea iframe svg canvas object audio video dialog menu label fieldset".split())
 CLOSED_BY = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promotion promoted
 nav navbar navigation navi menu menubar breadcrumb breadcrumbs pagination pager toolbar
@@ -47,6 +50,11 @@ footer foot copyright contentinfo colophon masthead banner sidebar sidebars asid
 notice notices cookie cookies consent gdpr disclaimer alert popup modal overlay dialog paywall
 comment comments commentlist respond disqus reply replies discussion
 share sharing social related recommended recommendations teaser trending newsletter subscribe subscription signup login search searchbox form widget tracking hidden skip""".split())
+#: Marks that need no backing: as classes, or as ids without other words.
+PLAIN = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsored
+nav navbar menubar breadcrumb breadcrumbs pagination footer contentinfo colophon masthead sidebar sidebars comment comments commentlist disqus""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+UNREAD = HEADINGS | frozenset("html body main section article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 
@@ -56,9 +64,10 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int]] = []  # tag, container number (-1: none), 1 dropped | 2 header
+        self.stack: list[tuple[str, int, int]] = []  # tag, container number (-1: none), 1 dropped | 2 header | 4 marked by an ordinary word | number of that mark << 3
         self.parents: list[int] = []  # of each container
         self.kinds: list[str] = []
+        self.around: list[int] = []  # the marked element around each marked one
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.text: list[str] = []
         self.tags, self.flags, self.container, self.heading = 0, 0, -1, False
@@ -97,7 +106,11 @@ class Lines(HTMLParser):
         elif tag == "header":
             flags |= 2
         if attrs:
-            flags |= self.marked(tag, attrs)
+            found = self.marked(tag, attrs)
+            flags |= found & 3
+            if found & 4 and (tag in BLOCKS or tag in DROPPED):
+                self.around.append(flags >> 3 if flags & 4 else -1)
+                flags = flags & 3 | 4 | len(self.around) - 1 << 3
         if tag in CONTAINERS:
             self.parents.append(container)
             self.kinds.append(tag)
@@ -120,16 +133,21 @@ class Lines(HTMLParser):
         out = 0
         for name, value in attrs:
             value = value or ""
+            if name == "id" and tag in UNREAD:
+                continue
             if name in ("class", "id"):
-                if tag in ("html", "body", "article", "main") and name == "class":  # pages' and articles' own classes say what they hold, except comments
-                    hit = {w.lower() for w in WORDS(value)} & {"comment", "comments", "reply", "ad", "advert", "sponsored"} if tag == "article" else set()
+                words = [w.lower() for w in WORDS(value)]
+                if tag in ("html", "body", "article", "main"):  # pages' and articles' own classes say what they hold, except comments
+                    hit, plain = set(), tag == "article" and not {"comment", "comments", "reply", "ad", "advert", "sponsored"}.isdisjoint(words)
                 else:
-                    words = {w.lower() for w in WORDS(value)}
-                    hit = words & MARKS
+                    hit = MARKS.intersection(words)
+                    plain = not PLAIN.isdisjoint(words) and (name == "class" or len(hit) == len(set(words)))
                     if "header" in words:
                         out |= 2
-                if hit:
+                if plain or name == "class" and len(hit) > 1:
                     out |= 1
+                elif hit and tag not in HEADINGS:
+                    out |= 4
             elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 out |= 1
         return out
@@ -175,6 +193,29 @@ def smooth(values: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np
     return np.convolve(np.pad(values, radius), kernel / kernel.sum(), "valid")
 
 
+def ratios(lines: list) -> np.ndarray:
+    return smooth(np.array([len(x[0]) / max(1, x[1]) if not x[3] else 0.0 for x in lines]))
+
+
+def backed(page: Lines) -> list:
+    """Lines whose marks by ordinary words are settled: dropped if an element's text-to-tag
+    ratio, without what is dropped in it anyway, is below that of seeds."""
+    if not page.lines:
+        return []
+    limit = THRESHOLD * float(np.std(ratios(page.lines)))
+    size, tags = [0] * len(page.around), [0] * len(page.around)
+    for text, n, _, flags, _ in page.lines:
+        mark = flags >> 3 if flags & 5 == 4 else -1
+        while mark >= 0:
+            size[mark] += len(text)
+            tags[mark] += n
+            mark = page.around[mark]
+    low = []
+    for k, outer in enumerate(page.around):  # outer ones come first
+        low.append(size[k] < limit * max(1, tags[k]) or outer >= 0 and low[outer])
+    return [(text, n, box, flags & 3 | (1 if flags & 4 and low[flags >> 3] else 0), heading) for text, n, box, flags, heading in page.lines]
+
+
 def headed(lines: list, seeds: list) -> list:
     """The seeds and the headings right before them."""
     known, out = {id(x) for x in seeds}, []
@@ -203,10 +244,12 @@ def extract(html: str) -> str:
     page.feed(html)
     page.close()
     page.cut()
+    if page.around:
+        page.lines = backed(page)
     lines = [x for x in page.lines if not x[3] & 1 and (not x[3] & 2 or x[4])]
     if not lines:
         return ""
-    ratio = smooth(np.array([len(x[0]) / max(1, x[1]) if not x[3] else 0.0 for x in page.lines]))
+    ratio = ratios(page.lines)
     limit = THRESHOLD * float(np.std(ratio))
     seeds = [x for x, r in zip(page.lines, ratio.tolist(), strict=True) if not x[3] and r >= limit] or lines
     mass = {}

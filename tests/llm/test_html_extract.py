@@ -29,6 +29,26 @@ def test_no_part_of_the_text_is_lost_beside_the_largest(html, lost):
     assert lost in got and LONG.strip() in got and "Home" not in got
 
 
+@pytest.mark.parametrize("part, kept", [
+    (f"<section id=discussion><h2>Discussion</h2><p>Here we discuss. {LONG}</section>", ["Discussion", "Here we discuss."]),
+    ("<h2 id=related-work>Related work</h2>", ["Related work"]), ("<h3 class=related>Related work</h3>", ["Related work"]),
+    (f"<div class=section id=comments-on-x><p>On x. {LONG}</div>", ["On x."]), (f"<div class=social><p>Social life. {LONG}</div>", ["Social life."]),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>27</mn></math> holds.", ["So x=27 holds."]),
+    ("<div class=related><ul><li><a href=a>Also read</a><li><a href=b>And this</a></ul></div>", []),
+    ("<div class=share><a href=a>Send</a> <a href=b>Post</a></div>", []), (f"<div class=comments><p>Nice. {LONG}</div>", []),
+    (f"<div class=social><p>Social life. {LONG}<div class=ad>Buy <a href=x>now</a></div><div class=share><a href=a>Send</a></div></div>", ["Social life."]),
+])
+def test_ordinary_words_in_class_and_id(part, kept):
+    lines = [f"{LONG}First.", f"{LONG}Last."]
+    for page in (f"<body><article>{{}}</article><footer>c</footer>", "<body><div>{}</div>"):
+        got = H.extract(page.format(f"<p>{lines[0]}</p>{part}<p>{lines[1]}</p>")).split("\n")
+        assert [g for g in got if g not in lines] == [g for g in got if any(g.startswith(k) for k in kept)] and len(got) == 2 + len(kept)
+
+
+def test_articles_with_marks_in_their_ids():
+    assert H.extract(f"<article id=comments-on-x><p>{LONG}</article>") == LONG.strip() == H.extract(f"<body id=search><p>{LONG}")
+
+
 def test_smoothing_keeps_mass_and_order():
     import numpy as np
 
