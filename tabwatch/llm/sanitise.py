@@ -55,8 +55,8 @@ OCTET = r"^0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 WORD = r"[\p{L}\p{N}]+"
 #: About so many characters of a text, up to the end of a word, are cut into words at a time.
 CHUNK = r"(?s).{1,256}+[\p{L}\p{N}]*+"
-#: Disclosing terms in one broadcast.
-TERMS = 1_000_000
+#: Disclosing terms in one broadcast; frequent terms, and entities, in the one that leaves out pairs.
+TERMS, FREQUENT = 1_000_000, 100_000
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
@@ -144,7 +144,7 @@ def _words(text: Column, spans: Column) -> Column:
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(term, df) over all words of all documents."""
     terms = F.array_distinct(F.transform(F.split("text", r"[^\p{L}\p{N}]+"), F.lower))
-    return docs.select(F.explode(terms).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    return docs.select(F.explode_outer(terms).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def disclosing(near: DataFrame, entities: DataFrame, frequencies: DataFrame, n: int, support: int, generalise: float) -> DataFrame:
@@ -157,6 +157,29 @@ def disclosing(near: DataFrame, entities: DataFrame, frequencies: DataFrame, n:
     return both.select("term", "entity", (pmi / F.log(F.lit(float(n)) / F.col("entity_df"))).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
+def _frequent(counts: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The rows of largest count, at most ``FREQUENT``, and a bound on the count of the others."""
+    bits = F.length(F.bin(column))
+    total = 0
+    for r in sorted(counts.groupBy(bits.alias("bits")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        total += r.k
+        if total > FREQUENT:
+            return counts.where(bits > r.bits), 2**r.bits - 1
+    return counts, 0
+
+
+def possible(near: DataFrame, entities: DataFrame, frequencies: DataFrame, n: int, generalise: float) -> DataFrame:
+    """``near`` without pairs that can't reach ``generalise``: n(t, e) is df(e) at most, so
+    their ln(N / df(t)) is too small. Most pairs are of a few frequent terms and end here."""
+    terms, _ = _frequent(frequencies, "df")
+    known, others = _frequent(entities.distinct().groupBy("entity").agg(F.count("*").alias("most")), "most")
+    both = near.join(F.broadcast(terms), "term", "left").join(F.broadcast(known), "entity", "left")
+    most = F.coalesce("most", F.lit(others)).cast("double")
+    # a little slack, so that rounding leaves out no pair at the limit
+    able = F.log(F.lit(float(max(n, 1))) / F.col("df")) >= generalise * F.log(F.lit(float(max(n, 1))) / most) - 1e-9
+    return both.where(F.col("df").isNull() | able).select("row", "term", "entity")
+
+
 def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, with_text: bool = False) -> DataFrame:
     """(doc_id, spans) of every document, all kinds sorted by start, kind and end."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -164,11 +187,13 @@ def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
     n = stored.count()
     entities = stored.select("row", F.explode("spans").alias("s")).select("row", F.col("s.value").alias("entity"))
     held = stored.where(F.size("spans") > 0).select("row", F.array_distinct("spans.value").alias("entities"), F.array_distinct(_words(F.col("text"), F.col("spans"))["term"]).alias("terms"))
-    near = held.select("row", "entities", F.explode("terms").alias("term")).select("row", "term", F.explode("entities").alias("entity"))
+    near = held.select("row", "entities", F.explode_outer("terms").alias("term")).where("term is not null").select("row", "term", F.explode("entities").alias("entity"))
+    frequencies = materialize(document_frequencies(stored))
+    near = possible(near, entities, frequencies, n, generalise)
     kind = F.when(F.col("disclosure") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    told = materialize(disclosing(near, entities, document_frequencies(stored), n, support, generalise).groupBy("term").agg(F.max(kind).alias("kind")))
+    told = materialize(disclosing(near, entities, frequencies, n, support, generalise).groupBy("term").agg(F.max(kind).alias("kind")))
     parts = max(1, math.ceil(told.count() / TERMS))
-    words = stored.select("row", F.explode(_words(F.col("text"), F.col("spans"))).alias("w")).select("row", "w.*")
+    words = stored.select("row", F.explode_outer(_words(F.col("text"), F.col("spans"))).alias("w")).select("row", "w.*")  # outer: explode would cut the words once more to ask for their number
     hits = []
     for k in range(parts):
         some = told.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k)

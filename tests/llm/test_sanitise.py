@@ -133,6 +133,17 @@ def test_many_disclosing_terms_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, S.digests(S.find(docs)).collect())) == whole
 
 
+def test_left_out_pairs_change_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join([f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(12)] + [f"z{k} u{k}@x.org"] * (rng.random() < 0.2)) for k in (rng.randint(0, 30) for _ in range(600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    for frequent in (100_000, 40, 0):
+        monkeypatch.setattr(S, "FREQUENT", frequent)
+        got.append(sorted(map(tuple, S.digests(S.find(docs)).collect())))
+    assert got[0] == got[1] == got[2] and any("generalise" in r[-1] for r in got[0])
+
+
 def test_no_python_on_the_main_path(corpus):
     plan = S.digests(S.find(corpus))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
