@@ -6,7 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwatch.llm import chat, decontaminate, hnsw, html_extract, importance, ngram_join, packing, sanitise, secret_scan, toxicity
+from tabwatch.llm import chat, decontaminate, fim, hnsw, html_extract, importance, ngram_join, packing, sanitise, secret_scan, target_sampling, toxicity, warc
+from tabwatch.llm.common import doc_columns
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -58,13 +59,25 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.round_trip(_table(spark, sf_dir, "pages")))
+
+
+def op12_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(doc_columns(_table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_secret_scan, op4_chat_formatting, op5_importance_resampling, op6_pii_sanitisation, op7_toxicity, op8_benchmark_decontamination, op9_hnsw_search, op10_ngram_jaccard_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_secret_scan, op4_chat_formatting, op5_importance_resampling, op6_pii_sanitisation, op7_toxicity, op8_benchmark_decontamination, op9_hnsw_search, op10_ngram_jaccard_join, op11_warc_chunks, op12_target_sampling, op13_fill_in_middle, pipeline)}
 
 #: Words of a text as the contract cuts them; RE2 works on code points, as Spark's side does on UTF-8 bytes.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -81,6 +94,26 @@ l as (select a, b from p where 100 * k >= 80 * (na + nb - k)),
 r as (select row as a, row as b from s union select r.a, l.b from r join l on r.b = l.a),
 c as (select r.a as row, min(s.doc_id) as component_id from r join s on r.b = s.row group by r.a)
 select s.doc_id, len(grams)::bigint as n_shingles, component_id from s join c using (row)""",
+    "op11_warc_chunks": r"""
+with p as (select row_number() over () as row, page_id, coalesce(html, '') as html from pages),
+d as (select row, page_id, strlen(html)::bigint as payload_bytes, html, sha1(html) as h from p),
+g as (select html, max(struct_pack(page_id := coalesce(page_id, -9223372036854775808), row := row)) as top from d group by html)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') as payload_digest,
+  case when g.top.row = d.row then 'response' else 'revisit' end as record_type,
+  case when g.top.row <> d.row then nullif(g.top.page_id, -9223372036854775808) end as refers_to
+from d join g using (html)""",
+    "op13_fill_in_middle": r"""
+with t as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tok, sha256('42:' || coalesce(doc_id::varchar, '')) as d from t),
+h as (select *, len(tok)::bigint as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(d, i, 8))::bigint) as h from w),
+f as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) as hi,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 50 then 'plain' when h[4] % 100 < 80 then 'spm' else 'psm' end as form from h),
+x as (select *, coalesce(array_to_string(tok[1:lo], ''), '') as pre, coalesce(array_to_string(tok[lo + 1:hi], ''), '') as mid, coalesce(array_to_string(tok[hi + 1:n], ''), '') as suf from f)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end::bigint as prefix_chars, case when form <> 'plain' then length(mid) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(text) as restored_sha256
+from x""",
     "op4_chat_formatting": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, turn, role, '<|im_end|><|im_start|>assistant ok' from (values (0, 'user'), (1, 'assistant')) as t(turn, role)),
