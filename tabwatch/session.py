@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -59,11 +60,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df):
+#: Folders written since the outermost open ``scratch`` began, innermost last.
+_open_scratch: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own under ``spark.checkpoint.dir``, dropped with the open ``scratch``."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tabwatch-{kind}/{uuid.uuid4().hex}"
+    if _open_scratch:
+        _open_scratch[-1].append(path)
+    return path
+
+
+def materialize(df, compression: str | None = None):
     """Compute an intermediate once: write it as a parquet table under
     ``spark.checkpoint.dir`` and read it back. Later plans scan the table, its lineage
-    is cut, and a lost executor costs no recomputation."""
-    base = checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/tabwatch-tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    is cut, and a lost executor costs no recomputation. Inside ``scratch`` the table is
+    dropped when that ends."""
+    path = new_folder(df.sparkSession, "tables")
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", compression) if compression else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it, if there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediates written inside are dropped at the end, so only use it around work whose
+    result is stored elsewhere. Yields the list of their folders; one that is taken out of
+    it stays."""
+    made: list[str] = []
+    _open_scratch.append(made)
+    try:
+        yield made
+    finally:
+        _open_scratch.pop()
+        for path in made:
+            drop_folder(spark, path)
