@@ -159,7 +159,7 @@ def bracket(df: DataFrame, k: int, n: int, half: float = HALF_WIDTH, accuracy: i
         above, inside = df.agg(F.count_if(score > high), F.count_if((score >= low) & (score <= high))).first()
         if above < k <= above + inside:
             return low, high, above
-        spread *= 8
+        spread = 8 * spread + 0.001
 
 
 def cutoff(df: DataFrame, k: int, n: int, half: float = HALF_WIDTH, accuracy: int = ACCURACY):

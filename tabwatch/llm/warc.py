@@ -9,8 +9,8 @@ response, the others are revisits of it. A chunk is written as one WARC record:
 first as the response, the next ones as its continuations (WARC segments), so no
 reader needs more memory than a chunk, and a long record may lie in many tasks.
 
-Chunks are also cut inside every version line that a payload holds. The text before a
-version line is therefore always a record's end, and archives of any size can be read by
+Chunks are also cut inside every version name that a payload holds. A version line after
+an empty line is therefore always a record's start, and archives of any size can be read by
 Spark's line reader with that line as the separator, split anywhere.
 
 Reading. Headers and blocks are cut apart by the lengths in the headers; segments of a
@@ -34,7 +34,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 
 import pyarrow as pa
 import xxhash
@@ -42,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwatch.llm.common import field, join_narrow, map_batches
-from tabwatch.session import checkpoint_dir, materialize
+from tabwatch.session import materialize, new_folder, scratch
 
 #: Most payload bytes of a chunk, and about how many an output batch holds.
 CHUNK_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
@@ -55,7 +54,7 @@ VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-VERSION_LINE = re.compile(re.escape(VERSION).encode())
+VERSION_NAME = re.compile(re.escape(VERSION.strip()).encode())
 UNSAFE = re.compile(r"[\x00-\x20\x7F]")
 #: Date of all records of an archive, where the caller gives none.
 DATE = "2024-01-01T00:00:00Z"
@@ -66,9 +65,10 @@ def base32(digest: bytes) -> str:
 
 
 def chunk_ends(payload, size: int) -> list[int]:
-    """Where chunks end: every ``size`` bytes and two bytes into each version line."""
+    """Where chunks end: every ``size`` bytes and two bytes into each version name (its line may
+    be ended by the line ends after the record)."""
     ends, at = [], 0
-    for stop in [*(m.start() + 2 for m in VERSION_LINE.finditer(payload)), len(payload)]:
+    for stop in [*(m.start() + 2 for m in VERSION_NAME.finditer(payload)), len(payload)]:
         ends += [*range(at + size, stop, size), stop]
         at = stop
     return ends
@@ -161,7 +161,7 @@ def records(table: DataFrame, min_bytes: int = MIN_BYTES, date: str = DATE) -> D
 
 def write(pages: DataFrame, path: str, size: int = CHUNK_BYTES, min_bytes: int = MIN_BYTES, date: str = DATE) -> None:
     """Archives of all pages into a new folder."""
-    records(materialize(chunks(pages, size)), min_bytes, date).write.option("lineSep", END).text(path)
+    records(materialize(chunks(pages, size), compression="zstd"), min_bytes, date).write.option("lineSep", END).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -235,8 +235,9 @@ def payloads(segments: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, size: int = CHUNK_BYTES, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Archives of all pages in a new shared folder, read back: one row a page."""
-    path = f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/tabwatch-warc/{uuid.uuid4().hex}"
-    write(pages, path, size, min_bytes)
+    path = new_folder(pages.sparkSession, "warc")
+    with scratch(pages.sparkSession):  # the chunk table is not needed once the archives are written
+        write(pages, path, size, min_bytes)
     return payloads(read(pages.sparkSession, path))
 
 
