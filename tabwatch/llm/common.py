@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +60,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def worker_memo(name: str | None) -> dict:
     """A dict that lives on in the Python worker, which Spark reuses for many tasks.
-    Only one is kept: asking for another one, or for none, frees the last."""
+    Only one is kept: asking for another one, or for none, frees the last. Memory that
+    earlier tasks freed goes back to the system, so idle workers do not hold it."""
+    pa.default_memory_pool().release_unused()
     held = sys.modules.setdefault("tabwatch_worker_memo", types.ModuleType("tabwatch_worker_memo")).__dict__
     if "memo" not in held or held["name"] != name:
         held["name"], held["memo"] = name, {}
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
     return held["memo"]
 
 
@@ -69,6 +76,18 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def text_slices(batch: pa.RecordBatch, key: str, name: str, limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and UTF-8 texts (null: empty) of consecutive rows that hold about ``limit`` bytes;
+    only these become Python objects."""
+    column = batch.column(name).cast(pa.binary()).fill_null(b"")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield batch.column(key).slice(i, j - i).to_pylist(), column.slice(i, j - i).to_pylist()
+        i = j
+
+
 def text_strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """Strings of a column; null is empty."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]

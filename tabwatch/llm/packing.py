@@ -19,7 +19,6 @@ each; an empty table gives no rows; the longest piece fills a sequence alone.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 
 import numpy as np
@@ -27,44 +26,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import LOWER, doc_columns, field, map_batches, slices, text_bytes, worker_memo
+from tabwatch.llm.common import LOWER, doc_columns, field, map_batches, text_slices, worker_memo
 from tabwatch.session import materialize
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers, and the longest word it remembers.
-REMEMBERED, LONGEST = 1_200_000, 64
+#: Words of a generation whose ids a worker remembers, the longest of them, and words encoded at a time.
+REMEMBERED, LONGEST, BLOCK = 300_000, 64, 1024
+#: About how many bytes of text are worked on at a time.
+STEP = 1 << 20
 #: Pieces dealt to one bucket, about.
 BUCKET_ROWS = 50_000
-#: Fixed: control characters that str.split() takes as white space and the tokenizer does not.
-ODD_SPACE = rb"[\x1c-\x1f]"
+#: ASCII punctuation but the apostrophe, which the tokenizer joins to letters after it.
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
 def build_encoder(tokenizer_path: str):
     """UTF-8 texts -> list of little-endian unsigned 32-bit ids. This tokenizer ignores
     letter case and white space never enters a token, so texts are encoded word by
-    word, A-Z in lower case, and words remembered. A text that may hold a special
-    token's string keeps its case; one with odd spaces is encoded whole."""
+    word, A-Z in lower case, and words remembered. A word that ends in an ASCII letter
+    and punctuation is the two one after the other, so only its parts are encoded. A
+    text that may hold a special token's string keeps its case, and such a word is
+    encoded whole.
+
+    Words are remembered in two generations of at most ``REMEMBERED`` and one slice:
+    when the newer is full it becomes the older, whose words are kept if they come again."""
     import os
+    from array import array
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok, known, odd = Tokenizer.from_file(tokenizer_path), worker_memo(tokenizer_path), re.compile(ODD_SPACE).search
+    tok, memo = Tokenizer.from_file(tokenizer_path), worker_memo(tokenizer_path)
+    memo.setdefault("new", {})
+    memo.setdefault("old", {})
 
-    def raw(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+    def learn(words: list[bytes], known: dict[bytes, bytes]) -> None:
+        for i in range(0, len(words), BLOCK):
+            part = words[i : i + BLOCK]
+            known.update(zip(part, (array("I", e.ids).tobytes() for e in tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True))
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [None if odd(t) else (t if b"<|" in t else t.translate(LOWER)).decode().split() for t in texts]
-        every = set().union(*(s for s in split if s))
-        new = list(every.difference(known))
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(every)
-        known.update(zip(new, raw(new), strict=True))
-        out = [raw([t.decode()])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
-        for w in [w for w in new if len(w) > LONGEST]:
-            del known[w]
+        known, old = memo["new"], memo["old"]
+        split = [(t if b"<|" in t else t.translate(LOWER)).split() for t in texts]
+        missing = set().union(*split).difference(known)
+        for w in old.keys() & missing:
+            known[w] = old[w]
+        missing.difference_update(old)
+        joined, wanted = [], set()
+        for w in missing:
+            stem = w.rstrip(PUNCTUATION)
+            if len(stem) < len(w) and stem[-1:].islower() and b"<|" not in w:
+                tail = w[len(stem) :]
+                joined.append((w, stem, tail))
+                wanted.update((stem, tail))
+            else:
+                wanted.add(w)
+        wanted.difference_update(known)
+        for w in old.keys() & wanted:
+            known[w] = old[w]
+        learn(list(wanted.difference(old)), known)
+        for w, stem, tail in joined:
+            known[w] = known[stem] + known[tail]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in [w for w in missing | wanted if len(w) > LONGEST]:
+            known.pop(w, None)
+        if len(known) > REMEMBERED:
+            memo["new"], memo["old"] = {}, known
         return out
 
     return encode
@@ -78,10 +105,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
         encode = build_encoder(tokenizer_path)
 
         def on_batch(batch: pa.RecordBatch):
-            texts, ids = text_bytes(batch, "text"), batch.column("doc_id").to_pylist()
-            for i, j in slices(texts):
+            for ids, texts in text_slices(batch, "doc_id", "text", STEP):
                 rows = []
-                for doc, data in zip(ids[i:j], encode(texts[i:j]), strict=True):
+                for doc, data in zip(ids, encode(texts), strict=True):
                     data += b"\0\0\0\0"
                     for p, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
