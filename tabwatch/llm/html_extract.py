@@ -5,13 +5,16 @@ The standard library's parser streams its events into lines: runs of text betwee
 block-level tags, each with its tag count and the containers it stands in. A line's
 ratio is text length by tags. The ratios, smoothed along the page by a Gaussian, are
 split at a threshold (a share of their deviation); lines above it are content seeds.
-The seeds elect the region: the ``article`` or ``main`` element with most seed text
-or else the deepest container that holds all seeds and their headings. All lines of the region
-are the text, but for those inside navigation, forms, adverts, notices, comments and
+The seeds elect the regions: the ``article`` elements that hold some (all of them, so
+sibling articles stay together), the ``main`` element where articles hold too little of
+its seeds, or else the deepest container that holds all seeds and their headings. All
+lines of the regions are the text, blocks joined by an empty line, but for those inside navigation, forms, adverts, notices, comments and
 the like, which are known by element, role, class or id and are no seeds either. A
+class that names a notice, an advert or a sharing box is enough outside headings; a
 class or id with an ordinary word (related, social) is backed by a second one in the
 same class, or by a text-to-tag ratio below the seeds'; without, the element stays. Ids
-of headings, sections and articles, often made from titles, are not read.
+of headings, sections and articles, often made from titles, are not read. An ``article``
+or ``main`` ends the forms around it and menus and asides that are never closed.
 
 Defined results: null html, and html without text, give an empty text; line breaks
 within a block (``br`` too) are white space; unclosed and stray tags are tolerated;
@@ -21,7 +24,6 @@ extracted each. Work is per page and in one pass, so a page's memory is its own
 
 from __future__ import annotations
 
-import math
 import re
 from html.parser import HTMLParser
 
@@ -35,7 +37,7 @@ from tabwatch.llm.common import field, map_batches, slices, text_strings
 SIGMA, RADIUS = 1.0, 3
 #: Seeds lie above this share of the deviation of the smoothed ratios.
 THRESHOLD = 0.5
-#: Share of the seed text of a main element that an article must hold to be preferred.
+#: Share of the seed text of a main element that its articles must hold to be preferred.
 MOST = 0.8
 
 # HTML's elements by kind, and words that mark boilerplate in class, id and role.
@@ -53,6 +55,11 @@ share sharing social related recommended recommendations teaser trending newslet
 #: Marks that need no backing: as classes, or as ids without other words.
 PLAIN = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsored
 nav navbar menubar breadcrumb breadcrumbs pagination footer contentinfo colophon masthead sidebar sidebars comment comments commentlist disqus""".split())
+#: Marks that need no backing as classes, but for headings.
+NAMED = frozenset("""notice notices cookie cookies consent gdpr disclaimer alert popup modal overlay paywall copyright banner
+sponsor sponsors promo promotion promoted share sharing newsletter subscribe subscription signup teaser trending widget breadcrumbs pager toolbar""".split())
+#: What an article or main element ends, where no end tag follows.
+LEFT_OPEN = frozenset("nav aside footer menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 UNREAD = HEADINGS | frozenset("html body main section article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -71,6 +78,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.text: list[str] = []
         self.tags, self.flags, self.container, self.heading = 0, 0, -1, False
+        self.ended: dict[str, int] = {}  # end tags seen of what may be left open
 
     def cut(self) -> None:
         if self.text:
@@ -93,6 +101,12 @@ class Lines(HTMLParser):
                 self.close_to(("head",), ())
             if any(t == "p" for t, _, _ in self.stack[-6:]):
                 self.close_to(("p",), ("td", "th", "table", "button", "object"))
+        if tag in ("article", "main"):
+            for k, (t, _, _) in enumerate(self.stack):
+                if t == "form" or t in LEFT_OPEN and len(re.findall(f"</{t}", self.rawdata, re.IGNORECASE)) <= self.ended.get(t, 0):
+                    del self.stack[k:]
+                    self.settle()
+                    break
         if tag in CLOSED_BY:
             self.close_to(tuple(CLOSED_BY[tag][0].split()), CLOSED_BY[tag][1])
         self.tags += 1
@@ -142,6 +156,7 @@ class Lines(HTMLParser):
                 else:
                     hit = MARKS.intersection(words)
                     plain = not PLAIN.isdisjoint(words) and (name == "class" or len(hit) == len(set(words)))
+                    plain = plain or name == "class" and tag not in HEADINGS and not NAMED.isdisjoint(words)
                     if "header" in words:
                         out |= 2
                 if plain or name == "class" and len(hit) > 1:
@@ -165,6 +180,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         block = tag in BLOCKS
+        if tag in LEFT_OPEN:
+            self.ended[tag] = self.ended.get(tag, 0) + 1
         if block:
             self.tags += 1
             self.cut()
@@ -238,8 +255,34 @@ def common(boxes: list[int], parents: list[int]) -> int:
     return region
 
 
+def articles(page: Lines, mass: dict[int, int]) -> list[int]:
+    """The article or main elements that are the text, from the seed text of each container;
+    none if no such element holds seeds."""
+    def outer(boxes: list[int]) -> list[int]:
+        chosen: list[int] = []
+        for b in sorted(boxes):  # outer ones come first
+            around = page.parents[b]
+            while around >= 0 and around not in chosen:
+                around = page.parents[around]
+            if around < 0:
+                chosen.append(b)
+            elif mass[b] == mass[around]:  # of nested ones with equal text, the inner
+                chosen[chosen.index(around)] = b
+        return chosen
+
+    named = outer([b for b in mass if page.kinds[b] == "article"])
+    mains = [b for b in mass if page.kinds[b] == "main"]
+    if not mains:
+        return named
+    best = max(mains, key=lambda b: (mass[b], b))
+    own = [b for b in named if common([b, best], page.parents) == best]
+    if not own and any(common([b, best], page.parents) == b for b in named):
+        return named  # the main element is in an article
+    return own if sum(mass[b] for b in own) >= MOST * mass[best] else [best]
+
+
 def extract(html: str) -> str:
-    """The main text of a page, blocks joined by newlines."""
+    """The main text of a page, blocks joined by an empty line."""
     page = Lines()
     page.feed(html)
     page.close()
@@ -257,21 +300,19 @@ def extract(html: str) -> str:
         while box >= 0:
             mass[box] = mass.get(box, 0) + len(text)
             box = page.parents[box]
-    named = [b for b in mass if page.kinds[b] in ("article", "main")]
-    if named:  # of nested ones with equal text, the inner
-        region = max(named, key=lambda b: (page.kinds[b] == "article", mass[b], b))
-        if page.kinds[region] == "article" and any(page.kinds[b] == "main" and mass[region] < math.ceil(MOST * mass[b]) and b < region for b in named):
-            region = max((b for b in named if page.kinds[b] == "main"), key=lambda b: mass[b])
-    else:
-        region = common([x[2] for x in headed(page.lines, seeds)], page.parents)
+    regions = articles(page, mass) or [common([x[2] for x in headed(page.lines, seeds)], page.parents)]
+    article = regions[0] >= 0 and page.kinds[regions[0]] in ("article", "main")
+    known = dict.fromkeys(regions, True) | {-1: -1 in regions}  # whether a container is in a region
 
     def inside(box: int) -> bool:
-        while box > region:
+        path = []
+        while box not in known:
+            path.append(box)
             box = page.parents[box]
-        return box == region or region < 0
+        known.update(dict.fromkeys(path, known[box]))
+        return known[box]
 
-    article = region >= 0 and page.kinds[region] in ("article", "main")
-    return "\n".join(x[0] for x in lines if inside(x[2]) and (article or not x[3] & 2))
+    return "\n\n".join(x[0] for x in lines if inside(x[2]) and (article or not x[3] & 2))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@ import pytest
 from tabwatch.llm import html_extract as H
 
 PAGES = [
-    ("<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy this now, it is really cheap and good for you</div><article><h1>A &amp; B</h1><p><b>First   line<br>of\ntext<br><p>Second.</article><footer>&copy; x</footer>", "A & B\nFirst line of text\nSecond."),
-    ("<body><div id=wrap><div class=header>Site</div><ul class=menu><li><a href=x>Home</a></ul><div class=content><h1>Title</h1><p>Para one with quite some words in it, really.<p>Para two &amp; more.</div><div class=sidebar>links</div><div id=comments><p>nice post, I love it and would read more of it</div></div><div class=footer>c</div>", "Title\nPara one with quite some words in it, really.\nPara two & more."),
-    ("<main><article><header><h1>T</h1><span class=byline>By x</span></header><p>a b c d e f g</p><aside>pull</aside><form>x<input></form><section class='comments'><article class='comment'>hey there</article></section></article></main>", "T\na b c d e f g"),
+    ("<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy this now, it is really cheap and good for you</div><article><h1>A &amp; B</h1><p><b>First   line<br>of\ntext<br><p>Second.</article><footer>&copy; x</footer>", "A & B\n\nFirst line of text\n\nSecond."),
+    ("<body><div id=wrap><div class=header>Site</div><ul class=menu><li><a href=x>Home</a></ul><div class=content><h1>Title</h1><p>Para one with quite some words in it, really.<p>Para two &amp; more.</div><div class=sidebar>links</div><div id=comments><p>nice post, I love it and would read more of it</div></div><div class=footer>c</div>", "Title\n\nPara one with quite some words in it, really.\n\nPara two & more."),
+    ("<main><article><header><h1>T</h1><span class=byline>By x</span></header><p>a b c d e f g</p><aside>pull</aside><form>x<input></form><section class='comments'><article class='comment'>hey there</article></section></article></main>", "T\n\na b c d e f g"),
     ("plain text only", "plain text only"), ("", ""), ("<p>", ""), ("<div hidden>x</div><p>visible text here</p>", "visible text here"),
     ("<article><p>x &lt;tag&gt; &#233;&nbsp;y</p><div class='cookie-notice'>We use cookies</div><style>p{}</style><!-- c --></article>", "x <tag> é y"),
-    ("<article>one<ul><li>two<li>three</ul></b>four</article>", "one\ntwo\nthree\nfour"),
+    ("<article>one<ul><li>two<li>three</ul></b>four</article>", "one\n\ntwo\n\nthree\n\nfour"),
 ]
 
 
@@ -41,7 +41,7 @@ def test_no_part_of_the_text_is_lost_beside_the_largest(html, lost):
 def test_ordinary_words_in_class_and_id(part, kept):
     lines = [f"{LONG}First.", f"{LONG}Last."]
     for page in (f"<body><article>{{}}</article><footer>c</footer>", "<body><div>{}</div>"):
-        got = H.extract(page.format(f"<p>{lines[0]}</p>{part}<p>{lines[1]}</p>")).split("\n")
+        got = H.extract(page.format(f"<p>{lines[0]}</p>{part}<p>{lines[1]}</p>")).split("\n\n")
         assert [g for g in got if g not in lines] == [g for g in got if any(g.startswith(k) for k in kept)] and len(got) == 2 + len(kept)
 
 
@@ -49,6 +49,26 @@ def test_articles_with_marks_in_their_ids():
     assert H.extract(f"<article id=comments-on-x><p>{LONG}</article>") == LONG.strip() == H.extract(f"<body id=search><p>{LONG}")
 
 
+@pytest.mark.parametrize("wrap", ["<body>{}", "<body><main>{}</main>", "<body><div><div>{}</div></div>", "<body><form id=page><main>{}</main></form>"])
+def test_sibling_articles_stay_together(wrap):
+    two = f"<article><h1>One</h1><p>First. {LONG}</article><div class=ad>Buy</div><article><h1>Two</h1><p>Second. {LONG * 5}</article>"
+    got = H.extract("<nav><a href=x>Home</a></nav>" + wrap.format(two) + "<footer>c</footer>").split("\n\n")
+    assert got == ["One", f"First. {LONG}".strip(), "Two", f"Second. {LONG * 5}".strip()]
+
+
+@pytest.mark.parametrize("box", ["<p class=notice>We change our terms soon.</p>", "<p class=promo>Buy two and pay for one only today.</p>", "<div class=share>Tell your friends</div>", "<div class='cookie-banner'>We use cookies, see below for all of them</div>", "<section class=newsletter><h2>Stay</h2><p>Letters every week for you</section>"])
+def test_notices_and_adverts_in_an_article_go(box):
+    for page in ("<body><article><h1>T</h1><p>{}</p>{}<p>End.</article>", "<body><div><h1>T</h1><p>{}</p>{}<p>End.</div>"):
+        assert H.extract(page.format(LONG, box)) == f"T\n\n{LONG.strip()}\n\nEnd."
+
+
+@pytest.mark.parametrize("tag", ["nav", "aside", "footer", "menu"])
+def test_what_is_never_closed_does_not_swallow_the_article(tag):
+    assert H.extract(f"<body><{tag}><a href=x>Home</a><article><p>{LONG}</article>") == LONG.strip()
+    closed = H.extract(f"<body><{tag}><article><p>Card text. {LONG}</article></{tag}><article><p>{LONG}</article>")
+    assert closed == LONG.strip()
+
+
 def test_smoothing_keeps_mass_and_order():
     import numpy as np
 
@@ -76,4 +96,4 @@ def test_planted_articles_come_back(spark):
     for r in pages.collect():
         inside = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         blocks = [" ".join(escape.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
-        assert found[r.page_id] == "\n".join(b for b in blocks if b)
+        assert found[r.page_id] == "\n\n".join(b for b in blocks if b)
