@@ -1,6 +1,7 @@
 """Training-data operators: one module per operator, queries in ``queries.py``.
 
-Functions shipped to executors go by value, so executors need only the public
+Functions shipped to executors go by value and broadcasts hold arrays and numbers only
+(a broadcast object's class would be looked up by name), so executors need only the public
 libraries (numpy, pyarrow, ...), not this package, on their path.
 """
 

@@ -133,7 +133,8 @@ def evidence_tables(table: DataFrame, discount: float = DISCOUNT) -> tuple[DataF
         longer = longer.groupBy(low(F.col("code"), k).alias("code")).agg(F.count("*").alias("n"))
         conts[k] = longer
     total = conts[1].agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    shared = conts[1].join(F.broadcast(total)).select("code", ((F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * F.col("kinds") / (ALPHABET + 1)) / F.col("all")).alias("p"))
+    everything, kinds = total.select("all").scalar(), total.select("kinds").scalar()
+    shared = conts[1].select("code", ((F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * kinds / (ALPHABET + 1)) / everything).alias("p"))
     for k in range(2, ORDER):
         context = conts[k].groupBy(head(F.col("code")).alias("context")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
         grown = conts[k].withColumn("context", head(F.col("code"))).withColumn("tail", low(F.col("code"), k - 1)).join(context, "context")
@@ -167,6 +168,16 @@ class Lookup:
             self.values[slot[done]] = values[todo[done]]
             todo, slot = todo[~done], (slot[~done] + 1) % len(self.codes)
 
+    def arrays(self) -> tuple:
+        """All that it holds, for a broadcast: executors need not know this class to read it."""
+        return self.shift, self.codes, self.values
+
+    @classmethod
+    def of(cls, arrays: tuple) -> Lookup:
+        made = cls.__new__(cls)
+        made.shift, made.codes, made.values = arrays
+        return made
+
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -236,16 +247,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
 
 
 class Model:
-    """What scoring needs: two lookups and the logistic function (broadcast)."""
+    """What scoring needs: two lookups and the logistic function."""
 
     def __init__(self, own, contexts, weights, share):
         self.own, self.contexts, self.weights, self.share = own, contexts, weights, share
 
-    def build(self):
-        if self.weights is None:
-            return lambda texts: np.full(len(texts), self.share)
-        measure, w = build_measure(self.own, self.contexts), self.weights
-        return lambda texts: 1 / (1 + np.exp(-np.clip(w[0] + measure(texts) @ w[1:], -30, 30)))
+    def arrays(self) -> tuple:
+        """The model as numbers and arrays, for a broadcast."""
+        return None if self.weights is None else (self.own.arrays(), self.contexts.arrays(), self.weights), self.share
+
+
+def build_score(arrays: tuple):
+    """texts -> scores, from a model's arrays."""
+    held, share = arrays
+    if held is None:
+        return lambda texts: np.full(len(texts), share)
+    own, contexts, w = held
+    measure = build_measure(Lookup.of(own), Lookup.of(contexts))
+    return lambda texts: 1 / (1 + np.exp(-np.clip(w[0] + measure(texts) @ w[1:], -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, discount: float = DISCOUNT) -> Model:
@@ -261,11 +280,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     for t in (own, contexts):
         arrow = t.toArrow()
         lookups.append(Lookup(arrow.column("code").to_numpy().astype(np.int64), arrow.column("evidence").to_numpy().astype(np.float32)))
-    shared = spark.sparkContext.broadcast(lookups)
+    shared = spark.sparkContext.broadcast([x.arrays() for x in lookups])
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.where(f"fold = {FOLDS - 1}").select("doc_id", "toxic")), "doc_id")
 
     def work():
-        measure = build_measure(*shared.value)
+        measure = build_measure(*map(Lookup.of, shared.value))
 
         def on_batch(batch):
             texts, y = text_bytes(batch, "text"), batch.column("toxic").to_pylist()
@@ -285,10 +304,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 in column ``name``, higher where toxic is likelier."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.arrays())
 
     def work():
-        of = shared.value.build()
+        of = build_score(shared.value)
 
         def on_batch(batch):
             texts = text_bytes(batch, "text")

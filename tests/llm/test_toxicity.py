@@ -114,3 +114,24 @@ def test_lookup_is_exact():
     table = X.Lookup(codes[:4000], np.arange(4000, dtype=np.float32))
     value, known = table.get(codes)
     assert known[:4000].all() and not known[4000:].any() and (value[:4000] == np.arange(4000)).all()
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    """The query from another working directory, where the workers cannot import this package."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = (
+        "import sys\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
+        "assert s.range(1).rdd.map(lambda x: __import__('importlib.util').util.find_spec('tabwatch') is None).first()\n"
+        "sys.path.insert(0, %r)\n"
+        "from tabwatch.llm.queries import QUERIES\n"
+        "print('ROWS', QUERIES['op7_toxicity'](s, '/root/testdata/sf0.001').count())\n" % repo
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=str(tmp_path), env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 200" in out.stdout, out.stderr[-3000:]
