@@ -3,7 +3,7 @@
 Equal vectors are one node (a hot vector is pre-aggregated; its node keeps the
 ``k + 1`` smallest row ids, which is all that k neighbours can ever need). Nodes are
 dealt by hash to shards of about ``SHARD`` vectors. A task builds a shard's
-hierarchy: nodes draw a top layer from a hash of their id, layers are built from the
+hierarchy: nodes, in the order of their ids, draw a top layer from a seeded generator, layers are built from the
 top down, and nodes enter a layer in batches that search it together, choose diverse
 neighbours and link back. A shard is stored as one row of flat arrays: vectors,
 ids, and for each layer its nodes and a padded neighbour array.
@@ -164,9 +164,16 @@ def search_graph(q: np.ndarray, vectors: np.ndarray, layers: list, beam: int) ->
     return np.where(found >= 0, nodes[found], -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: exact, and no
+    square of a component leaves the range of doubles."""
+    _, power = np.frexp(np.abs(x).max(1, keepdims=True))
+    half = power // 2  # in two steps, since the whole power may be out of range
+    return np.ldexp(np.ldexp(x.astype(np.float64), -half), half - power)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    y = x.astype(np.float64)
-    y = y / np.abs(y).max(1, keepdims=True)
+    y = scaled(x)
     return (y / np.linalg.norm(y, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -225,13 +232,15 @@ def search(index: DataFrame, shards: DataFrame, wanted: DataFrame, k: int, beam:
             for nodes, links in zip(row["layer_nodes"], row["layer_links"], strict=True):
                 nodes = np.frombuffer(nodes, np.int32)
                 layers.append((nodes, np.frombuffer(links, np.int32).reshape(len(nodes), -1)))
-            small, norm = unit(vectors), np.linalg.norm(vectors, axis=1)
+            small, even = unit(vectors), scaled(vectors)
+            norm = np.linalg.norm(even, axis=1)
             q = queries.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim)
             ids = queries.column("node").to_numpy()
             for at in range(0, len(q), BATCH):
                 part = q[at : at + BATCH]
                 found = search_graph(unit(part), small, layers, max(beam, k))
-                exact = np.einsum("bd,bcd->bc", part, vectors[found]) / (np.linalg.norm(part, axis=1)[:, None] * norm[found])
+                part = scaled(part)
+                exact = np.einsum("bd,bcd->bc", part, even[found]) / (np.linalg.norm(part, axis=1)[:, None] * norm[found])
                 exact = np.where(found >= 0, exact, -np.inf)
                 for b in range(len(part)):
                     rows = [(-s, v) for s, f in zip(exact[b].tolist(), found[b].tolist(), strict=True) if f >= 0 for v in members[first[f] : first[f + 1]].tolist()]

@@ -63,3 +63,21 @@ def test_few_and_none(spark):
     assert H.nearest(one).count() == 0
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in H.nearest(two).collect()] == [(0, 1, 1, -1.0)]
+
+
+def test_scores_of_tiny_and_huge_vectors(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [3e-310, 0.0]), (3, [1.7e308, -1.7e308]), (4, [5e-324, 5e-324]), (5, [0.0, 2.0]), (6, [1e-300, 1e300])]
+    got = {(r.query_id, r.vec_id): r.score for r in H.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=6, every=1).collect()}
+    turn = {0: 0.0, 1: 45.0, 2: 0.0, 3: -45.0, 4: 45.0, 5: 90.0, 6: 90.0}
+    assert len(got) == 42
+    for (q, v), s in got.items():
+        assert abs(s - math.cos(math.radians(turn[q] - turn[v]))) < 1e-15
+
+
+def test_scaling_does_not_change_scores():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 9)) * 10.0 ** rng.integers(-3, 4, size=(50, 1))
+    y = H.scaled(x)
+    ratio = y / x
+    assert (ratio == ratio[:, :1]).all() and (np.abs(y).max(1) >= 0.5).all() and (np.abs(y).max(1) < 1).all()
+    assert (np.frexp(ratio[:, 0])[0] == 0.5).all()
