@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from tabwatch.functions.core import is_numeric_type, join_small, nan_div, to_long
 from tabwatch.functions.pvalues import chi2_sf, ks_pvalue
+from tabwatch.operators.counts import value_counts_of
 from tabwatch.plans.ordered import count_below, running_sum
+from tabwatch.session import materialize
 
 # PSI floor, alert thresholds, reference sample size and seed, the
 # default means used when a profile lacks one, chi-square sum tolerance.
@@ -115,7 +117,7 @@ def quartile_edges(profile: DataFrame) -> Column:
 
 
 def bin_vectors(long: DataFrame, edges: DataFrame, keys: Sequence[str] = (),
-                n_edges: int | None = None) -> DataFrame:
+                n_edges: int | None = None, weight: str | None = None) -> DataFrame:
     """Histogram of ``long.v`` on each key's ``edges`` as one array per key:
     ``keys..., feature, counts (NULL if edges decrease), n_all``.
 
@@ -124,8 +126,8 @@ def bin_vectors(long: DataFrame, edges: DataFrame, keys: Sequence[str] = (),
     without current values are absent (the reference skips them)."""
     k = [*keys, "feature"]
     j = join_small(long, edges.select(*k, "edges"), k)  # one row per feature
-    b = j.select(*k, bin_index(F.col("v"), F.col("edges"), n_edges).alias("bin"))
-    c = b.groupBy(*k, "bin").agg(F.count(F.lit(1)).alias("_c"))
+    b = j.select(*k, bin_index(F.col("v"), F.col("edges"), n_edges).alias("bin"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
+    c = b.groupBy(*k, "bin").agg(F.sum("_w").cast("long").alias("_c"))
     g = c.groupBy(*k).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "_c")))).alias("_m"),
         F.sum("_c").alias("n_all"),
@@ -138,18 +140,20 @@ def bin_vectors(long: DataFrame, edges: DataFrame, keys: Sequence[str] = (),
 
 
 def numeric_psi(cur_long: DataFrame, profile: DataFrame, keys: Sequence[str] = (),
-                expected: str = "uniform", base_long: DataFrame | None = None) -> DataFrame:
+                expected: str = "uniform", base_long: DataFrame | None = None,
+                weight: str | None = None) -> DataFrame:
     """``keys..., feature, psi, out_of_range_rate``.
 
     ``expected="uniform"`` is the reference (25 % per quartile bin);
     ``expected="observed"`` uses the baseline rows (``base_long``) binned on the
-    same edges, which removes the bias on tied data.
+    same edges, which removes the bias on tied data.  ``weight`` names a column of
+    ``cur_long`` that says how often a value occurs.
     """
     keys = list(keys)
     k = [*keys, "feature"]
     has_pct = F.coalesce(F.col("p25"), F.col("p50"), F.col("p75"), F.col("p95")).isNotNull()
     edges = profile.where(has_pct).select(*k, quartile_edges(profile).alias("edges"))
-    cur = bin_vectors(cur_long, edges, keys, n_edges=5)
+    cur = bin_vectors(cur_long, edges, keys, n_edges=5, weight=weight)
     if expected == "observed":
         if base_long is None:
             raise ValueError("expected='observed' needs base_long")
@@ -168,10 +172,11 @@ def numeric_psi(cur_long: DataFrame, profile: DataFrame, keys: Sequence[str] = (
 
 # ------------------------------------------------------------------------- E6
 def mean_shift(cur_long: DataFrame, profile: DataFrame, keys: Sequence[str] = (),
-               default_mean: float = 0.0) -> DataFrame:
+               default_mean: float = 0.0, weight: str | None = None) -> DataFrame:
     """``keys..., feature, mean_shift`` = |mean(current) - baseline mean|."""
     k = [*keys, "feature"]
-    cur = cur_long.groupBy(*k).agg(F.avg("v").alias("_m"))
+    mean = F.avg("v") if weight is None else F.sum(F.col("v") * F.col(weight)) / F.sum(weight)
+    cur = cur_long.groupBy(*k).agg(mean.alias("_m"))
     return cur.join(F.broadcast(profile.select(*k, "mean")), k).select(
         *k, F.abs(F.col("_m") - F.coalesce(F.col("mean"), F.lit(default_mean))).alias("mean_shift")
     )
@@ -219,6 +224,12 @@ def ks_two_sample(a_long: DataFrame, b_long: DataFrame, keys: Sequence[str] = ()
     cnt = u.groupBy(*k, "v").agg(
         F.count(F.when(F.col("_s") == 1, 1)).alias("c1"), F.count(F.when(F.col("_s") == 2, 1)).alias("c2")
     )
+    return ks_of_counts(cnt, keys, n_buckets)
+
+
+def ks_of_counts(cnt: DataFrame, keys: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+    """E5 from the counts ``keys..., feature, v, c1, c2`` of every distinct value on both sides."""
+    k = [*keys, "feature"]
     tot = cnt.groupBy(*k).agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2")).where(
         (F.col("n1") > 0) & (F.col("n2") > 0)
     )
@@ -289,7 +300,7 @@ def chi_square_test(cur_long: DataFrame, cat_profile: DataFrame, keys: Sequence[
 
 # ------------------------------------------------------------------ E8 / E9
 def score_drift(cur: DataFrame, score_col: str, base: DataFrame, keys: Sequence[str] = (),
-                n_edges: int | None = None) -> DataFrame:
+                n_edges: int | None = None, weight: str | None = None) -> DataFrame:
     """Binary prediction drift.  ``base`` has one row per key with ``mean``,
     ``edges`` and ``counts`` (the baseline histogram).  Returns long rows
     ``keys..., feature='prediction', metric in (mean_shift, psi), value``; PSI is
@@ -298,13 +309,15 @@ def score_drift(cur: DataFrame, score_col: str, base: DataFrame, keys: Sequence[
     keys = list(keys)
     v = F.col(score_col).cast("double")
     b = base.select(*keys, "mean", "edges", "counts")
-    x = join_small(cur.select(*keys, v.alias("v")).where(F.col("v").isNotNull()), b, keys)  # one row per key
+    w = F.col(weight) if weight else F.lit(1)
+    x = join_small(cur.select(*keys, v.alias("v"), w.cast("long").alias("_w")).where(F.col("v").isNotNull()), b, keys)  # one row per key
     ok = (F.size("edges") > 1) & (F.size("counts") > 0) & (F.size("counts") == F.size("edges") - 1)
-    binned = x.select(*keys, F.when(ok, bin_index(F.col("v"), F.col("edges"), n_edges)).alias("bin"))
+    binned = x.select(*keys, "_w", F.when(ok, bin_index(F.col("v"), F.col("edges"), n_edges)).alias("bin"))
     # at most #bins entries per key
-    per_bin = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_c"))
+    per_bin = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.sum("_w").alias("_c"))
     hist = per_bin.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "_c"))).alias("_m"))
-    stats = join_small(x.groupBy(*keys).agg(F.avg("v").alias("_cm")), b, keys)
+    mean = F.avg("v") if weight is None else F.sum(F.col("v") * F.col("_w")) / F.sum("_w")
+    stats = join_small(x.groupBy(*keys).agg(mean.alias("_cm")), b, keys)
     res = join_small(stats, hist, keys, how="left") if keys else join_small(stats, hist)
     counts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0))),
                          lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)).cast("long"))
@@ -337,13 +350,56 @@ def _long_metrics(df: DataFrame, k: list[str], metrics: Sequence[str]) -> DataFr
     return df.select(*k, *[F.col(m).cast("double") for m in metrics]).unpivot(k, list(metrics), "metric", "value")
 
 
+def _numeric_drift(cur: DataFrame, prof: DataFrame, feats: list[str], keys: list[str], n_buckets: int | None,
+                   wanted, counts: DataFrame | None) -> DataFrame:
+    """The numeric part of E10."""
+    k = [*keys, "feature"]
+    # numeric columns cast directly; other types are try-cast and any value
+    # that fails makes the feature's metrics NULL (the reference errors)
+    odd = [f for f in feats if not is_numeric_type(cur.schema[f].dataType)]
+    if counts is None:
+        casted = cur.select(*keys, *[F.col(f).try_cast("double").alias(f) if f in odd else F.col(f) for f in feats])
+        counts = value_counts_of(casted, feats, keys=keys, store=False)
+    else:
+        counts = counts.where(F.col("feature").isin(feats))
+    # current counts c1 next to those of the E4 sample c2: with them one table holds all that follows
+    ref = reference_sample(prof, REFERENCE_SAMPLE_SIZE, keys).groupBy(*k, "v").agg(F.count(F.lit(1)).alias("c2"))
+    both = counts.where(F.col("v").isNotNull()).select(*k, "v", F.col("n").alias("c1"), F.lit(0).cast("long").alias("c2")).unionByName(
+        ref.select(*k, "v", F.lit(0).cast("long").alias("c1"), "c2"))
+    both = materialize(both.groupBy(*k, "v").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2")))
+    own = both.where("c1 > 0")
+    present = own.groupBy(*k).agg(F.lit(0).alias("_bad"))
+    if odd:
+        bad = cur.groupBy(*keys).agg(*[
+            F.count(F.when(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull(), 1)).alias(f)
+            for f in odd
+        ]).unpivot(keys, odd, "feature", "_bad2")
+        present = present.join(bad, k, "left").select(*k, F.coalesce(F.col("_bad2"), F.col("_bad")).alias("_bad"))
+    # one row per key and feature on all sides
+    wide = present.join(numeric_psi(own, prof, keys, weight="c1").select(*k, "psi"), k, "left")
+    wide = wide.join(ks_of_counts(both, keys, n_buckets).select(*k, "ks_statistic", "ks_pvalue"), k, "left")
+    if wanted("mean_shift"):
+        wide = wide.join(mean_shift(own, prof, keys, weight="c1"), k, "left")
+    shown = [m for m in ("psi", "ks_statistic", "ks_pvalue", "mean_shift") if wanted(m)]
+    # psi is absent when the profile has no percentiles
+    has_pct = prof.where(F.coalesce("p25", "p50", "p75", "p95").isNotNull()).select(*k, F.lit(True).alias("_pct"))
+    wide = wide.join(has_pct, k, "left").select(*k, "_pct", *[F.when(F.col("_bad") == 0, F.col(m)).alias(m) for m in shown])
+    long = _long_metrics(wide, [*k, "_pct"], shown)
+    return long.where((F.col("metric") != "psi") | F.col("_pct").isNotNull()).drop("_pct")
+
+
 def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: DataFrame | None,
                   keys: Sequence[str] = (), n_buckets: int | None = None,
                   with_chi2_pvalue: bool = True, num_features: Sequence[str] | None = None,
-                  cat_features: Sequence[str] | None = None, metrics: Sequence[str] | None = None) -> DataFrame:
+                  cat_features: Sequence[str] | None = None, metrics: Sequence[str] | None = None,
+                  counts: DataFrame | None = None) -> DataFrame:
     """Every baseline feature at once, long ``keys..., feature, metric, value``.
     ``metrics`` names those that are wanted; the others are not computed.
 
+    The current rows are scanned once, into a stored table of distinct values and their
+    counts that all numeric metrics read (``counts``: one that the caller has, see
+    ``operators.counts``); a second scan counts the categories.
+
     Features missing from ``cur``, all-null features and features of unknown type
     are absent.  Non-numeric values in a numeric feature give NULL metrics.
     """
@@ -359,37 +415,7 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
             r[0] for r in num_profile.select("feature").distinct().collect()]  # profile metadata
         feats = [f for f in feats if f in cur.columns]
         if feats:
-            # numeric columns cast directly; other types are try-cast and any value
-            # that fails makes the feature's metrics NULL (the reference errors)
-            casted = cur.select(*keys, *[
-                (F.col(f).cast("double") if is_numeric_type(cur.schema[f].dataType)
-                 else F.col(f).try_cast("double")).alias(f) for f in feats
-            ])
-            odd = [f for f in feats if not is_numeric_type(cur.schema[f].dataType)]
-            long = to_long(casted, feats, ids=keys)
-            present = long.groupBy(*k).agg(F.lit(0).alias("_bad"))
-            if odd:
-                bad = cur.groupBy(*keys).agg(*[
-                    F.count(F.when(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull(), 1)).alias(f)
-                    for f in odd
-                ]).unpivot(keys, odd, "feature", "_bad2")
-                present = present.join(bad, k, "left").select(
-                    *k, F.coalesce(F.col("_bad2"), F.col("_bad")).alias("_bad"))
-            prof = num_profile.where(F.col("feature").isin(feats))
-            psi = numeric_psi(long, prof, keys).select(*k, "psi")
-            ks = ks_against_profile(long, prof, keys, n_buckets=n_buckets).select(*k, "ks_statistic", "ks_pvalue")
-            wide = present.join(psi, k, "left").join(ks, k, "left")
-            if wanted("mean_shift"):
-                wide = wide.join(mean_shift(long, prof, keys), k, "left")
-            shown = [m for m in ("psi", "ks_statistic", "ks_pvalue", "mean_shift") if wanted(m)]
-            wide = wide.select(*k, *[F.when(F.col("_bad") == 0, F.col(m)).alias(m) for m in shown])
-            lm = _long_metrics(wide, k, shown)
-            # psi is absent when the profile has no percentiles
-            has_pct = prof.where(F.coalesce("p25", "p50", "p75", "p95").isNotNull()).select(*k)
-            lm = lm.join(has_pct.withColumn("_pct", F.lit(True)), k, "left").where(
-                (F.col("metric") != "psi") | F.col("_pct").isNotNull()
-            ).drop("_pct")
-            parts.append(lm)
+            parts.append(_numeric_drift(cur, num_profile.where(F.col("feature").isin(feats)), feats, keys, n_buckets, wanted, counts))
     if cat_profile is not None and (wanted("chi2_statistic") or wanted("chi2_pvalue")):
         feats = list(cat_features) if cat_features is not None else [
             r[0] for r in cat_profile.select("feature").distinct().collect()]  # profile metadata
@@ -399,10 +425,11 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
             cs = chi_square_test(long, cat_profile, keys) if with_chi2_pvalue else chi_square(long, cat_profile, keys)
             cs = cs.where(F.col("status") != "too_few_categories")
             parts.append(_long_metrics(cs, k, ["chi2_statistic", "chi2_pvalue"] if with_chi2_pvalue else ["chi2_statistic"]))
-    if not parts and cat_profile is not None and num_profile is None:
-        return cat_profile.select(*k, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")).limit(0)
-    if not parts:
-        raise ValueError("no baseline features present in current data")
+    if not parts:  # no feature of the baseline is present: nothing to report
+        base = num_profile if num_profile is not None else cat_profile
+        if base is None:
+            raise ValueError("a numeric or a categorical profile is needed")
+        return base.select(*k, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -411,10 +438,12 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
 
 def prediction_drift(cur: DataFrame, prediction_type: str | None, score_col: str | None = None,
                      score_base: DataFrame | None = None, arr_col: str | None = None,
-                     class_base: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame | None:
-    """Dispatch on the baseline prediction type; unknown or missing → None."""
+                     class_base: DataFrame | None = None, keys: Sequence[str] = (),
+                     n_edges: int | None = None, weight: str | None = None) -> DataFrame | None:
+    """Dispatch on the baseline prediction type; unknown or missing → None.
+    ``n_edges`` (of the baseline histogram) and ``weight`` as in :func:`score_drift`."""
     if prediction_type == "binary_classification" and score_base is not None:
-        return score_drift(cur, score_col, score_base, keys)
+        return score_drift(cur, score_col, score_base, keys, n_edges, weight)
     if prediction_type == "multiclass_classification" and class_base is not None:
         return class_drift(cur, arr_col, class_base, keys)
     return None

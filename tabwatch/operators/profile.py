@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabwatch.functions.core import (
     categorical_columns, feature_name, join_small, nan_div, numeric_columns, to_long, to_long_ids,
 )
+from tabwatch.operators.counts import category_shares, quantiles, value_counts_of
 from tabwatch.plans.ordered import exact_quantiles, quantile_columns
 
 # The profile percentiles and the category count kept per feature.
@@ -24,23 +25,28 @@ TOP_K = 10
 HISTOGRAM_BINS = 20
 
 
-def numeric_profile(df: DataFrame, features: Sequence[str] | None = None,
-                    keys: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
-    """``keys..., feature, n_rows, n, mean, std, min, max, p25, p50, p75, p95,
-    missing_rate`` (sample std; NaN counts as missing)."""
-    keys = list(keys)
-    features = list(features) if features is not None else numeric_columns(df, exclude=keys)
-    # the shuffles are keyed by a small int feature id; names come back at the end
-    long = to_long_ids(df, features, ids=keys, keep_missing=True)
-    stats = long.groupBy(*keys, "_fid").agg(
+def _row_stats(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return long.groupBy(*keys, "_fid").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("v").alias("n"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
+        F.stddev_pop("v").alias("std_pop"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
         F.avg(F.col("v").isNull().cast("double")).alias("missing_rate"),
     )
+
+
+def numeric_profile(df: DataFrame, features: Sequence[str] | None = None,
+                    keys: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+    """``keys..., feature, n_rows, n, mean, std, min, max, p25, p50, p75, p95,
+    missing_rate`` (sample std; NaN counts as missing)."""
+    keys = list(keys)
+    features = list(features) if features is not None else numeric_columns(df, exclude=keys)
+    # the shuffles are keyed by a small int feature id; names come back at the end
+    long = to_long_ids(df, features, ids=keys, keep_missing=True)
+    stats = _row_stats(long, keys)
     qs = quantile_columns(long.where(F.col("v").isNotNull()), [*keys, "_fid"], "v",
                           PROFILE_PERCENTILES, n_buckets)
     # one row per (key, feature) on both sides
@@ -145,8 +151,9 @@ def histogram_edges(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS,
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS,
-              keys: Sequence[str] = ()) -> DataFrame:
+              keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """``keys..., bin, lo, hi, count`` for every bin (empty bins kept).
+    ``weight`` names a column that says how often a value occurs.
 
     Bin assignment follows NumPy: left-closed bins, last bin closed, computed by
     arithmetic and corrected against the materialised edges.
@@ -154,7 +161,7 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS,
     keys = list(keys)
     ed = histogram_edges(df, column, bins, keys)
     v = F.col(column).cast("double")
-    vals = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
+    vals = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
     # one row per key: the broadcast is bounded by the number of keys
     j = join_small(vals, ed, keys)
     norm = F.lit(float(bins)) / (F.col("hi") - F.col("lo"))
@@ -166,7 +173,7 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS,
         F.when((F.col("_v") >= F.element_at("edges", F.col("_i") + 2)) & (F.col("_i") != bins - 1), F.col("_i") + 1)
         .otherwise(F.col("_i")),
     )
-    counts = j.groupBy(*keys, F.col("_i").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = j.groupBy(*keys, F.col("_i").alias("bin")).agg(F.sum("_w").alias("count"))
     all_bins = ed.select(*keys, "edges", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return all_bins.join(counts, [*keys, "bin"], "left").select(
         *keys, F.col("bin").cast("int").alias("bin"),
@@ -223,42 +230,66 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None,
 
 def build_baseline(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                    score_col: str | None = None, keys: Sequence[str] = (),
-                   n_buckets: int | None = None) -> DataFrame:
+                   n_buckets: int | None = None, class_col: str | None = None) -> DataFrame:
     """The whole baseline as long rows ``keys..., section, feature, stat, value``.
 
     Sections: ``dataset`` (n_samples), ``numeric``, ``categorical`` (share per
-    category, stat = category), ``prediction`` (score profile + histogram counts).
+    category, stat = category; none for a feature without values), ``prediction``
+    (score profile + histogram counts; with ``class_col``, an array of class
+    probabilities, mean and std per class and their number).
+
+    Two scans: stored counts of distinct values (``operators.counts``) give quantiles,
+    shares and the histogram, the rows themselves means and deviations. The class section
+    is a scan of its own.
     """
     keys = list(keys)
+    numbers = [*numeric, *([score_col] if score_col and score_col not in numeric else [])]
     parts = []
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    if numbers or categorical:
+        counts = value_counts_of(df, numbers, list(categorical), keys)
+        one = counts.where(F.col("feature") == [*numbers, *categorical][0])
+        n = one.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("value"))
+    else:
+        n = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("value"))
     parts.append(n.select(*keys, F.lit("dataset").alias("section"), F.lit("").alias("feature"),
                           F.lit("n_samples").alias("stat"), "value"))
-    if numeric:
-        num = numeric_profile(df, numeric, keys, n_buckets)
+    if numbers:
+        num = counts.where(F.col("feature").isin(numbers))
+        stats = _row_stats(to_long_ids(df, numbers, ids=keys, keep_missing=True), keys).withColumn("feature", feature_name(numbers)).drop("_fid")
+        # one row per (key, feature) on both sides
+        prof = stats.join(quantiles(num, PROFILE_PERCENTILES, keys, n_buckets), [*keys, "feature"], "left")
         stats = ["mean", "std", "min", "max", *PROFILE_PERCENTILES.keys(), "missing_rate"]
-        parts.append(num.select(*keys, "feature", *[F.col(s).cast("double") for s in stats])
-                     .unpivot([*keys, "feature"], stats, "stat", "value")
-                     .select(*keys, F.lit("numeric").alias("section"), "feature", "stat", "value"))
+        long = prof.select(*keys, "feature", *[F.col(s).cast("double") for s in [*stats, "std_pop"]]).unpivot(
+            [*keys, "feature"], [*stats, "std_pop"], "stat", "value")
+        if numeric:
+            parts.append(long.where(F.col("feature").isin(list(numeric)) & (F.col("stat") != "std_pop")).select(
+                *keys, F.lit("numeric").alias("section"), "feature", "stat", "value"))
+        if score_col:
+            of_scores = (F.col("feature") == score_col) & F.col("stat").isin("mean", "std_pop", *PROFILE_PERCENTILES)
+            parts.append(long.where(of_scores).select(
+                *keys, F.lit("prediction").alias("section"), "feature", F.regexp_replace("stat", "_pop$", "").alias("stat"), "value"))
+            scores = counts.where((F.col("feature") == score_col) & F.col("v").isNotNull()).select(*keys, F.col("v").alias(score_col), "n")
+            h = histogram(scores, score_col, keys=keys, weight="n")
+            parts.append(h.select(*keys, F.lit("prediction").alias("section"), F.lit(score_col).alias("feature"),
+                                  F.format_string("count:%02d", F.col("bin")).alias("stat"),
+                                  F.col("count").cast("double").alias("value")))
     if categorical:
-        cat = categorical_profile(df, categorical, keys)
-        parts.append(cat.select(*keys, F.lit("categorical").alias("section"), "feature",
-                                F.concat(F.lit("share:"), F.col("category")).alias("stat"),
-                                F.col("share").alias("value")))
-        meta = cat.select(*keys, "feature", F.col("n_unique").cast("double"), F.col("missing_rate")).distinct()
+        cats, totals = category_shares(counts.where(F.col("feature").isin(list(categorical))), keys)
+        w = Window.partitionBy(*keys, "feature").orderBy(F.desc("count"), F.asc("category"))
+        top = cats.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP_K)  # partial top-k before the shuffle
+        shares = join_small(top, totals.select(*keys, "feature", F.col("n").alias("_n")), [*keys, "feature"])
+        parts.append(shares.select(*keys, F.lit("categorical").alias("section"), "feature",
+                                   F.concat(F.lit("share:"), F.col("category")).alias("stat"), (F.col("count") / F.col("_n")).alias("value")))
+        meta = totals.select(*keys, "feature", F.col("n_unique").cast("double"), F.col("missing_rate").cast("double"))
         parts.append(meta.unpivot([*keys, "feature"], ["n_unique", "missing_rate"], "stat", "value")
                      .select(*keys, F.lit("categorical").alias("section"), "feature", "stat", "value"))
-    if score_col:
-        sp = score_profile(df, score_col, keys, n_buckets)
-        stats = ["mean", "std", *PROFILE_PERCENTILES.keys()]
-        parts.append(sp.select(*keys, *[F.col(s).cast("double") for s in stats])
-                     .unpivot(keys, stats, "stat", "value")
-                     .select(*keys, F.lit("prediction").alias("section"), F.lit(score_col).alias("feature"),
-                             "stat", "value"))
-        h = histogram(df, score_col, keys=keys)
-        parts.append(h.select(*keys, F.lit("prediction").alias("section"), F.lit(score_col).alias("feature"),
-                              F.format_string("count:%02d", F.col("bin")).alias("stat"),
-                              F.col("count").cast("double").alias("value")))
+    if class_col:
+        classes = class_profile(df, class_col, keys)
+        per = classes.select(*keys, F.col("class_idx").cast("string").alias("_c"), "mean", "std").unpivot([*keys, "_c"], ["mean", "std"], "stat", "value")
+        parts.append(per.select(*keys, F.lit("prediction").alias("section"), F.lit(class_col).alias("feature"),
+                                F.concat(F.lit("class_"), "_c", F.lit("_"), "stat").alias("stat"), "value"))
+        parts.append(classes.groupBy(*keys).agg(F.max("n_classes").cast("double").alias("value")).where("value is not null").select(
+            *keys, F.lit("prediction").alias("section"), F.lit(class_col).alias("feature"), F.lit("n_classes").alias("stat"), "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

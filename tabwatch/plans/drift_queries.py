@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from tabwatch.functions.core import round_floats, to_long
 from tabwatch.operators import drift as E
 from tabwatch.operators import profile as D
+from tabwatch.operators.counts import value_counts_of
 from tabwatch.plans.baselines import stored_baseline
 from tabwatch.sources.tables import read_table, ts_lit
 
-# Fixed values of the registered plans (mirrored in plans.oracle).
+# Fixed values of the registered plans (mirrored in plans.drift_oracle).
 LINEITEM_SPLIT = "1998-01-01"
 ORDERS_SPLIT = "1996-01-01"
 LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -235,16 +236,22 @@ def e10_feature_drift(spark, sf):
 def e11_prediction_drift(spark, sf):
     base, cur = lineitem_halves(spark, sf)
     out = E.prediction_drift(score_column(cur), "binary_classification", score_col="score",
-                             score_base=_stored_score_base(spark, sf, base))
+                             score_base=_stored_score_base(spark, sf, base), n_edges=D.HISTOGRAM_BINS + 1)
     return round_floats(out)
 
 
 def _alert_scores(spark, sf):
     """The scores that alerts and exported gauges look at: PSI and the KS p-value, of
-    numeric features and the prediction; nothing else is computed."""
-    prof, _, cur = _base_profile(spark, sf)
-    num = E.feature_drift(cur, prof, None, num_features=LINEITEM_NUMERIC, metrics=["psi", "ks_pvalue"])
-    return round_floats(num).unionByName(e11_prediction_drift(spark, sf))
+    numeric features and the prediction; nothing else is computed. One scan counts the
+    values of the features and the scores."""
+    prof, base, cur = _base_profile(spark, sf)
+    cur = score_column(cur)
+    counts = value_counts_of(cur, [*LINEITEM_NUMERIC, "score"])
+    num = E.feature_drift(cur, prof, None, num_features=LINEITEM_NUMERIC, metrics=["psi", "ks_pvalue"], counts=counts)
+    scores = counts.where("feature = 'score' and v is not null").select(F.col("v").alias("score"), "n")
+    pred = E.prediction_drift(scores, "binary_classification", score_col="score", score_base=_stored_score_base(spark, sf, base),
+                              n_edges=D.HISTOGRAM_BINS + 1, weight="n")
+    return round_floats(num).unionByName(round_floats(pred))
 
 
 def e12_drift_alerts(spark, sf):

@@ -296,6 +296,13 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value_col: str,
     """
     keys = list(keys)
     cnt = long_df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_of_counts(cnt, keys, value_col, probs, n_buckets, small_keys)
+
+
+def quantiles_of_counts(cnt: DataFrame, keys: Sequence[str], value_col: str, probs: Sequence[float],
+                        n_buckets: int | None = None, small_keys: bool = True) -> DataFrame:
+    """:func:`exact_quantiles` from distinct values and their counts ``_c``."""
+    keys = list(keys)
     cum = running_sum(cnt, keys, [value_col], ["_c"], n_buckets, small_keys=small_keys)
     tot = cnt.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     qs = F.array(*[F.lit(float(p)) for p in probs])
