@@ -31,9 +31,9 @@ from tabwatch.session import materialize
 
 CAPACITY = 2048
 #: Words of a generation whose ids a worker remembers, the longest of them, and words encoded at a time.
-REMEMBERED, LONGEST, BLOCK = 300_000, 64, 1024
+REMEMBERED, LONGEST, BLOCK = 500_000, 64, 1024
 #: About how many bytes of text are worked on at a time.
-STEP = 1 << 20
+STEP = 4 << 20
 #: Pieces dealt to one bucket, about.
 BUCKET_ROWS = 50_000
 #: ASCII punctuation but the apostrophe, which the tokenizer joins to letters after it.
@@ -72,15 +72,12 @@ def build_encoder(tokenizer_path: str):
         for w in old.keys() & missing:
             known[w] = old[w]
         missing.difference_update(old)
-        joined, wanted = [], set()
-        for w in missing:
-            stem = w.rstrip(PUNCTUATION)
-            if len(stem) < len(w) and stem[-1:].islower() and b"<|" not in w:
-                tail = w[len(stem) :]
-                joined.append((w, stem, tail))
-                wanted.update((stem, tail))
-            else:
-                wanted.add(w)
+        ended = [w for w in missing if w[-1] in PUNCTUATION and b"<|" not in w]
+        joined = [(w, stem, w[len(stem) :]) for w in ended if (stem := w.rstrip(PUNCTUATION))[-1:].islower()]
+        wanted = missing.difference([w for w, _, _ in joined])
+        for _, stem, tail in joined:
+            wanted.add(stem)
+            wanted.add(tail)
         wanted.difference_update(known)
         for w in old.keys() & wanted:
             known[w] = old[w]
