@@ -6,7 +6,6 @@ and the run summary (F7) have none and are checked by row count and unit tests.
 
 from __future__ import annotations
 
-import time
 
 from pyspark.sql import functions as F
 
@@ -19,6 +18,8 @@ from tabwatch.sources.tables import read_table
 
 HASH_TABLES = {"customer": None, "orders": None, "lineitem": None, "labels": "quality"}
 SCORE_VERSION = "v20240101_000000_a1b2c3"
+#: What the run summary names as its code.
+CODE_VERSION = "md5-split-newton"
 
 
 # ------------------------------------------------------------------ contract
@@ -151,7 +152,7 @@ def f6_pick_probability(spark, sf):
 
 
 def f7_run_metadata(spark, sf):
-    started = time.time()
+    """Split, fit, score and evaluate, as one summary row (its duration left out, so runs compare)."""
     d = _doc_features(spark, sf)
     feats = ["log_chars", "is_en"]
     # the split is read by the fit, the scoring, the metrics and the counts:
@@ -161,13 +162,14 @@ def f7_run_metadata(spark, sf):
     test = split.where(F.col("split") == "test")
     m = L.fit_logistic(train, feats, "quality")
     b0, coefs = L.coefficients(m, feats)
-    scored = L.score(test, b0, coefs)
+    # rounded scores: tie groups then do not depend on the last digit
+    scored = L.score(test, b0, coefs).withColumn("probability", F.round("probability", 6))
     metrics = join_small(L.classification_metrics(scored, "quality", "predicted_class"),
                          L.roc_auc(scored, "quality", "probability").select("roc_auc"))  # one row each
     counts = split.groupBy().agg(F.count(F.when(F.col("split") == "train", 1)).alias("a"),
                                  F.count(F.when(F.col("split") == "test", 1)).alias("b")).first()
     return round_floats(L.run_metadata(spark, "v20240101_000000_a1b2c3", "logistic_regression", metrics,
-                                       counts["a"], counts["b"], feats, started, C.schema_hash(d, "quality")))
+                                       counts["a"], counts["b"], feats, C.schema_hash(d, "quality"), code_version=CODE_VERSION))
 
 
 QUERIES = {
@@ -294,6 +296,58 @@ def o_f1() -> str:
         FROM rk JOIN q USING (quality)"""
 
 
+NEWTON_STEPS = 14
+_DOCS = """SELECT doc_id, quality, ln(n_chars + 1.0) AS log_chars, CASE WHEN lang = 'en' THEN CAST(1 AS DOUBLE)
+    WHEN lang IS NOT NULL THEN CAST(0 AS DOUBLE) END AS is_en FROM labels JOIN documents USING (doc_id)"""
+
+
+def _newton_sql(src: str) -> list[str]:
+    """CTEs of Newton steps for an intercept and two penalised weights, each step solved by
+    Cramer's rule; the last is ``fit``."""
+    ctes = ["w0 AS MATERIALIZED (SELECT CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2)"]
+    for k in range(NEWTON_STEPS):
+        ctes.append(f"""s{k} AS MATERIALIZED (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+            sum(y - p) AS g0, sum((y - p) * x1) - any_value(b1) AS g1, sum((y - p) * x2) - any_value(b2) AS g2, sum(v) AS a, sum(v * x1) AS b, sum(v * x2) AS c,
+            sum(v * x1 * x1) + 1 AS d, sum(v * x1 * x2) AS e, sum(v * x2 * x2) + 1 AS f
+            FROM (SELECT *, p * (1 - p) AS v FROM (SELECT quality AS y, log_chars AS x1, is_en AS x2, w.*,
+                1 / (1 + exp(-(b0 + b1 * log_chars + b2 * is_en))) AS p FROM {src} CROSS JOIN w{k} w)))""")
+        ctes.append(f"""w{k + 1} AS MATERIALIZED (SELECT b0 + (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / det AS b0,
+            b1 + (a * (g1 * f - g2 * e) - g0 * (b * f - e * c) + c * (b * g2 - g1 * c)) / det AS b1,
+            b2 + (a * (d * g2 - e * g1) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c)) / det AS b2
+            FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM s{k}))""")
+    return [*ctes, f"fit AS (SELECT * FROM w{NEWTON_STEPS})"]
+
+
+def o_f2() -> str:
+    ctes = ", ".join([f"d AS MATERIALIZED ({_DOCS})", *_newton_sql("d")])
+    return f"""WITH {ctes} SELECT 'intercept' AS feature, round(b0, 6) AS coefficient FROM fit
+        UNION ALL SELECT 'log_chars', round(b1, 6) FROM fit UNION ALL SELECT 'is_en', round(b2, 6) FROM fit"""
+
+
+def o_f7() -> str:
+    split = o_f1().replace("FROM labels", "FROM d").removeprefix("WITH ")
+    split_ctes, final = split.rsplit("\n        SELECT doc_id", 1)
+    hash_json = '[{"dtype": "int64", "name": "doc_id", "position": 0}, {"dtype": "float64", "name": "log_chars", "position": 1}, {"dtype": "float64", "name": "is_en", "position": 2}]'
+    ctes = ", ".join([
+        f"d AS MATERIALIZED ({_DOCS})", split_ctes, f"sp AS MATERIALIZED (SELECT d.*, split FROM d JOIN (SELECT doc_id{final}) USING (doc_id))",
+        "tr AS MATERIALIZED (SELECT * FROM sp WHERE split = 'train')", *_newton_sql("tr"),
+        """sc AS (SELECT quality AS y, 1 / (1 + exp(-(b0 + b1 * CAST(CAST(log_chars AS FLOAT) AS DOUBLE) + b2 * CAST(CAST(is_en AS FLOAT) AS DOUBLE)))) AS p0
+            FROM sp CROSS JOIN fit WHERE split = 'test')""",
+        "sc2 AS MATERIALIZED (SELECT y, round(p0, 6) AS p, CASE WHEN p0 > 0.5 THEN 1 ELSE 0 END AS c FROM sc)",
+        """m AS (SELECT count(*) FILTER (y = 1 AND c = 1) AS tp, count(*) FILTER (y = 0 AND c = 1) AS fp,
+            count(*) FILTER (y = 1 AND c = 0) AS fn, count(*) FILTER (y = 0 AND c = 0) AS tn FROM sc2)""",
+        "g AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM sc2 GROUP BY p)",
+        "u AS (SELECT pos * (sum(neg) OVER (ORDER BY p) - neg + neg / 2.0) AS part FROM g)"])
+    return f"""WITH {ctes}
+        SELECT 'v20240101_000000_a1b2c3' AS model_version, 'logistic_regression' AS model_type, 'spark' AS framework, 'coefficients' AS format,
+            (SELECT count(*) FROM tr) AS training_samples, (SELECT count(*) FROM sp WHERE split = 'test') AS test_samples, CAST(2 AS BIGINT) AS n_features,
+            'log_chars,is_en' AS feature_names, CAST({L.C_INVERSE_REG} AS DOUBLE) AS "C", CAST({L.MAX_ITER} AS BIGINT) AS max_iter,
+            substr(sha256('{hash_json}'), 1, 32) AS schema_hash, 'training_pipeline' AS created_by, '{CODE_VERSION}' AS code_version, tp, fp, fn, tn,
+            round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+            round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+            round((SELECT sum(part) FROM u) / ((tp + fn) * CAST(fp + tn AS DOUBLE)), 6) AS roc_auc FROM m"""
+
+
 def _score_sql(float32: bool = False) -> str:
     lin = f"CAST({SCORE_INTERCEPT!r} AS DOUBLE)"
     for c, b in SCORE_COEFFICIENTS.items():
@@ -349,6 +403,8 @@ ORACLE = {
     "c6_check_batches": o_c6,
     "c7_validate_for_scoring": o_c7,
     "f1_stratified_split": o_f1,
+    "f2_fit_logistic": o_f2,
+    "f7_run_metadata": o_f7,
     "f3_classification_metrics": o_f3,
     "f4_roc_auc": o_f4,
     "f5_score": o_f5,

@@ -27,6 +27,9 @@ RETAIN_PER_VERSION = 2000
 CHECK_STATE_TS = "2024-01-20 00:00:00"
 EVENTS_BASELINE_END = "2024-01-08 00:00:00"
 STAMP = "2024-03-01 12:00:00"
+# the replayed monitor: features, and a check a week or every DRIFT_WINDOW rows
+MONITORED, MONITORED_CATEGORICAL = ["value", "k"], ["event_type"]
+MONITOR_INTERVAL_S, MONITOR_RETENTION = 7 * 86400, 2 * G.DRIFT_WINDOW
 # limits of the audit and the alert rule that the given rows do exceed
 AUDIT_WINDOW, AUDIT_LIMITS = "1 day", {SINGLE_ENDPOINT: 3, BATCH_ENDPOINT: 2}
 ALERT_PSI, ALERT_KS = 0.01, 0.5
@@ -121,42 +124,63 @@ def g9_windowed_drift(spark, sf):
     return round_floats(out.select(ts_string("window_start").alias("window_start"), "feature", "metric", "value"))
 
 
+def _daily_files(spark, rows, path):
+    """One file a day, its modification time in the order of the days, so that a file source
+    with one file a trigger replays one day a batch. Days are spread over the tasks."""
+    rows.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = sorted(str(st.getPath().toString()) for st in fs.listStatus(folder) if st.isDirectory() and "day=" in st.getPath().getName())
+    for n, day in enumerate(days):
+        for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(day)):
+            if st.getPath().getName().endswith(".parquet"):
+                fs.setTimes(st.getPath(), 1_700_000_000_000 + 1000 * n, -1)
+
+
+def _version_baselines(spark, sf, pl):
+    """Baselines of both model versions, from all their rows."""
+    from tabwatch.streaming.monitor import Baselines
+
+    events, key = [f"{sf.rstrip('/')}/events.parquet"], ["model_version"]
+    num = stored_baseline(spark, "events_version_profiles", events, lambda: round_floats(D.numeric_profile(pl, MONITORED, keys=key)), spec=MONITORED)
+    cat = stored_baseline(spark, "events_version_categories", events, lambda: D.categorical_profile(pl, MONITORED_CATEGORICAL, keys=key), spec=MONITORED_CATEGORICAL)
+
+    def scores():
+        bins = D.histogram(pl, "prediction", keys=key).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("bin", "lo", "hi", "count"))).alias("b"))  # 20 bins a version
+        edges = F.concat(F.transform("b", lambda x: x["lo"]), F.array(F.element_at("b", -1)["hi"]))
+        return bins.select(*key, F.transform("b", lambda x: x["count"]).alias("counts"), edges.alias("edges")).join(
+            pl.groupBy(*key).agg(F.avg("prediction").alias("mean")), key)
+
+    def classes():
+        return round_floats(D.class_profile(pl.select(*key, F.array(1.0 - F.col("prediction"), "prediction").alias("probs")), "probs", keys=key))
+
+    return Baselines(num, MONITORED, cat, MONITORED_CATEGORICAL, stored_baseline(spark, "events_version_scores", events, scores), D.HISTOGRAM_BINS + 1,
+                     stored_baseline(spark, "events_version_classes", events, classes), "probs")
+
+
 def g5_stream_monitor(spark, sf):
-    """The prediction log (from ``events``) replayed as daily files through
-    the ``foreachBatch`` drift monitor (``availableNow``); returns the scores of
-    the last check of every version.  Baselines are per model version."""
-    import os
-    import uuid
-
-    from tabwatch.session import checkpoint_dir
-    from tabwatch.streaming import monitor as M
-
-    pl = _pl(spark, sf).select(
-        "request_id", "pos", "ts", "model_version", "prediction",
-        F.struct(F.col("value"), F.col("k")).alias("features"), F.to_date("ts").alias("day"))
-    root = f"{checkpoint_dir(spark).rstrip('/')}/tabwatch-stream/{uuid.uuid4().hex}"
-    pl.write.partitionBy("day").parquet(f"{root}/src")
-    prof = stored_baseline(
-        spark, "events_version_profiles", [f"{sf.rstrip('/')}/events.parquet"],
-        lambda: round_floats(D.numeric_profile(pl.select("model_version", "features.value", "features.k"),
-                                               ["value", "k"], keys=["model_version"])))
-    hist = D.histogram(pl, "prediction", keys=["model_version"]).groupBy("model_version").agg(
-        F.sort_array(F.collect_list(F.struct("bin", "lo", "hi", "count"))).alias("b"))  # 20 bins a version
-    base = stored_baseline(spark, "events_version_scores", [f"{sf.rstrip('/')}/events.parquet"], lambda: hist.select(
-        "model_version", F.transform("b", lambda x: x["count"]).alias("counts"),
-        F.concat(F.transform("b", lambda x: x["lo"]), F.array(F.element_at("b", -1)["hi"])).alias("edges")).join(
-            pl.groupBy("model_version").agg(F.avg("prediction").alias("mean")), "model_version"))
-    schema = pl.drop("day").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
-              .option("recursiveFileLookup", "true").parquet(f"{root}/src"))
-    paths = M.MonitorPaths(*(os.path.join(root, x) for x in ("log", "state", "scores", "alerts")))
-    q = M.start_drift_monitor(stream, prof, ["value", "k"], paths, f"{root}/ckpt", trigger={"availableNow": True},
-                              score_base=base, event_time="ts")
-    q.awaitTermination()
-    scores = spark.read.parquet(paths.scores)
-    last = scores.groupBy("model_version").agg(F.max("batch_id").alias("batch_id"))
-    return round_floats(scores.join(last, ["model_version", "batch_id"]).select(
-        "model_version", "feature", "metric", "value"))
+    """The prediction log (from ``events``), every row sent twice, replayed as daily
+    files through the de-duplicating drift monitor, one day a batch; all scores of all
+    checks: numeric and categorical features, the prediction and its classes, against the
+    version's own baselines, over the last ``DRIFT_WINDOW`` rows in the live buffer."""
+    from tabwatch.session import new_folder
+    from tabwatch.streaming.monitor import DriftMonitor, MonitorPaths
+
+    pl = _pl(spark, sf)
+    baselines = _version_baselines(spark, sf, pl)
+    rows = pl.select("request_id", "pos", "ts", "model_version", "prediction", F.struct(*MONITORED, *MONITORED_CATEGORICAL).alias("features"),
+                     F.array(1.0 - F.col("prediction"), "prediction").alias("probs"))
+    root = new_folder(spark, "stream")
+    _daily_files(spark, rows.unionByName(rows), f"{root}/src")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/src")
+    monitor = DriftMonitor(baselines, MonitorPaths(*(f"{root}/{x}" for x in ("log", "state", "scores", "alerts"))),
+                           interval_s=MONITOR_INTERVAL_S, event_time="ts", retention=MONITOR_RETENTION)
+    monitor.start(stream, f"{root}/ckpt", {"availableNow": True}, dedup_watermark="1 day").awaitTermination()
+    schema = "feature string, metric string, value double, model_version string, batch_id long"
+    checked = any(monitor.opened)  # else no version ever had a full window
+    scores = spark.read.schema(schema).parquet(monitor.paths.scores) if checked else spark.createDataFrame([], schema)
+    return round_floats(scores.select("model_version", "batch_id", "feature", "metric", "value"))
 
 
 # --------------------------------------------------------------------- H
@@ -283,7 +307,7 @@ RL = f"""SELECT event_id, CAST(ts AS TIMESTAMP) AS ts,
 PL = f"""SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id, 0 AS pos, CAST(ts AS TIMESTAMP) AS ts,
     CASE WHEN ts < TIMESTAMP '{VERSION_SWITCH}' THEN '{VERSION_OLD}' ELSE '{VERSION_NEW}' END AS model_version,
     1.0 / (1.0 + exp(-(value - 100.0) / 50.0)) AS prediction, value,
-    CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, user_id, event_id FROM events"""
+    CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, user_id, event_id, event_type FROM events"""
 
 TS = "'%Y-%m-%d %H:%M:%S'"
 BOUNDS = "[" + ", ".join(f"CAST({b!r} AS DOUBLE)" for b in H.LATENCY_BUCKETS) + "]"
@@ -345,6 +369,82 @@ def o_g4():
         FROM a"""
 
 
+def o_g5():
+    """The same days one after the other: a recursive step per day and version decides what is
+    due, and every check is computed from the last rows before it. ``feature`` carries the
+    check, so the statistics' fragments for one table serve all checks."""
+    from tabwatch.plans.drift_oracle import chi_ctes, chi_tail_sql, edge_hist_ctes, hist20_ctes, ks_ctes, psi_ctes, sample_ctes, with_
+
+    w, sep = G.DRIFT_WINDOW, "chr(1)"
+    check = f"c.model_version || {sep} || c.batch_id || {sep} || "
+    part = lambda n: f"split_part(feature, {sep}, {n})"
+    clean = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
+    long = lambda src, pre: " UNION ALL ".join(f"SELECT {pre}'{f}' AS feature, {clean.format(f)} AS v FROM {src}" for f in MONITORED)
+    ctes = [
+        ("pl", PL),
+        ("days", "SELECT day, row_number() OVER (ORDER BY day) - 1 AS batch_id FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM pl)"),
+        ("log", """SELECT pl.*, batch_id, row_number() OVER (PARTITION BY model_version ORDER BY batch_id, ts, request_id, pos) AS rn
+            FROM pl JOIN days ON CAST(ts AS DATE) = day"""),
+        ("step", """SELECT model_version, batch_id, row_number() OVER (PARTITION BY model_version ORDER BY batch_id) AS i,
+            epoch_us(max(ts)) AS now, max(rn) AS total FROM log GROUP BY model_version, batch_id"""),
+        ("chk", f"""SELECT model_version, batch_id, i, total, total >= {w} AS due, CASE WHEN total >= {w} THEN now END AS last_ts,
+                CASE WHEN total >= {w} THEN total ELSE 0 END AS last_count FROM step WHERE i = 1
+            UNION ALL SELECT s.model_version, s.batch_id, s.i, s.total, d.due, CASE WHEN d.due THEN s.now ELSE c.last_ts END,
+                CASE WHEN d.due THEN s.total ELSE c.last_count END
+            FROM chk c JOIN step s ON s.model_version = c.model_version AND s.i = c.i + 1,
+            LATERAL (SELECT s.total >= {w} AND ((s.now - coalesce(c.last_ts, 0)) / 1e6 >= {MONITOR_INTERVAL_S} OR s.total - c.last_count >= {w}) AS due) d"""),
+        ("due", "SELECT model_version, batch_id, total FROM chk WHERE due"),
+        ("snap", f"""SELECT l.* EXCLUDE (batch_id), c.batch_id FROM log l JOIN due c ON l.model_version = c.model_version
+            AND l.rn > c.total - {w} AND l.rn <= c.total"""),
+        ("base_long", long("pl", f"model_version || {sep} || ")),
+        ("base", """SELECT feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max,
+            round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75,
+            round(quantile_cont(v, 0.95), 6) AS p95 FROM base_long GROUP BY feature"""),
+        ("prof", f"""SELECT {check} split_part(b.feature, {sep}, 2) AS feature, b.* EXCLUDE (feature)
+            FROM due c JOIN base b ON split_part(b.feature, {sep}, 1) = c.model_version"""),
+        ("cur_long", "SELECT * FROM (" + long("snap c", check) + ") WHERE v IS NOT NULL"),
+    ] + edge_hist_ctes("prof", "cur_long", "eh") + [("eh_x", "SELECT *, 0.25 AS expected FROM eh")] + psi_ctes("eh_x", "psi") + [
+        ("ms", """SELECT c.feature, abs(avg(c.v) - coalesce(any_value(p.mean), 0.0)) AS mean_shift
+            FROM cur_long c JOIN prof p USING (feature) GROUP BY c.feature"""),
+        # the sample is drawn by the feature's plain name
+        ("plain", f"SELECT split_part(feature, {sep}, 1) AS version, split_part(feature, {sep}, 2) AS feature, mean, std, min, max FROM base"),
+    ]
+    [(_, drawn)] = sample_ctes("plain", "samp")
+    ctes += [
+        ("samp", drawn.replace("SELECT p.feature,", "SELECT p.version, p.feature,", 1)),
+        ("samp_v", f"SELECT {check} s.feature AS feature, s.v FROM due c JOIN samp s ON s.version = c.model_version"),
+    ] + ks_ctes("cur_long", "samp_v", "ks") + [
+        ("cat_n", "SELECT model_version, event_type AS category, count(*) AS n FROM pl GROUP BY ALL"),
+        ("cat_prof", f"""SELECT {check} 'event_type' AS feature, category, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY c.model_version, c.batch_id) AS share
+            FROM due c JOIN cat_n USING (model_version)"""),
+        ("cat_long", f"SELECT {check} 'event_type' AS feature, event_type AS v FROM snap c"),
+    ] + chi_ctes("cat_long", "cat_prof", "chi")
+    for n, v in enumerate((VERSION_OLD, VERSION_NEW)):
+        ctes += [(f"pv{n}", f"SELECT prediction FROM pl WHERE model_version = '{v}'")] + hist20_ctes(f"pv{n}", "prediction", f"hv{n}")
+    ctes += [
+        ("h", f"SELECT '{VERSION_OLD}' AS model_version, * FROM hv0 UNION ALL SELECT '{VERSION_NEW}', * FROM hv1"),
+        ("edges", "SELECT model_version, list(lo ORDER BY bin) || [max(hi)] AS edges FROM h GROUP BY model_version"),
+        ("sbin", """SELECT c.model_version, c.batch_id, CASE WHEN c.prediction < e.edges[1] OR c.prediction > e.edges[21] THEN NULL ELSE
+            least(len(list_filter(e.edges, lambda x: x <= c.prediction)) - 1, 19) END AS bin FROM snap c JOIN edges e USING (model_version)"""),
+        ("scnt", "SELECT model_version, batch_id, bin, count(*) AS n FROM sbin WHERE bin IS NOT NULL GROUP BY ALL"),
+        ("sbins", f"""SELECT {check} 'prediction' AS feature, h.bin, coalesce(s.n, 0) AS count, h.count AS expected
+            FROM due c JOIN h USING (model_version) LEFT JOIN scnt s ON s.model_version = c.model_version AND s.batch_id = c.batch_id AND s.bin = h.bin"""),
+    ] + psi_ctes("sbins", "spsi") + [
+        ("pmean", "SELECT model_version, avg(prediction) AS mean, round(avg(1.0 - prediction), 6) AS m0, round(avg(prediction), 6) AS m1 FROM pl GROUP BY model_version"),
+        ("cmean", "SELECT model_version, batch_id, avg(prediction) AS mean, avg(1.0 - prediction) AS mean0 FROM snap GROUP BY ALL"),
+        ("pred", f"""SELECT {check} 'prediction' AS feature, abs(c.mean - p.mean) AS shift, abs(c.mean0 - p.m0) AS s0, abs(c.mean - p.m1) AS s1
+            FROM cmean c JOIN pmean p USING (model_version)"""),
+        ("scores", f"""SELECT feature, 'psi' AS metric, psi AS value FROM psi UNION ALL SELECT feature, 'ks_statistic', ks_statistic FROM ks
+            UNION ALL SELECT feature, 'ks_pvalue', ks_pvalue FROM ks UNION ALL SELECT feature, 'mean_shift', mean_shift FROM ms
+            UNION ALL SELECT feature, 'chi2_statistic', chi2_statistic FROM chi WHERE status <> 'too_few_categories'
+            UNION ALL SELECT feature, 'chi2_pvalue', {chi_tail_sql("chi2_statistic", "dof")} FROM chi WHERE status <> 'too_few_categories'
+            UNION ALL SELECT feature, 'psi', psi FROM spsi UNION ALL SELECT feature, 'mean_shift', shift FROM pred
+            UNION ALL SELECT feature, 'class_0_mean_shift', s0 FROM pred UNION ALL SELECT feature, 'class_1_mean_shift', s1 FROM pred"""),
+    ]
+    final = f"""SELECT {part(1)} AS model_version, CAST({part(2)} AS BIGINT) AS batch_id, {part(3)} AS feature, metric, round(value, 6) AS value FROM scores"""
+    return with_(ctes, final).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def o_g8():
     return f"""WITH pl AS ({PL}), r AS (SELECT * FROM pl UNION ALL SELECT * FROM pl),
         d AS (SELECT DISTINCT ON (request_id, pos) * FROM r)
@@ -518,6 +618,7 @@ ORACLE = {
     "g2_retain": o_g2,
     "g3_log_stats": o_g3,
     "g4_due_checks": o_g4,
+    "g5_stream_monitor": o_g5,
     "g8_dedup": o_g8,
     "g9_windowed_drift": o_g9,
     "h1_request_counts": o_h1,

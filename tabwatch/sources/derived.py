@@ -6,7 +6,7 @@
 * ``models`` / ``artifacts`` -- the model store listing, from ``orders``.
 
 Each mapping is plain column arithmetic, so the work grows with the tables.  The
-DuckDB oracle in ``plans.oracle`` spells out the same mappings in SQL.
+DuckDB oracles next to the registered queries (``plans.*_queries``) spell out the same mappings in SQL.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def request_log(events: DataFrame) -> DataFrame:
 
 def prediction_log(events: DataFrame) -> DataFrame:
     """``request_id, pos, ts, model_version, prediction, prediction_class,
-    value, k, user_id, event_id``: one scored instance per event.
+    value, k, user_id, event_id, event_type``: one scored instance per event.
 
     ``prediction`` is a fixed logistic map of ``value`` so it lies in (0, 1).
     """
@@ -66,7 +66,7 @@ def prediction_log(events: DataFrame) -> DataFrame:
         version_of("ts").alias("model_version"),
         p.alias("prediction"),
         F.when(p >= 0.5, F.lit(1)).otherwise(F.lit(0)).alias("prediction_class"),
-        F.col("value"), k.alias("k"), F.col("user_id"), F.col("event_id"),
+        F.col("value"), k.alias("k"), F.col("user_id"), F.col("event_id"), F.col("event_type"),
     )
 
 

@@ -1,25 +1,42 @@
-"""Continuous drift monitoring over a prediction-log stream.
-
-The reference runs a thread that polls an in-memory buffer every 60 s.  Here
-the log arrives as a stream; each micro-batch (``foreachBatch``) is appended to
-a log table partitioned by model version, the check trigger (G4) is evaluated
-per version against a ``check_state`` table, and for the versions that are due
-the last N rows (G1) are scored against that version's baseline (G7) with the
-batch drift operators (E10/E11).  Scores and alerts are written keyed by
-``(model_version, batch_id)`` with dynamic partition overwrite, so a replayed
-micro-batch rewrites its own output instead of duplicating it.
+"""Continuous drift monitoring over a prediction-log stream.
+
+The log arrives as a stream. Each micro-batch (``foreachBatch``) is appended to a log
+table, one partition per model version and batch; a state table with one row per version
+says what the log holds and when the version was last checked (G4); versions that are due
+have their last N rows (G1) scored against their own baseline (G7) with the batch drift
+operators (E10/E11). The log is a live buffer (G2): partitions that the newest
+``retention`` rows of a version no longer need are dropped, and ``clear_log`` (G6) empties it.
+
+What a batch costs does not grow with the stream:
+
+* state is written in generations, one folder a batch; a batch reads the one before it and
+  drops those before that, so at most three are ever there;
+* a state row lists the batches that the version's buffer is in, each with the number of rows
+  logged up to its end, at most ``retention`` entries; no table of past batches is read;
+* of the log only the listed partitions that hold the last N rows are opened, by path, so no
+  folder is listed.
+
+A batch only reads the state of the one before and writes folders of its own, and drops
+partitions after its own state is stored: one that is replayed, or died anywhere in
+between, gives the same result again.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwatch.operators import drift as E
 from tabwatch.operators import predlog as G
-from tabwatch.session import materialize
+from tabwatch.session import drop_folder, materialize, scratch
+
+STATE_SCHEMA = ("version_key string, model_version string, total long, cleared long, last_check_ts timestamp, "
+                "last_check_count long, due boolean, batches array<struct<batch_id: long, upto: long>>, dropped array<long>")
+#: The newest rows are the last logged ones; within a batch, the latest.
+LOG_ORDER = ("batch_id", *G.ARRIVAL_ORDER)
 
 
 @dataclass
@@ -29,9 +46,20 @@ class MonitorPaths:
     scores: str
     alerts: str
 
-    @property
-    def batch_counts(self) -> str:
-        return self.state.rstrip("/") + "_batch_counts"
+
+@dataclass
+class Baselines:
+    """The baselines of all model versions, one row (or one per feature, category, class)
+    a version; every version's rows meet its own by ``model_version``."""
+
+    num_profile: DataFrame
+    num_features: Sequence[str]
+    cat_profile: DataFrame | None = None
+    cat_features: Sequence[str] = ()
+    score_base: DataFrame | None = None
+    score_edges: int | None = None  # edges of its histogram, for a codegen'd search
+    class_base: DataFrame | None = None
+    class_col: str | None = None  # array of class probabilities in the log
 
 
 def dedup_stream(stream: DataFrame, watermark: str = "10 minutes", ts: str = "ts",
@@ -41,107 +69,163 @@ def dedup_stream(stream: DataFrame, watermark: str = "10 minutes", ts: str = "ts
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-def with_baseline(df: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Attach each row's baseline by ``model_version`` (stream-static join)."""
-    return df.join(baselines, "model_version", "left")
-
+def version_key(version: Column) -> Column:
+    """A folder name for any version, NULL included."""
+    return F.md5(F.coalesce(version.cast("string"), F.lit("")))
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table, or None before its first write; a failing store is an error, not None."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.parquet(path) if there else None
 
-
-def drift_check(log: DataFrame, num_profile: DataFrame, features: list[str], window: int,
-                batch_id: int, score_base: DataFrame | None = None, cat_profile: DataFrame | None = None,
-                cat_features: list[str] | None = None) -> DataFrame:
-    """One drift check per model version over its last ``window`` rows: long
-    scores ``model_version, batch_id, feature, metric, value`` of numeric features,
-    categorical ones (with ``cat_profile``) and the prediction (with ``score_base``)."""
-    snap = G.last_n(log, window, keys=["model_version"])
+def drift_check(log: DataFrame, baselines: Baselines, window: int, batch_id: int) -> DataFrame:
+    """One drift check per model version over its last ``window`` rows, for versions that have
+    as many: long scores ``model_version, batch_id, feature, metric, value`` of numeric and
+    categorical features, the prediction and its classes, as far as there are baselines."""
+    snap = G.last_n(log, window, keys=["model_version"], order=LOG_ORDER)
     enough = snap.groupBy("model_version").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= window)
     snap = snap.join(enough.select("model_version"), "model_version")
-    cats = list(cat_features or [])
-    feats = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in [*features, *cats]], "prediction")
-    scores = E.feature_drift(feats, num_profile, cat_profile, keys=["model_version"], num_features=features, cat_features=cats)
-    if score_base is not None:
-        scores = scores.unionByName(E.score_drift(feats, "prediction", score_base, keys=["model_version"]))
+    nums, cats = list(baselines.num_features), list(baselines.cat_features)
+    extra = [baselines.class_col] if baselines.class_base is not None else []
+    rows = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in [*nums, *cats]], "prediction", *extra)
+    scores = E.feature_drift(rows, baselines.num_profile, baselines.cat_profile, keys=["model_version"], num_features=nums, cat_features=cats)
+    if baselines.score_base is not None:
+        scores = scores.unionByName(E.score_drift(rows, "prediction", baselines.score_base, keys=["model_version"], n_edges=baselines.score_edges))
+    if baselines.class_base is not None:
+        scores = scores.unionByName(E.class_drift(rows, baselines.class_col, baselines.class_base, keys=["model_version"]))
     return scores.withColumn("batch_id", F.lit(batch_id).cast("long"))
 
 
-def batches_covering(batch_counts: DataFrame, versions: DataFrame, window: int) -> DataFrame:
-    """Per version, the newest micro-batches whose rows cover the last ``window``
-    rows: ``model_version, min_batch``.  Works on the (version, batch) count
-    table, one row per micro-batch and version."""
-    from pyspark.sql import Window
-    bc = batch_counts.join(versions, "model_version")
-    w = Window.partitionBy("model_version").orderBy(F.desc("batch_id")).rowsBetween(Window.unboundedPreceding, -1)
-    newer = F.coalesce(F.sum("n").over(w), F.lit(0))  # rows in strictly newer batches
-    return bc.withColumn("_newer", newer).where(F.col("_newer") < window).groupBy("model_version").agg(
-        F.min("batch_id").alias("min_batch"))
-
-
-def start_drift_monitor(stream: DataFrame, num_profile: DataFrame, features: list[str], paths: MonitorPaths,
-                        checkpoint: str, window: int = G.DRIFT_WINDOW, interval_s: int = G.CHECK_INTERVAL_S,
-                        score_base: DataFrame | None = None, trigger: dict | None = None,
-                        cat_profile: DataFrame | None = None, cat_features: list[str] | None = None,
-                        event_time: str | None = None):
-    """Start the monitor; returns the ``StreamingQuery``.
-
-    The profiles must carry ``model_version`` (one per version); ``trigger`` defaults to
-    a 60-second processing-time trigger; ``event_time`` names the column whose newest
-    value is the clock of the checks (default: the wall clock).  Each micro-batch reads
-    the new rows, the state of the batch before it (one row per version, with running
-    totals), the (version, batch) counts, and of the log only the partitions that hold
-    the last ``window`` rows of a due version.
-
-    Every table is partitioned by ``batch_id`` and a batch only writes its own
-    partition and only reads state of earlier ones: a replayed batch, or one that died
-    between two writes, gives the same result again."""
-
-    def overwrite(df: DataFrame, path: str, *parts: str) -> None:
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*parts).parquet(path))
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        b = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        overwrite(b, paths.log, "model_version", "batch_id")
-        clock = F.max(event_time) if event_time else F.current_timestamp()
-        fresh = b.groupBy("model_version").agg(F.count(F.lit(1)).alias("n"), clock.cast("timestamp").alias("_now"))
-        overwrite(fresh.select("model_version", "n", F.lit(batch_id).cast("long").alias("batch_id")), paths.batch_counts, "batch_id")
-        prior = _read_if_there(spark, paths.state)
-        if prior is not None:
-            prior = prior.where(F.col("batch_id") < batch_id)
-            newest = prior.agg(F.max("batch_id").alias("batch_id")).first()["batch_id"]
-            prior = prior.where(F.col("batch_id") == newest).drop("batch_id") if newest is not None else None
-        if prior is None:
-            prior = spark.createDataFrame([], "model_version string, total long, last_check_ts timestamp, last_check_count long")
-        tot = prior.join(fresh, "model_version", "full_outer").select(
-            "model_version", (F.coalesce("total", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("total"),
-            "last_check_ts", "last_check_count", F.coalesce("_now", "last_check_ts").alias("_now"))
+def _generations(spark: SparkSession, state: str) -> list[tuple[int, int, str]]:
+    """(batch, edition, folder) of every complete state generation, oldest first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    found = []
+    for status in fs.listStatus(hadoop):
+        name = status.getPath().getName()
+        if name.startswith("generation=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            batch, edition = name.removeprefix("generation=").split("-")
+            found.append((int(batch), int(edition), f"{state.rstrip('/')}/{name}"))
+    return sorted(found)
+
+
+def _log_folder(paths: MonitorPaths, key: str, batch_id: int) -> str:
+    return f"{paths.log.rstrip('/')}/version_key={key}/batch_id={batch_id}"
+
+
+def read_state(spark: SparkSession, paths: MonitorPaths, before: int | None = None) -> DataFrame:
+    """The newest state (of a batch below ``before``): one row per version."""
+    found = [g for g in _generations(spark, paths.state) if before is None or g[0] < before]
+    return spark.read.schema(STATE_SCHEMA).parquet(found[-1][2]) if found else spark.createDataFrame([], STATE_SCHEMA)
+
+
+def buffer_stats(spark: SparkSession, paths: MonitorPaths, retention: int = G.RETENTION) -> DataFrame:
+    """G3 of the live buffer, from the state alone: ``model_version, count, max_size, utilization``."""
+    count = F.least(F.col("total") - F.col("cleared"), F.lit(retention))
+    return read_state(spark, paths).select(
+        "model_version", count.alias("count"), F.lit(retention).cast("long").alias("max_size"), (count / float(retention)).alias("utilization"))
+
+
+def clear_log(spark: SparkSession, paths: MonitorPaths, versions: Sequence[str] | None = None) -> None:
+    """Empty the buffer of all versions (or those named) between two batches. A version is
+    checked again once a full window has been logged since. State first, partitions after it,
+    so a call that dies can be repeated."""
+    found = _generations(spark, paths.state)
+    if not found:
+        return
+    batch, edition, folder = found[-1]
+    old = spark.read.schema(STATE_SCHEMA).parquet(folder)
+    hit = F.lit(True) if versions is None else F.coalesce(F.col("model_version").isin(list(versions)), F.lit(False))
+    ids = F.transform("batches", lambda b: b["batch_id"])
+    new = old.withColumns({
+        "cleared": F.when(hit, F.col("total")).otherwise(F.col("cleared")), "due": F.lit(False),
+        "dropped": F.when(hit, F.array_union("dropped", ids)).otherwise(F.col("dropped")),
+        "batches": F.when(hit, F.filter("batches", lambda b: F.lit(False))).otherwise(F.col("batches"))})
+    new.coalesce(1).write.mode("overwrite").parquet(f"{paths.state.rstrip('/')}/generation={batch}-{edition + 1}")
+    _drop_partitions(spark, paths, read_state(spark, paths))
+    drop_folder(spark, folder)
+
+
+def _drop_partitions(spark: SparkSession, paths: MonitorPaths, state: DataFrame) -> None:
+    for r in state.where(F.size("dropped") > 0).select("version_key", "dropped").collect():  # what left the buffer in one batch
+        for b in r["dropped"]:
+            drop_folder(spark, _log_folder(paths, r["version_key"], b))
+
+
+@dataclass
+class DriftMonitor:
+    """G5. ``event_time`` names the column whose newest value is the clock of the checks
+    (default: the wall clock)."""
+
+    baselines: Baselines
+    paths: MonitorPaths
+    window: int = G.DRIFT_WINDOW
+    interval_s: int = G.CHECK_INTERVAL_S
+    retention: int = G.RETENTION
+    event_time: str | None = None
+    #: Log partitions opened by each batch's check, newest last (for monitoring and tests).
+    opened: list[int] = field(default_factory=list)
+
+    def __post_init__(self):
+        if self.retention < self.window:
+            raise ValueError("retention must hold at least one window")
+
+    def next_state(self, prior: DataFrame, batch: DataFrame, batch_id: int) -> DataFrame:
+        """G4 and G2 of every version after a batch, one row each."""
+        clock = F.max(self.event_time) if self.event_time else F.current_timestamp()
+        fresh = batch.groupBy("version_key").agg(
+            F.first("model_version").alias("_version"), F.count(F.lit(1)).alias("n"), clock.cast("timestamp").alias("_now"))
+        s = prior.drop("due", "dropped").join(fresh, "version_key", "full_outer").withColumns({
+            "model_version": F.coalesce("model_version", "_version"), "cleared": F.coalesce("cleared", F.lit(0).cast("long")),
+            "total": F.coalesce("total", F.lit(0).cast("long")) + F.coalesce("n", F.lit(0).cast("long"))})
+        own = F.array(F.struct(F.lit(batch_id).cast("long").alias("batch_id"), F.col("total").alias("upto")))
+        none = F.filter(own, lambda b: F.lit(False))
+        held = F.concat(F.coalesce("batches", none), F.when(F.col("n") > 0, own).otherwise(none))
+        # rows at or below this number of logged ones have left the buffer
+        low = F.greatest(F.col("total") - F.lit(self.retention), F.col("cleared"))
+        s = s.withColumn("_held", held).withColumn("_low", low)
         elapsed = (F.unix_micros("_now") - F.coalesce(F.unix_micros("last_check_ts"), F.lit(0))) / 1e6
         new_rows = F.col("total") - F.coalesce(F.col("last_check_count"), F.lit(0))
-        due = materialize(tot.withColumn("due", F.coalesce(((elapsed >= interval_s) | (new_rows >= window)) & (F.col("total") >= window), F.lit(False))))
-        counts = spark.read.parquet(paths.batch_counts).where(F.col("batch_id") <= batch_id)
-        # partition pruning: only the newest batches of each due version are read
-        need = batches_covering(counts, due.where("due").select("model_version"), window).collect()  # one row per version
-        if need:
-            cond = None
-            for r in need:
-                c = (F.col("model_version") == r["model_version"]) & (F.col("batch_id") >= r["min_batch"])
-                cond = c if cond is None else (cond | c)
-            recent = spark.read.parquet(paths.log).where(cond & (F.col("batch_id") <= batch_id))
-            scores = drift_check(recent, num_profile, features, window, batch_id, score_base, cat_profile, cat_features)
-            overwrite(scores, paths.scores, "model_version", "batch_id")
-            written = spark.read.parquet(paths.scores).where(F.col("batch_id") == batch_id)
-            overwrite(E.drift_alerts(written, keys=["model_version", "batch_id"]), paths.alerts,
-                      "model_version", "batch_id")
-        state = due.select("model_version", "total", F.when(F.col("due"), F.col("_now")).otherwise(F.col("last_check_ts")).alias("last_check_ts"),
-                           F.when(F.col("due"), F.col("total")).otherwise(F.col("last_check_count")).alias("last_check_count"))
-        overwrite(state.withColumn("batch_id", F.lit(batch_id).cast("long")), paths.state, "batch_id")
-
-    w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
-    w = w.trigger(**(trigger or {"processingTime": "60 seconds"}))
-    return w.start()
+        due = ((elapsed >= self.interval_s) | (new_rows >= self.window)) & (F.col("total") - F.col("cleared") >= self.window)
+        s = s.withColumn("due", F.coalesce(due, F.lit(False)))  # a version without new rows is not due
+        return s.select(
+            "version_key", "model_version", "total", "cleared",
+            F.when(F.col("due"), F.col("_now")).otherwise(F.col("last_check_ts")).alias("last_check_ts"),
+            F.when(F.col("due"), F.col("total")).otherwise(F.col("last_check_count")).alias("last_check_count"), "due",
+            F.filter("_held", lambda b: b["upto"] > F.col("_low")).alias("batches"),
+            F.transform(F.filter("_held", lambda b: b["upto"] <= F.col("_low")), lambda b: b["batch_id"]).alias("dropped"))
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        """One micro-batch."""
+        spark, paths = batch.sparkSession, self.paths
+
+        def overwrite(df: DataFrame, path: str, *parts: str) -> None:
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+        b = batch.withColumns({"version_key": version_key(F.col("model_version")), "batch_id": F.lit(batch_id).cast("long")}).persist()
+        with scratch(spark):
+            overwrite(b, paths.log, "version_key", "batch_id")
+            state = self.next_state(read_state(spark, paths, before=batch_id), b, batch_id)
+            state.coalesce(1).write.mode("overwrite").parquet(f"{paths.state.rstrip('/')}/generation={batch_id}-0")
+            b.unpersist()
+            state = spark.read.schema(STATE_SCHEMA).parquet(f"{paths.state.rstrip('/')}/generation={batch_id}-0")
+            in_window = F.filter("batches", lambda x: x["upto"] > F.col("total") - self.window)
+            need = state.where("due").select("version_key", F.transform(in_window, lambda x: x["batch_id"]).alias("ids")).collect()  # one row a version
+            folders = [_log_folder(paths, r["version_key"], i) for r in need for i in r["ids"]]
+            self.opened.append(len(folders))
+            if folders:
+                recent = spark.read.schema(b.schema).option("basePath", paths.log).parquet(*folders)
+                scores = materialize(drift_check(recent, self.baselines, self.window, batch_id))
+                overwrite(scores, paths.scores, "model_version", "batch_id")
+                overwrite(E.drift_alerts(scores, keys=["model_version", "batch_id"]), paths.alerts, "model_version", "batch_id")
+        _drop_partitions(spark, paths, state)
+        old = [g for g in _generations(spark, paths.state) if g[0] < batch_id]
+        for _, _, folder in old[:-1]:  # the newest of them is what a replay of this batch reads
+            drop_folder(spark, folder)
+
+    def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None, dedup_watermark: str | None = None):
+        """Start the monitor; returns the ``StreamingQuery``. ``trigger`` defaults to one every
+        60 seconds of processing time; with ``dedup_watermark`` replayed rows are dropped
+        first (G8), by request id and position, within that time."""
+        if dedup_watermark:
+            stream = dedup_stream(stream, dedup_watermark, self.event_time or "ts")
+        w = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+        return w.trigger(**(trigger or {"processingTime": "60 seconds"})).start()

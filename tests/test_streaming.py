@@ -17,7 +17,7 @@ def _plog(spark):
     return ev.select(
         F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"), F.lit(0).alias("pos"),
         F.col("ts").cast("timestamp").alias("ts"), F.lit("v1").alias("model_version"),
-        F.struct(F.col("value"), F.get_json_object("props", "$.k").cast("double").alias("k")).alias("features"),
+        F.struct(F.col("value"), F.get_json_object("props", "$.k").cast("double").alias("k"), F.col("event_type").alias("kind")).alias("features"),
         (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("value") - 100.0) / 50.0))).alias("prediction"),
         F.col("event_id"))
 
@@ -29,30 +29,130 @@ def _write_files(df, path, n):
         df.where(F.col("_f") == i).drop("_f").coalesce(1).write.mode("overwrite").parquet(os.path.join(path, f"part{i}"))
 
 
+def _monitor(spark, log, root, window, **more):
+    base = log.select("model_version", "features.value", "features.k", "features.kind")
+    prof = round_floats(D.numeric_profile(base, ["value", "k"], keys=["model_version"]))
+    cats = D.categorical_profile(base, ["kind"], keys=["model_version"])
+    paths = M.MonitorPaths(*(os.path.join(root, x) for x in ("log", "state", "scores", "alerts")))
+    return M.DriftMonitor(M.Baselines(prof, ["value", "k"], cats, ["kind"]), paths, window=window, **more)
+
+
+def _scores(df):
+    return sorted((r.model_version, r.feature, r.metric, None if r.value is None else round(r.value, 9)) for r in df.collect())
+
+
 def test_stream_monitor_equals_batch(spark, tmp_dir):
+    """Every row sent twice, four batches: the last check equals one over the last rows, and
+    the log holds no more than it needs."""
     log = _plog(spark)
     n_rows = log.count()
-    window = max(50, n_rows // 8)
+    window = n_rows // 8
     src = os.path.join(tmp_dir, "src")
-    _write_files(log, src, 4)
-    base = log.select("model_version", "features.value", "features.k")
-    prof = round_floats(D.numeric_profile(base, ["value", "k"], keys=["model_version"]))
-    paths = M.MonitorPaths(*(os.path.join(tmp_dir, x) for x in ("log", "state", "scores", "alerts")))
-    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    q = M.start_drift_monitor(stream, prof, ["value", "k"], paths, os.path.join(tmp_dir, "ckpt"), window=window,
-                              trigger={"availableNow": True})
-    q.awaitTermination(300)
-    scores = spark.read.parquet(paths.scores)
+    _write_files(log.unionByName(log), src, 4)
+    monitor = _monitor(spark, log, tmp_dir, window, retention=window, event_time="ts")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    monitor.start(stream, os.path.join(tmp_dir, "ckpt"), {"availableNow": True}, dedup_watermark="400 days").awaitTermination(300)
+    scores = spark.read.parquet(monitor.paths.scores)
     last = scores.agg(F.max("batch_id")).first()[0]
-    got = scores.where(F.col("batch_id") == last).select("feature", "metric", "value").toPandas()
-    exp = M.drift_check(log, prof, ["value", "k"], window, 0).select("feature", "metric", "value").toPandas()
-    key = ["feature", "metric"]
-    got, exp = got.sort_values(key).reset_index(drop=True), exp.sort_values(key).reset_index(drop=True)
-    assert got[key].equals(exp[key])
-    assert (got.value - exp.value).abs().max() < 1e-9
-    state = spark.read.parquet(paths.state).first()
-    assert state["last_check_count"] == n_rows
+    want = M.drift_check(log.withColumn("batch_id", F.lit(0)), monitor.baselines, window, 0)
+    got = _scores(scores.where(F.col("batch_id") == last))
+    assert got == _scores(want) and {m for _, _, m, _ in got} == {"psi", "ks_statistic", "ks_pvalue", "mean_shift", "chi2_statistic", "chi2_pvalue"}
+    [state] = M.read_state(spark, monitor.paths).collect()
+    assert state.total == state.last_check_count == n_rows
+    assert len(os.listdir(os.path.join(monitor.paths.log, f"version_key={state.version_key}"))) <= 2
+
+
+def _batches(spark, sizes):
+    """Batches of two versions, rows numbered on; every third batch has none of the second."""
+    at = 0
+    for i, n in enumerate(sizes):
+        yield i, spark.range(at, at + n).select(
+            F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("request_id"), F.lit(0).alias("pos"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+            F.when((F.col("id") % 4 == 0) & F.lit(i % 3 > 0), F.lit("b/ =%")).otherwise(F.lit("a")).alias("model_version"),
+            F.struct((F.col("id") * 37 % 101).cast("double").alias("value"), (F.col("id") % 7).cast("double").alias("k"),
+                     F.concat(F.lit("c"), F.col("id") % 3).alias("kind")).alias("features"), F.lit(0.5).alias("prediction"))
+        at += n
+
+
+def _partitions(monitor):
+    return sorted((v, b) for v in os.listdir(monitor.paths.log) if v.startswith("version_key=") for b in os.listdir(os.path.join(monitor.paths.log, v)) if b.startswith("batch_id="))
+
+
+@pytest.fixture(scope="module")
+def long_replay(spark):
+    """Sixteen batches with the bookkeeping of each."""
+    import tempfile
+
+    root = tempfile.mkdtemp(prefix="tabwatch-monitor-")
+    batches = dict(_batches(spark, [20] * 16))
+    everything = batches[0]
+    for i in range(1, 12):
+        everything = everything.unionByName(batches[i])
+    monitor = _monitor(spark, everything, root, window=50, retention=100, event_time="ts", interval_s=10**9)
+    seen = []
+    for i, b in batches.items():
+        monitor.process(b, i)
+        state = {r.model_version: r for r in M.read_state(spark, monitor.paths).collect()}
+        seen.append((state, _partitions(monitor), [g[:2] for g in M._generations(spark, monitor.paths.state)]))
+    return monitor, batches, seen
+
+
+def test_what_a_batch_reads_and_keeps_does_not_grow(long_replay):
+    monitor, _, seen = long_replay
+    for i, (state, partitions, generations) in enumerate(seen):
+        assert generations == [(g, 0) for g in (i - 1, i) if g >= 0]
+        assert partitions == sorted((f"version_key={r.version_key}", f"batch_id={b.batch_id}") for r in state.values() for b in r.batches)
+        for r in state.values():  # the buffer holds retention rows, and no partition more than they need
+            first = r.batches[1].upto if len(r.batches) > 1 else r.total
+            assert r.total - first < 100 and (r.batches[0].upto > r.total - 100)
+            assert len(r.batches) <= 25
+    assert len(seen[-1][1]) < 30 and max(monitor.opened) <= 4 + 11
+
+
+def test_checks_follow_the_count_trigger(spark, long_replay):
+    monitor, batches, seen = long_replay
+    total, last, want = {"a": 0, "b/ =%": 0}, {}, []
+    for i in range(16):
+        b = 5 if i % 3 else 0
+        total["b/ =%"] += b
+        total["a"] += 20 - b
+        for v, new in (("a", 20 - b), ("b/ =%", b)):
+            # first check: the clock is decades after none; then by count only
+            if new and total[v] >= 50 and (v not in last or total[v] - last[v] >= 50):
+                want.append((v, i))
+                last[v] = total[v]
+    got = sorted((r.model_version, r.batch_id) for r in spark.read.schema("feature string, metric string, value double, model_version string, batch_id long").parquet(monitor.paths.scores).select("model_version", "batch_id").distinct().collect())
+    assert got == sorted(want) and {v for v, _ in got} == {"a", "b/ =%"}
+
+
+def test_a_replayed_batch_changes_nothing(spark, long_replay):
+    monitor, batches, seen = long_replay
+    scores = spark.read.parquet(monitor.paths.scores)
+    before = (_scores(scores), _partitions(monitor), M.read_state(spark, monitor.paths).collect())
+    monitor.process(batches[15], 15)
+    assert (_scores(spark.read.parquet(monitor.paths.scores)), _partitions(monitor), M.read_state(spark, monitor.paths).collect()) == before
+
+
+def test_clear_empties_the_buffer_and_checks_wait_for_a_full_window(spark, tmp_dir):
+    batches = dict(_batches(spark, [60] * 8))
+    monitor = _monitor(spark, batches[0].unionByName(batches[1]), tmp_dir, window=100, retention=200, event_time="ts")
+    for i in range(4):
+        monitor.process(batches[i], i)
+    M.clear_log(spark, monitor.paths, ["a"])
+    M.clear_log(spark, monitor.paths, ["a"])
+    state = {r.model_version: r for r in M.read_state(spark, monitor.paths).collect()}
+    assert state["a"].batches == [] and state["a"].cleared == state["a"].total == 210 and len(state["b/ =%"].batches) == 2
+    assert {v for v, _ in _partitions(monitor)} == {f"version_key={state['b/ =%'].version_key}"}
+    assert {r.model_version: r["count"] for r in M.buffer_stats(spark, monitor.paths, 200).collect()} == {"a": 0, "b/ =%": 30}
+    opened = len(monitor.opened)
+    monitor.process(batches[4], 4)
+    assert not M.read_state(spark, monitor.paths).where("model_version = 'a' and due").count()  # 45 rows since
+    monitor.process(batches[5], 5)
+    monitor.process(batches[6], 6)
+    assert M.read_state(spark, monitor.paths).where("model_version = 'a'").first().last_check_count > 210 and len(monitor.opened) == opened + 3
+    M.clear_log(spark, monitor.paths)
+    assert not _partitions(monitor) or not any(os.listdir(os.path.join(monitor.paths.log, v, b)) for v, b in _partitions(monitor))
 
 
 def test_dedup_stream(spark, tmp_dir):
