@@ -31,9 +31,9 @@ from tabwatch.session import materialize
 
 CAPACITY = 2048
 #: Words of a generation whose ids a worker remembers, the longest of them, and words encoded at a time.
-REMEMBERED, LONGEST, BLOCK = 500_000, 64, 1024
+REMEMBERED, LONGEST, BLOCK = 400_000, 64, 1024
 #: About how many bytes of text are worked on at a time.
-STEP = 4 << 20
+STEP = 2 << 20
 #: Pieces dealt to one bucket, about.
 BUCKET_ROWS = 50_000
 #: ASCII punctuation but the apostrophe, which the tokenizer joins to letters after it.
@@ -69,19 +69,19 @@ def build_encoder(tokenizer_path: str):
         known, old = memo["new"], memo["old"]
         split = [(t if b"<|" in t else t.translate(LOWER)).split() for t in texts]
         missing = set().union(*split).difference(known)
-        for w in old.keys() & missing:
-            known[w] = old[w]
-        missing.difference_update(old)
+        again = missing.intersection(old)
+        known.update(zip(again, map(old.__getitem__, again)))
+        missing = missing.difference(again)
         ended = [w for w in missing if w[-1] in PUNCTUATION and b"<|" not in w]
         joined = [(w, stem, w[len(stem) :]) for w in ended if (stem := w.rstrip(PUNCTUATION))[-1:].islower()]
         wanted = missing.difference([w for w, _, _ in joined])
         for _, stem, tail in joined:
             wanted.add(stem)
             wanted.add(tail)
-        wanted.difference_update(known)
-        for w in old.keys() & wanted:
-            known[w] = old[w]
-        learn(list(wanted.difference(old)), known)
+        wanted = wanted.difference(known)
+        again = wanted.intersection(old)
+        known.update(zip(again, map(old.__getitem__, again)))
+        learn(list(wanted.difference(again)), known)
         for w, stem, tail in joined:
             known[w] = known[stem] + known[tail]
         out = [b"".join(map(known.__getitem__, words)) for words in split]
