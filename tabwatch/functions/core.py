@@ -44,6 +44,12 @@ def nan_div(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(float("nan"))).otherwise(num / den)
 
 
+def as_fixed(c: str | Column) -> Column:
+    """A number as a decimal of six places (from its shortest form, as it is printed), NULL
+    if out of range; sums of such do not depend on the order of the rows."""
+    return col_of(c).try_cast("decimal(24,6)")
+
+
 def r6(c: str | Column) -> Column:
     return F.round(col_of(c).cast("double"), FLOAT_DIGITS)
 

@@ -283,3 +283,66 @@ def validate_for_scoring(df: DataFrame, features_col: str, names: Sequence[str],
         .when(F.size(finite_bad) > 0, F.array_join(finite_bad, ","))
     )
     return df.withColumn("error_type", err).withColumn("invalid_features", bad_list)
+
+
+# ------------------------------------------------------------------ C7, batch
+#: Column types of a batch, narrowest first: a column is as wide as its widest value.
+TYPE_LATTICE = ("int64", "float64", "object")
+
+
+def _value_type(v: Column) -> Column:
+    """Place of a record's value in ``TYPE_LATTICE``; a missing one is a float."""
+    text = F.trim(v.cast("string"))
+    return (F.when(text.isNull() | (F.lower(text) == "nan"), F.lit(1)).when(text.rlike(r"^[+-]?[0-9]+$"), F.lit(0))
+            .when(text.try_cast("double").isNotNull(), F.lit(1)).otherwise(F.lit(2)))
+
+
+def validate_batches(df: DataFrame, group: str, features_col: str, contract: Sequence[tuple[str, str]], strict: bool = True,
+                     type_errors: bool = True) -> DataFrame:
+    """C7 for whole requests: records of one ``group`` are scored as one table, so what is
+    wrong with one of them fails all. ``contract`` lists (name, dtype) in order. Adds
+    ``batch_error`` (NULL if the group may be scored) and ``batch_features`` to every record:
+
+    * ``schema``: the union of the group's keys differs from the contract (named: what no
+      record has, and the first foreign key), or, with ``strict``, some record has the
+      contract's keys in another ``order``;
+    * ``dtype``, with ``type_errors``: a column's type, the widest of its values' (whole
+      numbers < floats < text; a missing value makes a float), is wider than the contract's;
+    * ``invalid_value`` / ``non_finite``: some value does not cast to a 32-bit float, or is
+      missing, NaN or beyond its range.
+
+    One aggregate per group (combined before the shuffle; a group holds any number of records)
+    and a join of its one row back to the records, split by AQE where a group is hot."""
+    names = [n for n, _ in contract]
+    wide = {n: TYPE_LATTICE.index(t) if t in TYPE_LATTICE else 0 for n, t in contract}
+    m = F.col(features_col)
+    casts = {n: m.getItem(n).cast("string").try_cast("float") for n in names}
+    aggs = [F.bool_or(m.isNull()).alias("_null")]
+    for i, n in enumerate(names):
+        v, f = m.getItem(n), casts[n]
+        aggs += [
+            F.max(_value_type(v)).alias(f"_t{i}"), F.bool_and(~F.coalesce(F.map_contains_key(m, n), F.lit(False))).alias(f"_absent{i}"),
+            F.bool_or(v.isNotNull() & f.isNull()).alias(f"_cast{i}"), F.bool_or(f.isNull() | F.isnan(f) | (F.abs(f) == float("inf"))).alias(f"_finite{i}")]
+    known = F.array(*[F.lit(n) for n in names])
+    foreign = F.array_except(F.coalesce(F.map_keys(m), F.array().cast("array<string>")), known)
+    # keys outside the contract: only whether there are any, and the first by name, so a group's row stays small
+    aggs += [F.min(F.array_min(foreign)).alias("_foreign"), F.bool_or((F.size(foreign) == 0) & (F.map_keys(m) != known) & (F.size(F.map_keys(m)) == len(names))).alias("_order")]
+    per = df.groupBy(group).agg(*aggs)
+
+    def listed(flag: str, extra: Column | None = None) -> Column:
+        found = [F.when(F.col(f"{flag}{i}"), F.lit(n)) for i, n in enumerate(names)]
+        return F.array_join(F.array_compact(F.array(*found, *([extra] if extra is not None else []))), ",")
+
+    typed = F.array_join(F.array_compact(F.array(*[
+        F.when(F.col(f"_t{i}") > wide[n], F.concat(F.lit(f"{n}:"), F.element_at(F.array(*map(F.lit, TYPE_LATTICE)), F.col(f"_t{i}") + 1))) for i, n in enumerate(names)])), ",")
+    schema = listed("_absent", F.col("_foreign"))
+    error = F.when(F.col("_null") | (schema != ""), F.lit("schema"))
+    detail = F.when(F.col("_null") | (schema != ""), schema)
+    if strict:
+        error, detail = error.when(F.col("_order"), F.lit("schema")), detail.when(F.col("_order"), F.lit("order"))
+    if type_errors:
+        error, detail = error.when(typed != "", F.lit("dtype")), detail.when(typed != "", typed)
+    for flag, name in (("_cast", "invalid_value"), ("_finite", "non_finite")):
+        error, detail = error.when(listed(flag) != "", F.lit(name)), detail.when(listed(flag) != "", listed(flag))
+    told = per.select(F.col(group).alias("_group"), error.alias("batch_error"), detail.alias("batch_features"))
+    return df.join(told, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")

@@ -94,6 +94,13 @@ def c7_validate_for_scoring(spark, sf):
     return out.select("event_id", "error_type", "invalid_features")
 
 
+def c7_validate_batches(spark, sf):
+    """The same records in requests of seven: one wrong record fails its request."""
+    ev = scoring_records(spark, sf).withColumn("batch", F.floor(F.col("event_id") / 7))
+    out = C.validate_batches(ev, "batch", "features", [("k", "int64"), ("value", "float64")])
+    return out.select("event_id", "batch", "batch_error", "batch_features")
+
+
 # --------------------------------------------------------------------- learn
 def _lineitem_scored(spark, sf):
     li = read_table(spark, sf, "lineitem")
@@ -179,6 +186,7 @@ QUERIES = {
     "c5_check_records": c5_check_records,
     "c6_check_batches": c6_check_batches,
     "c7_validate_for_scoring": c7_validate_for_scoring,
+    "c7_validate_batches": c7_validate_batches,
     "f1_stratified_split": f1_stratified_split,
     "f2_fit_logistic": f2_fit_logistic,
     "f3_classification_metrics": f3_classification_metrics,
@@ -282,6 +290,17 @@ def o_c7() -> str:
              WHEN 3 THEN 'value' WHEN 4 THEN 'k' WHEN 5 THEN 'value,k' END AS invalid_features FROM events"""
 
 
+def o_c7_batches() -> str:
+    return """WITH e AS (SELECT event_id, event_id // 7 AS batch, event_id % 40 AS kind FROM events),
+        g AS (SELECT batch, bool_or(kind = 0) AS extra, bool_and(kind = 1) AS lacking, bool_or(kind = 5) AS misplaced, bool_or(kind = 2) AS worded,
+              bool_or(kind = 4) AS infinite, bool_or(kind IN (1, 3)) AS missing FROM e GROUP BY batch)
+        SELECT event_id, batch,
+            CASE WHEN extra OR lacking OR misplaced THEN 'schema' WHEN worded OR infinite THEN 'dtype' WHEN missing THEN 'non_finite' END AS batch_error,
+            CASE WHEN extra THEN 'extra' WHEN lacking THEN 'value' WHEN misplaced THEN 'order' WHEN worded THEN 'k:object'
+                 WHEN infinite THEN 'k:float64' WHEN missing THEN 'value' END AS batch_features
+        FROM e JOIN g USING (batch)"""
+
+
 def o_f1() -> str:
     return """WITH per AS (SELECT quality, count(*) AS n_class FROM labels GROUP BY quality),
         t AS (SELECT *, sum(n_class) OVER () AS n FROM per),
@@ -403,6 +422,7 @@ ORACLE = {
     "c6_check_batches": o_c6,
     "c7_validate_for_scoring": o_c7,
     "f1_stratified_split": o_f1,
+    "c7_validate_batches": o_c7_batches,
     "f2_fit_logistic": o_f2,
     "f7_run_metadata": o_f7,
     "f3_classification_metrics": o_f3,

@@ -473,7 +473,9 @@ def g9_ctes() -> list[tuple[str, str]]:
         ("gpsi", """SELECT g.w, g.feature, sum((greatest(CASE WHEN t.a = 0 THEN CAST('nan' AS DOUBLE) ELSE count / t.a END, CAST(1e-10 AS DOUBLE)) - 0.25)
               * ln(greatest(CASE WHEN t.a = 0 THEN CAST('nan' AS DOUBLE) ELSE count / t.a END, CAST(1e-10 AS DOUBLE)) / 0.25)) AS psi
             FROM gall g JOIN gt t ON t.w = g.w AND t.feature = g.feature GROUP BY g.w, g.feature"""),
-        ("gms", """SELECT l.w, l.feature, abs(avg(l.v) - coalesce(any_value(e.mean), 0.0)) AS ms
+        # exact sums (values and mean have at most six decimals), so row order cannot matter
+        ("gms", """SELECT l.w, l.feature, abs(CAST(sum(CAST(CAST(l.v AS VARCHAR) AS DECIMAL(24, 6)))
+                - count(*) * any_value(CAST(CAST(coalesce(e.mean, 0.0) AS VARCHAR) AS DECIMAL(18, 6))) AS DOUBLE)) / count(*) AS ms
             FROM wl l JOIN gprof e USING (feature) GROUP BY l.w, l.feature"""),
         ("g9", f"""SELECT strftime(w, {TS}) AS window_start, feature, 'psi' AS metric, round(psi, 6) AS value FROM gpsi
             UNION ALL SELECT strftime(w, {TS}), feature, 'mean_shift', round(ms, 6) FROM gms"""),

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwatch.functions.core import join_small, to_long
+from tabwatch.functions.core import as_fixed, join_small, to_long
 from tabwatch.operators import drift as E
 
 
@@ -24,21 +24,28 @@ def windowed_numeric_drift(df: DataFrame, profile: DataFrame, features: Sequence
 
     Rows meet only the profile (one row per feature, broadcast); the window is just
     part of the group key, so nothing that is broadcast grows with the log. One pass
-    gives counts and sums per (window, feature, bin), at most six rows a group."""
+    gives counts and sums per (window, feature, bin), at most six rows a group. Sums of
+    values with at most six decimals are exact, whatever order the rows come in."""
     k = ["window_start", "feature"]
     has_pct = F.coalesce(F.col("p25"), F.col("p50"), F.col("p75"), F.col("p95")).isNotNull()
     base = profile.select("feature", "mean", F.when(has_pct, E.quartile_edges(profile)).alias("edges"))
     cur = df.select(F.window(ts, window).start.alias("window_start"), *features)
     j = join_small(to_long(cur, list(features), ids=["window_start"]), base, ["feature"])
+    fixed = as_fixed("v")
     bins = j.select(*k, "v", E.bin_index(F.col("v"), F.col("edges"), 5).alias("bin")).groupBy(*k, "bin").agg(
-        F.count(F.lit(1)).alias("_c"), F.count("v").alias("_n"), F.sum("v").alias("_s"))
+        F.count(F.lit(1)).alias("_c"), F.count("v").alias("_n"), F.sum("v").alias("_s"),
+        F.try_sum(fixed).alias("_d"), F.bool_and(F.coalesce(fixed.cast("double") == F.col("v"), F.lit(False))).alias("_exact"))
     per = bins.groupBy(*k).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "_c")))).alias("_m"),
-        (F.sum("_s") / F.sum("_n")).alias("_mean"))
+        F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.try_sum("_d").cast("decimal(34,6)").alias("_d"), F.bool_and("_exact").alias("_exact"))
     per = join_small(per, base, ["feature"])
     counts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)).cast("long"))
     psi = F.when(E.edges_valid(F.col("edges")), E.psi_arrays(counts, F.array(*[F.lit(0.25)] * 4)))
-    shift = F.abs(F.col("_mean") - F.coalesce(F.col("mean"), F.lit(0.0)))
+    # values and mean of at most six decimals: summed exactly, so the order of rows cannot matter
+    mean = F.coalesce(F.col("mean"), F.lit(0.0))
+    fixed_mean = as_fixed(mean).cast("decimal(18,6)")
+    off = (F.col("_d") - F.col("_n").cast("decimal(18,0)") * fixed_mean).cast("double") / F.col("_n")
+    shift = F.abs(F.when(F.col("_exact") & (fixed_mean.cast("double") == mean), off).otherwise(F.col("_s") / F.col("_n") - mean))
     both = F.array(F.struct(F.lit("psi").alias("metric"), psi.alias("value"), F.col("edges").isNotNull().alias("there")),
                    F.struct(F.lit("mean_shift").alias("metric"), shift.alias("value"), F.lit(True).alias("there")))
     return per.select(*k, F.explode(both).alias("x")).where("x.there").select(*k, "x.metric", "x.value")

@@ -165,3 +165,28 @@ def test_int_id_unpivot_matches_named_unpivot(spark):
     ids = to_long_ids(df, ["a", "b"]).select(feature_name(["a", "b"]).alias("feature"), "v")
     assert sorted((r["feature"], r["v"]) for r in ids.collect()) == named == [("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 4.0)]
     assert to_long_ids(df, ["a", "b"], keep_missing=True).count() == 6
+
+
+def test_one_wrong_record_fails_its_batch(spark):
+    rows = [
+        ("ok", {"a": "1", "b": "2.5"}), ("ok", {"a": "-7", "b": "3"}), ("ok", {"a": "2", "b": None}),
+        ("none", None), ("none", {"a": "1", "b": "2"}), ("extra", {"a": "1", "b": "2", "z": "0", "y": "0"}), ("extra", {"a": "1", "b": "2"}),
+        ("lacking", {"a": "1"}), ("some", {"a": "1"}), ("some", {"a": "1", "b": "2"}), ("order", {"b": "1", "a": "2"}), ("order", {"a": "2", "b": "1"}),
+        ("wide", {"a": "1.5", "b": "2"}), ("wide", {"a": "1", "b": "2"}), ("text", {"a": "1", "b": "x"}), ("hole", {"a": None, "b": "2"}),
+        ("big", {"a": "1", "b": "1e39"}), ("nan", {"a": "1", "b": "NaN"}), (None, {"a": "1", "b": "2"})]
+    pairs = [(g, f and [*f], f and [*f.values()]) for g, f in rows]  # arrays, so that the order of keys is kept
+    df = spark.createDataFrame(pairs, "g string, k array<string>, v array<string>").select("g", F.map_from_arrays("k", "v").alias("f")).repartition(4)
+    contract = [("a", "int64"), ("b", "float64")]
+
+    def told(**how):
+        return {r.g: (r.batch_error, r.batch_features) for r in C.validate_batches(df, "g", "f", contract, **how).collect()}
+
+    got = told()
+    assert got.pop(None) == (None, None)
+    assert got == {
+        "ok": ("non_finite", "b"), "none": ("schema", ""), "extra": ("schema", "y"), "lacking": ("schema", "b"), "some": ("non_finite", "b"),
+        "order": ("schema", "order"), "wide": ("dtype", "a:float64"), "text": ("dtype", "b:object"), "hole": ("dtype", "a:float64"),
+        "big": ("non_finite", "b"), "nan": ("non_finite", "b")}
+    loose = told(strict=False, type_errors=False)
+    assert loose["order"] == loose["wide"] == (None, None) and loose["text"] == ("invalid_value", "b") and loose["hole"] == ("non_finite", "a")
+    assert C.validate_batches(df.limit(0), "g", "f", contract).count() == 0

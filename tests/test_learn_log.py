@@ -11,8 +11,7 @@ from tabwatch.operators import predlog as G
 
 @pytest.fixture(scope="module")
 def train8(spark):
-    pdf = pd.DataFrame({"id": range(8), "age": [25, 35, 45, 55, 30, 40, 50, 60],
-                        "income": [30, 50, 70, 90, 40, 60, 80, 100], "target": [0, 0, 1, 1, 0, 1, 1, 1]})
+    pdf = pd.DataFrame({"id": range(100, 108), "wind": [3.5, 8.0, 12.5, 1.0, 7.25, 9.0, 15.0, 6.5], "target": [1, 0, 1, 1, 0, 1, 0, 1]})
     return spark.createDataFrame(pdf)
 
 
@@ -108,3 +107,45 @@ def test_flatten_and_records(spark):
     recs = spark.createDataFrame([({"a": 1.0},), ({"b": 2.0},)], "f map<string,double>")
     t = G.records_to_table(recs, "f").toPandas()
     assert list(t.columns) == ["a", "b"] and t.isna().sum().sum() == 2
+
+
+@pytest.mark.parametrize("few", [1, 40, 100_000])
+def test_split_by_counting_equals_ranks(spark, few, monkeypatch):
+    """Any number of narrowing rounds finds the same cut as a full sort of every class."""
+    import hashlib
+
+    monkeypatch.setattr(L, "FEW", few)
+    rng = np.random.default_rng(2)
+    labels = rng.choice(["a", "b", "c", None], 700, p=[0.7, 0.2, 0.07, 0.03])
+    df = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "id long, y string").repartition(5)
+    got = {r.id: r.split for r in L.stratified_split(df, "y", "id").collect()}
+    quotas = {r.y: r.n_train for r in L.split_quotas(df, "y").collect()}
+    assert len(got) == 700
+    for y, n in quotas.items():
+        order = sorted((i for i in range(700) if labels[i] == y), key=lambda i: (hashlib.md5(f"42-{i}".encode()).hexdigest(), i))
+        assert [got[i] for i in order] == ["train"] * n + ["test"] * (len(order) - n)
+
+
+def test_split_has_no_shuffle_and_no_window(spark):
+    df = spark.range(1000).selectExpr("id", "id % 3 as y")
+    plan = L.stratified_split(df, "y", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_newton_equals_the_limited_memory_fit(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(500, 3)) * [1.0, 5.0, 0.2] + [0.0, 3.0, -1.0]
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x @ [2.0, -0.4, 3.0] + 1)))).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+    one = L.coefficients(L.fit_logistic(df, ["a", "b", "c"], "y"), ["a", "b", "c"])
+    monkeypatch.setattr(L, "NEWTON_FEATURES", 2)
+    two = L.coefficients(L.fit_logistic(df, ["a", "b", "c"], "y"), ["a", "b", "c"])
+    assert [one[0], *one[1].values()] == pytest.approx([two[0], *two[1].values()], abs=1e-4)
+
+
+def test_newton_on_separable_rows_stays_finite(spark):
+    df = spark.createDataFrame([(float(i), float(i > 9)) for i in range(20)], "x double, y double")
+    fit = L.fit_newton(df.withColumnRenamed("y", "_y"), ["x"], "_y")
+    z = fit.intercept + fit.coefficients[0] * np.arange(20)
+    p = 1 / (1 + np.exp(-z))
+    assert abs(((np.arange(20) > 9) - p).sum()) < 1e-6 and abs((((np.arange(20) > 9) - p) * np.arange(20)).sum() - fit.coefficients[0]) < 1e-6
