@@ -1,5 +1,6 @@
 """Corpus pipeline: toxic documents go, one document of each near-duplicate group
-stays, documents with benchmark passages go, secrets are masked, the rest is packed.
+stays, documents with benchmark passages go, secrets are masked, the rest is packed into
+sequences of token ids.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the next one's ``docs``. All but the last return the columns of
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabwatch.llm import decontaminate, ngram_join, packing, secret_scan, toxicity
-from tabwatch.session import materialize
+from tabwatch.session import materialize, scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, with_ids=True)
 
 
 STAGES = [
@@ -49,7 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Rows of the last stage. What a stage wrote for itself is dropped once its result is
+    stored, and that result once the next one is."""
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark) as made:
+            docs = materialize(stage(spark, docs, sf_dir))
+            result = made.pop()
+            if stored:
+                made.append(stored)
+        stored = result
     return docs
