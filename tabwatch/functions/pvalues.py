@@ -2,6 +2,7 @@
 
 * Kolmogorov limiting distribution (two-sided KS), written as a Spark SQL
   higher-order expression so it stays on the JVM.
+* Exact two-sided two-sample KS by lattice paths, for one row per feature.
 * Chi-square upper tail for integer degrees of freedom, an Arrow-batched pandas UDF
   applied to one row per feature (Spark SQL has no ``erfc``).
 """
@@ -11,13 +12,14 @@ from __future__ import annotations
 import math
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The pandas UDF below is shipped by value, so executors need no copy of this
+# The pandas UDFs below are shipped by value, so executors need no copy of this
 # package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,3 +86,33 @@ def chi2_sf(stat: pd.Series, dof: pd.Series) -> pd.Series:
         ],
         dtype="float64",
     )
+
+
+def ks_exact_scalar(d: float, m: int, n: int) -> float:
+    """P(D >= d) of two samples without ties from one distribution. All orders of the m + n
+    values are equally likely, so the order is a walk from (0, 0) to (m, n) that at (i, j) takes
+    a step in i with the share of i-steps left; the walk's chance of ever reaching
+    |i n - j m| >= d m n is carried along one anti-diagonal at a time."""
+    if d is None or math.isnan(d) or m < 1 or n < 1:
+        return float("nan")
+    reach = round(d * m * n)
+    if reach <= 0:
+        return 1.0
+    i = np.arange(m + 1, dtype=np.int64)
+    inside, out = np.zeros(m + 1), 0.0
+    inside[0] = 1.0
+    for k in range(m + n):
+        j = k - i
+        right = inside * np.where(i < m, m - i, 0) / (m + n - k)
+        up = inside * np.clip(n - j, 0, None) / (m + n - k)
+        inside = up
+        inside[1:] += right[:-1]
+        crossed = np.abs(i * n - (k + 1 - i) * m) >= reach
+        out += inside[crossed].sum()
+        inside[crossed] = 0.0
+    return min(1.0, float(out))
+
+
+@F.pandas_udf(T.DoubleType())
+def ks_exact(stat: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(d) else ks_exact_scalar(float(d), int(a), int(b)) for d, a, b in zip(stat, m, n)], dtype="float64")

@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwatch.functions.core import is_numeric_type, join_small, nan_div, to_long
-from tabwatch.functions.pvalues import chi2_sf, ks_pvalue
+from tabwatch.functions.pvalues import chi2_sf, ks_exact, ks_pvalue
 from tabwatch.operators.counts import value_counts_of
 from tabwatch.plans.ordered import count_below, running_sum
 from tabwatch.session import materialize
 
 # PSI floor, alert thresholds, reference sample size and seed, the
-# default means used when a profile lacks one, chi-square sum tolerance.
+# default means used when a profile lacks one, chi-square sum tolerance, sample size
+# up to which the KS p-value may be exact.
 PSI_EPSILON = 1e-10
 PSI_THRESHOLD = 0.2
 KS_PVALUE_THRESHOLD = 0.1
@@ -29,6 +30,7 @@ REFERENCE_SAMPLE_SIZE = 10000
 REFERENCE_SEED = 42
 DEFAULT_SCORE_MEAN = 0.5
 CHI2_SUM_RTOL = 1e-8
+EXACT_KS_ROWS = 10000
 
 
 # --------------------------------------------------------------------- E1 / E2
@@ -215,19 +217,21 @@ def reference_sample(profile: DataFrame, n: int = REFERENCE_SAMPLE_SIZE, keys: S
 
 # ------------------------------------------------------------------------- E5
 def ks_two_sample(a_long: DataFrame, b_long: DataFrame, keys: Sequence[str] = (),
-                  n_buckets: int | None = None) -> DataFrame:
+                  n_buckets: int | None = None, exact_up_to: int = 0) -> DataFrame:
     """E5: ``keys..., feature, n1, n2, ks_statistic, ks_pvalue`` per feature present
     on both sides.  The ECDFs are built from distinct-value counts with a
-    range-bucketed running sum (no single-task window per feature)."""
+    range-bucketed running sum (no single-task window per feature). The p-value is the
+    asymptotic one, or where neither side has more than ``exact_up_to`` values the exact one
+    (``EXACT_KS_ROWS`` is the reference's choice)."""
     k = [*keys, "feature"]
     u = a_long.select(*k, "v", F.lit(1).alias("_s")).unionByName(b_long.select(*k, "v", F.lit(2).alias("_s")))
     cnt = u.groupBy(*k, "v").agg(
         F.count(F.when(F.col("_s") == 1, 1)).alias("c1"), F.count(F.when(F.col("_s") == 2, 1)).alias("c2")
     )
-    return ks_of_counts(cnt, keys, n_buckets)
+    return ks_of_counts(cnt, keys, n_buckets, exact_up_to)
 
 
-def ks_of_counts(cnt: DataFrame, keys: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+def ks_of_counts(cnt: DataFrame, keys: Sequence[str] = (), n_buckets: int | None = None, exact_up_to: int = 0) -> DataFrame:
     """E5 from the counts ``keys..., feature, v, c1, c2`` of every distinct value on both sides."""
     k = [*keys, "feature"]
     tot = cnt.groupBy(*k).agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2")).where(
@@ -237,15 +241,20 @@ def ks_of_counts(cnt: DataFrame, keys: Sequence[str] = (), n_buckets: int | None
     d = join_small(cum, tot, k).groupBy(*k, "n1", "n2").agg(
         F.max(F.abs(F.col("c1_cum") / F.col("n1") - F.col("c2_cum") / F.col("n2"))).alias("ks_statistic")
     )
-    return d.select(*k, "n1", "n2", "ks_statistic",
-                    ks_pvalue(F.col("ks_statistic"), F.col("n1"), F.col("n2")).alias("ks_pvalue"))
+    pvalue = ks_pvalue(F.col("ks_statistic"), F.col("n1"), F.col("n2"))
+    if exact_up_to:
+        small = F.greatest("n1", "n2") <= exact_up_to
+        # sizes beyond the limit are blanked, so the function never walks them
+        size = lambda c: F.when(small, F.col(c)).otherwise(F.lit(1))
+        pvalue = F.when(small, ks_exact(F.when(small, F.col("ks_statistic")), size("n1"), size("n2"))).otherwise(pvalue)
+    return d.select(*k, "n1", "n2", "ks_statistic", pvalue.alias("ks_pvalue"))
 
 
 def ks_against_profile(cur_long: DataFrame, profile: DataFrame, keys: Sequence[str] = (),
-                       n: int = REFERENCE_SAMPLE_SIZE, n_buckets: int | None = None) -> DataFrame:
+                       n: int = REFERENCE_SAMPLE_SIZE, n_buckets: int | None = None, exact_up_to: int = 0) -> DataFrame:
     """E5 in the reference's mode: current values vs the E4 normal sample."""
     ref = reference_sample(profile, n, keys)
-    return ks_two_sample(cur_long, ref.select(*keys, "feature", "v"), keys, n_buckets)
+    return ks_two_sample(cur_long, ref.select(*keys, "feature", "v"), keys, n_buckets, exact_up_to)
 
 
 # ------------------------------------------------------------------------- E7
@@ -351,7 +360,7 @@ def _long_metrics(df: DataFrame, k: list[str], metrics: Sequence[str]) -> DataFr
 
 
 def _numeric_drift(cur: DataFrame, prof: DataFrame, feats: list[str], keys: list[str], n_buckets: int | None,
-                   wanted, counts: DataFrame | None) -> DataFrame:
+                   wanted, counts: DataFrame | None, exact_up_to: int) -> DataFrame:
     """The numeric part of E10."""
     k = [*keys, "feature"]
     # numeric columns cast directly; other types are try-cast and any value
@@ -377,7 +386,7 @@ def _numeric_drift(cur: DataFrame, prof: DataFrame, feats: list[str], keys: list
         present = present.join(bad, k, "left").select(*k, F.coalesce(F.col("_bad2"), F.col("_bad")).alias("_bad"))
     # one row per key and feature on all sides
     wide = present.join(numeric_psi(own, prof, keys, weight="c1").select(*k, "psi"), k, "left")
-    wide = wide.join(ks_of_counts(both, keys, n_buckets).select(*k, "ks_statistic", "ks_pvalue"), k, "left")
+    wide = wide.join(ks_of_counts(both, keys, n_buckets, exact_up_to).select(*k, "ks_statistic", "ks_pvalue"), k, "left")
     if wanted("mean_shift"):
         wide = wide.join(mean_shift(own, prof, keys, weight="c1"), k, "left")
     shown = [m for m in ("psi", "ks_statistic", "ks_pvalue", "mean_shift") if wanted(m)]
@@ -392,7 +401,7 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
                   keys: Sequence[str] = (), n_buckets: int | None = None,
                   with_chi2_pvalue: bool = True, num_features: Sequence[str] | None = None,
                   cat_features: Sequence[str] | None = None, metrics: Sequence[str] | None = None,
-                  counts: DataFrame | None = None) -> DataFrame:
+                  counts: DataFrame | None = None, exact_up_to: int = 0) -> DataFrame:
     """Every baseline feature at once, long ``keys..., feature, metric, value``.
     ``metrics`` names those that are wanted; the others are not computed.
 
@@ -415,7 +424,7 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
             r[0] for r in num_profile.select("feature").distinct().collect()]  # profile metadata
         feats = [f for f in feats if f in cur.columns]
         if feats:
-            parts.append(_numeric_drift(cur, num_profile.where(F.col("feature").isin(feats)), feats, keys, n_buckets, wanted, counts))
+            parts.append(_numeric_drift(cur, num_profile.where(F.col("feature").isin(feats)), feats, keys, n_buckets, wanted, counts, exact_up_to))
     if cat_profile is not None and (wanted("chi2_statistic") or wanted("chi2_pvalue")):
         feats = list(cat_features) if cat_features is not None else [
             r[0] for r in cat_profile.select("feature").distinct().collect()]  # profile metadata

@@ -97,14 +97,31 @@ def request_rate(log: DataFrame, keys: Sequence[str] = ("endpoint", "model_versi
                       F.round(per_second * 60).cast("long").alias("per_minute"), per_second.alias("per_second"))
 
 
-def error_rate(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
-               window_seconds: int = 300) -> DataFrame:
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def _seconds(interval: str) -> int | None:
+    """Length of a plain interval such as ``5 minutes``; None for other forms."""
+    number, _, unit = interval.strip().lower().partition(" ")
+    unit = _UNIT_SECONDS.get(unit.strip().removesuffix("s"))
+    return int(number) * unit if unit and number.isdigit() else None
+
+
+def error_rate(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     """H6: errors per second over a sliding window: ``window_start, errors,
-    error_rate``.  Only windows with at least one error are present."""
-    w = F.window("ts", window, slide)
-    agg = log.where(F.col("status") == "error").groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("errors"))
-    return agg.select(F.col("w.start").alias("window_start"), "errors",
-                      (F.col("errors") / float(window_seconds)).alias("error_rate"))
+    error_rate``.  Only windows with at least one error are present. Where the window is
+    a whole number of slides, errors are counted per slide first and only the counts are
+    copied to the windows that hold them."""
+    errors = log.where(F.col("status") == "error")
+    whole, part = _seconds(window), _seconds(slide)
+    if whole and part and whole % part == 0:
+        per = errors.groupBy(F.window("ts", slide).alias("s")).agg(F.count(F.lit(1)).alias("_n"))
+        per = per.select(F.col("s.start").alias("ts"), "_n")
+    else:
+        per = errors.select("ts", F.lit(1).alias("_n"))
+    agg = per.groupBy(F.window("ts", window, slide).alias("w")).agg(F.sum("_n").cast("long").alias("errors"))
+    length = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
+    return agg.select(F.col("w.start").alias("window_start"), "errors", (F.col("errors") / length).alias("error_rate"))
 
 
 def mean_latency(log: DataFrame, keys: Sequence[str] = ("endpoint",), window: str = "5 minutes") -> DataFrame:

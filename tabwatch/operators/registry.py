@@ -74,6 +74,31 @@ def pointer_check(pointers: DataFrame, artifacts: DataFrame, bucket: str | None
         "environment", "model_version", "kind", "path")
 
 
+#: The paths that a pointer stores, in the order they are checked.
+POINTER_PATHS = {"model": "model_path", "metadata": "metadata_path", "baseline": "baseline_path"}
+
+
+def validate_pointers(pointers: DataFrame, artifacts: DataFrame, bucket: str) -> DataFrame:
+    """I4 by what the pointers themselves store: every row with ``valid`` and, for the first
+    path that fails, ``reason`` (``missing_key`` not stored, ``invalid_uri`` not in the bucket,
+    ``missing_object`` not there) and ``failed_path``. ``artifacts.path`` are keys in the bucket;
+    rows may repeat. Each stored path is looked up once, however many pointers share it."""
+    prefix = f"s3://{bucket}/"
+    key = lambda c: F.when(F.col(c).startswith(prefix), F.substring(F.col(c), F.lit(len(prefix) + 1), F.length(c)))
+    wanted = pointers.select(F.explode(F.array(*[key(c) for c in POINTER_PATHS.values()])).alias("_key")).where("_key is not null").distinct()
+    there = wanted.join(artifacts.select(F.col("path").alias("_key")), "_key", "left_semi")
+    out = pointers
+    for kind, c in POINTER_PATHS.items():
+        hit = there.select(F.col("_key").alias(f"_{kind}"), F.lit(True).alias(f"_has_{kind}"))
+        out = out.withColumn("_k", key(c)).join(hit, F.col("_k") == F.col(f"_{kind}"), "left").drop("_k", f"_{kind}")
+    faults = [(F.when(F.col(c).isNull(), "missing_key").when(key(c).isNull(), "invalid_uri").when(F.col(f"_has_{kind}").isNull(), "missing_object"), F.col(c))
+              for kind, c in POINTER_PATHS.items()]
+    reason, path = F.coalesce(*[r for r, _ in faults]), None
+    for r, c in faults:
+        path = F.when(r.isNotNull(), c) if path is None else path.when(r.isNotNull(), c)
+    return out.select(*pointers.columns, reason.isNull().alias("valid"), reason.alias("reason"), path.alias("failed_path"))
+
+
 def artifact_flags(artifacts: DataFrame) -> DataFrame:
     """Per version which of the three artifacts exist (parsed from the keys)."""
     p = F.col("path")

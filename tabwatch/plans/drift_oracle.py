@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 from tabwatch.plans.drift_queries import (
-    LINEITEM_CATEGORICAL, LINEITEM_NUMERIC, LINEITEM_SPLIT, ORDERS_CATEGORICAL, ORDERS_SPLIT,
+    EXACT_LAST, EXACT_SPLIT, LINEITEM_CATEGORICAL, LINEITEM_NUMERIC, LINEITEM_SPLIT, ORDERS_CATEGORICAL, ORDERS_SPLIT,
     SCORE_COEFFICIENTS, SCORE_INTERCEPT,
 )
 
@@ -367,6 +367,30 @@ def ks_profile_ctes() -> list[tuple[str, str]]:
             + [("samp_v", "SELECT feature, v FROM samp")] + ks_ctes("cur_long", "samp_v", "ksp"))
 
 
+def q_d1_sketch() -> str:
+    return with_(numeric_profile_ctes("prof", "lineitem", LINEITEM_NUMERIC),
+                 "SELECT feature, n_rows, n, min, max, true AS distinct_in_bound, true AS ranks_in_bound FROM prof")
+
+
+def q_e5_exact() -> str:
+    """The chance of staying inside, step by step along all orders of both samples."""
+    ctes = [
+        ("ev", f"SELECT event_type AS feature, value AS v, ts, event_id, ts < TIMESTAMP '{EXACT_SPLIT}' AS early FROM events WHERE value IS NOT NULL"),
+        ("tail", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature, early ORDER BY ts DESC, event_id DESC) AS rn FROM ev) WHERE rn <= {EXACT_LAST}"),
+        ("a", "SELECT feature, v FROM tail WHERE early"), ("b", "SELECT feature, v FROM tail WHERE NOT early"),
+    ] + ks_ctes("a", "b", "ks") + [
+        ("lim", "SELECT feature, n1 AS m, n2 AS n, CAST(round(ks_statistic * n1 * n2) AS BIGINT) AS reach FROM ks"),
+        ("walk", """SELECT feature, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS i, CAST(1 AS DOUBLE) AS p FROM lim
+            UNION ALL SELECT feature, k + 1, i2, sum(q) FROM (
+                SELECT w.feature, k, l.m, l.n, l.reach, i + s AS i2, p * (CASE WHEN s = 1 THEN l.m - i ELSE l.n - (k - i) END) / CAST(l.m + l.n - k AS DOUBLE) AS q
+                FROM walk w JOIN lim l USING (feature), (VALUES (0), (1)) t(s) WHERE k < l.m + l.n)
+            WHERE abs(i2 * n - (k + 1 - i2) * m) < reach AND q > 0 GROUP BY feature, k, i2"""),
+        ("stay", "SELECT feature, sum(p) AS p FROM walk JOIN lim USING (feature) WHERE k = m + n GROUP BY feature"),
+    ]
+    return with_(ctes, """SELECT ks.feature, n1, n2, round(ks_statistic, 6) AS ks_statistic, round(1.0 - coalesce(p, 0.0), 6) AS ks_pvalue
+        FROM ks LEFT JOIN stay USING (feature)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def q_e5_profile() -> str:
     return with_(ks_profile_ctes(),
                  "SELECT feature, n1, n2, round(ks_statistic, 6) AS ks_statistic, round(ks_pvalue, 6) AS ks_pvalue FROM ksp")
@@ -484,6 +508,7 @@ def q_e13() -> str:
 
 ORACLE = {
     "d1_numeric_profile": q_d1,
+    "d1_sketch_profile": q_d1_sketch,
     "d2_categorical_profile": q_d2,
     "d3_missing_rate": q_d3,
     "d4_build_baseline": q_d4,
@@ -497,6 +522,7 @@ ORACLE = {
     "e3_numeric_psi_observed": q_e3_observed,
     "e4_reference_sample": q_e4,
     "e5_ks_two_sample": q_e5_two,
+    "e5_ks_exact": q_e5_exact,
     "e5_ks_profile": q_e5_profile,
     "e6_mean_shift": q_e6,
     "e7_chi_square": q_e7,

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from tabwatch.functions.core import round_floats, to_long
 from tabwatch.operators import drift as E
+from tabwatch.operators import predlog as G
 from tabwatch.operators import profile as D
+from tabwatch.operators import sketches as S
 from tabwatch.operators.counts import value_counts_of
 from tabwatch.plans.baselines import stored_baseline
+from tabwatch.session import materialize
 from tabwatch.sources.tables import read_table, ts_lit
 
 # Fixed values of the registered plans (mirrored in plans.drift_oracle).
@@ -24,6 +27,8 @@ ORDERS_SPLIT = "1996-01-01"
 LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM_CATEGORICAL = ["l_returnflag", "l_linestatus"]
 ORDERS_CATEGORICAL = ["o_orderstatus", "o_orderpriority"]
+# small samples of the exact KS query
+EXACT_SPLIT, EXACT_LAST = "2024-01-16", 120
 PART_CATEGORICAL = ["p_brand", "p_type"]
 # fixed scoring model for the prediction-drift plans: sigmoid(b0 + sum bi*xi)
 SCORE_INTERCEPT = -1.0
@@ -66,6 +71,24 @@ def d1_numeric_profile(spark, sf):
     return round_floats(D.numeric_profile(read_table(spark, sf, "lineitem"), LINEITEM_NUMERIC))
 
 
+def d1_sketch_profile(spark, sf):
+    """Sketched parts of each ship year, merged: exact columns as they are, estimates as whether
+    they keep their bounds against an exact look at the rows."""
+    li = read_table(spark, sf, "lineitem")
+    parts = S.profile_parts(li.withColumn("year", F.year("l_shipdate")), LINEITEM_NUMERIC, ["year"])
+    probs = D.PROFILE_PERCENTILES
+    got = materialize(S.profile_of_parts(parts))  # one row a feature
+    counts = value_counts_of(li, LINEITEM_NUMERIC).where("v is not null").join(F.broadcast(got.select("feature", *probs)), "feature")
+    below = [F.sum(F.when(F.col("v") < F.col(p), F.col("n")).otherwise(0)).alias(f"{p}_lo") for p in probs]
+    upto = [F.sum(F.when(F.col("v") <= F.col(p), F.col("n")).otherwise(0)).alias(f"{p}_hi") for p in probs]
+    exact = counts.groupBy("feature").agg(F.count("*").alias("n_exact"), *below, *upto)
+    held = F.lit(True)
+    for name, p in probs.items():
+        held = held & (F.col(f"{name}_lo") <= (p + S.RANK_ERROR) * F.col("n")) & (F.col(f"{name}_hi") >= (p - S.RANK_ERROR) * F.col("n"))
+    near = F.abs(F.col("n_unique") - F.col("n_exact")) <= S.DISTINCT_ERROR * F.col("n_exact")
+    return got.join(exact, "feature").select("feature", "n_rows", "n", "min", "max", near.alias("distinct_in_bound"), held.alias("ranks_in_bound"))
+
+
 def d2_categorical_profile(spark, sf):
     part = read_table(spark, sf, "part")
     return round_floats(D.categorical_profile(part, PART_CATEGORICAL))
@@ -157,6 +180,16 @@ def e5_ks_profile(spark, sf):
     return round_floats(E.ks_against_profile(to_long(cur, LINEITEM_NUMERIC), prof))
 
 
+def e5_ks_exact(spark, sf):
+    """Exact p-values of small samples: the last EXACT_LAST values of each event type before and
+    from the date that parts them (fewer where there are fewer)."""
+    ev = read_table(spark, sf, "events").select(F.col("event_type").alias("feature"), F.col("value").cast("double").alias("v"), "ts", F.col("event_id"),
+                                                (F.col("ts") < ts_lit(EXACT_SPLIT)).alias("early"))
+    last = G.last_n(ev, EXACT_LAST, keys=["feature", "early"], order=("ts", "event_id"))
+    a, b = (last.where(c).select("feature", "v") for c in ("early", "not early"))
+    return round_floats(E.ks_two_sample(a, b, exact_up_to=E.EXACT_KS_ROWS))
+
+
 def _orders_cat_profile(spark, sf):
     base, cur = orders_halves(spark, sf)
     # shares stay unrounded: rounded ones do not add up to 1 and the test would not apply
@@ -264,6 +297,7 @@ def e13_drift_score_rows(spark, sf):
 
 QUERIES = {
     "d1_numeric_profile": d1_numeric_profile,
+    "d1_sketch_profile": d1_sketch_profile,
     "d2_categorical_profile": d2_categorical_profile,
     "d3_missing_rate": d3_missing_rate,
     "d4_build_baseline": d4_build_baseline,
@@ -277,6 +311,7 @@ QUERIES = {
     "e3_numeric_psi_observed": e3_numeric_psi_observed,
     "e4_reference_sample": e4_reference_sample,
     "e5_ks_two_sample": e5_ks_two_sample,
+    "e5_ks_exact": e5_ks_exact,
     "e5_ks_profile": e5_ks_profile,
     "e6_mean_shift": e6_mean_shift,
     "e7_chi_square": e7_chi_square,

@@ -13,6 +13,9 @@ from tabwatch.sources.derived import artifacts, models, promotions
 from tabwatch.sources.tables import read_table
 
 
+BUCKET = "tabwatch-models"  # of the pointers' stored paths
+
+
 def _orders(spark, sf):
     return read_table(spark, sf, "orders")
 
@@ -50,6 +53,19 @@ def i4_pointer_check(spark, sf):
     return I.pointer_check(promotions(o), artifacts(o))
 
 
+def i4_validate_pointers(spark, sf):
+    """Pointers with the paths they store; of each forty some lack one, name another bucket or a key
+    that is not there, besides those whose artifacts are missing anyway."""
+    o = _orders(spark, sf)
+    kind, v, prefix = F.col("promotion_seq") % 40, F.col("model_version"), f"s3://{BUCKET}/"
+    stored = promotions(o).select(
+        "environment", "model_version", "promotion_seq",
+        F.when(kind != 0, F.concat(F.when(kind == 1, F.lit("s3://elsewhere/")).otherwise(F.lit(prefix)), F.lit("models/"), v, F.lit(".onnx"))).alias("model_path"),
+        F.concat(F.lit(prefix), F.lit("metadata/"), v, F.when(kind == 2, F.lit(".yaml")).otherwise(F.lit(".json"))).alias("metadata_path"),
+        F.when(kind != 3, F.concat(F.lit(prefix), F.lit("baselines/"), v, F.lit("_baseline.json"))).alias("baseline_path"))
+    return I.validate_pointers(stored, artifacts(o), BUCKET).select("environment", "model_version", "promotion_seq", "valid", "reason", "failed_path")
+
+
 def i5_eligibility(spark, sf):
     o = _orders(spark, sf)
     return I.eligibility(promotions(o), models(o), artifacts(o))
@@ -84,6 +100,7 @@ QUERIES = {
     "h11_current_model": h11_current_model,
     "i3_promotion_history": i3_promotion_history,
     "i4_pointer_check": i4_pointer_check,
+    "i4_validate_pointers": i4_validate_pointers,
     "i5_eligibility": i5_eligibility,
     "i6_rollback_target": i6_rollback_target,
     "i7_model_info": i7_model_info,
@@ -146,6 +163,22 @@ def o_i4():
         SELECT environment, model_version, kind, path FROM e WHERE path NOT IN (SELECT path FROM a)"""
 
 
+def o_i4_stored():
+    b = f"s3://{BUCKET}/"
+    return f"""WITH p AS (SELECT *, promotion_seq % 40 AS kind FROM ({PROMO})), a AS (SELECT DISTINCT path FROM ({ARTS})),
+        s AS (SELECT environment, model_version, promotion_seq,
+            CASE WHEN kind <> 0 THEN CASE WHEN kind = 1 THEN 's3://elsewhere/' ELSE '{b}' END || 'models/' || model_version || '.onnx' END AS m,
+            '{b}metadata/' || model_version || CASE WHEN kind = 2 THEN '.yaml' ELSE '.json' END AS d,
+            CASE WHEN kind <> 3 THEN '{b}baselines/' || model_version || '_baseline.json' END AS l FROM p),
+        r AS (SELECT s.*,
+            CASE WHEN m IS NULL THEN 'missing_key' WHEN NOT starts_with(m, '{b}') THEN 'invalid_uri' WHEN substr(m, {len(b) + 1}) NOT IN (SELECT path FROM a) THEN 'missing_object' END AS rm,
+            CASE WHEN d IS NULL THEN 'missing_key' WHEN NOT starts_with(d, '{b}') THEN 'invalid_uri' WHEN substr(d, {len(b) + 1}) NOT IN (SELECT path FROM a) THEN 'missing_object' END AS rd,
+            CASE WHEN l IS NULL THEN 'missing_key' WHEN NOT starts_with(l, '{b}') THEN 'invalid_uri' WHEN substr(l, {len(b) + 1}) NOT IN (SELECT path FROM a) THEN 'missing_object' END AS rl
+            FROM s)
+        SELECT environment, model_version, promotion_seq, coalesce(rm, rd, rl) IS NULL AS valid, coalesce(rm, rd, rl) AS reason,
+            CASE WHEN rm IS NOT NULL THEN m WHEN rd IS NOT NULL THEN d WHEN rl IS NOT NULL THEN l END AS failed_path FROM r"""
+
+
 def o_i5():
     return f"""WITH p AS ({PROMO}), m AS ({MODELS}), a AS ({ARTS}),
         f AS (SELECT CASE WHEN starts_with(path, 'models/') THEN regexp_extract(path, '^models/(.*)\\.onnx$', 1)
@@ -200,6 +233,7 @@ ORACLE = {
     "h11_current_model": o_h11,
     "i3_promotion_history": o_i3,
     "i4_pointer_check": o_i4,
+    "i4_validate_pointers": o_i4_stored,
     "i5_eligibility": o_i5,
     "i6_rollback_target": o_i6,
     "i7_model_info": o_i7,
