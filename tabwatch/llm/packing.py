@@ -30,17 +30,16 @@ from tabwatch.llm.common import LOWER, doc_columns, field, map_batches, text_sli
 from tabwatch.session import materialize
 
 CAPACITY = 2048
-#: Words of a generation whose ids a worker remembers, the longest of them, and words encoded at a time.
-REMEMBERED, LONGEST, BLOCK = 400_000, 64, 1024
-#: About how many bytes of text are worked on at a time.
-STEP = 2 << 20
+#: Words of a generation whose ids a worker remembers (memory against time: some 150 bytes each,
+#: two generations), the longest of them, and words encoded at a time.
+REMEMBERED, LONGEST, BLOCK = 800_000, 64, 1024
 #: Pieces dealt to one bucket, about.
 BUCKET_ROWS = 50_000
 #: ASCII punctuation but the apostrophe, which the tokenizer joins to letters after it.
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
-def build_encoder(tokenizer_path: str):
+def build_encoder(tokenizer_path: str, remembered: int = REMEMBERED):
     """UTF-8 texts -> list of little-endian unsigned 32-bit ids. This tokenizer ignores
     letter case and white space never enters a token, so texts are encoded word by
     word, A-Z in lower case, and words remembered. A word that ends in an ASCII letter
@@ -48,10 +47,11 @@ def build_encoder(tokenizer_path: str):
     text that may hold a special token's string keeps its case, and such a word is
     encoded whole.
 
-    Words are remembered in two generations of at most ``REMEMBERED`` and one slice:
+    Words are remembered in two generations of at most ``remembered`` and one slice:
     when the newer is full it becomes the older, whose words are kept if they come again."""
     import os
     from array import array
+    from operator import itemgetter
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -61,9 +61,20 @@ def build_encoder(tokenizer_path: str):
     memo.setdefault("old", {})
 
     def learn(words: list[bytes], known: dict[bytes, bytes]) -> None:
+        """Encode words some at a time, one after the other in a text, and tell their ids apart by
+        where they start; what may be a special token is encoded alone."""
         for i in range(0, len(words), BLOCK):
-            part = words[i : i + BLOCK]
-            known.update(zip(part, (array("I", e.ids).tobytes() for e in tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True))
+            part = [w.decode() for w in words[i : i + BLOCK]]
+            text = " ".join(part)
+            if "<|" in text:
+                known.update(zip(words[i : i + BLOCK], (array("I", e.ids).tobytes() for e in tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+                continue
+            e = tok.encode(text, add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            first = np.fromiter(map(itemgetter(0), e.offsets), np.int64)
+            cut = (4 * np.searchsorted(first, ends)).tolist()
+            ids = array("I", e.ids).tobytes()
+            known.update(zip(words[i : i + BLOCK], map(ids.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
 
     def encode(texts: list[bytes]) -> list[bytes]:
         known, old = memo["new"], memo["old"]
@@ -87,22 +98,22 @@ def build_encoder(tokenizer_path: str):
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in [w for w in missing | wanted if len(w) > LONGEST]:
             known.pop(w, None)
-        if len(known) > REMEMBERED:
+        if len(known) > remembered:
             memo["new"], memo["old"] = {}, known
         return out
 
     return encode
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Tokenized documents cut into pieces of at most ``capacity`` ids."""
     fields = [field("doc_id", "bigint"), field("piece", "int"), field("start", "bigint"), field("length", "bigint"), field("ids_crc32", "bigint")] + [field("ids", "array<int>")] * with_ids
 
     def work():
-        encode = build_encoder(tokenizer_path)
+        encode = build_encoder(tokenizer_path, remembered)
 
         def on_batch(batch: pa.RecordBatch):
-            for ids, texts in text_slices(batch, "doc_id", "text", STEP):
+            for ids, texts in text_slices(batch, "doc_id", "text"):
                 rows = []
                 for doc, data in zip(ids, encode(texts), strict=True):
                     data += b"\0\0\0\0"
@@ -246,9 +257,9 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """All pieces with their sequence and place in it."""
-    cut = materialize(pieces(docs, tokenizer_path, capacity, with_ids).withColumn("row", F.monotonically_increasing_id()))
+    cut = materialize(pieces(docs, tokenizer_path, capacity, with_ids, remembered).withColumn("row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = solve(counts, capacity)
     table = np.array(sorted(plan.segments), np.int64).reshape(-1, 6)
