@@ -15,6 +15,8 @@ from tabwatch.llm import decontaminate, ngram_join, packing, secret_scan, toxici
 from tabwatch.session import materialize, scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Words that packing remembers in a worker, which also holds memory of the stages before.
+REMEMBERED = 300_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, TOKENIZER, with_ids=True)
+    return packing.pack(docs, TOKENIZER, with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [
