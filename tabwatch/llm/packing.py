@@ -33,8 +33,8 @@ CAPACITY = 2048
 #: Words of a generation whose ids a worker remembers (memory against time: some 150 bytes each,
 #: two generations), the longest of them, and words encoded at a time.
 REMEMBERED, LONGEST, BLOCK = 800_000, 64, 1024
-#: Pieces dealt to one bucket, about.
-BUCKET_ROWS = 50_000
+#: Pieces dealt to one bucket, and ids where pieces carry them, about.
+BUCKET_ROWS, BUCKET_IDS = 50_000, 8_000_000
 #: ASCII punctuation but the apostrophe, which the tokenizer joins to letters after it.
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
@@ -263,7 +263,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = solve(counts, capacity)
     table = np.array(sorted(plan.segments), np.int64).reshape(-1, 6)
-    buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
+    buckets = max(1, sum(counts.values()) // BUCKET_ROWS, with_ids * sum(s * n for s, n in counts.items()) // BUCKET_IDS)
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
