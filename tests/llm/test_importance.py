@@ -39,3 +39,35 @@ def test_no_documents_and_no_target(spark):
     assert R.resample(empty(spark), none).count() == 0
     got = R.resample(awkward(spark), none).collect()
     assert {r.log_weight for r in got} == {0.0}
+
+
+def test_log_weights_equal_plain_counting(spark):
+    """Every weight from dictionaries over the same hashed words and pairs."""
+    from collections import Counter
+
+    import xxhash
+    from helpers import words
+
+    rng = random.Random(6)
+    docs = awkward(spark, [(100 + i, " ".join(rng.choices(["alpha", "Beta", "été", "x1", "zig"], k=rng.randrange(40)))) for i in range(80)])
+    good = {100 + i for i in range(0, 80, 3)} | {5, 6}
+    target = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    buckets, full = 512, (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 31) * 0x9E3779B97F4A7C15 & full
+        return (h ^ h >> 29) % buckets
+
+    def features(text):
+        h = [xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in words(text)]
+        return [mixed(x) for x in h] + [mixed((a * 0xD6E8FEB86659FD93 + b) & full) for a, b in zip(h, h[1:])]
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    raw = Counter(f for _, t in rows for f in features(t))
+    wanted = Counter(f for i, t in rows if i in good for f in features(t))
+    total = [sum(c.values()) + buckets for c in (wanted, raw)]
+    ratio = R.models(docs, target, buckets)
+    got = sorted((str(r.doc_id), r.log_weight) for r in R.weigh(docs, ratio).collect())
+    want = sorted((str(i), sum(math.log((wanted[f] + 1) / total[0]) - math.log((raw[f] + 1) / total[1]) for f in features(t))) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(got, want)) < 1e-6
