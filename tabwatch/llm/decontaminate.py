@@ -102,6 +102,24 @@ def _expand(group: tuple, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, entry
 
 
+def shard_matches(index: dict, texts: list[bytes]):
+    """The longest verbatim matches of one shard: words of each document, the documents' word
+    offsets, and for every match its first word in the shard, its item's number, its first
+    word in the item and its words. Windows found one after the other, in the documents and
+    in the item alike, are one match."""
+    run = shard_hits(index, texts)
+    counts, starts = next(run)
+    parts = [np.zeros((4, 0), np.int64)]
+    for n, place, win, group in run:
+        which, entry = _expand(group, win)
+        p, item, q = place[which], group[3][entry], group[4][entry]
+        order = np.lexsort((p, p - q, item))
+        p, item, q = p[order], item[order], q[order]
+        first = np.flatnonzero(np.concatenate([[len(p) > 0], (np.diff(item) != 0) | (np.diff(p - q) != 0) | (np.diff(p) != 1)]))
+        parts.append(np.stack([p[first], item[first], q[first], np.diff(np.append(first, len(p))) + n - 1]))
+    return counts, starts, np.concatenate(parts, 1)
+
+
 def _blocks(spark: SparkSession, bench: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes]]]:
     """The benchmark in blocks: lazily collected, each of bounded size."""
     b = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -114,8 +132,8 @@ def _blocks(spark: SparkSession, bench: DataFrame, block_bytes: int) -> list[lis
 
 
 def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with three more columns: words, hit word spans (starts and ends
-    alternating) and ids of items found. Returns the frame and the columns' names."""
+    """``docs`` with three more columns from the longest matches: words, hit word spans (starts
+    and ends alternating) and ids of items found. Returns the frame and the columns' names."""
     spark = docs.sparkSession
     name = {k: fresh(k, docs.columns) for k in ("n_words", "hit_spans", "hit_items")}
     fields = [field("n_words", "bigint"), field("hit_spans", "array<int>"), field("hit_items", "array<string>")]
@@ -139,18 +157,12 @@ def _pass(docs, shared, fields, name, again):
             had = batch.column(name["hit_items"]).to_pylist() if again else [[]] * len(texts)
             n_words, spans, found = [], [], []
             for i, j in slices(texts):
-                run = shard_hits(index, texts[i:j])
-                counts, starts = next(run)
+                counts, starts, (place, item, _, size) = shard_matches(index, texts[i:j])
                 n_words += counts
                 edge = np.zeros(starts[-1] + 1, np.int32)
-                pairs = []
-                for n, place, win, group in run:
-                    np.add.at(edge, place, 1)
-                    np.add.at(edge, place + n, -1)
-                    doc = np.searchsorted(starts, place, "right") - 1
-                    each = np.unique(np.stack([doc, win], 1), axis=0)
-                    which, entry = _expand(group, each[:, 1])
-                    pairs.append(np.stack([each[which, 0], group[3][entry]], 1))
+                np.add.at(edge, place, 1)
+                np.add.at(edge, place + size, -1)
+                pairs = np.unique(np.stack([np.searchsorted(starts, place, "right") - 1, item], 1), axis=0)
                 for k in range(j - i):
                     for s, e in zip(old[i + k][::2], old[i + k][1::2], strict=True):
                         edge[starts[k] + s] += 1
@@ -161,9 +173,8 @@ def _pass(docs, shared, fields, name, again):
                 own, items = [[] for _ in range(j - i)], [set(x) for x in had[i:j]]
                 for d, s, e in zip(doc.tolist(), (begin - starts[doc]).tolist(), (end - starts[doc]).tolist(), strict=True):
                     own[d] += [s, e]
-                for p in pairs:
-                    for d, item in np.unique(p, axis=0).tolist():
-                        items[d].add(index["names"][item])
+                for d, k in pairs.tolist():
+                    items[d].add(index["names"][k])
                 spans += own
                 found += [sorted(x) for x in items]
             return [n_words, spans, found]
@@ -214,18 +225,9 @@ def longest_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, blo
             def on_batch(batch: pa.RecordBatch):
                 texts, ids = text_bytes(batch, "text"), batch.column("doc_id").to_pylist()
                 for i, j in slices(texts):
-                    run = shard_hits(index, texts[i:j])
-                    _, starts = next(run)
-                    for n, place, win, group in run:
-                        which, entry = _expand(group, win)
-                        p, item, q = place[which], group[3][entry], group[4][entry]
-                        order = np.lexsort((p, p - q, item))
-                        p, item, q = p[order], item[order], q[order]
-                        head = np.concatenate([[True], (np.diff(item) != 0) | (np.diff(p - q) != 0) | (np.diff(p) != 1)]) if len(p) else np.zeros(0, bool)
-                        first = np.flatnonzero(head)
-                        size = np.diff(np.append(first, len(p))) + n - 1
-                        doc = np.searchsorted(starts, p[first], "right") - 1
-                        yield [[ids[i + d] for d in doc.tolist()], (p[first] - starts[doc]).tolist(), [index["names"][x] for x in item[first].tolist()], q[first].tolist(), size.tolist()]
+                    _, starts, (place, item, at, size) = shard_matches(index, texts[i:j])
+                    doc = np.searchsorted(starts, place, "right") - 1
+                    yield [[ids[i + d] for d in doc.tolist()], (place - starts[doc]).tolist(), [index["names"][x] for x in item.tolist()], at.tolist(), size.tolist()]
 
             return on_batch
 
