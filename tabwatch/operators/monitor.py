@@ -167,8 +167,10 @@ def version_changes(log: DataFrame, order: Sequence[str] = ("ts", "request_id"),
 
 
 def validation_error_counts(checked: DataFrame, keys: Sequence[str] = ("model_version", "error_type")) -> DataFrame:
-    """Validation failures (rows with an ``error_type``) by version and type."""
-    return checked.where(F.col("error_type").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("errors"))
+    """Validation failures (rows with an ``error_type``) by version and type. Rows
+    without one are counted as none and dropped afterwards: a filter before the aggregate would
+    be pushed below the checks and evaluate them twice."""
+    return checked.groupBy(*keys).agg(F.count("error_type").alias("errors")).where(F.col("errors") > 0)
 
 
 def request_id_valid(c: Column) -> Column:
