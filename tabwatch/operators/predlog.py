@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwatch.functions.core import join_small
 
@@ -44,12 +45,16 @@ def flatten_batch(df: DataFrame, instances_col: str, predictions_col: str,
 
 def records_to_table(df: DataFrame, features_col: str, names: Sequence[str] | None = None,
                      keep: Sequence[str] = ()) -> DataFrame:
-    """A5: feature records (struct or map) to columns; missing keys become NULL.
+    """A5: feature records (struct, map or JSON text) to columns; missing keys become NULL.
+    JSON goes by :func:`json_records_to_table`.
 
     For a map without ``names``, the union of keys is found with a distributed
     distinct and read back as metadata; more than ``MAX_COLUMNS`` keys are an error,
     as no table is that wide."""
     dt = df.schema[features_col].dataType.typeName()
+    if dt == "string":
+        table = json_records_to_table(df, features_col, keep)
+        return table if names is None else table.select(*keep, *[F.col(f"`{n}`") if n in table.columns else F.lit(None).cast("string").alias(n) for n in names])
     if dt == "struct":
         return df.select(*keep, f"{features_col}.*")
     if names is None:
@@ -60,6 +65,47 @@ def records_to_table(df: DataFrame, features_col: str, names: Sequence[str] | No
     return df.select(*keep, *[F.col(features_col).getItem(n).alias(n) for n in names])
 
 
+def _json_type(t: T.DataType) -> T.DataType:
+    """The column type of a JSON value: numbers with a fraction are doubles, values of several
+    kinds, or never anything but null, are text."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _json_type(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_json_type(t.elementType))
+    if isinstance(t, T.DecimalType):
+        return T.DoubleType()
+    return T.StringType() if isinstance(t, (T.VariantType, T.NullType)) else t
+
+
+def json_schema(df: DataFrame, json_col: str) -> T.StructType:
+    """The schema that holds every record of a JSON column: merged in each task, then across
+    tasks; one line of text is all that reaches the driver."""
+    told = df.agg(F.schema_of_variant_agg(F.try_parse_json(json_col)).alias("s")).first()["s"]
+    if told in (None, "VOID"):
+        return T.StructType()
+    if not told.startswith("OBJECT<"):
+        raise ValueError(f"{json_col} does not hold objects only: {told[:100]}")
+    return _json_type(T._parse_datatype_string(told.replace("OBJECT<", "STRUCT<")))
+
+
+def json_records_to_table(df: DataFrame, json_col: str, keep: Sequence[str] = (), sep: str = "_") -> DataFrame:
+    """A5 for records as JSON text: one column per key of any record, nested keys joined by
+    ``sep``, arrays as arrays. A record that is null or no JSON has NULL everywhere."""
+    schema = json_schema(df, json_col)
+    if not schema.fields:
+        return df.select(*keep)
+    parsed = df.select(*keep, F.from_json(json_col, schema).alias("_j"))
+
+    def leaves(at: Column, t: T.StructType, name: str) -> list[Column]:
+        out = []
+        for f in t.fields:
+            value = at.getField(f.name)
+            out += leaves(value, f.dataType, f"{name}{f.name}{sep}") if isinstance(f.dataType, T.StructType) else [value.alias(f"{name}{f.name}")]
+        return out
+
+    return parsed.select(*keep, *leaves(F.col("_j"), schema, ""))
+
+
 def _order(cols: Sequence[str], desc: bool) -> list[Column]:
     return [F.col(c).desc() if desc else F.col(c).asc() for c in cols]
 
@@ -135,5 +181,5 @@ def clear(log: DataFrame) -> DataFrame:
     return log.limit(0)
 
 
-__all__ = ["ingest", "flatten_batch", "records_to_table", "last_n", "retain", "log_stats", "due_checks", "clear",
+__all__ = ["ingest", "flatten_batch", "records_to_table", "json_records_to_table", "json_schema", "last_n", "retain", "log_stats", "due_checks", "clear",
            "join_small"]

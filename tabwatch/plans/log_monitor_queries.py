@@ -79,6 +79,16 @@ def a5_records_to_table(spark, sf):
     return round_floats(G.records_to_table(ev, "features", keep=["event_id"]))
 
 
+def a5_nested_records(spark, sf):
+    """Records as nested JSON texts of several shapes; their columns are found from the texts."""
+    ev = read_table(spark, sf, "events")
+    kind, origin = F.col("event_id") % 3, F.struct(F.col("event_type").alias("kind"), F.struct(F.col("user_id").alias("id")).alias("user"))
+    text = (F.when(kind == 0, F.to_json(F.struct(F.col("value"), origin.alias("origin"))))
+            .when(kind == 1, F.to_json(F.struct((F.col("event_id") * 2).alias("twice"), origin.alias("origin"))))
+            .otherwise(F.to_json(F.struct(F.array("event_id", "user_id").alias("ids")))))
+    return round_floats(G.records_to_table(ev.select("event_id", text.alias("features")), "features", keep=["event_id"]).withColumn("ids", F.element_at("ids", 2)))
+
+
 def g1_last_n(spark, sf):
     out = G.last_n(_pl(spark, sf), LAST_N, keys=["user_id"])
     return round_floats(out.select("user_id", "request_id", "seq", ts_string("ts").alias("ts"), "prediction"))
@@ -265,6 +275,7 @@ QUERIES = {
     "a3_ingest": a3_ingest,
     "a4_flatten_batch": a4_flatten_batch,
     "a5_records_to_table": a5_records_to_table,
+    "a5_nested_records": a5_nested_records,
     "g1_last_n": g1_last_n,
     "g1_last_n_global": g1_last_n_global,
     "g2_retain": g2_retain,
@@ -330,6 +341,12 @@ def o_a5():
     return "SELECT event_id, round(CAST(json_extract_string(props, '$.k') AS DOUBLE), 6) AS k FROM events"
 
 
+def o_a5_nested():
+    return """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN user_id END AS ids, CASE WHEN event_id % 3 < 2 THEN event_type END AS origin_kind,
+        CASE WHEN event_id % 3 < 2 THEN user_id END AS origin_user_id, CASE WHEN event_id % 3 = 1 THEN event_id * 2 END AS twice,
+        CASE WHEN event_id % 3 = 0 THEN round(value, 6) END AS value FROM events"""
+
+
 def o_g1():
     return f"""WITH pl AS ({PL}),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, request_id DESC, pos DESC) AS rn FROM pl)
@@ -615,6 +632,7 @@ ORACLE = {
     "a3_ingest": o_a3,
     "a4_flatten_batch": o_a4,
     "a5_records_to_table": o_a5,
+    "a5_nested_records": o_a5_nested,
     "g1_last_n": o_g1,
     "g1_last_n_global": o_g1_global,
     "g2_retain": o_g2,

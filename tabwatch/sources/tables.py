@@ -55,3 +55,21 @@ def read_profile(spark: SparkSession, path: str, model_version: str | None = Non
     """Load a stored profile; the version filter is a partition filter."""
     df = spark.read.parquet(path)
     return df.where(F.col("model_version") == model_version) if model_version else df
+
+
+def write_metadata(metadata: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Nested metadata, one document per version (the other columns as JSON text, nulls
+    kept), so versions of different shape share a table; partitioned by version."""
+    rest = [c for c in metadata.columns if c != "model_version"]
+    document = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})
+    write_profile(metadata.select("model_version", document.alias("document")), path, mode=mode)
+
+
+def read_metadata(spark: SparkSession, path: str, model_version: str | None = None,
+                  schema: T.StructType | None = None) -> DataFrame:
+    """``model_version, meta``: the document as a VARIANT (``variant_get`` reads any part
+    of it), or with ``schema`` as typed columns."""
+    df = read_profile(spark, path, model_version)
+    if schema is None:
+        return df.select("model_version", F.parse_json("document").alias("meta"))
+    return df.select("model_version", F.from_json("document", schema).alias("_m")).select("model_version", "_m.*")

@@ -43,3 +43,33 @@ def test_clear_keeps_schema(spark):
     log = spark.createDataFrame([("r1", 1)], "request_id string, pos int")
     c = G.clear(log)
     assert c.count() == 0 and c.schema == log.schema
+
+
+def test_json_records_of_any_shape(spark):
+    rows = [(1, '{"k":1,"n":{"a b":2.5,"l":[1,2]},"z":null}'), (2, '{"k":2.5,"n":{"c":"x"},"flag":true}'), (3, None), (4, "no json"), (5, '{"mixed":1}'), (6, '{"mixed":"s"}'), (7, "{}")]
+    df = spark.createDataFrame(rows, "id long, features string").repartition(3)
+    out = G.records_to_table(df, "features", keep=["id"])
+    got = {r.id: r.asDict() for r in out.collect()}
+    assert set(out.columns) == {"id", "k", "n_a b", "n_l", "n_c", "z", "flag", "mixed"}
+    assert (got[1]["k"], got[1]["n_a b"], got[1]["n_l"], got[1]["z"]) == (1.0, 2.5, [1, 2], None)
+    assert (got[2]["k"], got[2]["n_c"], got[2]["flag"]) == (2.5, "x", True)
+    assert all(v is None for i in (3, 4, 7) for c, v in got[i].items() if c != "id")
+    assert (got[5]["mixed"], got[6]["mixed"]) == ("1", "s")
+    named = G.records_to_table(df, "features", names=["k", "gone"], keep=["id"])
+    assert named.columns == ["id", "k", "gone"] and named.where("gone is not null").count() == 0
+    assert G.records_to_table(df.limit(0), "features", keep=["id"]).columns == ["id"]
+
+
+def test_metadata_round_trip(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "meta")
+    one = spark.sql("select 'v1' as model_version, named_struct('accuracy', 0.5D, 'auc', cast(null as double)) as metrics, array('a', 'b') as names, map('C', 1.0D) as parameters")
+    two = spark.sql("select 'v2' as model_version, named_struct('loss', 3) as metrics, 'tree' as kind")
+    S.write_metadata(one, path)
+    S.write_metadata(two, path)
+    back = S.read_metadata(spark, path, "v1", one.drop("model_version").schema)
+    assert back.collect() == one.collect() and back.columns == one.columns
+    meta = S.read_metadata(spark, path)
+    got = {r[0]: (r[1], r[2]) for r in meta.select("model_version", F.variant_get("meta", "$.metrics.loss", "int"), F.variant_get("meta", "$.kind", "string")).collect()}
+    assert got == {"v1": (None, None), "v2": (3, "tree")}
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "model_version" in plan
