@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import LOWER, doc_columns, field, map_batches, text_slices, worker_memo
+from tabwatch.llm.common import LOWER, SLICE_BYTES, doc_columns, field, map_batches, text_slices, worker_memo
 from tabwatch.session import materialize
 
 CAPACITY = 2048
@@ -105,15 +105,16 @@ def build_encoder(tokenizer_path: str, remembered: int = REMEMBERED):
     return encode
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
-    """Tokenized documents cut into pieces of at most ``capacity`` ids."""
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Tokenized documents cut into pieces of at most ``capacity`` ids. ``remembered`` words
+    and ``slice_bytes`` of text at a time trade a worker's memory for time."""
     fields = [field("doc_id", "bigint"), field("piece", "int"), field("start", "bigint"), field("length", "bigint"), field("ids_crc32", "bigint")] + [field("ids", "array<int>")] * with_ids
 
     def work():
         encode = build_encoder(tokenizer_path, remembered)
 
         def on_batch(batch: pa.RecordBatch):
-            for ids, texts in text_slices(batch, "doc_id", "text"):
+            for ids, texts in text_slices(batch, "doc_id", "text", slice_bytes):
                 rows = []
                 for doc, data in zip(ids, encode(texts), strict=True):
                     data += b"\0\0\0\0"
@@ -257,9 +258,9 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """All pieces with their sequence and place in it."""
-    cut = materialize(pieces(docs, tokenizer_path, capacity, with_ids, remembered).withColumn("row", F.monotonically_increasing_id()))
+    cut = materialize(pieces(docs, tokenizer_path, capacity, with_ids, remembered, slice_bytes).withColumn("row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = solve(counts, capacity)
     table = np.array(sorted(plan.segments), np.int64).reshape(-1, 6)
