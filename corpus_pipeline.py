@@ -15,8 +15,9 @@ from tabwatch.llm import decontaminate, ngram_join, packing, secret_scan, toxici
 from tabwatch.session import materialize, scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words that packing remembers in a worker, which also holds memory of the stages before.
-REMEMBERED = 300_000
+#: Words that packing remembers in a worker, which also holds memory of the stages before, and
+#: bytes of text that it works on at a time.
+REMEMBERED, SLICE_BYTES = 120_000, 1 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, TOKENIZER, with_ids=True, remembered=REMEMBERED)
+    return packing.pack(docs, TOKENIZER, with_ids=True, remembered=REMEMBERED, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [
