@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwatch.functions.core import is_numeric_type, join_small, nan_div, to_long
@@ -215,6 +215,12 @@ def reference_sample(profile: DataFrame, n: int = REFERENCE_SAMPLE_SIZE, keys: S
     return draws.select(*k, "draw", F.least(F.greatest(raw, F.col("_lo")), F.col("_hi")).alias("v"))
 
 
+def sample_counts(profile: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys..., feature, v, c2``: the distinct values of the E4 sample and their counts. They
+    follow from the profile alone, so whoever checks against it often stores them."""
+    return reference_sample(profile, REFERENCE_SAMPLE_SIZE, keys).groupBy(*keys, "feature", "v").agg(F.count(F.lit(1)).alias("c2"))
+
+
 # ------------------------------------------------------------------------- E5
 def ks_two_sample(a_long: DataFrame, b_long: DataFrame, keys: Sequence[str] = (),
                   n_buckets: int | None = None, exact_up_to: int = 0) -> DataFrame:
@@ -272,6 +278,12 @@ def chi_square(cur_long: DataFrame, cat_profile: DataFrame, keys: Sequence[str]
     # categories: union of both sides, restricted to features on both sides
     cats = obs.join(feats.select(*k), k).join(base, [*k, "category"], "full_outer")
     cats = cats.join(feats, k)
+    return _chi_of_cells(cats, k)
+
+
+def _chi_of_cells(cats: DataFrame, k: list[str]) -> DataFrame:
+    """E7 from one row per category: ``share`` of the baseline, observed ``_o`` (NULL: none) and
+    the feature's ``_n``."""
     cells = cats.select(
         *k,
         (F.coalesce(F.col("share"), F.lit(0.0)) * F.col("_n")).alias("_e"),
@@ -300,7 +312,10 @@ def chi_square(cur_long: DataFrame, cat_profile: DataFrame, keys: Sequence[str]
 
 def chi_square_test(cur_long: DataFrame, cat_profile: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """E7 with the p-value (pandas UDF over one row per feature)."""
-    cs = chi_square(cur_long, cat_profile, keys)
+    return _with_chi2_pvalue(chi_square(cur_long, cat_profile, keys))
+
+
+def _with_chi2_pvalue(cs: DataFrame) -> DataFrame:
     return cs.withColumn(
         "chi2_pvalue",
         F.when(F.col("status") == "ok", chi2_sf(F.col("chi2_statistic"), F.col("dof"))),
@@ -321,23 +336,26 @@ def score_drift(cur: DataFrame, score_col: str, base: DataFrame, keys: Sequence[
     w = F.col(weight) if weight else F.lit(1)
     x = join_small(cur.select(*keys, v.alias("v"), w.cast("long").alias("_w")).where(F.col("v").isNotNull()), b, keys)  # one row per key
     ok = (F.size("edges") > 1) & (F.size("counts") > 0) & (F.size("counts") == F.size("edges") - 1)
-    binned = x.select(*keys, "_w", F.when(ok, bin_index(F.col("v"), F.col("edges"), n_edges)).alias("bin"))
-    # at most #bins entries per key
-    per_bin = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.sum("_w").alias("_c"))
-    hist = per_bin.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "_c"))).alias("_m"))
+    binned = x.select(*keys, "v", "_w", F.when(ok, bin_index(F.col("v"), F.col("edges"), n_edges)).alias("bin"))
     mean = F.avg("v") if weight is None else F.sum(F.col("v") * F.col("_w")) / F.sum("_w")
-    stats = join_small(x.groupBy(*keys).agg(mean.alias("_cm")), b, keys)
-    res = join_small(stats, hist, keys, how="left") if keys else join_small(stats, hist)
-    counts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0))),
-                         lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)).cast("long"))
+    if n_edges is not None:  # one aggregate counts all bins
+        counted = F.expr(f"array({', '.join(f'coalesce(sum(if(bin = {i}, _w, 0L)), 0L)' for i in range(n_edges - 1))})")
+        res = join_small(binned.groupBy(*keys).agg(mean.alias("_cm"), counted.alias("_counts")), b, keys)
+        counts = F.slice("_counts", 1, F.greatest(F.size("edges") - 1, F.lit(1)))
+    else:
+        # at most #bins entries per key
+        per_bin = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.sum("_w").alias("_c"))
+        hist = per_bin.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "_c"))).alias("_m"))
+        stats = join_small(binned.groupBy(*keys).agg(mean.alias("_cm")), b, keys)
+        res = join_small(stats, hist, keys, how="left") if keys else join_small(stats, hist)
+        counts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0))),
+                             lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)).cast("long"))
     out = res.select(
-        *keys, F.lit("prediction").alias("feature"),
+        *keys, F.lit("prediction").alias("feature"), ok.alias("_ok"),
         F.abs(F.col("_cm") - F.coalesce(F.col("mean"), F.lit(DEFAULT_SCORE_MEAN))).alias("mean_shift"),
-        F.when(ok, psi_arrays(counts, F.col("counts"))).alias("psi"), ok.alias("_ok"),
+        F.when(ok, psi_arrays(counts, F.col("counts"))).alias("psi"),
     )
-    ms = out.select(*keys, "feature", F.lit("mean_shift").alias("metric"), F.col("mean_shift").alias("value"))
-    psi = out.where("_ok").select(*keys, "feature", F.lit("psi").alias("metric"), F.col("psi").alias("value"))
-    return ms.unionByName(psi)
+    return _long_metrics(out, [*keys, "feature", "_ok"], ["mean_shift", "psi"]).where((F.col("metric") == "mean_shift") | F.col("_ok")).drop("_ok")
 
 
 def class_drift(cur: DataFrame, arr_col: str, class_base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -372,7 +390,7 @@ def _numeric_drift(cur: DataFrame, prof: DataFrame, feats: list[str], keys: list
     else:
         counts = counts.where(F.col("feature").isin(feats))
     # current counts c1 next to those of the E4 sample c2: with them one table holds all that follows
-    ref = reference_sample(prof, REFERENCE_SAMPLE_SIZE, keys).groupBy(*k, "v").agg(F.count(F.lit(1)).alias("c2"))
+    ref = sample_counts(prof, keys)
     both = counts.where(F.col("v").isNotNull()).select(*k, "v", F.col("n").alias("c1"), F.lit(0).cast("long").alias("c2")).unionByName(
         ref.select(*k, "v", F.lit(0).cast("long").alias("c1"), "c2"))
     both = materialize(both.groupBy(*k, "v").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2")))
@@ -445,6 +463,55 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
     return out
 
 
+def short_feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: DataFrame | None, keys: Sequence[str],
+                        num_features: Sequence[str] = (), cat_features: Sequence[str] = (),
+                        samples: DataFrame | None = None) -> DataFrame:
+    """E10 of few rows a key, such as a monitor's last N: the rows of :func:`feature_drift`, by
+    one shuffle of the numeric and one of the categorical values. A (key, feature) goes to one
+    task, with its rows, the E4 sample and the baseline's categories, so only call this where
+    the rows of a key are bounded. Numeric features must have numeric types. ``samples`` are
+    stored :func:`sample_counts` of the profile."""
+    keys = list(keys)
+    k = [*keys, "feature"]
+    whole = Window.partitionBy(*k)
+    parts = []
+    nums, cats = ([f for f in fs if f in cur.columns] for fs in (num_features, cat_features))
+    if num_profile is not None and nums:
+        prof = num_profile.where(F.col("feature").isin(nums))
+        ref = sample_counts(prof, keys) if samples is None else samples.where(F.col("feature").isin(nums))
+        own = to_long(cur, nums, ids=keys).select(*k, "v", F.lit(1).alias("c1"), F.lit(0).cast("long").alias("c2"))
+        both = own.unionByName(ref.select(*k, "v", F.lit(0).alias("c1"), "c2")).repartition(*k).groupBy(*k, "v").agg(
+            F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+        upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        gap = F.abs(F.sum("c1").over(upto) / F.sum("c1").over(whole) - F.try_divide(F.sum("c2").over(upto), F.sum("c2").over(whole)))
+        pct = F.coalesce("p25", "p50", "p75", "p95").isNotNull()
+        known = prof.select(*k, F.lit(True).alias("_known"), "mean", pct.alias("_pct"), F.when(pct, quartile_edges(prof)).alias("edges"))
+        both = both.withColumn("_n1", F.sum("c1").over(whole)).where("_n1 > 0").withColumn("_gap", gap)
+        binned = join_small(both, known, k, "left").withColumn("bin", F.when(F.col("c1") > 0, bin_index(F.col("v"), F.col("edges"), 5)))
+        stats = binned.groupBy(*k).agg(
+            F.max("_gap").alias("ks_statistic"), F.sum("c1").alias("_n1"), F.sum("c2").alias("_n2"),
+            (F.sum(F.col("v") * F.col("c1")) / F.sum("c1")).alias("_m"),
+            F.expr(f"array({', '.join(f'sum(if(bin = {i}, c1, 0L))' for i in range(4))})").alias("_counts"),
+            *[F.first(c).alias(c) for c in ("_known", "_pct", "mean", "edges")])  # one row a key and feature
+        wide = stats.select(
+            *k, F.coalesce("_pct", F.lit(False)).alias("_pct"),
+            F.when(F.col("_pct") & edges_valid(F.col("edges")), psi_arrays(F.col("_counts"), F.array(*[F.lit(0.25)] * 4))).alias("psi"),
+            "ks_statistic", F.when(F.col("_n2") > 0, ks_pvalue(F.col("ks_statistic"), F.col("_n1"), F.col("_n2"))).alias("ks_pvalue"),
+            F.when(F.col("_known"), F.abs(F.col("_m") - F.coalesce("mean", F.lit(0.0)))).alias("mean_shift"))
+        parts.append(_long_metrics(wide, [*k, "_pct"], ["psi", "ks_statistic", "ks_pvalue", "mean_shift"]).where((F.col("metric") != "psi") | F.col("_pct")).drop("_pct"))
+    if cat_profile is not None and cats:
+        seen = to_long(cur, cats, ids=keys, value_type="string").select(*k, F.col("v").alias("category"), F.lit(1).alias("_o"), F.lit(None).cast("double").alias("share"), F.lit(0).alias("_b"))
+        base = cat_profile.where(F.col("feature").isin(cats)).select(*k, "category", F.lit(None).cast("int").alias("_o"), F.col("share").cast("double").alias("share"), F.lit(1).alias("_b"))
+        cells = seen.unionByName(base).repartition(*k).groupBy(*k, "category").agg(F.sum("_o").alias("_o"), F.max("share").alias("share"), F.max("_b").alias("_b"))
+        cells = cells.withColumns({"_n": F.sum("_o").over(whole), "_b": F.max("_b").over(whole)}).where("_n > 0 and _b > 0")
+        cs = _with_chi2_pvalue(_chi_of_cells(cells, k)).where(F.col("status") != "too_few_categories")
+        parts.append(_long_metrics(cs, k, ["chi2_statistic", "chi2_pvalue"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def prediction_drift(cur: DataFrame, prediction_type: str | None, score_col: str | None = None,
                      score_base: DataFrame | None = None, arr_col: str | None = None,
                      class_base: DataFrame | None = None, keys: Sequence[str] = (),

@@ -166,7 +166,8 @@ def _version_baselines(spark, sf, pl):
         return round_floats(D.class_profile(pl.select(*key, F.array(1.0 - F.col("prediction"), "prediction").alias("probs")), "probs", keys=key))
 
     return Baselines(num, MONITORED, cat, MONITORED_CATEGORICAL, stored_baseline(spark, "events_version_scores", events, scores), D.HISTOGRAM_BINS + 1,
-                     stored_baseline(spark, "events_version_classes", events, classes), "probs")
+                     stored_baseline(spark, "events_version_classes", events, classes), "probs",
+                     stored_baseline(spark, "events_version_samples", events, lambda: E.sample_counts(num, key), spec=MONITORED))
 
 
 def g5_stream_monitor(spark, sf):

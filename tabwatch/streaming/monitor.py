@@ -24,11 +24,12 @@ between, gives the same result again.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabwatch.functions.core import is_numeric_type
 from tabwatch.operators import drift as E
 from tabwatch.operators import predlog as G
 from tabwatch.session import drop_folder, materialize, scratch
@@ -37,6 +38,9 @@ STATE_SCHEMA = ("version_key string, model_version string, total long, cleared l
                 "last_check_count long, due boolean, batches array<struct<batch_id: long, upto: long>>, dropped array<long>")
 #: The newest rows are the last logged ones; within a batch, the latest.
 LOG_ORDER = ("batch_id", *G.ARRIVAL_ORDER)
+#: Up to this window a version's rows of one feature may be checked in one task.
+SHORT_WINDOW = 100_000
+TASKS_A_VERSION = 6
 
 
 @dataclass
@@ -60,6 +64,13 @@ class Baselines:
     score_edges: int | None = None  # edges of its histogram, for a codegen'd search
     class_base: DataFrame | None = None
     class_col: str | None = None  # array of class probabilities in the log
+    num_samples: DataFrame | None = None  # stored ``drift.sample_counts`` of num_profile; else drawn by each check
+
+    def of(self, versions: Sequence[str | None]) -> Baselines:
+        """Those of some versions only, so that a check does not work on all others'."""
+        tables = ("num_profile", "cat_profile", "score_base", "class_base", "num_samples")
+        return replace(self, **{t: getattr(self, t).where(F.col("model_version").isin([v for v in versions if v is not None]))
+                                for t in tables if getattr(self, t) is not None})
 
 
 def dedup_stream(stream: DataFrame, watermark: str = "10 minutes", ts: str = "ts",
@@ -74,22 +85,30 @@ def version_key(version: Column) -> Column:
     return F.md5(F.coalesce(version.cast("string"), F.lit("")))
 
 
-def drift_check(log: DataFrame, baselines: Baselines, window: int, batch_id: int) -> DataFrame:
+def drift_check(log: DataFrame, baselines: Baselines, window: int, batch_id: int, tasks: int | None = None) -> DataFrame:
     """One drift check per model version over its last ``window`` rows, for versions that have
     as many: long scores ``model_version, batch_id, feature, metric, value`` of numeric and
-    categorical features, the prediction and its classes, as far as there are baselines."""
-    snap = G.last_n(log, window, keys=["model_version"], order=LOG_ORDER)
-    enough = snap.groupBy("model_version").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= window)
-    snap = snap.join(enough.select("model_version"), "model_version")
+    categorical features, the prediction and its classes, as far as there are baselines. The
+    scores are stored; ``tasks`` says how many at most compute those of short windows."""
+    snap = G.last_n(log.where(F.col("model_version").isNotNull()), window, keys=["model_version"], order=LOG_ORDER)
+    snap = snap.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("model_version"))).where(F.col("_n") >= window)  # at most window rows
     nums, cats = list(baselines.num_features), list(baselines.cat_features)
     extra = [baselines.class_col] if baselines.class_base is not None else []
-    rows = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in [*nums, *cats]], "prediction", *extra)
-    scores = E.feature_drift(rows, baselines.num_profile, baselines.cat_profile, keys=["model_version"], num_features=nums, cat_features=cats)
+    # every statistic reads these rows, which are cut once
+    rows = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in [*nums, *cats]], "prediction", *extra).persist()
+    short = window <= SHORT_WINDOW
+    if short and all(is_numeric_type(rows.schema[f].dataType) for f in nums):
+        scores = E.short_feature_drift(rows, baselines.num_profile, baselines.cat_profile, ["model_version"], nums, cats, baselines.num_samples)
+    else:
+        scores = E.feature_drift(rows, baselines.num_profile, baselines.cat_profile, keys=["model_version"], num_features=nums, cat_features=cats)
     if baselines.score_base is not None:
         scores = scores.unionByName(E.score_drift(rows, "prediction", baselines.score_base, keys=["model_version"], n_edges=baselines.score_edges))
     if baselines.class_base is not None:
         scores = scores.unionByName(E.class_drift(rows, baselines.class_col, baselines.class_base, keys=["model_version"]))
-    return scores.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    # the batch is named outside of the plan, whose code is then the same for every batch
+    stored = materialize(scores.coalesce(tasks) if tasks and short else scores)
+    rows.unpersist()
+    return stored.withColumn("batch_id", F.lit(batch_id).cast("long"))
 
 
 def _generations(spark: SparkSession, state: str) -> list[tuple[int, int, str]]:
@@ -208,12 +227,12 @@ class DriftMonitor:
             b.unpersist()
             state = spark.read.schema(STATE_SCHEMA).parquet(f"{paths.state.rstrip('/')}/generation={batch_id}-0")
             in_window = F.filter("batches", lambda x: x["upto"] > F.col("total") - self.window)
-            need = state.where("due").select("version_key", F.transform(in_window, lambda x: x["batch_id"]).alias("ids")).collect()  # one row a version
+            need = state.where("due").select("version_key", "model_version", F.transform(in_window, lambda x: x["batch_id"]).alias("ids")).collect()  # one row a version
             folders = [_log_folder(paths, r["version_key"], i) for r in need for i in r["ids"]]
             self.opened.append(len(folders))
             if folders:
                 recent = spark.read.schema(b.schema).option("basePath", paths.log).parquet(*folders)
-                scores = materialize(drift_check(recent, self.baselines, self.window, batch_id))
+                scores = drift_check(recent, self.baselines.of([r["model_version"] for r in need]), self.window, batch_id, TASKS_A_VERSION * len(need))
                 overwrite(scores, paths.scores, "model_version", "batch_id")
                 overwrite(E.drift_alerts(scores, keys=["model_version", "batch_id"]), paths.alerts, "model_version", "batch_id")
         _drop_partitions(spark, paths, state)

@@ -62,6 +62,29 @@ def test_stream_monitor_equals_batch(spark, tmp_dir):
     assert len(os.listdir(os.path.join(monitor.paths.log, f"version_key={state.version_key}"))) <= 2
 
 
+def test_short_check_equals_the_general_one(spark, monkeypatch):
+    """Ties, missing values, a new category, versions without some or all baselines, a version
+    short of a window and one that is NULL."""
+    rows = spark.range(900).select(
+        F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("request_id"), F.lit(0).alias("pos"),
+        F.timestamp_seconds(F.col("id")).alias("ts"), F.lit(0).cast("long").alias("batch_id"),
+        F.when(F.col("id") < 20, "few").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("a", "b", "c", None)]), (F.col("id") % 4 + 1).cast("int"))).alias("model_version"),
+        F.struct(F.when(F.col("id") % 9 > 0, F.col("id") * 37 % 101 / 3).alias("value"), F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("id") % 7).alias("k"),
+                 F.when(F.col("id") % 11 > 0, F.concat(F.lit("c"), F.col("id") % 3)).alias("kind")).alias("features"),
+        (F.col("id") % 13 / 13).alias("prediction"), F.array(F.col("id") % 13 / 13).alias("probs"))
+    base = rows.where("ts < timestamp_seconds(400) and model_version in ('a', 'b')").select("model_version", "features.value", F.when(F.col("model_version") == "a", F.col("features.k")).alias("k"), "features.kind")
+    kinds = D.categorical_profile(base.where("kind <> 'c2' or model_version = 'a'"), ["kind"], keys=["model_version"])
+    bins = spark.createDataFrame([("a", 0.4, [0.0, 0.25, 0.5, 0.75, 1.0], [5, 9, 0, 7]), ("c", None, [0.1, 0.25, 0.5, 0.75, 0.8], [5, 9, 1, 7])], "model_version string, mean double, edges array<double>, counts array<long>")
+    classes = spark.createDataFrame([("b", 0, 0.3)], "model_version string, class_idx int, mean double")
+    prof = D.numeric_profile(base, ["value", "k"], keys=["model_version"])
+    from tabwatch.operators import drift as E
+    known = M.Baselines(prof, ["value", "k"], kinds, ["kind"], bins, 5, classes, "probs", E.sample_counts(prof, ["model_version"]))
+    short = _scores(M.drift_check(rows, known, 150, 3, 2))
+    assert short == _scores(M.drift_check(rows, known.of(["a", "b", "c", None]), 150, 3))
+    monkeypatch.setattr(M, "SHORT_WINDOW", 0)
+    assert short == _scores(M.drift_check(rows, known, 150, 3)) and {v for v, *_ in short} == {"a", "b", "c"}
+
+
 def _batches(spark, sizes):
     """Batches of two versions, rows numbered on; every third batch has none of the second."""
     at = 0
@@ -134,6 +157,20 @@ def test_a_replayed_batch_changes_nothing(spark, long_replay):
     assert (_scores(spark.read.parquet(monitor.paths.scores)), _partitions(monitor), M.read_state(spark, monitor.paths).collect()) == before
 
 
+def test_a_check_of_a_short_window_takes_few_jobs(spark, tmp_dir):
+    """A replay of days is as slow as its checks, which are small: their cost is that of their jobs."""
+    [(_, batch)] = _batches(spark, [120])
+    monitor = _monitor(spark, batch, tmp_dir, window=50, event_time="ts")
+    spark.sparkContext.setJobGroup("one-batch", "one-batch")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream with state
+    try:
+        monitor.process(batch, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert monitor.opened == [1] and 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-batch")) <= 16
+
+
 def test_clear_empties_the_buffer_and_checks_wait_for_a_full_window(spark, tmp_dir):
     batches = dict(_batches(spark, [60] * 8))
     monitor = _monitor(spark, batches[0].unionByName(batches[1]), tmp_dir, window=100, retention=200, event_time="ts")
