@@ -76,15 +76,15 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def text_slices(batch: pa.RecordBatch, key: str, name: str, limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes]]]:
-    """Keys and UTF-8 texts (null: empty) of consecutive rows that hold about ``limit`` bytes;
+def text_slices(batch: pa.RecordBatch, key: str | None, name: str, limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys (none without a ``key`` column) and UTF-8 texts (null: empty) of consecutive rows that hold about ``limit`` bytes;
     only these become Python objects."""
     column = batch.column(name).cast(pa.binary()).fill_null(b"")
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < len(ends):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
-        yield batch.column(key).slice(i, j - i).to_pylist(), column.slice(i, j - i).to_pylist()
+        yield batch.column(key).slice(i, j - i).to_pylist() if key else [], column.slice(i, j - i).to_pylist()
         i = j
 
 

@@ -29,13 +29,14 @@ does; null labels and ids are no labels; repeated rows are scored each.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import annotate, field, fresh, map_batches, slices, text_bytes, words_of, worker_memo
+from tabwatch.llm.common import annotate, field, fresh, map_batches, text_slices, words_of, worker_memo
 from tabwatch.session import materialize
 
 ORDER, BITS = 5, 12
@@ -47,6 +48,10 @@ MAX_LABELLED = 20_000
 THRESHOLD = 0.7
 #: Distinct words a task holds before it hands on their n-grams or forgets them; a longer word is forgotten at once.
 HELD_WORDS, LONGEST = 400_000, 1000
+#: Words whose n-grams are worked on at a time.
+AT_A_TIME = 20_000
+#: Bytes of text scored at a time.
+SCORED_BYTES = 1 << 20
 LOWEST, HIGHEST = -8.0, 8.0
 
 
@@ -70,18 +75,28 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[(last > 0) | (before > 0)], size
 
 
-def _count(words: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 5-grams of counted words and how often they occur."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code, size = grams(list(words))
-    weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), size)
+def _sum_by_code(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order and the sums of their weights."""
+    if not len(code):
+        return code, weight
     order = np.argsort(code, kind="stable")
     code, weight = code[order], weight[order]
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     return code[first], np.add.reduceat(weight, first)
 
 
+def _count(words: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 5-grams of counted words and how often they occur; ``AT_A_TIME`` words after
+    the other, so that what is held besides them are distinct 5-grams."""
+    total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left = iter(words.items())
+    while part := list(islice(left, AT_A_TIME)):
+        code, size = grams([w for w, _ in part])
+        weight = np.repeat(np.fromiter((n for _, n in part), np.int64, len(part)), size)
+        total = _sum_by_code(*map(np.concatenate, zip(total, _sum_by_code(code, weight), strict=True)))
+    return total
+
+
 def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """At most ``max_labelled`` rows (doc_id, toxic) of each class and fold."""
     one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -111,12 +126,12 @@ def gram_table(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 words.clear()
 
         for batch in batches:
-            kinds = batch.column("toxic").to_pylist()
-            for text, kind in zip(text_bytes(batch, "text"), kinds, strict=True):
-                words = words_of(text)
-                (seen if kind is None else by_class[kind]).update(words)
-                if len(seen) + len(by_class[0]) + len(by_class[1]) > HELD_WORDS:
-                    yield from hand_on()
+            for kinds, texts in text_slices(batch, "toxic", "text"):
+                for text, kind in zip(texts, kinds, strict=True):
+                    words = words_of(text)
+                    (seen if kind is None else by_class[kind]).update(words)
+                    if len(seen) + len(by_class[0]) + len(by_class[1]) > HELD_WORDS:
+                        yield from hand_on()
         yield from hand_on()
 
     return rows.mapInArrow(run, "code bigint, toxic bigint, ordinary bigint").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
@@ -202,12 +217,15 @@ def build_measure(own: Lookup, contexts: Lookup):
 
     def learn(words: list[bytes]) -> None:
         nonlocal total, size
-        code, n = grams(words)
-        v, there = own.get(code)
-        v[~there] = contexts.get(code[~there] >> BITS)[0]
+        totals, sizes = [total], [size]
         known.update(zip(words, range(len(total), len(total) + len(words)), strict=True))
-        total = np.concatenate([total, np.add.reduceat(v.astype(np.float64), np.concatenate([[0], np.cumsum(n)[:-1]]))])
-        size = np.concatenate([size, n])
+        for i in range(0, len(words), AT_A_TIME):
+            code, n = grams(words[i : i + AT_A_TIME])
+            v, there = own.get(code)
+            v[~there] = contexts.get(code[~there] >> BITS)[0]
+            totals.append(np.add.reduceat(v.astype(np.float64), np.concatenate([[0], np.cumsum(n)[:-1]])))
+            sizes.append(n)
+        total, size = np.concatenate(totals), np.concatenate(sizes)
 
     def measure(texts: list[bytes]) -> np.ndarray:
         nonlocal total, size
@@ -287,10 +305,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         measure = build_measure(*map(Lookup.of, shared.value))
 
         def on_batch(batch):
-            texts, y = text_bytes(batch, "text"), batch.column("toxic").to_pylist()
-            for i, j in slices(texts):
-                m = measure(texts[i:j])
-                yield [m[:, 0], m[:, 1], y[i:j]]
+            for y, texts in text_slices(batch, "toxic", "text", SCORED_BYTES):
+                m = measure(texts)
+                yield [m[:, 0], m[:, 1], y]
 
         return on_batch
 
@@ -310,8 +327,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         of = build_score(shared.value)
 
         def on_batch(batch):
-            texts = text_bytes(batch, "text")
-            return [np.concatenate([of(texts[i:j]) for i, j in slices(texts)])]
+            return [np.concatenate([of(texts) for _, texts in text_slices(batch, None, "text", SCORED_BYTES)])]
 
         return on_batch
 
