@@ -8,6 +8,7 @@ would not report the metric, a NULL value means it failed.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -295,19 +296,24 @@ def _chi_of_cells(cats: DataFrame, k: list[str]) -> DataFrame:
         F.sum("_e").alias("expected_total"),
         F.sum((F.col("_o") - F.col("_e")) * (F.col("_o") - F.col("_e")) / F.col("_e")).alias("_stat"),
     )
+    status = _chi_status()
+    return agg.select(
+        *k, F.col("k").cast("long").alias("k"), "observed_total", "expected_total",
+        F.when(status == "ok", F.col("_stat")).alias("chi2_statistic"),
+        (F.col("k") - 1).cast("long").alias("dof"), status.alias("status"),
+    )
+
+
+def _chi_status() -> Column:
+    """E7's status from the sums ``k, observed_total, expected_total`` over a feature's cells."""
     # nothing observed in any baseline category: no finite difference, so a mismatch
     rel = F.coalesce(F.try_divide(F.abs(F.col("observed_total") - F.col("expected_total")), F.least(
         F.col("observed_total"), F.col("expected_total"))), F.lit(float("inf")))
-    status = (
+    return (
         F.when(F.col("k") <= 1, F.lit("too_few_categories"))
         .when(rel > CHI2_SUM_RTOL, F.lit("sum_mismatch"))
         .otherwise(F.lit("ok"))
     )
-    return agg.select(
-        *k, F.col("k").cast("long").alias("k"), "observed_total", "expected_total",
-        F.when(status == "ok", F.col("_stat")).alias("chi2_statistic"),
-        (F.col("k") - 1).cast("long").alias("dof"), status.alias("status"),
-    )
 
 
 def chi_square_test(cur_long: DataFrame, cat_profile: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -315,11 +321,12 @@ def chi_square_test(cur_long: DataFrame, cat_profile: DataFrame, keys: Sequence[
     return _with_chi2_pvalue(chi_square(cur_long, cat_profile, keys))
 
 
+def _chi2_pvalue() -> Column:
+    return F.when(F.col("status") == "ok", chi2_sf(F.col("chi2_statistic"), F.col("dof")))
+
+
 def _with_chi2_pvalue(cs: DataFrame) -> DataFrame:
-    return cs.withColumn(
-        "chi2_pvalue",
-        F.when(F.col("status") == "ok", chi2_sf(F.col("chi2_statistic"), F.col("dof"))),
-    )
+    return cs.withColumn("chi2_pvalue", _chi2_pvalue())
 
 
 # ------------------------------------------------------------------ E8 / E9
@@ -463,53 +470,114 @@ def feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: Da
     return out
 
 
-def short_feature_drift(cur: DataFrame, num_profile: DataFrame | None, cat_profile: DataFrame | None, keys: Sequence[str],
-                        num_features: Sequence[str] = (), cat_features: Sequence[str] = (),
-                        samples: DataFrame | None = None) -> DataFrame:
-    """E10 of few rows a key, such as a monitor's last N: the rows of :func:`feature_drift`, by
-    one shuffle of the numeric and one of the categorical values. A (key, feature) goes to one
-    task, with its rows, the E4 sample and the baseline's categories, so only call this where
-    the rows of a key are bounded. Numeric features must have numeric types. ``samples`` are
-    stored :func:`sample_counts` of the profile."""
+#: What a row of ``short_drift`` is about.
+_NUMERIC, _CATEGORY, _SCORE, _CLASS = range(4)
+_BASE = "struct<mean: double, ok: boolean, edges: array<double>, counts: array<double>>"
+_CELL = "array<struct<kind: int, feature: string, v: double, category: string>>"
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@functools.lru_cache(maxsize=8)
+def _short_columns(application: str, n_bins: int) -> tuple[list[Column], list[Column], Column, Column]:
+    """Columns of :func:`short_drift` that are the same for every call: the sums of a feature, its
+    metrics, the chi-square p-value and what is shown. Building them takes longer than a check."""
+    # of the rows of one feature: v, c1 (1: a current row), base, n1 and n2 (rows of both sides), u1 and u2
+    # (those upto v), bin; on a category's row of the baseline: o (observed) and e (expected)
+    gap = F.expr("abs(u1 / n1 - try_divide(u2, n2))")
+    sums = [
+        F.first("base").alias("base"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(gap).alias("ks_statistic"),
+        F.expr("avg(if(c1 > 0, v, null))").alias("_m"),
+        F.expr(f"array({', '.join(f'sum(if(bin = {i}, c1, 0L))' for i in range(n_bins))})").alias("_counts"),
+        F.expr("count_if(e > 0)").alias("k"), F.expr("sum(if(e > 0, double(o), 0D))").alias("observed_total"),
+        F.expr("sum(if(e > 0, e, 0D))").alias("expected_total"), F.expr("sum(if(e > 0, (o - e) * (o - e) / e, 0D))").alias("_stat")]
+    numeric = F.col("kind") == _NUMERIC
+    counts = F.expr("slice(_counts, 1, greatest(size(base.edges) - 1, 1))")
+    expected = F.when(numeric, F.array(*[F.lit(0.25)] * 4)).otherwise(F.col("base.counts"))
+    default = F.when(F.col("kind") == _SCORE, F.lit(DEFAULT_SCORE_MEAN)).otherwise(F.lit(0.0))
+    psi = F.when(F.col("base.ok") & (~numeric | edges_valid(F.col("base.edges"))), psi_arrays(counts, expected))
+    status = _chi_status()
+    metrics = [
+        psi.alias("psi"), F.when(F.col("base").isNotNull(), F.abs(F.col("_m") - F.coalesce("base.mean", default))).alias("mean_shift"),
+        "ks_statistic", F.when(numeric & (F.col("n2") > 0), ks_pvalue(F.col("ks_statistic"), F.col("n1"), F.col("n2"))).alias("ks_pvalue"),
+        F.col("base.ok").alias("_ok"), F.when(status == "ok", F.col("_stat")).alias("chi2_statistic"), (F.col("k") - 1).cast("long").alias("dof"), status.alias("status")]
+    row = lambda metric, value, on: f"named_struct('metric', {metric}, 'value', double({value}), 'on', {on})"
+    shown = F.expr(f"""filter(array({row("'psi'", "psi", f"kind in ({_NUMERIC}, {_SCORE}) and ifnull(_ok, false)")},
+        {row("'ks_statistic'", "ks_statistic", f"kind = {_NUMERIC}")}, {row("'ks_pvalue'", "ks_pvalue", f"kind = {_NUMERIC}")},
+        {row("'mean_shift'", "mean_shift", f"kind in ({_NUMERIC}, {_SCORE})")}, {row("concat('class_', feature, '_mean_shift')", "mean_shift", f"kind = {_CLASS}")},
+        {row("'chi2_statistic'", "chi2_statistic", f"kind = {_CATEGORY} and k > 1")}, {row("'chi2_pvalue'", "chi2_pvalue", f"kind = {_CATEGORY} and k > 1")}), x -> x.on)""")
+    return sums, metrics, _chi2_pvalue(), shown
+
+
+def short_drift(cur: DataFrame, keys: Sequence[str], num_profile: DataFrame | None = None, cat_profile: DataFrame | None = None,
+                num_features: Sequence[str] = (), cat_features: Sequence[str] = (), samples: DataFrame | None = None,
+                score_col: str | None = None, score_base: DataFrame | None = None, n_edges: int | None = None,
+                arr_col: str | None = None, class_base: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """E10 with E8 and E9 of few rows a key, such as a monitor's last N: the rows of
+    :func:`feature_drift`, :func:`score_drift` and :func:`class_drift` from one scan of ``cur`` and
+    one shuffle. A (key, feature) goes to one task, with its rows, the E4 sample and what its
+    baseline says, so only call this where the rows of a key are bounded. Numeric features must
+    have numeric types, and score baselines ``n_edges`` edges. ``samples`` are stored
+    :func:`sample_counts` of the profile; ``tasks`` is the number of partitions of the shuffle."""
     keys = list(keys)
-    k = [*keys, "feature"]
-    whole = Window.partitionBy(*k)
-    parts = []
+    k = [*keys, "kind", "feature"]
     nums, cats = ([f for f in fs if f in cur.columns] for fs in (num_features, cat_features))
+    nothing = {"v": "double(null)", "category": "string(null)", "c1": "0L", "c2": "0L", "share": "double(null)", "base": f"cast(null as {_BASE})"}
+    cells, known = [], []
+
+    def cell(kind: int, feature: str, v: str = "double(null)", category: str = "string(null)") -> str:
+        return f"named_struct('kind', {kind}, 'feature', {feature}, 'v', {v}, 'category', {category})"
+
+    def say(df: DataFrame, kind: int, feature: str = "feature", **has: str) -> DataFrame:
+        return df.selectExpr(*map(_name, keys), f"{kind} as kind", f"{feature} as feature", *[f"{x} as {c}" for c, x in (nothing | has).items()])
+
+    def base(mean: str = "double(mean)", ok: str = "true", edges: str = "null", counts: str = "null") -> str:
+        return f"cast(named_struct('mean', {mean}, 'ok', {ok}, 'edges', {edges}, 'counts', {counts}) as {_BASE})"
+
     if num_profile is not None and nums:
+        cells += [cell(_NUMERIC, _text(f), f"if(isnan(double({_name(f)})), null, double({_name(f)}))") for f in nums]
         prof = num_profile.where(F.col("feature").isin(nums))
         ref = sample_counts(prof, keys) if samples is None else samples.where(F.col("feature").isin(nums))
-        own = to_long(cur, nums, ids=keys).select(*k, "v", F.lit(1).alias("c1"), F.lit(0).cast("long").alias("c2"))
-        both = own.unionByName(ref.select(*k, "v", F.lit(0).alias("c1"), "c2")).repartition(*k).groupBy(*k, "v").agg(
-            F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
-        upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        gap = F.abs(F.sum("c1").over(upto) / F.sum("c1").over(whole) - F.try_divide(F.sum("c2").over(upto), F.sum("c2").over(whole)))
-        pct = F.coalesce("p25", "p50", "p75", "p95").isNotNull()
-        known = prof.select(*k, F.lit(True).alias("_known"), "mean", pct.alias("_pct"), F.when(pct, quartile_edges(prof)).alias("edges"))
-        both = both.withColumn("_n1", F.sum("c1").over(whole)).where("_n1 > 0").withColumn("_gap", gap)
-        binned = join_small(both, known, k, "left").withColumn("bin", F.when(F.col("c1") > 0, bin_index(F.col("v"), F.col("edges"), 5)))
-        stats = binned.groupBy(*k).agg(
-            F.max("_gap").alias("ks_statistic"), F.sum("c1").alias("_n1"), F.sum("c2").alias("_n2"),
-            (F.sum(F.col("v") * F.col("c1")) / F.sum("c1")).alias("_m"),
-            F.expr(f"array({', '.join(f'sum(if(bin = {i}, c1, 0L))' for i in range(4))})").alias("_counts"),
-            *[F.first(c).alias(c) for c in ("_known", "_pct", "mean", "edges")])  # one row a key and feature
-        wide = stats.select(
-            *k, F.coalesce("_pct", F.lit(False)).alias("_pct"),
-            F.when(F.col("_pct") & edges_valid(F.col("edges")), psi_arrays(F.col("_counts"), F.array(*[F.lit(0.25)] * 4))).alias("psi"),
-            "ks_statistic", F.when(F.col("_n2") > 0, ks_pvalue(F.col("ks_statistic"), F.col("_n1"), F.col("_n2"))).alias("ks_pvalue"),
-            F.when(F.col("_known"), F.abs(F.col("_m") - F.coalesce("mean", F.lit(0.0)))).alias("mean_shift"))
-        parts.append(_long_metrics(wide, [*k, "_pct"], ["psi", "ks_statistic", "ks_pvalue", "mean_shift"]).where((F.col("metric") != "psi") | F.col("_pct")).drop("_pct"))
+        pct = "coalesce(p25, p50, p75, p95) is not null"
+        known += [say(prof.withColumn("_edges", quartile_edges(prof)), _NUMERIC, base=base(ok=pct, edges=f"if({pct}, _edges, null)")), say(ref, _NUMERIC, v="v", c2="c2")]
     if cat_profile is not None and cats:
-        seen = to_long(cur, cats, ids=keys, value_type="string").select(*k, F.col("v").alias("category"), F.lit(1).alias("_o"), F.lit(None).cast("double").alias("share"), F.lit(0).alias("_b"))
-        base = cat_profile.where(F.col("feature").isin(cats)).select(*k, "category", F.lit(None).cast("int").alias("_o"), F.col("share").cast("double").alias("share"), F.lit(1).alias("_b"))
-        cells = seen.unionByName(base).repartition(*k).groupBy(*k, "category").agg(F.sum("_o").alias("_o"), F.max("share").alias("share"), F.max("_b").alias("_b"))
-        cells = cells.withColumns({"_n": F.sum("_o").over(whole), "_b": F.max("_b").over(whole)}).where("_n > 0 and _b > 0")
-        cs = _with_chi2_pvalue(_chi_of_cells(cells, k)).where(F.col("status") != "too_few_categories")
-        parts.append(_long_metrics(cs, k, ["chi2_statistic", "chi2_pvalue"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        cells += [cell(_CATEGORY, _text(f), category=f"string({_name(f)})") for f in cats]
+        known.append(say(cat_profile.where(F.col("feature").isin(cats)), _CATEGORY, category="string(category)", share="double(share)"))
+    if score_base is not None:
+        cells.append(cell(_SCORE, "'prediction'", f"double({_name(score_col)})"))
+        fits = "ifnull(size(edges) > 1 and size(counts) > 0 and size(counts) = size(edges) - 1, false)"
+        known.append(say(score_base, _SCORE, "'prediction'", base=base(ok=fits, edges="edges", counts="counts")))
+    cells = f"cast(array({', '.join(cells)}) as {_CELL})"
+    if class_base is not None:
+        classes = f"transform({_name(arr_col)}, (p, i) -> {cell(_CLASS, 'string(i)', 'double(p)')})"
+        cells = f"concat({cells}, ifnull(cast({classes} as {_CELL}), cast(array() as {_CELL})))"
+        known.append(say(class_base, _CLASS, "string(class_idx)", base=base()))
+    rows = cur.selectExpr(*map(_name, keys), f"inline({cells})").where(f"kind = {_CLASS} or v is not null or category is not null")
+    rows = rows.selectExpr("*", *[f"{x} as {c}" for c, x in (nothing | {"c1": "1L"}).items() if c not in ("v", "category")])
+    for table in known:
+        rows = rows.unionByName(table)
+    rows = rows.repartition(tasks, *k) if tasks else rows.repartition(*k)
+    # one sort serves all frames: whole feature, values upto this one, equal values
+    by = f"partition by {', '.join(map(_name, k))} order by v, category"
+    whole, upto, equal = (f"({by} {f})" for f in (
+        "rows between unbounded preceding and unbounded following", "range between unbounded preceding and current row", "range between current row and current row"))
+    values = rows.selectExpr(
+        *map(_name, k), "v", "c1", "share", f"first(base, true) over {whole} as base", f"sum(c1) over {whole} as n1", f"sum(c2) over {whole} as n2",
+        f"sum(c1) over {upto} as u1", f"sum(c2) over {upto} as u2", f"sum(c1) over {equal} as o")
+    values = values.where(f"n1 > 0 and (kind < {_SCORE} or base is not null)").selectExpr(
+        "*", "ifnull(share, 0D) * n1 as e",  # of the baseline's row of a category, which stands for the category
+        "if(c1 > 0 and base.ok and v >= base.edges[0] and v <= element_at(base.edges, -1), least(size(filter(base.edges, x -> x <= v)) - 1, size(base.edges) - 2), null) as bin")
+    n_bins = max(4, (n_edges or 0) - 1 if score_base is not None else 0)
+    sums, metrics, pvalue, shown = _short_columns(cur.sparkSession.sparkContext.applicationId, n_bins)
+    wide = values.groupBy(*k).agg(*sums).select(*k, "k", *metrics).withColumn("chi2_pvalue", pvalue)
+    return wide.select(*keys, F.when(F.col("kind") == _CLASS, F.lit("prediction")).otherwise(F.col("feature")).alias("_f"), F.inline(shown)).select(
+        *keys, F.col("_f").alias("feature"), "metric", "value")
 
 
 def prediction_drift(cur: DataFrame, prediction_type: str | None, score_col: str | None = None,

@@ -22,6 +22,8 @@ DRIFT_WINDOW = 1000
 RETENTION = 10 * DRIFT_WINDOW
 CHECK_INTERVAL_S = 3600
 SALTS = 64
+#: Spark keeps a task's newest rows of a key before they are shuffled for ``n`` up to this.
+CUT_BEFORE_SHUFFLE = 1000
 #: Most distinct keys of a map that become columns.
 MAX_COLUMNS = 10_000
 
@@ -110,10 +112,11 @@ def _order(cols: Sequence[str], desc: bool) -> list[Column]:
     return [F.col(c).desc() if desc else F.col(c).asc() for c in cols]
 
 
-def last_n(log: DataFrame, n: int, keys: Sequence[str] = (), order: Sequence[str] = ARRIVAL_ORDER) -> DataFrame:
+def last_n(log: DataFrame, n: int, keys: Sequence[str] = (), order: Sequence[str] = ARRIVAL_ORDER, salts: int = SALTS) -> DataFrame:
     """G1: newest ``n`` rows per key (all when fewer), with ``seq`` = 1 for the
     oldest kept row (arrival order).  Without keys this is a top-k
-    (``TakeOrderedAndProject``), never a full sort."""
+    (``TakeOrderedAndProject``), never a full sort. ``salts=1`` saves a shuffle where few
+    tasks read the log and each cuts its rows itself (``n`` up to ``CUT_BEFORE_SHUFFLE``)."""
     keys = list(keys)
     order = [c for c in order if c in log.columns]
     if not keys:
@@ -121,10 +124,12 @@ def last_n(log: DataFrame, n: int, keys: Sequence[str] = (), order: Sequence[str
         w = Window.partitionBy(F.lit(0)).orderBy(*_order(order, False))  # at most n rows
         return top.withColumn("seq", F.row_number().over(w))
     # the newest n of a key are among the newest n of each of its salted parts, so a
-    # hot key is cut in SALTS tasks before its last cut gathers at most n * SALTS rows
-    salted = log.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    part = Window.partitionBy(*keys, "_salt").orderBy(*_order(order, True))
-    few = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_rn", "_salt")
+    # hot key is cut in as many tasks before its last cut gathers at most n * salts rows
+    few = log
+    if salts > 1:
+        salted = log.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*_order(order, True))
+        few = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_rn", "_salt")
     w = Window.partitionBy(*keys).orderBy(*_order(order, True))
     kept = few.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     w2 = Window.partitionBy(*keys).orderBy(*_order(order, False))  # at most n rows per key

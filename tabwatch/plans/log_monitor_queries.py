@@ -3,6 +3,8 @@ monitoring (H1-H16) over views derived from ``events``."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from tabwatch.functions.core import round_floats, ts_string
@@ -153,8 +155,13 @@ def _version_baselines(spark, sf, pl):
     from tabwatch.streaming.monitor import Baselines
 
     events, key = [f"{sf.rstrip('/')}/events.parquet"], ["model_version"]
-    num = stored_baseline(spark, "events_version_profiles", events, lambda: round_floats(D.numeric_profile(pl, MONITORED, keys=key)), spec=MONITORED)
-    cat = stored_baseline(spark, "events_version_categories", events, lambda: D.categorical_profile(pl, MONITORED_CATEGORICAL, keys=key), spec=MONITORED_CATEGORICAL)
+
+    def numeric():
+        num = stored_baseline(spark, "events_version_profiles", events, lambda: round_floats(D.numeric_profile(pl, MONITORED, keys=key)), spec=MONITORED)
+        return num, stored_baseline(spark, "events_version_samples", events, lambda: E.sample_counts(num, key), spec=MONITORED)
+
+    def categories():
+        return stored_baseline(spark, "events_version_categories", events, lambda: D.categorical_profile(pl, MONITORED_CATEGORICAL, keys=key), spec=MONITORED_CATEGORICAL)
 
     def scores():
         bins = D.histogram(pl, "prediction", keys=key).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("bin", "lo", "hi", "count"))).alias("b"))  # 20 bins a version
@@ -165,9 +172,12 @@ def _version_baselines(spark, sf, pl):
     def classes():
         return round_floats(D.class_profile(pl.select(*key, F.array(1.0 - F.col("prediction"), "prediction").alias("probs")), "probs", keys=key))
 
-    return Baselines(num, MONITORED, cat, MONITORED_CATEGORICAL, stored_baseline(spark, "events_version_scores", events, scores), D.HISTOGRAM_BINS + 1,
-                     stored_baseline(spark, "events_version_classes", events, classes), "probs",
-                     stored_baseline(spark, "events_version_samples", events, lambda: E.sample_counts(num, key), spec=MONITORED))
+    # of small jobs each, so they are built side by side
+    with ThreadPoolExecutor(4) as pool:
+        num, cat, score, classed = [pool.submit(f) for f in (
+            numeric, categories, lambda: stored_baseline(spark, "events_version_scores", events, scores),
+            lambda: stored_baseline(spark, "events_version_classes", events, classes))]
+    return Baselines(num.result()[0], MONITORED, cat.result(), MONITORED_CATEGORICAL, score.result(), D.HISTOGRAM_BINS + 1, classed.result(), "probs", num.result()[1])
 
 
 def g5_stream_monitor(spark, sf):
@@ -179,11 +189,13 @@ def g5_stream_monitor(spark, sf):
     from tabwatch.streaming.monitor import DriftMonitor, MonitorPaths
 
     pl = _pl(spark, sf)
-    baselines = _version_baselines(spark, sf, pl)
     rows = pl.select("request_id", "pos", "ts", "model_version", "prediction", F.struct(*MONITORED, *MONITORED_CATEGORICAL).alias("features"),
                      F.array(1.0 - F.col("prediction"), "prediction").alias("probs"))
     root = new_folder(spark, "stream")
-    _daily_files(spark, rows.unionByName(rows), f"{root}/src")
+    with ThreadPoolExecutor(1) as pool:  # beside the baselines
+        files = pool.submit(_daily_files, spark, rows.unionByName(rows), f"{root}/src")
+        baselines = _version_baselines(spark, sf, pl)
+        files.result()
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/src")
     monitor = DriftMonitor(baselines, MonitorPaths(*(f"{root}/{x}" for x in ("log", "state", "scores", "alerts"))),
                            interval_s=MONITOR_INTERVAL_S, event_time="ts", retention=MONITOR_RETENTION)

@@ -24,10 +24,12 @@ between, gives the same result again.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tabwatch.functions.core import is_numeric_type
 from tabwatch.operators import drift as E
@@ -35,12 +37,14 @@ from tabwatch.operators import predlog as G
 from tabwatch.session import drop_folder, materialize, scratch
 
 STATE_SCHEMA = ("version_key string, model_version string, total long, cleared long, last_check_ts timestamp, "
-                "last_check_count long, due boolean, batches array<struct<batch_id: long, upto: long>>, dropped array<long>")
+                "last_check_count long, due boolean, batches array<struct<batch_id: long, upto: long>>, dropped array<long>, fresh long")
 #: The newest rows are the last logged ones; within a batch, the latest.
 LOG_ORDER = ("batch_id", *G.ARRIVAL_ORDER)
 #: Up to this window a version's rows of one feature may be checked in one task.
 SHORT_WINDOW = 100_000
-TASKS_A_VERSION = 6
+#: Rows of a batch in one log file, and values of a short check in one task, before there is another.
+ROWS_A_FILE = 100_000
+VALUES_A_TASK = 20_000
 
 
 @dataclass
@@ -85,30 +89,40 @@ def version_key(version: Column) -> Column:
     return F.md5(F.coalesce(version.cast("string"), F.lit("")))
 
 
+def _number(batch_id: int, beside: str) -> str:
+    """The number of a batch as SQL that is no literal for Spark, which would generate and
+    compile the code of a plan anew for each batch. ``beside`` is any text column."""
+    return f"bigint(concat('{batch_id}', left(ifnull({beside}, ''), 0)))"
+
+
 def drift_check(log: DataFrame, baselines: Baselines, window: int, batch_id: int, tasks: int | None = None) -> DataFrame:
     """One drift check per model version over its last ``window`` rows, for versions that have
     as many: long scores ``model_version, batch_id, feature, metric, value`` of numeric and
-    categorical features, the prediction and its classes, as far as there are baselines. The
-    scores are stored; ``tasks`` says how many at most compute those of short windows."""
-    snap = G.last_n(log.where(F.col("model_version").isNotNull()), window, keys=["model_version"], order=LOG_ORDER)
+    categorical features, the prediction and its classes, as far as there are baselines.
+    ``tasks`` says how many compute those of short windows."""
+    return _check(log, baselines, window, tasks).withColumn("batch_id", F.expr(_number(batch_id, "model_version")))
+
+
+def _check(log: DataFrame, baselines: Baselines, window: int, tasks: int | None) -> DataFrame:
+    # a short window is cut by the tasks that read the newest partitions, which are few
+    salts = 1 if window <= G.CUT_BEFORE_SHUFFLE else G.SALTS
+    snap = G.last_n(log.where(F.col("model_version").isNotNull()), window, keys=["model_version"], order=LOG_ORDER, salts=salts)
     snap = snap.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("model_version"))).where(F.col("_n") >= window)  # at most window rows
     nums, cats = list(baselines.num_features), list(baselines.cat_features)
     extra = [baselines.class_col] if baselines.class_base is not None else []
-    # every statistic reads these rows, which are cut once
-    rows = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in [*nums, *cats]], "prediction", *extra).persist()
-    short = window <= SHORT_WINDOW
-    if short and all(is_numeric_type(rows.schema[f].dataType) for f in nums):
-        scores = E.short_feature_drift(rows, baselines.num_profile, baselines.cat_profile, ["model_version"], nums, cats, baselines.num_samples)
-    else:
-        scores = E.feature_drift(rows, baselines.num_profile, baselines.cat_profile, keys=["model_version"], num_features=nums, cat_features=cats)
+    rows = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in [*nums, *cats]], "prediction", *extra)
+    if window <= SHORT_WINDOW and all(is_numeric_type(rows.schema[f].dataType) for f in nums) and (baselines.score_base is None or baselines.score_edges):
+        return E.short_drift(rows, ["model_version"], baselines.num_profile, baselines.cat_profile, nums, cats, baselines.num_samples,
+                               "prediction", baselines.score_base, baselines.score_edges, baselines.class_col, baselines.class_base, tasks)
+    rows = rows.persist()  # every statistic reads these rows, which are cut once
+    scores = E.feature_drift(rows, baselines.num_profile, baselines.cat_profile, keys=["model_version"], num_features=nums, cat_features=cats)
     if baselines.score_base is not None:
         scores = scores.unionByName(E.score_drift(rows, "prediction", baselines.score_base, keys=["model_version"], n_edges=baselines.score_edges))
     if baselines.class_base is not None:
         scores = scores.unionByName(E.class_drift(rows, baselines.class_col, baselines.class_base, keys=["model_version"]))
-    # the batch is named outside of the plan, whose code is then the same for every batch
-    stored = materialize(scores.coalesce(tasks) if tasks and short else scores)
+    stored = materialize(scores)
     rows.unpersist()
-    return stored.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    return stored
 
 
 def _generations(spark: SparkSession, state: str) -> list[tuple[int, int, str]]:
@@ -159,13 +173,13 @@ def clear_log(spark: SparkSession, paths: MonitorPaths, versions: Sequence[str]
         "dropped": F.when(hit, F.array_union("dropped", ids)).otherwise(F.col("dropped")),
         "batches": F.when(hit, F.filter("batches", lambda b: F.lit(False))).otherwise(F.col("batches"))})
     new.coalesce(1).write.mode("overwrite").parquet(f"{paths.state.rstrip('/')}/generation={batch}-{edition + 1}")
-    _drop_partitions(spark, paths, read_state(spark, paths))
+    _drop_partitions(spark, paths, read_state(spark, paths).where(F.size("dropped") > 0).select("version_key", "dropped").collect())
     drop_folder(spark, folder)
 
 
-def _drop_partitions(spark: SparkSession, paths: MonitorPaths, state: DataFrame) -> None:
-    for r in state.where(F.size("dropped") > 0).select("version_key", "dropped").collect():  # what left the buffer in one batch
-        for b in r["dropped"]:
+def _drop_partitions(spark: SparkSession, paths: MonitorPaths, told: Sequence[Row]) -> None:
+    for r in told:
+        for b in r["dropped"]:  # what left the buffer in one batch
             drop_folder(spark, _log_folder(paths, r["version_key"], b))
 
 
@@ -180,7 +194,7 @@ class DriftMonitor:
     interval_s: int = G.CHECK_INTERVAL_S
     retention: int = G.RETENTION
     event_time: str | None = None
-    #: Log partitions opened by each batch's check, newest last (for monitoring and tests).
+    #: Log partitions that each batch's check reads, its own included, newest last (for monitoring and tests).
     opened: list[int] = field(default_factory=list)
 
     def __post_init__(self):
@@ -192,25 +206,27 @@ class DriftMonitor:
         clock = F.max(self.event_time) if self.event_time else F.current_timestamp()
         fresh = batch.groupBy("version_key").agg(
             F.first("model_version").alias("_version"), F.count(F.lit(1)).alias("n"), clock.cast("timestamp").alias("_now"))
-        s = prior.drop("due", "dropped").join(fresh, "version_key", "full_outer").withColumns({
-            "model_version": F.coalesce("model_version", "_version"), "cleared": F.coalesce("cleared", F.lit(0).cast("long")),
-            "total": F.coalesce("total", F.lit(0).cast("long")) + F.coalesce("n", F.lit(0).cast("long"))})
-        own = F.array(F.struct(F.lit(batch_id).cast("long").alias("batch_id"), F.col("total").alias("upto")))
-        none = F.filter(own, lambda b: F.lit(False))
-        held = F.concat(F.coalesce("batches", none), F.when(F.col("n") > 0, own).otherwise(none))
-        # rows at or below this number of logged ones have left the buffer
-        low = F.greatest(F.col("total") - F.lit(self.retention), F.col("cleared"))
-        s = s.withColumn("_held", held).withColumn("_low", low)
-        elapsed = (F.unix_micros("_now") - F.coalesce(F.unix_micros("last_check_ts"), F.lit(0))) / 1e6
-        new_rows = F.col("total") - F.coalesce(F.col("last_check_count"), F.lit(0))
-        due = ((elapsed >= self.interval_s) | (new_rows >= self.window)) & (F.col("total") - F.col("cleared") >= self.window)
-        s = s.withColumn("due", F.coalesce(due, F.lit(False)))  # a version without new rows is not due
-        return s.select(
-            "version_key", "model_version", "total", "cleared",
-            F.when(F.col("due"), F.col("_now")).otherwise(F.col("last_check_ts")).alias("last_check_ts"),
-            F.when(F.col("due"), F.col("total")).otherwise(F.col("last_check_count")).alias("last_check_count"), "due",
-            F.filter("_held", lambda b: b["upto"] > F.col("_low")).alias("batches"),
-            F.transform(F.filter("_held", lambda b: b["upto"] <= F.col("_low")), lambda b: b["batch_id"]).alias("dropped"))
+        none = "cast(array() as array<struct<batch_id: bigint, upto: bigint>>)"
+        # one row a version on both sides, so they meet in one task without a shuffle of their own
+        s = prior.drop("due", "dropped", "fresh").coalesce(1).join(fresh.coalesce(1), "version_key", "full_outer").selectExpr(
+            "version_key", "coalesce(model_version, _version) as model_version", "ifnull(total, 0L) + ifnull(n, 0L) as total", "ifnull(cleared, 0L) as cleared",
+            "last_check_ts", "last_check_count", f"ifnull(batches, {none}) as batches", "ifnull(n, 0L) as fresh", "_now")
+        elapsed = "(unix_micros(_now) - ifnull(unix_micros(last_check_ts), 0L)) / 1e6D"
+        s = s.selectExpr(
+            "*", f"concat(batches, if(fresh > 0, array(named_struct('batch_id', {_number(batch_id, 'version_key')}, 'upto', total)), {none})) as _held",
+            f"greatest(total - {self.retention}L, cleared) as _low",  # rows at or below this number of logged ones have left the buffer
+            # a version without new rows is not due
+            f"ifnull(({elapsed} >= {float(self.interval_s)!r}D or total - ifnull(last_check_count, 0L) >= {self.window}) and total - cleared >= {self.window}, false) as _due")
+        return s.selectExpr(
+            "version_key", "model_version", "total", "cleared", "if(_due, _now, last_check_ts) as last_check_ts", "if(_due, total, last_check_count) as last_check_count",
+            "_due as due", "filter(_held, b -> b.upto > _low) as batches", "transform(filter(_held, b -> b.upto <= _low), b -> b.batch_id) as dropped", "fresh")
+
+    def _tasks(self, spark: SparkSession, versions: int) -> int:
+        """Tasks of a short check by the values it sorts: rows, and numeric features' samples."""
+        known = self.baselines
+        numeric, other = len(known.num_features), len(known.cat_features) + (known.score_base is not None) + (known.class_base is not None)
+        values = versions * (numeric * (self.window + E.REFERENCE_SAMPLE_SIZE) + other * self.window)
+        return max(1, min(-(-values // VALUES_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch."""
@@ -219,23 +235,34 @@ class DriftMonitor:
         def overwrite(df: DataFrame, path: str, *parts: str) -> None:
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
-        b = batch.withColumns({"version_key": version_key(F.col("model_version")), "batch_id": F.lit(batch_id).cast("long")}).persist()
-        with scratch(spark):
-            overwrite(b, paths.log, "version_key", "batch_id")
-            state = self.next_state(read_state(spark, paths, before=batch_id), b, batch_id)
-            state.coalesce(1).write.mode("overwrite").parquet(f"{paths.state.rstrip('/')}/generation={batch_id}-0")
-            b.unpersist()
-            state = spark.read.schema(STATE_SCHEMA).parquet(f"{paths.state.rstrip('/')}/generation={batch_id}-0")
-            in_window = F.filter("batches", lambda x: x["upto"] > F.col("total") - self.window)
-            need = state.where("due").select("version_key", "model_version", F.transform(in_window, lambda x: x["batch_id"]).alias("ids")).collect()  # one row a version
-            folders = [_log_folder(paths, r["version_key"], i) for r in need for i in r["ids"]]
-            self.opened.append(len(folders))
-            if folders:
-                recent = spark.read.schema(b.schema).option("basePath", paths.log).parquet(*folders)
-                scores = drift_check(recent, self.baselines.of([r["model_version"] for r in need]), self.window, batch_id, TASKS_A_VERSION * len(need))
+        b = batch.withColumn("version_key", version_key(F.col("model_version"))).withColumn("batch_id", F.expr(_number(batch_id, "version_key"))).persist()
+        with scratch(spark), ThreadPoolExecutor(2) as pool:
+            state = self.next_state(read_state(spark, paths, before=batch_id), b, batch_id).persist()
+            told = state.where("due or size(dropped) > 0 or fresh > 0").selectExpr(
+                "version_key", "model_version", "due", f"transform(filter(batches, b -> b.upto > total - {self.window}), b -> b.batch_id) as ids", "dropped", "fresh").collect()  # one row a version
+            # state, log and check need none of each other
+            own = inheritable_thread_target(spark)
+            beside = [pool.submit(own(lambda: state.write.mode("overwrite").parquet(f"{paths.state.rstrip('/')}/generation={batch_id}-0")))]
+            fresh = sum(r["fresh"] for r in told)
+            if fresh:  # in as many files as the rows ask for, not as many as the stream has partitions
+                beside.append(pool.submit(own(lambda: overwrite(b.coalesce(-(-fresh // ROWS_A_FILE)), paths.log, "version_key", "batch_id"))))
+            need = [r for r in told if r["due"]]
+            self.opened.append(sum(len(r["ids"]) for r in need))
+            if need:
+                recent = b.where(F.col("version_key").isin([r["version_key"] for r in need]))
+                older = [_log_folder(paths, r["version_key"], i) for r in need for i in r["ids"] if i != batch_id]
+                if older:
+                    recent = recent.unionByName(spark.read.schema(b.schema).option("basePath", paths.log).parquet(*older))
+                checked = _check(recent, self.baselines.of([r["model_version"] for r in need]), self.window, self._tasks(spark, len(need))).persist()
+                scores = checked.withColumn("batch_id", F.expr(_number(batch_id, "model_version")))
                 overwrite(scores, paths.scores, "model_version", "batch_id")
                 overwrite(E.drift_alerts(scores, keys=["model_version", "batch_id"]), paths.alerts, "model_version", "batch_id")
-        _drop_partitions(spark, paths, state)
+                checked.unpersist()
+            for job in beside:
+                job.result()
+            b.unpersist()
+            state.unpersist()
+        _drop_partitions(spark, paths, told)
         old = [g for g in _generations(spark, paths.state) if g[0] < batch_id]
         for _, _, folder in old[:-1]:  # the newest of them is what a replay of this batch reads
             drop_folder(spark, folder)

@@ -171,6 +171,33 @@ def test_a_check_of_a_short_window_takes_few_jobs(spark, tmp_dir):
     assert monitor.opened == [1] and 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-batch")) <= 16
 
 
+def test_a_batch_costs_a_job_each_for_versions_state_log_scores_and_alerts(spark, tmp_dir):
+    """However many partitions the stream has; a batch's rows of a version are one log file."""
+    [(_, batch)] = _batches(spark, [400])
+    monitor = _monitor(spark, batch, tmp_dir, window=50, event_time="ts")
+    known = monitor.baselines
+    known.num_profile, known.cat_profile = M.materialize(known.num_profile), M.materialize(known.cat_profile)
+    known.num_samples = M.materialize(M.E.sample_counts(known.num_profile, ["model_version"]))
+    spark.sparkContext.setJobGroup("whole-batch", "whole-batch")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream with state
+    try:
+        monitor.process(batch.repartition(4), 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole-batch")) <= 5
+    [folder] = [os.path.join(monitor.paths.log, v, b) for v, b in _partitions(monitor)]
+    assert len([f for f in os.listdir(folder) if f.endswith(".parquet")]) == 1 and spark.read.parquet(folder).count() == 400
+    assert spark.read.parquet(monitor.paths.scores).count() > 0 and os.path.exists(monitor.paths.alerts)
+
+
+def test_the_code_of_a_batch_does_not_hold_its_number(spark):
+    plan = lambda n: spark.range(3).select(F.expr(M._number(n, "string(id)")).alias("b"))
+    assert [r.b for r in plan(12345).collect()] == [12345] * 3
+    code = lambda df: df._jdf.queryExecution().debug().codegenToSeq().toString()
+    assert "12345" not in code(plan(12345)).split("Generated code", 1)[-1].split("/* 001 */", 1)[-1]
+
+
 def test_clear_empties_the_buffer_and_checks_wait_for_a_full_window(spark, tmp_dir):
     batches = dict(_batches(spark, [60] * 8))
     monitor = _monitor(spark, batches[0].unionByName(batches[1]), tmp_dir, window=100, retention=200, event_time="ts")
