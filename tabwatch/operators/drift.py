@@ -485,7 +485,7 @@ def _text(value: str) -> str:
 
 
 @functools.lru_cache(maxsize=8)
-def _short_columns(application: str, n_bins: int) -> tuple[list[Column], list[Column], Column, Column]:
+def _short_columns(application: str) -> tuple[list[Column], list[Column], Column, Column]:
     """Columns of :func:`short_drift` that are the same for every call: the sums of a feature, its
     metrics, the chi-square p-value and what is shown. Building them takes longer than a check."""
     # of the rows of one feature: v, c1 (1: a current row), base, n1 and n2 (rows of both sides), u1 and u2
@@ -494,11 +494,11 @@ def _short_columns(application: str, n_bins: int) -> tuple[list[Column], list[Co
     sums = [
         F.first("base").alias("base"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(gap).alias("ks_statistic"),
         F.expr("avg(if(c1 > 0, v, null))").alias("_m"),
-        F.expr(f"array({', '.join(f'sum(if(bin = {i}, c1, 0L))' for i in range(n_bins))})").alias("_counts"),
+        F.collect_list("bin").alias("_bins"),  # at most the current rows of one feature
         F.expr("count_if(e > 0)").alias("k"), F.expr("sum(if(e > 0, double(o), 0D))").alias("observed_total"),
         F.expr("sum(if(e > 0, e, 0D))").alias("expected_total"), F.expr("sum(if(e > 0, (o - e) * (o - e) / e, 0D))").alias("_stat")]
     numeric = F.col("kind") == _NUMERIC
-    counts = F.expr("slice(_counts, 1, greatest(size(base.edges) - 1, 1))")
+    counts = F.expr("transform(sequence(0, greatest(size(base.edges) - 2, 0)), i -> size(filter(_bins, b -> b = i)))")
     expected = F.when(numeric, F.array(*[F.lit(0.25)] * 4)).otherwise(F.col("base.counts"))
     default = F.when(F.col("kind") == _SCORE, F.lit(DEFAULT_SCORE_MEAN)).otherwise(F.lit(0.0))
     psi = F.when(F.col("base.ok") & (~numeric | edges_valid(F.col("base.edges"))), psi_arrays(counts, expected))
@@ -515,53 +515,62 @@ def _short_columns(application: str, n_bins: int) -> tuple[list[Column], list[Co
     return sums, metrics, _chi2_pvalue(), shown
 
 
-def short_drift(cur: DataFrame, keys: Sequence[str], num_profile: DataFrame | None = None, cat_profile: DataFrame | None = None,
-                num_features: Sequence[str] = (), cat_features: Sequence[str] = (), samples: DataFrame | None = None,
-                score_col: str | None = None, score_base: DataFrame | None = None, n_edges: int | None = None,
-                arr_col: str | None = None, class_base: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+_NOTHING = {"v": "double(null)", "category": "string(null)", "c1": "0L", "c2": "0L", "share": "double(null)", "base": f"cast(null as {_BASE})"}
+
+
+def short_baselines(keys: Sequence[str], num_profile: DataFrame | None = None, cat_profile: DataFrame | None = None,
+                    num_features: Sequence[str] = (), cat_features: Sequence[str] = (), samples: DataFrame | None = None,
+                    score_base: DataFrame | None = None, class_base: DataFrame | None = None) -> DataFrame:
+    """What :func:`short_drift` compares with, as one table that many checks can share: profiles,
+    the E4 sample (``samples``: its stored :func:`sample_counts`), categories, score histograms and
+    class means."""
+    def say(df: DataFrame, kind: int, feature: str = "feature", **has: str) -> DataFrame:
+        return df.selectExpr(*map(_name, keys), f"{kind} as kind", f"{feature} as feature", *[f"{x} as {c}" for c, x in (_NOTHING | has).items()])
+
+    def base(ok: str = "true", edges: str = "null", counts: str = "null") -> str:
+        return f"cast(named_struct('mean', double(mean), 'ok', {ok}, 'edges', {edges}, 'counts', {counts}) as {_BASE})"
+
+    known = []
+    if num_profile is not None and num_features:
+        prof = num_profile.where(F.col("feature").isin(list(num_features)))
+        ref = sample_counts(prof, keys) if samples is None else samples.where(F.col("feature").isin(list(num_features)))
+        pct = "coalesce(p25, p50, p75, p95) is not null"
+        known += [say(prof.withColumn("_edges", quartile_edges(prof)), _NUMERIC, base=base(pct, f"if({pct}, _edges, null)")), say(ref, _NUMERIC, v="v", c2="c2")]
+    if cat_profile is not None and cat_features:
+        known.append(say(cat_profile.where(F.col("feature").isin(list(cat_features))), _CATEGORY, category="string(category)", share="double(share)"))
+    if score_base is not None:
+        fits = "ifnull(size(edges) > 1 and size(counts) > 0 and size(counts) = size(edges) - 1, false)"
+        known.append(say(score_base, _SCORE, "'prediction'", base=base(fits, "edges", "counts")))
+    if class_base is not None:
+        known.append(say(class_base, _CLASS, "string(class_idx)", base=base()))
+    if not known:
+        raise ValueError("a baseline is needed")
+    return functools.reduce(DataFrame.unionByName, known)
+
+
+def short_drift(cur: DataFrame, known: DataFrame, keys: Sequence[str], num_features: Sequence[str] = (), cat_features: Sequence[str] = (),
+                score_col: str | None = None, arr_col: str | None = None, tasks: int | None = None) -> DataFrame:
     """E10 with E8 and E9 of few rows a key, such as a monitor's last N: the rows of
     :func:`feature_drift`, :func:`score_drift` and :func:`class_drift` from one scan of ``cur`` and
-    one shuffle. A (key, feature) goes to one task, with its rows, the E4 sample and what its
-    baseline says, so only call this where the rows of a key are bounded. Numeric features must
-    have numeric types, and score baselines ``n_edges`` edges. ``samples`` are stored
-    :func:`sample_counts` of the profile; ``tasks`` is the number of partitions of the shuffle."""
+    one shuffle. A (key, feature) goes to one task, with its rows and what ``known``, the
+    :func:`short_baselines`, says of it, so only call this where the rows of a key are bounded.
+    Numeric features must have numeric types; ``tasks`` is the number of partitions of the shuffle."""
     keys = list(keys)
     k = [*keys, "kind", "feature"]
-    nums, cats = ([f for f in fs if f in cur.columns] for fs in (num_features, cat_features))
-    nothing = {"v": "double(null)", "category": "string(null)", "c1": "0L", "c2": "0L", "share": "double(null)", "base": f"cast(null as {_BASE})"}
-    cells, known = [], []
 
     def cell(kind: int, feature: str, v: str = "double(null)", category: str = "string(null)") -> str:
         return f"named_struct('kind', {kind}, 'feature', {feature}, 'v', {v}, 'category', {category})"
 
-    def say(df: DataFrame, kind: int, feature: str = "feature", **has: str) -> DataFrame:
-        return df.selectExpr(*map(_name, keys), f"{kind} as kind", f"{feature} as feature", *[f"{x} as {c}" for c, x in (nothing | has).items()])
-
-    def base(mean: str = "double(mean)", ok: str = "true", edges: str = "null", counts: str = "null") -> str:
-        return f"cast(named_struct('mean', {mean}, 'ok', {ok}, 'edges', {edges}, 'counts', {counts}) as {_BASE})"
-
-    if num_profile is not None and nums:
-        cells += [cell(_NUMERIC, _text(f), f"if(isnan(double({_name(f)})), null, double({_name(f)}))") for f in nums]
-        prof = num_profile.where(F.col("feature").isin(nums))
-        ref = sample_counts(prof, keys) if samples is None else samples.where(F.col("feature").isin(nums))
-        pct = "coalesce(p25, p50, p75, p95) is not null"
-        known += [say(prof.withColumn("_edges", quartile_edges(prof)), _NUMERIC, base=base(ok=pct, edges=f"if({pct}, _edges, null)")), say(ref, _NUMERIC, v="v", c2="c2")]
-    if cat_profile is not None and cats:
-        cells += [cell(_CATEGORY, _text(f), category=f"string({_name(f)})") for f in cats]
-        known.append(say(cat_profile.where(F.col("feature").isin(cats)), _CATEGORY, category="string(category)", share="double(share)"))
-    if score_base is not None:
+    cells = [cell(_NUMERIC, _text(f), f"if(isnan(double({_name(f)})), null, double({_name(f)}))") for f in num_features if f in cur.columns]
+    cells += [cell(_CATEGORY, _text(f), category=f"string({_name(f)})") for f in cat_features if f in cur.columns]
+    if score_col is not None:
         cells.append(cell(_SCORE, "'prediction'", f"double({_name(score_col)})"))
-        fits = "ifnull(size(edges) > 1 and size(counts) > 0 and size(counts) = size(edges) - 1, false)"
-        known.append(say(score_base, _SCORE, "'prediction'", base=base(ok=fits, edges="edges", counts="counts")))
     cells = f"cast(array({', '.join(cells)}) as {_CELL})"
-    if class_base is not None:
+    if arr_col is not None:
         classes = f"transform({_name(arr_col)}, (p, i) -> {cell(_CLASS, 'string(i)', 'double(p)')})"
         cells = f"concat({cells}, ifnull(cast({classes} as {_CELL}), cast(array() as {_CELL})))"
-        known.append(say(class_base, _CLASS, "string(class_idx)", base=base()))
     rows = cur.selectExpr(*map(_name, keys), f"inline({cells})").where(f"kind = {_CLASS} or v is not null or category is not null")
-    rows = rows.selectExpr("*", *[f"{x} as {c}" for c, x in (nothing | {"c1": "1L"}).items() if c not in ("v", "category")])
-    for table in known:
-        rows = rows.unionByName(table)
+    rows = rows.selectExpr("*", *[f"{x} as {c}" for c, x in (_NOTHING | {"c1": "1L"}).items() if c not in ("v", "category")]).unionByName(known)
     rows = rows.repartition(tasks, *k) if tasks else rows.repartition(*k)
     # one sort serves all frames: whole feature, values upto this one, equal values
     by = f"partition by {', '.join(map(_name, k))} order by v, category"
@@ -573,8 +582,7 @@ def short_drift(cur: DataFrame, keys: Sequence[str], num_profile: DataFrame | No
     values = values.where(f"n1 > 0 and (kind < {_SCORE} or base is not null)").selectExpr(
         "*", "ifnull(share, 0D) * n1 as e",  # of the baseline's row of a category, which stands for the category
         "if(c1 > 0 and base.ok and v >= base.edges[0] and v <= element_at(base.edges, -1), least(size(filter(base.edges, x -> x <= v)) - 1, size(base.edges) - 2), null) as bin")
-    n_bins = max(4, (n_edges or 0) - 1 if score_base is not None else 0)
-    sums, metrics, pvalue, shown = _short_columns(cur.sparkSession.sparkContext.applicationId, n_bins)
+    sums, metrics, pvalue, shown = _short_columns(cur.sparkSession.sparkContext.applicationId)
     wide = values.groupBy(*k).agg(*sums).select(*k, "k", *metrics).withColumn("chi2_pvalue", pvalue)
     return wide.select(*keys, F.when(F.col("kind") == _CLASS, F.lit("prediction")).otherwise(F.col("feature")).alias("_f"), F.inline(shown)).select(
         *keys, F.col("_f").alias("feature"), "metric", "value")

@@ -69,6 +69,7 @@ class Baselines:
     class_base: DataFrame | None = None
     class_col: str | None = None  # array of class probabilities in the log
     num_samples: DataFrame | None = None  # stored ``drift.sample_counts`` of num_profile; else drawn by each check
+    _known: dict[tuple, DataFrame] = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def of(self, versions: Sequence[str | None]) -> Baselines:
         """Those of some versions only, so that a check does not work on all others'."""
@@ -76,6 +77,18 @@ class Baselines:
         return replace(self, **{t: getattr(self, t).where(F.col("model_version").isin([v for v in versions if v is not None]))
                                 for t in tables if getattr(self, t) is not None})
 
+    def known(self) -> DataFrame:
+        """All of them as one table for checks of short windows."""
+        return E.short_baselines(["model_version"], self.num_profile, self.cat_profile, self.num_features, self.cat_features,
+                                 self.num_samples, self.score_base, self.class_base)
+
+    def known_of(self, versions: Sequence[str | None]) -> DataFrame:
+        """``of(versions).known()``; its plan is kept, as a batch mostly checks the versions of the one before."""
+        asked = tuple(sorted(v for v in versions if v is not None))
+        if asked not in self._known:
+            self._known = {asked: self.of(asked).known()}
+        return self._known[asked]
+
 
 def dedup_stream(stream: DataFrame, watermark: str = "10 minutes", ts: str = "ts",
                  keys: tuple[str, ...] = ("request_id", "pos")) -> DataFrame:
@@ -103,7 +116,7 @@ def drift_check(log: DataFrame, baselines: Baselines, window: int, batch_id: int
     return _check(log, baselines, window, tasks).withColumn("batch_id", F.expr(_number(batch_id, "model_version")))
 
 
-def _check(log: DataFrame, baselines: Baselines, window: int, tasks: int | None) -> DataFrame:
+def _check(log: DataFrame, baselines: Baselines, window: int, tasks: int | None, versions: Sequence[str | None] | None = None) -> DataFrame:
     # a short window is cut by the tasks that read the newest partitions, which are few
     salts = 1 if window <= G.CUT_BEFORE_SHUFFLE else G.SALTS
     snap = G.last_n(log.where(F.col("model_version").isNotNull()), window, keys=["model_version"], order=LOG_ORDER, salts=salts)
@@ -111,9 +124,11 @@ def _check(log: DataFrame, baselines: Baselines, window: int, tasks: int | None)
     nums, cats = list(baselines.num_features), list(baselines.cat_features)
     extra = [baselines.class_col] if baselines.class_base is not None else []
     rows = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in [*nums, *cats]], "prediction", *extra)
-    if window <= SHORT_WINDOW and all(is_numeric_type(rows.schema[f].dataType) for f in nums) and (baselines.score_base is None or baselines.score_edges):
-        return E.short_drift(rows, ["model_version"], baselines.num_profile, baselines.cat_profile, nums, cats, baselines.num_samples,
-                               "prediction", baselines.score_base, baselines.score_edges, baselines.class_col, baselines.class_base, tasks)
+    if window <= SHORT_WINDOW and all(is_numeric_type(rows.schema[f].dataType) for f in nums):
+        known = baselines.known() if versions is None else baselines.known_of(versions)
+        return E.short_drift(rows, known, ["model_version"], nums, cats, None if baselines.score_base is None else "prediction", extra[0] if extra else None, tasks)
+    if versions is not None:
+        baselines = baselines.of(versions)
     rows = rows.persist()  # every statistic reads these rows, which are cut once
     scores = E.feature_drift(rows, baselines.num_profile, baselines.cat_profile, keys=["model_version"], num_features=nums, cat_features=cats)
     if baselines.score_base is not None:
@@ -253,7 +268,7 @@ class DriftMonitor:
                 older = [_log_folder(paths, r["version_key"], i) for r in need for i in r["ids"] if i != batch_id]
                 if older:
                     recent = recent.unionByName(spark.read.schema(b.schema).option("basePath", paths.log).parquet(*older))
-                checked = _check(recent, self.baselines.of([r["model_version"] for r in need]), self.window, self._tasks(spark, len(need))).persist()
+                checked = _check(recent, self.baselines, self.window, self._tasks(spark, len(need)), [r["model_version"] for r in need]).persist()
                 scores = checked.withColumn("batch_id", F.expr(_number(batch_id, "model_version")))
                 overwrite(scores, paths.scores, "model_version", "batch_id")
                 overwrite(E.drift_alerts(scores, keys=["model_version", "batch_id"]), paths.alerts, "model_version", "batch_id")
