@@ -193,7 +193,7 @@ def g5_stream_monitor(spark, sf):
                      F.array(1.0 - F.col("prediction"), "prediction").alias("probs"))
     root = new_folder(spark, "stream")
     with ThreadPoolExecutor(1) as pool:  # beside the baselines
-        files = pool.submit(_daily_files, spark, rows.unionByName(rows), f"{root}/src")
+        files = pool.submit(_daily_files, spark, rows.select("*", F.explode(F.array(F.lit(1), F.lit(2)))).drop("col"), f"{root}/src")
         baselines = _version_baselines(spark, sf, pl)
         files.result()
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/src")

@@ -116,6 +116,12 @@ def drift_check(log: DataFrame, baselines: Baselines, window: int, batch_id: int
     return _check(log, baselines, window, tasks).withColumn("batch_id", F.expr(_number(batch_id, "model_version")))
 
 
+def _is_short(log: DataFrame, baselines: Baselines, window: int) -> bool:
+    """Whether a check is one pipeline, whose plan is built without running a job."""
+    numeric = log.select(*[f"features.{f}" for f in baselines.num_features]).schema.fields
+    return window <= SHORT_WINDOW and all(is_numeric_type(f.dataType) for f in numeric)
+
+
 def _check(log: DataFrame, baselines: Baselines, window: int, tasks: int | None, versions: Sequence[str | None] | None = None) -> DataFrame:
     # a short window is cut by the tasks that read the newest partitions, which are few
     salts = 1 if window <= G.CUT_BEFORE_SHUFFLE else G.SALTS
@@ -124,7 +130,7 @@ def _check(log: DataFrame, baselines: Baselines, window: int, tasks: int | None,
     nums, cats = list(baselines.num_features), list(baselines.cat_features)
     extra = [baselines.class_col] if baselines.class_base is not None else []
     rows = snap.select("model_version", *[F.col(f"features.{f}").alias(f) for f in [*nums, *cats]], "prediction", *extra)
-    if window <= SHORT_WINDOW and all(is_numeric_type(rows.schema[f].dataType) for f in nums):
+    if _is_short(log, baselines, window):
         known = baselines.known() if versions is None else baselines.known_of(versions)
         return E.short_drift(rows, known, ["model_version"], nums, cats, None if baselines.score_base is None else "prediction", extra[0] if extra else None, tasks)
     if versions is not None:
@@ -211,6 +217,7 @@ class DriftMonitor:
     event_time: str | None = None
     #: Log partitions that each batch's check reads, its own included, newest last (for monitoring and tests).
     opened: list[int] = field(default_factory=list)
+    _checked: tuple | None = field(default=None, init=False, repr=False)
 
     def __post_init__(self):
         if self.retention < self.window:
@@ -251,27 +258,40 @@ class DriftMonitor:
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
         b = batch.withColumn("version_key", version_key(F.col("model_version"))).withColumn("batch_id", F.expr(_number(batch_id, "version_key"))).persist()
-        with scratch(spark), ThreadPoolExecutor(2) as pool:
+        with scratch(spark), ThreadPoolExecutor(4) as pool:
+            own = inheritable_thread_target(spark)
+
+            def check(keys: tuple[str, ...], versions: tuple[str | None, ...], older: tuple[str, ...]) -> DataFrame:
+                recent = b.where(F.col("version_key").isin(list(keys)))
+                if older:
+                    recent = recent.unionByName(spark.read.schema(b.schema).option("basePath", paths.log).parquet(*older))
+                return _check(recent, self.baselines, self.window, self._tasks(spark, len(versions)), versions)
+
             state = self.next_state(read_state(spark, paths, before=batch_id), b, batch_id).persist()
             told = state.where("due or size(dropped) > 0 or fresh > 0").selectExpr(
-                "version_key", "model_version", "due", f"transform(filter(batches, b -> b.upto > total - {self.window}), b -> b.batch_id) as ids", "dropped", "fresh").collect()  # one row a version
+                "version_key", "model_version", "due", f"transform(filter(batches, b -> b.upto > total - {self.window}), b -> b.batch_id) as ids", "dropped", "fresh")
+            # the next check is mostly of the versions of the last one, and of new rows only: its
+            # plan is built while Spark finds out, and built again if not
+            guess = self._checked
+            likely = pool.submit(own(lambda: check(*guess))) if guess and not guess[2] and _is_short(b, self.baselines, self.window) else None
+            told = told.collect()  # one row a version
             # state, log and check need none of each other
-            own = inheritable_thread_target(spark)
             beside = [pool.submit(own(lambda: state.write.mode("overwrite").parquet(f"{paths.state.rstrip('/')}/generation={batch_id}-0")))]
             fresh = sum(r["fresh"] for r in told)
             if fresh:  # in as many files as the rows ask for, not as many as the stream has partitions
                 beside.append(pool.submit(own(lambda: overwrite(b.coalesce(-(-fresh // ROWS_A_FILE)), paths.log, "version_key", "batch_id"))))
-            need = [r for r in told if r["due"]]
+            need = sorted((r for r in told if r["due"]), key=lambda r: r["version_key"])
             self.opened.append(sum(len(r["ids"]) for r in need))
             if need:
-                recent = b.where(F.col("version_key").isin([r["version_key"] for r in need]))
-                older = [_log_folder(paths, r["version_key"], i) for r in need for i in r["ids"] if i != batch_id]
-                if older:
-                    recent = recent.unionByName(spark.read.schema(b.schema).option("basePath", paths.log).parquet(*older))
-                checked = _check(recent, self.baselines, self.window, self._tasks(spark, len(need)), [r["model_version"] for r in need]).persist()
+                due = (tuple(r["version_key"] for r in need), tuple(r["model_version"] for r in need),
+                       tuple(_log_folder(paths, r["version_key"], i) for r in need for i in r["ids"] if i != batch_id))
+                checked = (likely.result() if likely and due == guess else check(*due)).persist()
+                self._checked = due
                 scores = checked.withColumn("batch_id", F.expr(_number(batch_id, "model_version")))
-                overwrite(scores, paths.scores, "model_version", "batch_id")
-                overwrite(E.drift_alerts(scores, keys=["model_version", "batch_id"]), paths.alerts, "model_version", "batch_id")
+                stored = pool.submit(own(lambda: overwrite(scores, paths.scores, "model_version", "batch_id")))
+                alerts = E.drift_alerts(scores, keys=["model_version", "batch_id"])
+                stored.result()
+                overwrite(alerts, paths.alerts, "model_version", "batch_id")
                 checked.unpersist()
             for job in beside:
                 job.result()

@@ -191,6 +191,21 @@ def test_a_batch_costs_a_job_each_for_versions_state_log_scores_and_alerts(spark
     assert spark.read.parquet(monitor.paths.scores).count() > 0 and os.path.exists(monitor.paths.alerts)
 
 
+def test_checks_of_changing_versions_equal_the_batch_form(spark, tmp_dir):
+    """The plan of a check is built from the last one's versions: right for batch 2, wrong for 1 and 3."""
+    batches = dict(_batches(spark, [80] * 4))
+    monitor = _monitor(spark, batches[0].unionByName(batches[1]), tmp_dir, window=20, event_time="ts")
+    guesses = []
+    for i, b in batches.items():
+        guesses.append(monitor._checked)
+        monitor.process(b, i)
+        want = _scores(M.drift_check(b.withColumn("batch_id", F.lit(i)), monitor.baselines, 20, i))
+        assert want == _scores(spark.read.parquet(monitor.paths.scores).where(f"batch_id = {i}"))
+        assert {v for v, *_ in want} == ({"a", "b/ =%"} if i % 3 else {"a"})
+    guesses.append(monitor._checked)
+    assert guesses[2] == guesses[3] != guesses[1] == guesses[4] and not guesses[3][2]
+
+
 def test_the_code_of_a_batch_does_not_hold_its_number(spark):
     plan = lambda n: spark.range(3).select(F.expr(M._number(n, "string(id)")).alias("b"))
     assert [r.b for r in plan(12345).collect()] == [12345] * 3
